@@ -81,3 +81,7 @@ register("cluster_top_terms_1_2", _tfidf_sql(1, 2))(_cluster_top_terms(1, 2))
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["cluster_top_terms"](spark, sf_dir)
+
+
+# Registration modules (import order = listing order).
+from agora.plans import q_topics  # noqa: E402,F401
