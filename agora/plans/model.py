@@ -30,7 +30,7 @@ TOPIC_GROUPS = (
     ("Fossil Fuels", (15, 16, 17, 18)),
 )
 SELECTED_TOPICS = (0, 3, 6, 9, 12)
-CATEGORY_THRESHOLD_FIXTURE = 0.3
+CATEGORY_THRESHOLD_FIXTURE = 0.1
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
