@@ -46,13 +46,16 @@ def mutual_reachability(knn: DataFrame, core: DataFrame) -> DataFrame:
 def _pointer_jump(parent: DataFrame, key: list[str]) -> DataFrame:
     """parent(x) ← parent(parent(x)) until stable; ``parent`` has
     (*key, node, p) and every tree has one root with p = node."""
+    # the inner loop runs O(log depth) times: cached, not checkpointed; the
+    # caller checkpoints the result once per Borůvka round
+    parent = parent.cache()
     while True:
         q = parent.alias("a").join(
             parent.select(*key, F.col("node").alias("p"), F.col("p").alias("pp")), [*key, "p"])
-        nxt = q.select(*key, "node", F.col("pp").alias("p"))
+        nxt = q.select(*key, "node", F.col("pp").alias("p")).cache()
         changed = nxt.join(parent.withColumnRenamed("p", "old"), [*key, "node"]) \
             .where(F.col("p") != F.col("old")).limit(1).count()
-        parent = cut_lineage(nxt)
+        parent = nxt
         if changed == 0:
             return parent
 
@@ -75,7 +78,7 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, key: list[str] | None =
         cand = e.select(*key, F.col("cs").alias("c"), F.col("cd").alias("o"), "weight", "src", "dst") \
             .unionByName(e.select(*key, F.col("cd").alias("c"), F.col("cs").alias("o"), "weight", "src", "dst"))
         best = cand.groupBy(*key, "c").agg(F.min(F.struct("weight", "src", "dst", "o")).alias("m"))
-        best = cut_lineage(best.select(*key, "c", "m.weight", "m.src", "m.dst", "m.o"))
+        best = best.select(*key, "c", "m.weight", "m.src", "m.dst", "m.o").cache()
         if best.limit(1).count() == 0:
             break
         picked = best.select(*key, "src", "dst", "weight").distinct()

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,9 @@ def class_term_counts(docs: DataFrame, doc_topics: DataFrame, text_col: str = "t
 def prune_class_vocab(class_counts: DataFrame, min_df=MIN_DF, max_df=MAX_DF) -> DataFrame:
     """F5 with topics as units: keep terms present in ≥ min_df and
     ≤ max_df topics."""
+    # read three times (topic count, term stats, the filter): persisted once.
+    # The table is topics × vocabulary, already aggregated.
+    class_counts = class_counts.persist(StorageLevel.MEMORY_AND_DISK)
     n_topics = class_counts.select(F.countDistinct("topic")).scalar()
     vocab = prune_vocab(term_stats(class_counts, "topic"), n_topics, min_df, max_df).select("term")
     return class_counts.join(vocab, "term", "left_semi")
@@ -50,6 +54,7 @@ def ctfidf(class_counts: DataFrame) -> DataFrame:
     """``W = (n_tc / Σ_t n_tc) · ln(1 + A / f_t)`` with A = ⌊mean words
     per topic⌋ and f_t the term's count over all topics → ``(topic, term,
     score)``."""
+    class_counts = class_counts.persist(StorageLevel.MEMORY_AND_DISK)
     row = class_counts.groupBy("topic").agg(F.sum("n").alias("row_n"))
     a = row.select(F.floor(F.avg("row_n")).cast("double")).scalar()
     ft = class_counts.groupBy("term").agg(F.sum("n").alias("f_t"))
