@@ -86,3 +86,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Registration modules (import order = listing order).
 from agora.plans import q_topics  # noqa: E402,F401
 from agora.plans import q_vectors  # noqa: E402,F401
+from agora.plans import q_graph  # noqa: E402,F401
