@@ -190,9 +190,10 @@ def condensed_tree(mst: DataFrame, nodes: DataFrame, min_cluster_size: int,
         clusters = clusters.unionByName(born)
         cur = j.where(cont | split).select(
             "node", F.when(split, new_id).otherwise(F.col("cluster")).alias("cluster"))
-        cur = cut_lineage(cur)
-        members = cut_lineage(members)
-        clusters = cut_lineage(clusters)
+        if (lv + 1) % 4 == 0:  # cut lineage every few levels; cache between
+            cur, members, clusters = cut_lineage(cur), cut_lineage(members), cut_lineage(clusters)
+        else:
+            cur, members, clusters = cur.cache(), members.cache(), clusters.cache()
     stab = members.join(clusters.select("cluster", "birth"), "cluster") \
         .groupBy("cluster").agg(F.sum(F.col("leave") - F.col("birth")).alias("stability"),
                                 F.count(F.lit(1)).alias("size"))
@@ -206,7 +207,7 @@ def _depths(clusters: DataFrame) -> DataFrame:
     while True:
         ch = clusters.join(frontier.select(F.col("cluster").alias("parent"), "depth"), "parent") \
             .select("cluster", (F.col("depth") + 1).alias("depth"))
-        ch = cut_lineage(ch)
+        ch = ch.cache()
         if ch.limit(1).count() == 0:
             return cut_lineage(d)
         d = d.unionByName(ch)
@@ -233,8 +234,8 @@ def select_eom(clusters: DataFrame, allow_single_cluster: bool = False) -> DataF
             keep = keep & ~is_root
         layer = layer.select("cluster", "parent", keep.alias("keep"),
                              F.when(keep | F.col("cs").isNull(), F.col("stability")).otherwise(F.col("cs")).alias("best"))
-        layer = cut_lineage(layer)
-        best = layer if best is None else cut_lineage(best.unionByName(layer))
+        layer = layer.cache()
+        best = layer if best is None else best.unionByName(layer).cache()
     # top-down: a kept cluster is selected if no ancestor is selected
     dep = cl.select("cluster", "depth")
     b = best.join(dep, "cluster")
@@ -250,8 +251,8 @@ def select_eom(clusters: DataFrame, allow_single_cluster: bool = False) -> DataF
         chosen = layer.where(F.col("keep") & F.col("_blk").isNull()).select("cluster")
         blk = layer.where(F.col("keep") | F.col("_blk").isNotNull()).select("cluster")
         sel = chosen if sel is None else sel.unionByName(chosen)
-        blocked = cut_lineage(blk)
-        sel = cut_lineage(sel)
+        blocked = blk.cache()
+        sel = sel.cache()
     return sel
 
 

@@ -12,7 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions.vectors import cosine
+from agora.functions.vectors import dot, norm
+
+
+def _unit(c: str):
+    n = norm(F.col(c))
+    return F.when(n > 0, F.transform(F.col(c), lambda v: v.cast("double") / n))
 
 
 class TooLarge(ValueError):
@@ -51,9 +56,12 @@ def similarity_join(left: DataFrame, right: DataFrame, left_vec: str, right_vec:
     The right side is size-checked and broadcast; the left side streams
     without a shuffle. The output grows linearly with the left side.
     """
-    r = F.broadcast(bounded(right, max_right, "similarity right side"))
-    j = left.join(r, how="inner", on=F.lit(True))
-    j = j.withColumn(out_col, cosine(F.col(left_vec), F.col(right_vec)))
+    # unit vectors are formed once per row on each side, so each pair costs
+    # one dot product (a zero or missing vector stays zero → similarity 0)
+    r = bounded(right, max_right, "similarity right side")
+    r = F.broadcast(r.withColumn(right_vec, _unit(right_vec)))
+    j = left.withColumn(left_vec, _unit(left_vec)).join(r, how="inner", on=F.lit(True))
+    j = j.withColumn(out_col, F.coalesce(dot(F.col(left_vec), F.col(right_vec)), F.lit(0.0)))
     if threshold is not None:
         j = j.where(F.col(out_col) > F.lit(threshold))
     return j

@@ -85,7 +85,9 @@ def category_proportions(weights: DataFrame, categories: DataFrame, doc_topics:
             raise ValueError("all_docs mode needs doc_topics")
         total = doc_topics.select(F.count(F.lit(1)).cast("double")).scalar()
     else:
-        total = weights.select(F.sum("weight")).scalar()
+        # total of the per-category sums: a window over the (categories-row)
+        # table instead of a second pass over the weights
+        total = F.sum("w").over(Window.partitionBy())
     prop = F.when(total > 0, F.col("w") / total * 100.0)
     body = per.select("category", prop.alias("proportion"))
     rest = body.agg((F.lit(100.0) - F.sum("proportion")).alias("proportion")) \
