@@ -10,8 +10,6 @@ approximate (no bit parity with any single-machine implementation).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +65,11 @@ def fuzzy_graph(knn: DataFrame, smooth: DataFrame) -> DataFrame:
 
 
 def layout(graph: DataFrame, init: DataFrame, n_epochs: int = 50, lr: float = 0.1,
-           n_neg_buckets: int = 64, neg_weight: float = 0.05, seed: int = 0,
-           checkpoint_every: int = 5) -> DataFrame:
+           n_neg_buckets: int = 64, neg_weight: float = 0.05, seed: int = 0) -> DataFrame:
     """``(id, coords)``. Each epoch: attraction w·(y_j − y_i) summed
     over a node's edges, repulsion away from the centroid of a hashed
     bucket of nodes chosen by xxhash64(node, epoch, seed), step size
-    decaying linearly. Positions are checkpointed every few epochs."""
+    decaying linearly. Positions are checkpointed every epoch."""
     pos = init.select("id", F.col("coords").cast("array<double>").alias("y"))
     e = graph.select("src", "dst", "weight")
     e2 = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -96,9 +93,9 @@ def layout(graph: DataFrame, init: DataFrame, n_epochs: int = 50, lr: float = 0.
                .join(rep, ["id", "k"], "left")
                .select("id", "k", (F.col("v") + alpha * (F.coalesce("g", F.lit(0.0))
                                                          + neg_weight * F.coalesce("r", F.lit(0.0)))).alias("v")))
-        pos = VO.assemble(nxt, "id", "k", "v", "y")
-        if (ep + 1) % checkpoint_every == 0:
-            pos = cut_lineage(pos)
+        # positions are read four times per epoch: cut the lineage every
+        # epoch so the plan does not grow with the epoch count
+        pos = cut_lineage(VO.assemble(nxt, "id", "k", "v", "y"))
     return pos.select("id", F.col("y").alias("coords"))
 
 
@@ -106,7 +103,7 @@ def reduce(df: DataFrame, method: str = "pca", n_components: int = 50, n_neighbo
            metric: str = "cosine", id_col: str = "doc_id", vec_col: str = "embedding", seed: int = 0,
            n_epochs: int = 50, dim: int | None = None) -> DataFrame:
     """``(id, coords)`` by ``pca`` | ``random`` | ``umap``
-    (kNN graph → D9 → D10 → D11 initialised by a random projection). Chain
+    (kNN graph → D9 → D10 → D11 initialised by PCA). Chain
     calls to reduce a reduction further (e.g. to 3-D)."""
     if dim is None:
         dim = df.select(F.size(vec_col)).first()[0]
@@ -119,7 +116,10 @@ def reduce(df: DataFrame, method: str = "pca", n_components: int = 50, n_neighbo
     if method == "umap":
         kn = cut_lineage(K.knn_exact(df, n_neighbors, id_col, vec_col, metric))
         g = fuzzy_graph(kn, smooth_knn(kn, n_neighbors))
-        init = VO.random_projection(df.select(id_col, vec_col), dim, n_components, seed, vec_col, "coords") \
-            .select(F.col(id_col).alias("id"), F.transform("coords", lambda v: v * math.sqrt(n_components)).alias("coords"))
+        # initialised from the principal components (the published recipe
+        # uses a spectral start; a ±1 projection to few dimensions can map
+        # separate groups onto the same point)
+        init = VO.pca(df.select(id_col, vec_col), n_components, vec_col, "coords") \
+            .select(F.col(id_col).alias("id"), "coords")
         return layout(g, init, n_epochs, seed=seed)
     raise ValueError(f"unknown method {method}")

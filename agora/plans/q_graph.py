@@ -93,3 +93,39 @@ def q_shorten(spark, d):
     short = T.shorten_label("representation")
     return info.select(big("topic").alias("topic"), short.alias("short_label"),
                        hierarchy.combine_labels(short, F.col("name"), F.col("topic")).alias("combined"))
+
+
+# D7, D9, D10, E4 (rows; pytest checks the numerics) ------------------------
+
+@register("smooth_knn")
+def q_smooth_knn(spark, d):
+    from agora.operators import reduce as R
+    s = R.smooth_knn(_knn(spark, d), K)
+    return s.select(big("id").alias("id"), r6("rho").alias("rho"), r6("sigma").alias("sigma"))
+
+
+@register("fuzzy_graph")
+def q_fuzzy_graph(spark, d):
+    from agora.operators import reduce as R
+    kn = _knn(spark, d)
+    g = R.fuzzy_graph(kn, R.smooth_knn(kn, K))
+    return g.select(big("src").alias("src"), big("dst").alias("dst"), r6("weight").alias("weight"))
+
+
+@register("reduce_pca")
+def q_reduce_pca(spark, d):
+    from agora.operators import reduce as R
+    r = R.reduce(fx.vectors(spark, d), "pca", n_components=8, dim=64)
+    return r.select(big("id").alias("id"), F.posexplode("coords").alias("dim", "value")) \
+        .select("id", big("dim").alias("dim"), r6(F.abs("value")).alias("abs_value"))
+
+
+@register("components_at")
+def q_components_at(spark, d):
+    kn = _knn(spark, d)
+    m = density.mutual_reachability(kn, density.core_distance(kn, MIN_SAMPLES))
+    nodes = fx.vectors(spark, d).select(F.col("doc_id").alias("node"))
+    mst = density.minimum_spanning_forest(m, nodes)
+    eps = mst.select(F.percentile_approx("weight", 0.5)).first()[0]
+    c = density.components_at(mst, eps, nodes)
+    return c.select(big("node").alias("node"), big("comp").alias("comp"))
