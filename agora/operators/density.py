@@ -46,13 +46,13 @@ def mutual_reachability(knn: DataFrame, core: DataFrame) -> DataFrame:
 def _pointer_jump(parent: DataFrame, key: list[str]) -> DataFrame:
     """parent(x) ← parent(parent(x)) until stable; ``parent`` has
     (*key, node, p) and every tree has one root with p = node."""
-    # the inner loop runs O(log depth) times: cached, not checkpointed; the
-    # caller checkpoints the result once per Borůvka round
-    parent = parent.cache()
+    # every step reads ``parent`` twice, so the lineage is cut each step
+    # (otherwise the plan doubles per step)
+    parent = cut_lineage(parent)
     while True:
         q = parent.alias("a").join(
             parent.select(*key, F.col("node").alias("p"), F.col("p").alias("pp")), [*key, "p"])
-        nxt = q.select(*key, "node", F.col("pp").alias("p")).cache()
+        nxt = cut_lineage(q.select(*key, "node", F.col("pp").alias("p")))
         changed = nxt.join(parent.withColumnRenamed("p", "old"), [*key, "node"]) \
             .where(F.col("p") != F.col("old")).limit(1).count()
         parent = nxt
@@ -78,7 +78,7 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, key: list[str] | None =
         cand = e.select(*key, F.col("cs").alias("c"), F.col("cd").alias("o"), "weight", "src", "dst") \
             .unionByName(e.select(*key, F.col("cd").alias("c"), F.col("cs").alias("o"), "weight", "src", "dst"))
         best = cand.groupBy(*key, "c").agg(F.min(F.struct("weight", "src", "dst", "o")).alias("m"))
-        best = best.select(*key, "c", "m.weight", "m.src", "m.dst", "m.o").cache()
+        best = cut_lineage(best.select(*key, "c", "m.weight", "m.src", "m.dst", "m.o"))
         if best.limit(1).count() == 0:
             break
         picked = best.select(*key, "src", "dst", "weight").distinct()
@@ -190,7 +190,7 @@ def condensed_tree(mst: DataFrame, nodes: DataFrame, min_cluster_size: int,
         clusters = clusters.unionByName(born)
         cur = j.where(cont | split).select(
             "node", F.when(split, new_id).otherwise(F.col("cluster")).alias("cluster"))
-        if (lv + 1) % 4 == 0:  # cut lineage every few levels; cache between
+        if (lv + 1) % 2 == 0:  # cut lineage every other level; cache between
             cur, members, clusters = cut_lineage(cur), cut_lineage(members), cut_lineage(clusters)
         else:
             cur, members, clusters = cur.cache(), members.cache(), clusters.cache()
@@ -207,7 +207,7 @@ def _depths(clusters: DataFrame) -> DataFrame:
     while True:
         ch = clusters.join(frontier.select(F.col("cluster").alias("parent"), "depth"), "parent") \
             .select("cluster", (F.col("depth") + 1).alias("depth"))
-        ch = ch.cache()
+        ch = cut_lineage(ch)
         if ch.limit(1).count() == 0:
             return cut_lineage(d)
         d = d.unionByName(ch)
@@ -234,8 +234,8 @@ def select_eom(clusters: DataFrame, allow_single_cluster: bool = False) -> DataF
             keep = keep & ~is_root
         layer = layer.select("cluster", "parent", keep.alias("keep"),
                              F.when(keep | F.col("cs").isNull(), F.col("stability")).otherwise(F.col("cs")).alias("best"))
-        layer = layer.cache()
-        best = layer if best is None else best.unionByName(layer).cache()
+        layer = cut_lineage(layer)
+        best = layer if best is None else cut_lineage(best.unionByName(layer))
     # top-down: a kept cluster is selected if no ancestor is selected
     dep = cl.select("cluster", "depth")
     b = best.join(dep, "cluster")

@@ -120,7 +120,7 @@ def _leaves_under(merges: DataFrame, n_leaves: int) -> DataFrame:
     for _ in range(256):
         # (node, child-node) → leaves of child-node already known in acc
         add = frontier.join(acc.select(F.col("new").alias("child"), "leaf"), "child").select("new", "leaf")
-        new_acc = acc.unionByName(add).distinct().cache()
+        new_acc = cut_lineage(acc.unionByName(add).distinct())
         if new_acc.count() == acc.count():
             break
         acc = new_acc
