@@ -40,7 +40,7 @@ def test_density_cluster_finds_blobs(spark):
     x, truth = blobs()
     pdf = pd.DataFrame({"doc_id": np.arange(len(x)), "embedding": [r.tolist() for r in x]})
     df = spark.createDataFrame(pdf, "doc_id long, embedding array<double>")
-    out = D.density_cluster(df, min_cluster_size=10, min_samples=3, levels=24, k_graph=10)
+    out = D.density_cluster(df, min_cluster_size=10, min_samples=3, levels=12, k_graph=10)
     lab = out["labels"].toPandas().sort_values("id")
     found = lab[lab.cluster != -1].cluster.nunique()
     assert found == 3
