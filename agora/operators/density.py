@@ -190,10 +190,8 @@ def condensed_tree(mst: DataFrame, nodes: DataFrame, min_cluster_size: int,
         clusters = clusters.unionByName(born)
         cur = j.where(cont | split).select(
             "node", F.when(split, new_id).otherwise(F.col("cluster")).alias("cluster"))
-        if (lv + 1) % 2 == 0:  # cut lineage every other level; cache between
-            cur, members, clusters = cut_lineage(cur), cut_lineage(members), cut_lineage(clusters)
-        else:
-            cur, members, clusters = cur.cache(), members.cache(), clusters.cache()
+        # ``cur`` is read twice per level: cut the lineage every level
+        cur, members, clusters = cut_lineage(cur), cut_lineage(members), cut_lineage(clusters)
     stab = members.join(clusters.select("cluster", "birth"), "cluster") \
         .groupBy("cluster").agg(F.sum(F.col("leave") - F.col("birth")).alias("stability"),
                                 F.count(F.lit(1)).alias("size"))
