@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,12 +42,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set (to a shared file system); only when it
-    is unset — local tests — a scratch folder is created.
+    A cluster must name one that driver and executors share; a scratch folder
+    is made only for a local master (tests), where one machine holds both.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="agora-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -63,3 +67,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def write_shared(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into a new folder below the shared checkpoint
+    folder and read it back: lineage is cut, and later passes read only the
+    columns they need. A lost executor loses nothing of it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"agora-{uuid.uuid4().hex}/{name}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
