@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import mixing, reply_trees
-from agora.llm.common import table
+import public_tokenizers
+
+from agora.llm import lang_id, mixing, packing, quality_gbt, reply_trees
+from agora.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,3 +109,28 @@ LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source"""
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+# ------------------------------------------------------- language and quality
+
+@register("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (fold("doc_id", 3) == 1).alias("held_out"))
+    known = lang_id.profiles(docs.filter("not held_out and lang is not null"), "text", "lang")
+    return lang_id.identify(docs.drop("lang"), known).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@register("op4_quality_gbt")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    forest = quality_gbt.train(docs, labels)
+    return quality_gbt.score(docs, forest).select("doc_id", "held_out", "score", "predicted")
+
+
+# -------------------------------------------------------------------- packing
+
+@register("op6_pack_nnls")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
