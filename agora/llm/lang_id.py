@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agora.llm.common import hashed, slices
 
@@ -171,5 +172,5 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
                 [*rest.columns, pa.array(said, pa.string()), pa.array(top, pa.float64())],
                 names=[*rest.schema.names, "lang_pred", "score"])
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
     return kept.withColumn(spare, F.col(text)).mapInArrow(score, schema)

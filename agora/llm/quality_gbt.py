@@ -211,5 +211,5 @@ def score(documents: DataFrame, forest: Forest, text: str = "text") -> DataFrame
                 [*rest.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                 names=[*rest.schema.names, "score", "predicted"])
 
-    schema = kept.schema.add("score", "double").add("predicted", "int")
+    schema = kept.schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return kept.withColumn(spare, F.col(text)).mapInArrow(run, schema)
