@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from agora.llm import lang_id, mixing, packing, quality_gbt, reply_trees
+from agora.llm import lang_id, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
 from agora.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,32 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_pack_nnls")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+# --------------------------------------------------------------------- search
+
+_SEARCH_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER w AS rank, r.vec_id AS vec_id,
+  CAST(list_dot_product(q.e, r.e) AS BIGINT) AS score
+FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 50 = 0
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, r.e) DESC, r.vec_id)
+QUALIFY row_number() OVER w <= 5"""
+
+
+@register("op7_topk_threshold", _SEARCH_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(topk_search.usable(F.col("embedding"))).select(
+        "vec_id", topk_search.quantized(F.col("embedding")).alias("vector"))
+    queries = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return topk_search.search(queries, rows, 5)
+
+
+# --------------------------------------------------------------- fingerprints
+
+@register("op9_syncmer_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
