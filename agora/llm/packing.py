@@ -12,8 +12,10 @@ but the last residual one is full.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,56 +29,90 @@ from agora.session import write_shared
 WINDOW = 2048
 #: Parts that the items of one length are dealt into for ranking.
 SALTS = 64
-_MEMO_WORDS, _MEMO_CHARS = 300_000, 48
+_MEMO_WORDS, _MEMO_BYTES = 700_000, 64
 _workers: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """Token ids of texts, by a tokenizer file whose pre-tokenizer never joins
-    anything across ASCII white space: a text's ids are then its words' ids one
-    after another, and words met before come from a bounded memo."""
+    """Token ids of UTF-8 texts, by a tokenizer file that lower-cases and whose
+    pre-tokenizer never joins anything across ASCII white space: a text's ids are
+    then its lower-cased words' ids one after another, and words met before come
+    from a bounded memo. Texts that may hold a special token go whole."""
+
+    _MARK = "\x01"  # stands alone between words, and in none of them
+    _PLAIN = re.compile(rb"[a-z]+[.,]?")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids are kept in 16 bits")
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """Each word's ids: some thousand words go through the tokenizer as one
-        text, and a token belongs to the word in which it begins."""
-        out = []
-        for lo in range(0, len(words), 4096):
-            some = words[lo: lo + 4096]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            begins = np.zeros(len(some), np.int64)
-            np.cumsum([len(w) + 1 for w in some[:-1]], out=begins[1:])
-            at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            cuts = np.searchsorted(at, np.append(begins, np.iinfo(np.int64).max))
-            ids = np.array(e.ids, "<u2").tobytes()
-            out += [ids[2 * a: 2 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._odd = re.compile(b"|".join(map(re.escape, [self._MARK.encode(), *special])), re.I)
+        if len(self._whole(self._MARK)) != 1 or len(self._whole("|")) != 1:
+            raise ValueError("a mark must be one token")
+        self.lean = self._lean(path)
+        self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _lean(self, path: str):
+        """The same model without normaliser, if a-z words come out alike."""
+        from tokenizers import Tokenizer, pre_tokenizers
+        lean = Tokenizer.from_file(path)
+        lean.normalizer, lean.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        probe = " | ".join(["the", "quizzical", "abcdefghijklmnopqrstuvwxyz"])
+        same = lean.encode(probe + " . ,", add_special_tokens=False).ids == self._whole(probe + " . ,").tolist()
+        return lean if same else None
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids: some hundred words go through a tokenizer as one text,
+        with a mark between them that is one token of its own. Words of a-z, with
+        at most one stop or comma after them, need no normaliser."""
+        out = [b""] * len(words)
+        plain, rest = [], []
+        for i, w in enumerate(words):
+            (plain if self.lean is not None and self._PLAIN.fullmatch(w) else rest).append(i)
+        for tokenizer, some, mark in ((self.lean, plain, "|"), (self.tokenizer, rest, self._MARK)):
+            mark_id = int(self._whole(mark)[0])
+            between = f" {mark} ".encode()
+            for lo in range(0, len(some), 512):
+                part = some[lo: lo + 512]
+                text = between.join([words[i] for i in part])
+                if tokenizer is self.lean:
+                    text = text.replace(b".", b" .").replace(b",", b" ,")
+                ids = np.array(tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u2")
+                marks = np.flatnonzero(ids == mark_id).tolist()
+                whole = ids.tobytes()
+                for i, a, b in zip(part, [0, *(m + 1 for m in marks)], [*marks, len(ids)]):
+                    out[i] = whole[2 * a: 2 * b]
         return out
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen: set[str] = set().union(*split)
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        low = [t.lower() for t in texts]  # bytes: ASCII letters, and below ASCII white space, only
+        split = [t.split() for t in low]
+        odd = [i for i, t in enumerate(low) if self._odd.search(t)]
+        for i in odd:
+            split[i] = []
+        words = list(chain.from_iterable(split))
         if len(self.memo) > _MEMO_WORDS:  # what isn't met again in this generation goes
             self.old, self.memo = self.memo, {}
-        memo, old = self.memo, self.old
-        missing = seen - memo.keys()
-        memo.update((w, old[w]) for w in missing if w in old)
-        new = [w for w in missing if w not in memo]
-        own = dict(zip(new, self._encode(new)))
-        memo.update((w, b) for w, b in own.items() if len(w) <= _MEMO_CHARS)
-        out = []
-        for words in split:
-            try:
-                joined = b"".join([memo[w] for w in words])
-            except KeyError:  # a long word is not kept
-                joined = b"".join([own[w] if w in own else memo[w] for w in words])
-            out.append(np.frombuffer(joined, "<u2"))
+        got = list(map(self.memo.get, words))
+        missing = [i for i, g in enumerate(got) if g is None]
+        new: dict[bytes, bytes | None] = {words[i]: self.old.get(words[i]) for i in missing}
+        unknown = [w for w, g in new.items() if g is None]
+        new.update(zip(unknown, self._encode(unknown)))
+        for i in missing:
+            got[i] = new[words[i]]
+        self.memo.update((w, g) for w, g in new.items() if len(w) <= _MEMO_BYTES)
+        out, a = [], 0
+        for s in split:
+            out.append(np.frombuffer(b"".join(got[a: a + len(s)]), "<u2"))
+            a += len(s)
+        for i in odd:
+            out[i] = self._whole(texts[i].decode())
         return out
 
 
@@ -95,7 +131,7 @@ def tokenize(documents: DataFrame, path: str, key: str = "doc_id", text: str = "
         tok = _tokenizer(path)
         for part in slices(batches, "text", 1 << 21):
             n, crcs, tails, tail_crcs = [], [], [], []
-            for ids in tok.ids([t or "" for t in part.column("text").to_pylist()]):
+            for ids in tok.ids([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]):
                 ids = np.append(ids, np.array([end_id], "<u2"))
                 wide = ids.astype("<u4")
                 cut = len(ids) // window * window

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from agora.llm import lang_id, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
+from agora.llm import jaccard_join, lang_id, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
 from agora.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.score(docs, forest).select("doc_id", "held_out", "score", "predicted")
 
 
+# -------------------------------------------------------------- Jaccard join
+
+@register("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 # -------------------------------------------------------------------- packing
 
 @register("op6_pack_nnls")
