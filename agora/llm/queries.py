@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from agora.llm import jaccard_join, lang_id, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
+from agora.llm import jaccard_join, lang_id, maxent_lm, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
 from agora.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +165,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(queries, rows, 5)
 
 
+# ------------------------------------------------------- language-model scores
+
+@register("op8_maxent_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 5) == 1).alias("held_out"))
+    scored = maxent_lm.score(docs.withColumn("train", ~F.col("held_out")))
+    return scored.withColumn("held_out", fold("doc_id", 5) == 1)
+
+
 # --------------------------------------------------------------- fingerprints
 
 @register("op9_syncmer_fingerprints")
