@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from agora.llm import jaccard_join, lang_id, maxent_lm, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
+from agora.llm import jaccard_join, lang_id, license_scan, maxent_lm, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
 from agora.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_syncmer_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------- licences
+
+@register("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.train(docs))
+    return found.select(
+        "doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_license_paragraphs"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.col("found.family")))).alias("families"),
+        F.coalesce(F.get("found", F.lit(0))["place"], F.lit(-1)).cast("long").alias("first_line"),
+        F.coalesce(F.array_max(F.col("found.probability")), F.lit(0.0)).alias("probability"),
+        F.coalesce(F.array_max(F.col("found.share")), F.lit(0.0)).alias("template_share"))
