@@ -30,7 +30,9 @@ from agora.llm.common import mix64, list_array, shingles, signed, slices, texts_
 from agora.session import write_shared
 
 SHINGLE, PERCENT = 5, 80
-BITS = 1024
+#: Bits of a signature: the power of two at or above this many times the set's
+#: size, so that about two fifths of them are set, whatever the size.
+BITS_EACH, LEAST_BITS = 2, 64
 #: Shingles that get a place at the end of the order: a bounded list. Which ones
 #: they are changes what is compared, never what is found.
 COMMON = 65_536
@@ -50,11 +52,21 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(40)) % np.uint64(BITS)] = 1
+    width = 1 << max(LEAST_BITS, BITS_EACH * len(s) - 1).bit_length()
+    bits = np.zeros(width, np.uint8)
+    bits[s & np.uint64(width - 1)] = 1
     return np.packbits(bits).view(np.int64)
 
 
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps brought to ``words`` 64-bit words: a bit's place is a hash
+    modulo the width, so halves lie one over the other."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] | maps[..., half:]
+    return maps
+
+
 def signatures(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
     """One row per document (``id, jk, n, d, bitmap``: id, join key of the row,
     set size, digest, bitmap), and the common shingles, commonest last.
@@ -182,9 +194,34 @@ def _bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
     return _reaches(np.minimum(na - only_a, nb - only_b), na, nb)
 
 
-def _bitmaps(column) -> np.ndarray:
-    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return a.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(a), BITS // 64)
+class _Maps:
+    """A column of bitmaps of different widths."""
+
+    def __init__(self, column):
+        a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.flat = a.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        self.words = a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.at = np.cumsum(self.words) - self.words
+
+    def rows(self, some: np.ndarray, words: int) -> np.ndarray:
+        """The bitmaps of some rows, all brought to ``words``."""
+        out = np.empty((len(some), words), np.uint64)
+        for w in np.unique(self.words[some]).tolist():
+            mine = self.words[some] == w
+            out[mine] = _folded(self.flat[self.at[some[mine], None] + np.arange(w)], words)
+        return out
+
+
+def _bounded(a: _Maps, b: _Maps, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """For each row, whether the pair's bit counts leave room for a link."""
+    out = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+    words = np.minimum(a.words, b.words)
+    for w in np.unique(words[out]).tolist():
+        at = np.flatnonzero(out & (words == w))
+        for lo in range(0, len(at), max(1, (1 << 20) // w)):
+            some = at[lo: lo + max(1, (1 << 20) // w)]
+            out[some] = _bound(a.rows(some, w), b.rows(some, w), na[some], nb[some])
+    return out
 
 
 def _verified(pairs: DataFrame, sig: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -193,8 +230,8 @@ def _verified(pairs: DataFrame, sig: DataFrame, documents: DataFrame, key: str,
     def bound(batches):
         for x in batches:
             if x.num_rows:
-                ok = _bound(_bitmaps(x.column("map_a")), _bitmaps(x.column("map_b")),
-                            x.column("n_a").to_numpy(), x.column("n_b").to_numpy())
+                ok = _bounded(_Maps(x.column("map_a")), _Maps(x.column("map_b")),
+                              x.column("n_a").to_numpy(), x.column("n_b").to_numpy())
                 yield x.select(["a", "b"]).filter(pa.array(ok))
 
     side = lambda c: sig.select(F.col("d").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"map_{c}"))
@@ -243,8 +280,9 @@ def _open_pairs(tiles: DataFrame, roots: DataFrame, sig: DataFrame) -> DataFrame
     rooted = (tiles.join(roots.withColumnRenamed("node", "d"), "d", "left")
               .withColumn("root", F.coalesce("root", "d"))
               .withColumn("lo", F.min("root").over(tile)).withColumn("hi", F.max("root").over(tile))
-              .withColumn("blocks", F.ceil(F.count("*").over(tile) / F.lit(TILE)))
-              .filter("lo <> hi"))
+              .withColumn("members", F.count("*").over(tile))
+              .withColumn("blocks", F.ceil(F.col("members") / F.lit(TILE)))
+              .filter("lo <> hi and members > 2"))  # two members have met as leader and member
     block = F.pmod(F.xxhash64("d"), F.col("blocks"))
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = (rooted.withColumn("block", block).withColumn("other", meets)
@@ -259,7 +297,7 @@ def _open_pairs(tiles: DataFrame, roots: DataFrame, sig: DataFrame) -> DataFrame
         def work(t: pa.Table) -> pa.RecordBatch:
             names = ["shingle", "tile", "i", "j", "block", "band", "d", "root", "n"]
             g = {c: t.column(c).to_numpy() for c in names}
-            maps = _bitmaps(t.column("bitmap"))
+            maps = _Maps(t.column("bitmap"))
             new = np.ones(t.num_rows, bool)
             new[1:] = np.any([g[c][1:] != g[c][:-1] for c in names[:4]], axis=0)
             edges = np.append(np.flatnonzero(new), t.num_rows)
@@ -270,6 +308,7 @@ def _open_pairs(tiles: DataFrame, roots: DataFrame, sig: DataFrame) -> DataFrame
                     continue
                 low, blk = g["band"][lo:hi] == g["tile"][lo], g["block"][lo:hi]
                 alone = g["i"][lo] == g["j"][lo]
+                bits = maps.rows(np.arange(lo, hi), int(maps.words[lo:hi].min()))
                 order = np.argsort(n, kind="stable")
                 for at, x in enumerate(order.tolist()):
                     # partners are larger, up to 1/t times, and not both in the upper band
@@ -277,7 +316,7 @@ def _open_pairs(tiles: DataFrame, roots: DataFrame, sig: DataFrame) -> DataFrame
                     y = order[at + 1: upto]
                     y = y[(root[y] != root[x]) & (low[x] | low[y]) & (alone | (blk[y] != blk[x]))]
                     if len(y):
-                        y = y[_bound(maps[lo + x], maps[lo + y], n[x], n[y])]
+                        y = y[_bound(bits[x], bits[y], n[x], n[y])]
                         a_out.append(np.minimum(d[x], d[y]))
                         b_out.append(np.maximum(d[x], d[y]))
             return pa.RecordBatch.from_arrays(
