@@ -86,6 +86,31 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.select("source", (F.col("prefix") + fits.cast("long")).alias("below"))
 
 
+def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """``(s, source_size, target, full, below)``: per source, how often all rows
+    are taken, and the hash below which a row is taken once more."""
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(totals, weights, most)
+    targets = write_shared(targets.withColumn(
+        "full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+        .otherwise(0).cast("long")), "targets")
+    budgets = targets.select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget"))
+    return (targets.join(thresholds(rows, budgets).withColumnRenamed("source", "s"),
+                         F.col("source").eqNullSafe(F.col("s")), "left")
+            .select(F.col("source").alias("s"), "source_size", "target", "full",
+                    F.coalesce("below", F.lit(0)).alias("below")))
+
+
+def _sizes(documents: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    return write_shared(documents.select(
+        F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
+        word_count(text).alias("size"), row_hash(key, text, seed).alias("hash")), "sizes")
+
+
+def _repeats() -> Column:
+    return F.col("full") + (F.col("hash") < F.col("below")).cast("long")
+
+
 def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 0) -> DataFrame:
     """Repeats of each row in a mix in which every source meets its target.
@@ -99,20 +124,25 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     equal id and text share a hash and are taken alike; an empty table gives an
     empty table. Other columns are ignored. A source without words takes nothing.
     """
-    rows = write_shared(documents.select(
-        F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
-        word_count(text).alias("size"), row_hash(key, text, seed).alias("hash")), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, most)
-    targets = write_shared(targets.withColumn(
-        "full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
-        .otherwise(0).cast("long")), "targets")
-    budgets = targets.select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("budget"))
-    plan = (targets.join(thresholds(rows, budgets).withColumnRenamed("source", "s"),
-                         F.col("source").eqNullSafe(F.col("s")), "left")
-            .select(F.col("source").alias("s"), "source_size", "target", "full",
-                    F.coalesce("below", F.lit(0)).alias("below")))
-    repeats = F.col("full") + (F.col("hash") < F.col("below")).cast("long")
+    rows = _sizes(documents, key, text, source, seed)
+    plan = _plan(rows, weights, most)
     return (rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+            .withColumn("repeats", _repeats())
             .select(F.col("key").alias(key), "source", "hash", "size", "source_size", "target",
-                    repeats.alias("repeats"), (repeats * F.col("size")).alias("taken")))
+                    "repeats", (F.col("repeats") * F.col("size")).alias("taken")))
+
+
+def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+          weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 0) -> DataFrame:
+    """The mix itself: each row of ``documents`` as often as :func:`mix` takes it.
+    The rows are not shuffled: a source's threshold comes to them by a join with
+    the table of sources."""
+    plan = _plan(_sizes(documents, key, text, source, seed), weights, most)
+    names = ["__source", "__hash", "__copies"]
+    rows = documents.withColumn("__source", F.col(source).cast("string")).withColumn(
+        "__hash", row_hash(key, text, seed))
+    p = plan.select(F.col("s").alias("__s"), F.col("full").alias("__full"), F.col("below").alias("__below"))
+    copies = (F.col("__full") + (F.col("__hash") < F.col("__below")).cast("long")).cast("int")
+    return (rows.join(p, F.col("__source").eqNullSafe(F.col("__s")))
+            .withColumn("__copies", F.explode(F.sequence(F.lit(0), copies)))
+            .filter("__copies > 0").drop(*names, "__s", "__full", "__below"))

@@ -8,9 +8,59 @@ taken, and the packing stage packs every repeat.
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from agora.llm import jaccard_join, lang_id, mixing, packing, quality_gbt
+from agora.llm.common import fold, table
+from agora.session import write_shared
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, predicts good."""
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    scored = quality_gbt.score(docs.select(F.struct("*").alias("row"), "text"), quality_gbt.train(docs, labels))
+    return scored.filter("predicted = 1").select("row.*")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learnt; those without a letter (``und``)
+    or without any likeness to a language (cosine not above 0) go."""
+    known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", 3) != 1))
+    said = lang_id.identify(docs.select(F.struct("*").alias("row"), "text"), lang_id.profiles(known, "text", "lang"))
+    return said.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") > 0)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id. An id that
+    comes several times names one document; rows without an id come last."""
+    rows = docs.withColumn("__id", F.coalesce(
+        F.col("doc_id"), F.lit(1 << 62) + F.monotonically_increasing_id()))
+    kept = jaccard_join.join(rows, "__id", "text").filter("__id = component_id").select("__id").distinct()
+    return rows.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources meet their targets."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2,048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates),
+          ("mix", mix), ("pack", pack)]
+
+#: The classifiers, the similarity join and the tokenizer have no SQL form; the
+#: pipeline is tested stage by stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_shared(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
