@@ -139,7 +139,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, k: int = 5) -> list[np.ndarra
     n = len(hashes)
     full = np.zeros(max(0, n - k + 1), np.uint64)
     odd = np.uint64(0x9E3779B97F4A7C15)
-    for i in range(k):
+    for i in range(k if n >= k else 0):
         full *= odd
         full += hashes[i: n - k + 1 + i]
     mix64(full)
