@@ -117,7 +117,7 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(buf, bounds - bounds[0])
 
 
-def slices(batches, text: str, max_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices(batches, text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about ``max_bytes`` of text (one
     row at least), so a task's memory doesn't follow the batch size."""
     for batch in batches:

@@ -13,9 +13,9 @@ bound the overlap from above. Pairs whose bound reaches the threshold are decide
 by intersecting the exact sorted arrays.
 
 Only components are asked for. So the first round links each member of a tile to
-one leader, and the second round compares what is still in different components,
-block by block; pairs within a component need no comparison, and a large group
-of near copies costs a number of comparisons in proportion to its size.
+one leader, the next ones to the member of another component that bitmaps say is
+nearest, and the last one compares all that is still in different components, block by block; pairs within a component need no comparison, and a
+large group of near copies costs comparisons in proportion to its size.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ BITS_EACH, LEAST_BITS = 2, 64
 COMMON = 65_536
 _COMMON_IN_TASK, _WINDOW = 4, 1 << 20
 TILE = 2048
+#: Rounds in which each member meets the nearest one of another component, before
+#: all that is left is compared.
+TURNS = 2
 
 
 def _sets(part: pa.RecordBatch, text: str) -> list[np.ndarray]:
@@ -187,11 +190,16 @@ def _reaches(inner: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return 100 * inner >= PERCENT * (na + nb - inner)
 
 
-def _bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether bit counts leave room for enough overlap (rows of bitmaps)."""
+def _most_common(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The most shingles that two sets can share, by their bitmaps (rows)."""
     only_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
     only_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
-    return _reaches(np.minimum(na - only_a, nb - only_b), na, nb)
+    return np.minimum(na - only_a, nb - only_b)
+
+
+def _bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether bit counts leave room for enough overlap."""
+    return _reaches(_most_common(a, b, na, nb), na, nb)
 
 
 class _Maps:
@@ -224,9 +232,8 @@ def _bounded(a: _Maps, b: _Maps, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, sig: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs ``(a, b)`` of digests that are links: bitmaps first, then exact
-    arrays, made from the texts of one document for each set that is left."""
+def _near(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` of digests that sizes and bitmaps leave possible."""
     def bound(batches):
         for x in batches:
             if x.num_rows:
@@ -235,14 +242,14 @@ def _verified(pairs: DataFrame, sig: DataFrame, documents: DataFrame, key: str,
                 yield x.select(["a", "b"]).filter(pa.array(ok))
 
     side = lambda c: sig.select(F.col("d").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"map_{c}"))
-    near = write_shared(pairs.join(side("a"), "a").join(side("b"), "b")
+    return write_shared(pairs.join(side("a"), "a").join(side("b"), "b")
                         .select("a", "b", "n_a", "n_b", "map_a", "map_b")
                         .mapInArrow(bound, "a bigint, b bigint"), "near")
-    if near.isEmpty():
-        return near
-    wanted = near.select(F.col("a").alias("d")).union(near.select(F.col("b").alias("d"))).distinct() \
-        .join(sig.select("d", "jk"), "d")
 
+
+def _sets_of(wanted: DataFrame, sig: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``(d, shingles)``: exact sorted arrays of the wanted digests, made from the
+    text of one document each."""
     def arrays(batches):
         for part in slices(batches, "text"):
             sets = _sets(part, "text")
@@ -253,9 +260,13 @@ def _verified(pairs: DataFrame, sig: DataFrame, documents: DataFrame, key: str,
                 [pa.array([want[i] for i in mine], pa.int64()),
                  pa.array([sets[i].tobytes() for i in mine], pa.binary())], names=["d", "shingles"])
 
-    sets = write_shared(_keyed(documents, key, text).select("jk", "text").join(wanted, "jk").select("d", "text")
+    rows = wanted.select("d").distinct().join(sig.select("d", "jk"), "d")
+    return write_shared(_keyed(documents, key, text).select("jk", "text").join(rows, "jk").select("d", "text")
                         .mapInArrow(arrays, "d bigint, shingles binary"), "sets").dropDuplicates(["d"])
 
+
+def _links(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose exact arrays reach the threshold."""
     def exact(batches):
         for x in batches:
             ok = []
@@ -272,17 +283,28 @@ def _verified(pairs: DataFrame, sig: DataFrame, documents: DataFrame, key: str,
                         .mapInArrow(exact, "a bigint, b bigint"), "links")
 
 
-def _open_pairs(tiles: DataFrame, roots: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs of a tile that are in different components and that sizes and bitmaps
-    leave possible. A tile is cut into blocks of about ``TILE`` members, and one
-    task compares two blocks."""
+def _rooted(tiles: DataFrame, roots: DataFrame) -> DataFrame:
+    """Tiles with each member's component, if it has more than one of them."""
     tile = W.partitionBy("shingle", "tile")
-    rooted = (tiles.join(roots.withColumnRenamed("node", "d"), "d", "left")
-              .withColumn("root", F.coalesce("root", "d"))
-              .withColumn("lo", F.min("root").over(tile)).withColumn("hi", F.max("root").over(tile))
-              .withColumn("members", F.count("*").over(tile))
-              .withColumn("blocks", F.ceil(F.col("members") / F.lit(TILE)))
-              .filter("lo <> hi and members > 2"))  # two members have met as leader and member
+    return (tiles.join(roots.withColumnRenamed("node", "d"), "d", "left")
+            .withColumn("root", F.coalesce("root", "d"))
+            .withColumn("lo", F.min("root").over(tile)).withColumn("hi", F.max("root").over(tile))
+            .withColumn("members", F.count("*").over(tile))
+            # two members have met as leader and member
+            .filter("lo <> hi and members > 2").drop("lo", "hi"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return write_shared(components(links.unionByName(
+        roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+
+
+def _open(tiles: DataFrame, roots: DataFrame, sig: DataFrame, every: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of a tile that are in different components and that sizes
+    and bitmaps leave possible: all of them, or for each member of a block the
+    one that bitmaps say is nearest. A tile is cut into blocks of about ``TILE``
+    members, and one task compares two blocks."""
+    rooted = _rooted(tiles, roots).withColumn("blocks", F.ceil(F.col("members") / F.lit(TILE)))
     block = F.pmod(F.xxhash64("d"), F.col("blocks"))
     meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = (rooted.withColumn("block", block).withColumn("other", meets)
@@ -310,18 +332,33 @@ def _open_pairs(tiles: DataFrame, roots: DataFrame, sig: DataFrame) -> DataFrame
                 alone = g["i"][lo] == g["j"][lo]
                 bits = maps.rows(np.arange(lo, hi), int(maps.words[lo:hi].min()))
                 order = np.argsort(n, kind="stable")
+                nearest, partner = np.zeros(hi - lo), np.full(hi - lo, -1)
                 for at, x in enumerate(order.tolist()):
                     # partners are larger, up to 1/t times, and not both in the upper band
                     upto = np.searchsorted(n[order], n[x] * 100 // PERCENT, "right")
                     y = order[at + 1: upto]
                     y = y[(root[y] != root[x]) & (low[x] | low[y]) & (alone | (blk[y] != blk[x]))]
-                    if len(y):
-                        y = y[_bound(bits[x], bits[y], n[x], n[y])]
+                    if not len(y):
+                        continue
+                    inner = _most_common(bits[x], bits[y], n[x], n[y])
+                    ok = _reaches(inner, n[x], n[y])
+                    y, inner = y[ok], inner[ok]
+                    if every:
                         a_out.append(np.minimum(d[x], d[y]))
                         b_out.append(np.maximum(d[x], d[y]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(a_out) if a_out else np.empty(0, np.int64)),
-                 pa.array(np.concatenate(b_out) if b_out else np.empty(0, np.int64))], names=["a", "b"])
+                    elif len(y):
+                        like = inner / (n[x] + n[y] - inner)
+                        top = like.argmax()
+                        if like[top] > nearest[x]:
+                            nearest[x], partner[x] = like[top], y[top]
+                        nearer = like > nearest[y]
+                        nearest[y[nearer]], partner[y[nearer]] = like[nearer], x
+                if not every:
+                    some = np.flatnonzero(partner >= 0)
+                    a_out.append(np.minimum(d[some], d[partner[some]]))
+                    b_out.append(np.maximum(d[some], d[partner[some]]))
+            a_all, b_all = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out))
+            return pa.RecordBatch.from_arrays([pa.array(a_all), pa.array(b_all)], names=["a", "b"])
 
         for x in batches:
             t = pa.Table.from_batches([x])
@@ -338,7 +375,7 @@ def _open_pairs(tiles: DataFrame, roots: DataFrame, sig: DataFrame) -> DataFrame
         if held is not None and held.num_rows:
             yield work(held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return write_shared(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "open")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -387,14 +424,19 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         F.min("id").alias("least"), F.min("jk").alias("jk"), F.first("n").alias("n"),
         F.first("bitmap").alias("bitmap")), "distinct")
     tiles = write_shared(_tiles(_prefixes(documents, key, text, common)), "tiles")
-    stars = tiles.filter("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct()
-    links = _verified(stars, sig, documents, key, text)
-    roots = write_shared(components(links), "roots")
-    open_ = write_shared(_open_pairs(tiles, roots, sig), "open")
-    if not open_.isEmpty():
-        more = _verified(open_, sig, documents, key, text)
-        roots = write_shared(components(
-            more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    near = _near(tiles.filter("d <> lead").select(F.col("lead").alias("a"), F.col("d").alias("b")).distinct(), sig)
+    ends = near.select(F.col("a").alias("d")).union(near.select(F.col("b").alias("d")))
+    roots = write_shared(components(_links(near, _sets_of(ends, sig, documents, key, text))), "roots")
+    nearest = _open(tiles, roots, sig, every=False)
+    if not nearest.isEmpty():
+        # whoever is in any open pair is in a nearest one
+        left = write_shared(nearest.select(F.col("a").alias("d")).union(nearest.select("b")).distinct(), "left")
+        sets = _sets_of(left, sig, documents, key, text)
+        tiles = write_shared(tiles.join(left, "d", "left_semi"), "open-tiles")
+        for _ in range(TURNS):
+            roots = _merged(roots, _links(nearest, sets))
+            nearest = _open(tiles, roots, sig, every=False)
+        roots = _merged(roots, _links(_open(tiles, roots, sig, every=True), sets))
     named = (sig.select("d", "least").join(roots.withColumnRenamed("node", "d"), "d", "left")
              .withColumn("root", F.coalesce("root", "d")))
     ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("d", "component_id")

@@ -101,9 +101,9 @@ class Trigrams:
 
 
 def _block_bundles(batches, text: str, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in slices(batches, text, 1 << 21):
-        for lo in range(0, batch.num_rows, 2048):
-            part = batch.slice(lo, 2048)
+    for batch in slices(batches, text):
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
             t = Trigrams([x or "" for x in part.column(text).to_pylist()])
             yield part, t.bundles(dim), t.has_letter
 

@@ -29,7 +29,7 @@ from agora.session import write_shared
 WINDOW = 2048
 #: Parts that the items of one length are dealt into for ranking.
 SALTS = 64
-_MEMO_WORDS, _MEMO_BYTES = 700_000, 64
+_MEMO_WORDS, _MEMO_BYTES = 350_000, 64
 _workers: dict[str, "WordTokenizer"] = {}
 
 
@@ -129,7 +129,7 @@ def tokenize(documents: DataFrame, path: str, key: str = "doc_id", text: str = "
     of each whole window), ``tail`` (16-bit ids after them) and ``tail_crc``."""
     def run(batches):
         tok = _tokenizer(path)
-        for part in slices(batches, "text", 1 << 21):
+        for part in slices(batches, "text"):
             n, crcs, tails, tail_crcs = [], [], [], []
             for ids in tok.ids([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]):
                 ids = np.append(ids, np.array([end_id], "<u2"))
