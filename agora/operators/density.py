@@ -1,290 +1,221 @@
 """Density clustering over a kNN graph (E1–E14), HDBSCAN*-style.
 
     kNN → core distance → mutual-reachability edges → minimum spanning
-    forest (Borůvka) → components at quantile levels of the MST weights
-    (all levels solved at once, keyed by (level, node)) → condensed tree
-    → excess-of-mass or leaf selection → labels.
-
-Every iterative step is a loop of DataFrame jobs whose state is cut with a
-reliable checkpoint each round; per round work is a few joins/aggregates
-over nodes and edges — nothing is collected to the driver except counts.
-With ``levels`` equal to the number of distinct MST weights the condensed
-tree is exact; fewer levels give a quantile-grid approximation.
+    forest → condensed tree (exact at every distinct weight) → excess-of-mass
+    or leaf selection → labels.
+
+``key`` columns keep independent clusterings apart — the trials of a parameter
+search are solved together, keyed by trial. The graph machinery is in
+:mod:`agora.operators.forest`.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.constants import NOISE, SWEEP_ALPHA
-from agora.operators.knn import knn_exact
-from agora.session import cut_lineage
+from agora.operators import forest
+from agora.operators.knn import knn_exact, knn_lsh
+from agora.session import write_shared
 
 
 # ---------------------------------------------------------------- E1, E2 --
 
-def core_distance(knn: DataFrame, min_samples: int) -> DataFrame:
-    """Distance to the ``min_samples``-th neighbour (self excluded)."""
-    return knn.where(F.col("rank") == min_samples).select(F.col("src").alias("id"),
-                                                           F.col("distance").alias("core"))
+def core_distance(knn: DataFrame, min_samples, key: list[str] | None = None) -> DataFrame:
+    """Distance to the ``min_samples``-th neighbour (self excluded); a number
+    or a column of ``knn``."""
+    want = F.lit(min_samples) if isinstance(min_samples, int) else min_samples
+    return knn.where(F.col("rank") == want).select(*(key or []), F.col("src").alias("id"),
+                                                   F.col("distance").alias("core"))
 
 
-def mutual_reachability(knn: DataFrame, core: DataFrame) -> DataFrame:
+def mutual_reachability(knn: DataFrame, core: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Undirected kNN edges ``(src < dst)`` weighted by
     max(core_src, core_dst, d)."""
-    e = knn.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance") \
-        .groupBy("src", "dst").agg(F.min("distance").alias("distance"))
-    cs = core.select(F.col("id").alias("src"), F.col("core").alias("cs"))
-    cd = core.select(F.col("id").alias("dst"), F.col("core").alias("cd"))
-    return e.join(cs, "src").join(cd, "dst").select(
-        "src", "dst", F.greatest("distance", "cs", "cd").alias("weight"))
-
-
-# ------------------------------------------------------------- Borůvka --
-
-def _pointer_jump(parent: DataFrame, key: list[str]) -> DataFrame:
-    """parent(x) ← parent(parent(x)) until stable; ``parent`` has
-    (*key, node, p) and every tree has one root with p = node."""
-    # every step reads ``parent`` twice, so the lineage is cut each step
-    # (otherwise the plan doubles per step)
-    parent = cut_lineage(parent)
-    while True:
-        q = parent.alias("a").join(
-            parent.select(*key, F.col("node").alias("p"), F.col("p").alias("pp")), [*key, "p"])
-        nxt = cut_lineage(q.select(*key, "node", F.col("pp").alias("p")))
-        changed = nxt.join(parent.withColumnRenamed("p", "old"), [*key, "node"]) \
-            .where(F.col("p") != F.col("old")).limit(1).count()
-        parent = nxt
-        if changed == 0:
-            return parent
-
-
-def spanning_forest(nodes: DataFrame, edges: DataFrame, key: list[str] | None = None,
-                    max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Borůvka: every component picks its lightest outgoing edge (ties by
-    endpoints); picked edges join the forest; components merge by pointer
-    jumping. Returns ``(forest_edges, labels)`` where labels = (*key, node,
-    comp) with comp = the smallest node id of the component. ``key``
-    columns solve many independent graphs (e.g. one per level) at once."""
     key = list(key or [])
-    comp = cut_lineage(nodes.select(*key, "node", F.col("node").alias("comp")))
-    forest = None
-    e_all = edges.select(*key, "src", "dst", "weight")
-    for _ in range(max_rounds):
-        cs = comp.select(*key, F.col("node").alias("src"), F.col("comp").alias("cs"))
-        cd = comp.select(*key, F.col("node").alias("dst"), F.col("comp").alias("cd"))
-        e = e_all.join(cs, [*key, "src"]).join(cd, [*key, "dst"]).where(F.col("cs") != F.col("cd"))
-        cand = e.select(*key, F.col("cs").alias("c"), F.col("cd").alias("o"), "weight", "src", "dst") \
-            .unionByName(e.select(*key, F.col("cd").alias("c"), F.col("cs").alias("o"), "weight", "src", "dst"))
-        best = cand.groupBy(*key, "c").agg(F.min(F.struct("weight", "src", "dst", "o")).alias("m"))
-        best = cut_lineage(best.select(*key, "c", "m.weight", "m.src", "m.dst", "m.o"))
-        if best.limit(1).count() == 0:
-            break
-        picked = best.select(*key, "src", "dst", "weight").distinct()
-        forest = picked if forest is None else forest.unionByName(picked)
-        # parent(c) = o, except mutual picks where the smaller id is the root
-        mutual = best.alias("x").join(best.select(*key, F.col("c").alias("o"), F.col("o").alias("c2")),
-                                      [*key, "o"], "left")
-        par = mutual.select(*key, F.col("c").alias("node"),
-                            F.when((F.col("c2") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c"))
-                            .otherwise(F.col("o")).alias("p"))
-        roots = comp.select(*key, F.col("comp").alias("node")).distinct().join(
-            par.select(*key, "node"), [*key, "node"], "left_anti").select(*key, "node", F.col("node").alias("p"))
-        par = _pointer_jump(par.unionByName(roots), key)
-        comp = cut_lineage(comp.join(par.select(*key, F.col("node").alias("comp"), F.col("p").alias("nc")),
-                                     [*key, "comp"])
-                           .select(*key, "node", F.col("nc").alias("comp")))
-        forest = cut_lineage(forest)
-    # canonical label: smallest node id of the component
-    mn = comp.groupBy(*key, "comp").agg(F.min("node").alias("lab"))
-    labels = comp.join(mn, [*key, "comp"]).select(*key, "node", F.col("lab").alias("comp"))
-    if forest is None:
-        forest = edges.select(*key, "src", "dst", "weight").limit(0)
-    return forest, labels
-
-
-def minimum_spanning_forest(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    e = knn.select(*key, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance") \
+        .groupBy(*key, "src", "dst").agg(F.min("distance").alias("distance"))
+    cs = core.select(*key, F.col("id").alias("src"), F.col("core").alias("cs"))
+    cd = core.select(*key, F.col("id").alias("dst"), F.col("core").alias("cd"))
+    return e.join(cs, [*key, "src"]).join(cd, [*key, "dst"]).select(
+        *key, "src", "dst", F.greatest("distance", "cs", "cd").alias("weight"))
+
+
+# ------------------------------------------------------- forest, tree --
+
+def minimum_spanning_forest(edges: DataFrame, key: list[str] | None = None, piece: int = forest.PIECE) -> DataFrame:
     """``(src, dst, weight)`` of a minimum spanning forest (a tree per
-    connected component of the kNN graph)."""
-    if nodes is None:
-        nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    forest, _ = spanning_forest(nodes, edges)
-    return forest
+    connected component of the kNN graph), ties by endpoints."""
+    return forest.spanning_forest(edges, key, piece)
 
 
-def components_at(mst: DataFrame, eps: float, nodes: DataFrame | None = None) -> DataFrame:
+def components_at(mst: DataFrame, eps, nodes: DataFrame, key: list[str] | None = None,
+                  piece: int = forest.PIECE) -> DataFrame:
     """``(node, comp)`` — connected components of the forest edges with
-    weight ≤ eps (comp = smallest member id)."""
-    if nodes is None:
-        nodes = mst.select(F.col("src").alias("node")).union(mst.select(F.col("dst").alias("node"))).distinct()
-    _, labels = spanning_forest(nodes, mst.where(F.col("weight") <= eps))
-    return labels
-
-
-# ------------------------------------------------------- condensed tree --
-
-def level_grid(mst: DataFrame, levels: int | None) -> DataFrame:
-    """``(level, eps)`` descending: all distinct weights (exact) or
-    ``levels`` quantiles of the MST weights."""
-    if levels is None:
-        w = mst.select(F.col("weight").alias("eps")).distinct()
-    else:
-        qs = [i / (levels - 1) for i in range(levels)] if levels > 1 else [1.0]
-        w = mst.select(F.explode(F.percentile_approx("weight", qs, 100_000)).alias("eps")).distinct()
-    return w.select(F.row_number().over(Window.orderBy(F.desc("eps"))).alias("level"), "eps") \
-        .select((F.col("level") - 1).alias("level"), "eps")
-
-
-def level_components(mst: DataFrame, nodes: DataFrame, grid: DataFrame) -> DataFrame:
-    """Components of every level in one Borůvka run keyed by level:
-    ``(level, node, comp, size)``."""
-    # each edge is present at every level whose eps is at least its weight:
-    # a theta join against the (bounded, levels-row) grid
-    e = mst.join(F.broadcast(grid), F.col("weight") <= F.col("eps")).select("level", "src", "dst", "weight")
-    n_levels = grid.count()
-    n = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1))).alias("level"), "node")
-    _, lab = spanning_forest(n, e, ["level"])
-    size = lab.groupBy("level", "comp").agg(F.count(F.lit(1)).alias("size"))
-    return lab.join(size, ["level", "comp"])
-
-
-def condensed_tree(mst: DataFrame, nodes: DataFrame, min_cluster_size: int,
-                   levels: int | None = 32) -> tuple[DataFrame, DataFrame]:
-    """E5: walk the levels from the largest eps down. A component with at
-    least ``min_cluster_size`` points is a cluster; one surviving child →
-    the same cluster continues; two or more → they are born as new
-    clusters; points in no surviving child fall out. λ = 1/eps.
-
-    Returns ``(clusters, members)``: clusters = (cluster, parent, birth,
-    stability); members = (node, cluster, leave) — λ at which the node left
-    that cluster."""
-    grid = cut_lineage(level_grid(mst, levels))
-    lc = cut_lineage(level_components(mst, nodes, grid))
-    lam = grid.select("level", F.when(F.col("eps") > 0, 1.0 / F.col("eps")).otherwise(F.lit(float("inf")))
-                      .alias("lam"))
-    n_levels = grid.count()
-    # level 0: every component ≥ mcs is a root cluster (birth λ = 0)
-    cur = lc.where((F.col("level") == 0) & (F.col("size") >= min_cluster_size)) \
-        .select("node", F.concat_ws(":", F.lit("0"), F.col("comp").cast("string")).alias("cluster"))
-    clusters = cur.select("cluster").distinct().select("cluster", F.lit(None).cast("string").alias("parent"),
-                                                       F.lit(0.0).alias("birth"))
-    members = None
-    for lv in range(n_levels):
-        lam_l = lam.where(F.col("level") == lv).select("lam")
-        if lv + 1 < n_levels:
-            nxt = lc.where(F.col("level") == lv + 1).select("node", F.col("comp").alias("c2"), F.col("size").alias("s2"))
-        else:
-            nxt = nodes.select("node", F.col("node").alias("c2"), F.lit(1).alias("s2"))
-        j = cur.join(nxt, "node").crossJoin(F.broadcast(lam_l))
-        valid = j.where(F.col("s2") >= min_cluster_size)
-        kids = valid.groupBy("cluster").agg(F.countDistinct("c2").alias("nk"))
-        j = j.join(kids, "cluster", "left").fillna({"nk": 0})
-        cont = (F.col("nk") == 1) & (F.col("s2") >= min_cluster_size)
-        split = (F.col("nk") >= 2) & (F.col("s2") >= min_cluster_size)
-        new_id = F.concat_ws(":", F.lit(str(lv + 1)), F.col("c2").cast("string"))
-        left_rows = j.where(~cont).select("node", "cluster", F.col("lam").alias("leave"))
-        members = left_rows if members is None else members.unionByName(left_rows)
-        born = j.where(split).select(new_id.alias("cluster"), F.col("cluster").alias("parent"),
-                                     F.col("lam").alias("birth")).distinct()
-        clusters = clusters.unionByName(born)
-        cur = j.where(cont | split).select(
-            "node", F.when(split, new_id).otherwise(F.col("cluster")).alias("cluster"))
-        # ``cur`` is read twice per level: cut the lineage every level
-        cur, members, clusters = cut_lineage(cur), cut_lineage(members), cut_lineage(clusters)
-    stab = members.join(clusters.select("cluster", "birth"), "cluster") \
-        .groupBy("cluster").agg(F.sum(F.col("leave") - F.col("birth")).alias("stability"),
-                                F.count(F.lit(1)).alias("size"))
-    clusters = clusters.join(stab, "cluster", "left").fillna({"stability": 0.0, "size": 0})
-    return cut_lineage(clusters), members
-
-
-def _depths(clusters: DataFrame) -> DataFrame:
-    d = clusters.where(F.col("parent").isNull()).select("cluster", F.lit(0).alias("depth"))
-    frontier = d
+    weight ≤ eps, a number or a column of ``mst`` (comp = smallest member id)."""
+    key = list(key or [])
+    bound = F.lit(eps) if isinstance(eps, (int, float)) else eps
+    near = mst.where(F.col("weight") <= bound).select(*key, F.col("src").alias("a"), F.col("dst").alias("b"))
+    comp = forest.components(near, key, piece)
+    return nodes.join(comp, [*key, "node"], "left").select(
+        *key, "node", F.coalesce("root", "node").alias("comp"))
+
+
+condensed_tree = forest.condensed_tree  # E5
+
+
+def _eom(key: list[str], allow_single_cluster: bool):
+    """Choice for one tree: bottom-up best mass, top-down first choices."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mass = dict(zip(pdf["cluster"], pdf["stability"]))
+        parent = {c: p for c, p in zip(pdf["cluster"], pdf["parent"]) if isinstance(p, str)}
+        kids: dict[str, list[str]] = {}
+        for c, p in parent.items():
+            kids.setdefault(p, []).append(c)
+        order = [c for c in mass if c not in parent]
+        for c in order:  # grows while it is read: parents before children
+            order += kids.get(c, [])
+        best, keep = {}, set()
+        for c in reversed(order):
+            below = sum(best[k] for k in kids.get(c, []))
+            root = c not in parent
+            if (mass[c] >= below or c not in kids) and (allow_single_cluster or not root):
+                keep.add(c)
+                best[c] = mass[c]
+            else:
+                best[c] = below
+        chosen, blocked = [], set()
+        for c in order:
+            if parent.get(c) in blocked:
+                blocked.add(c)
+            elif c in keep:
+                chosen.append(c)
+                blocked.add(c)
+        out = pd.DataFrame({"cluster": pd.Series(chosen, dtype=object)})
+        for k in key:
+            out[k] = pdf[k].iloc[0]
+        return out[[*key, "cluster"]]
+    return run
+
+
+def select_eom(clusters: DataFrame, allow_single_cluster: bool = False, key: list[str] | None = None,
+               piece: int = forest.PIECE) -> DataFrame:
+    """Excess of mass: a cluster is kept when its stability is at least the
+    sum of its children's best; the root only with the flag. Returns the kept
+    clusters that have no kept cluster above them.
+
+    Trees of more than ``piece`` clusters are lightened first: in rounds, every
+    cluster whose children are all decided is decided and leaves the tree."""
+    key = list(key or [])
+    tree = clusters.select(*key, "cluster", "parent", "stability")
+    if forest._largest(tree, key) <= piece:
+        return forest._grouped(tree, key).applyInPandas(
+            _eom(key, allow_single_cluster), f"{forest._types(tree, key)}cluster string")
+    decided = None
+    up = lambda df: df.select(*key, F.col("parent").alias("cluster")).filter("cluster is not null")
+    leaves = up(tree).distinct()
+    tree = tree.join(leaves.withColumn("inner", F.lit(True)), [*key, "cluster"], "left")
+    waiting = write_shared(tree.withColumn("below", F.lit(0.0)), "waiting")
+    while not waiting.isEmpty():
+        ready = waiting.join(up(waiting).distinct(), [*key, "cluster"], "left_anti")
+        keep = ((F.col("stability") >= F.col("below")) | F.col("inner").isNull()) \
+            & (F.col("parent").isNotNull() | F.lit(allow_single_cluster))
+        ready = write_shared(ready.withColumn("keep", keep).withColumn(
+            "best", F.when(keep, F.col("stability")).otherwise(F.col("below"))), "ready")
+        part = ready.select(*key, "cluster", "parent", "keep")
+        decided = part if decided is None else decided.unionByName(part)
+        mass = ready.filter("parent is not null").groupBy(*key, F.col("parent").alias("cluster")).agg(
+            F.sum("best").alias("more"))
+        waiting = write_shared(
+            waiting.join(ready.select(*key, "cluster"), [*key, "cluster"], "left_anti")
+            .join(mass, [*key, "cluster"], "left")
+            .withColumn("below", F.col("below") + F.coalesce("more", F.lit(0.0))).drop("more"), "waiting")
+    decided = write_shared(decided, "decided")
+    kept = decided.filter("keep").select(*key, "cluster")
+    above = ancestors(decided, kept, key, strict=True)
+    return kept.join(above.select(*key, "cluster"), [*key, "cluster"], "left_anti")
+
+
+def select_leaf(clusters: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Clusters without children (the root only if it is the only one)."""
+    key = list(key or [])
+    inner = clusters.where(F.col("parent").isNotNull()).select(*key, F.col("parent").alias("cluster"))
+    return clusters.select(*key, "cluster").join(inner, [*key, "cluster"], "left_anti")
+
+
+def ancestors(clusters: DataFrame, selected: DataFrame, key: list[str] | None = None,
+              strict: bool = False) -> DataFrame:
+    """``(*key, cluster, selected)``: the nearest selected cluster at or (with
+    ``strict``) above each cluster that has one. Each round doubles the steps
+    climbed: a pointer stops at a selected cluster or at the root."""
+    key = list(key or [])
+    chosen = selected.select(*key, F.col("cluster").alias("at"), F.lit(True).alias("hit"))
+    parent = clusters.select(*key, "cluster", "parent").join(
+        selected.select(*key, "cluster", F.lit(True).alias("own")), [*key, "cluster"], "left")
+    jump = write_shared(parent.select(
+        *key, "cluster", F.when(F.col("own").isNotNull(), F.col("cluster")).otherwise(F.col("parent")).alias("at")), "jump")
     while True:
-        ch = clusters.join(frontier.select(F.col("cluster").alias("parent"), "depth"), "parent") \
-            .select("cluster", (F.col("depth") + 1).alias("depth"))
-        ch = cut_lineage(ch)
-        if ch.limit(1).count() == 0:
-            return cut_lineage(d)
-        d = d.unionByName(ch)
-        frontier = ch
-
-
-def select_eom(clusters: DataFrame, allow_single_cluster: bool = False) -> DataFrame:
-    """Excess of mass, bottom-up: keep a cluster when its stability is at
-    least the sum of its children's best; roots only with the flag (a
-    root's children are then the candidates). Returns selected clusters."""
-    cl = clusters.join(_depths(clusters), "cluster")
-    max_depth = cl.agg(F.max("depth")).first()[0]
-    best = None
-    for dep in range(max_depth, -1, -1):
-        layer = cl.where(F.col("depth") == dep).select("cluster", "parent", "stability")
-        if best is not None:
-            child = best.groupBy("parent").agg(F.sum("best").alias("cs"))
-            layer = layer.join(child.withColumnRenamed("parent", "cluster"), "cluster", "left")
-        else:
-            layer = layer.withColumn("cs", F.lit(None).cast("double"))
-        is_root = F.col("parent").isNull()
-        keep = F.col("cs").isNull() | (F.col("stability") >= F.col("cs"))
-        if not allow_single_cluster:
-            keep = keep & ~is_root
-        layer = layer.select("cluster", "parent", keep.alias("keep"),
-                             F.when(keep | F.col("cs").isNull(), F.col("stability")).otherwise(F.col("cs")).alias("best"))
-        layer = cut_lineage(layer)
-        best = layer if best is None else cut_lineage(best.unionByName(layer))
-    # top-down: a kept cluster is selected if no ancestor is selected
-    dep = cl.select("cluster", "depth")
-    b = best.join(dep, "cluster")
-    sel = None
-    blocked = None
-    for d in range(0, max_depth + 1):
-        layer = b.where(F.col("depth") == d)
-        if blocked is not None:
-            layer = layer.join(blocked.withColumnRenamed("cluster", "parent").withColumn("_blk", F.lit(True)),
-                               "parent", "left")
-        else:
-            layer = layer.withColumn("_blk", F.lit(None).cast("boolean"))
-        chosen = layer.where(F.col("keep") & F.col("_blk").isNull()).select("cluster")
-        blk = layer.where(F.col("keep") | F.col("_blk").isNotNull()).select("cluster")
-        sel = chosen if sel is None else sel.unionByName(chosen)
-        blocked = blk.cache()
-        sel = sel.cache()
-    return sel
-
-
-def select_leaf(clusters: DataFrame) -> DataFrame:
-    """Clusters without children."""
-    return clusters.select("cluster").join(
-        clusters.where(F.col("parent").isNotNull()).select(F.col("parent").alias("cluster")), "cluster", "left_anti")
-
-
-def cluster_labels(members: DataFrame, selected: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Node → its selected cluster, else −1; labels numbered 0.. by
-    size (desc) then smallest member."""
-    m = members.join(selected, "cluster").groupBy("node").agg(F.first("cluster").alias("cluster"))
-    lab = m.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("mn"))
-    lab = lab.select("cluster", (F.row_number().over(Window.orderBy(F.desc("size"), "mn")) - 1).alias("label"))
-    return nodes.join(m.join(lab, "cluster"), "node", "left").select(
-        F.col("node").alias("id"), F.coalesce("label", F.lit(NOISE)).alias("cluster"))
+        known = jump.join(chosen, [*key, "at"], "left").select(*key, "cluster", "at", "hit")
+        climbing = known.filter("hit is null and at is not null")
+        if climbing.isEmpty():
+            break
+        second = jump.select(*key, F.col("cluster").alias("at"), F.col("at").alias("to"))
+        jump = write_shared(known.join(second, [*key, "at"], "left").select(
+            *key, "cluster", F.when(F.col("hit").isNotNull(), F.col("at")).otherwise(F.col("to")).alias("at")), "jump")
+    nearest = jump.filter("at is not null").select(*key, "cluster", F.col("at").alias("selected"))
+    if not strict:
+        return nearest
+    over = nearest.withColumnRenamed("cluster", "parent")
+    return clusters.filter("parent is not null").select(*key, "cluster", "parent").join(
+        over, [*key, "parent"]).select(*key, "cluster", "selected")
+
+
+def cluster_labels(clusters: DataFrame, members: DataFrame, selected: DataFrame, nodes: DataFrame,
+                   key: list[str] | None = None) -> DataFrame:
+    """``(id, cluster)``: each point's selected cluster — the nearest one at or
+    above the cluster that it fell out of — else −1; labels numbered 0.. by size
+    (desc) then smallest member. The numbering window holds a row per cluster."""
+    key = list(key or [])
+    m = members.select(*key, "node", "cluster").join(ancestors(clusters, selected, key), [*key, "cluster"]) \
+        .select(*key, "node", "selected")
+    lab = m.groupBy(*key, "selected").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("mn"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("size"), "mn")) - 1
+    lab = lab.select(*key, "selected", number.alias("label"))
+    return nodes.select(*key, "node").join(m.join(lab, [*key, "selected"]).select(*key, "node", "label"),
+                                           [*key, "node"], "left").select(
+        *key, F.col("node").alias("id"), F.coalesce("label", F.lit(NOISE)).alias("cluster"))
+
+
+def cluster_graph(knn: DataFrame, nodes: DataFrame, min_cluster_size, min_samples, selection: str = "eom",
+                  allow_single_cluster: bool = False, key: list[str] | None = None) -> dict[str, DataFrame]:
+    """E1–E8 from a neighbour graph ``(*key, src, rank, dst, distance)``."""
+    mr = mutual_reachability(knn, core_distance(knn, min_samples, key), key)
+    mst = minimum_spanning_forest(mr, key)
+    clusters, members = condensed_tree(mst, nodes, min_cluster_size, key)
+    sel = select_eom(clusters, allow_single_cluster, key) if selection == "eom" else select_leaf(clusters, key)
+    labels = write_shared(cluster_labels(clusters, members, sel, nodes, key), "labels")
+    return {"labels": labels, "mst": mst, "clusters": clusters, "members": members, "knn": knn}
+
+
+def neighbour_graph(df: DataFrame, k: int, id_col: str, vec_col: str, metric: str, graph: str = "exact") -> DataFrame:
+    """kNN edges by exact blocked search or (``graph='lsh'``) hyperplane buckets."""
+    find = {"exact": knn_exact, "lsh": knn_lsh}[graph]
+    return write_shared(find(df, k, id_col, vec_col, metric), "knn")
 
 
 def density_cluster(df: DataFrame, min_cluster_size: int = 15, min_samples: int = 1,
                     selection: str = "eom", allow_single_cluster: bool = False,
                     id_col: str = "doc_id", vec_col: str = "embedding", metric: str = "euclidean",
-                    k_graph: int | None = None, levels: int | None = 32) -> dict[str, DataFrame]:
-    """E1–E8 composed; returns labels (id, cluster), mst, clusters."""
-    k = max(k_graph or 0, min_samples, 15)
-    knn = cut_lineage(knn_exact(df, k, id_col, vec_col, metric))
-    core = core_distance(knn, min_samples)
-    mr = mutual_reachability(knn, core)
-    nodes = df.select(F.col(id_col).cast("long").alias("node"))
-    mst = cut_lineage(minimum_spanning_forest(mr, nodes))
-    clusters, members = condensed_tree(mst, nodes, min_cluster_size, levels)
-    sel = select_eom(clusters, allow_single_cluster) if selection == "eom" else select_leaf(clusters)
-    labels = cluster_labels(members, sel, nodes)
-    return {"labels": labels, "mst": mst, "clusters": clusters, "knn": knn}
+                    k_graph: int = 15, graph: str = "exact") -> dict[str, DataFrame]:
+    """E1–E8 composed; returns labels (id, cluster), mst, clusters, members, knn.
+    The graph has the ``k_graph`` nearest neighbours, at least ``min_samples``."""
+    if k_graph < min_samples:
+        raise ValueError("k_graph must be at least min_samples")
+    knn = neighbour_graph(df, k_graph, id_col, vec_col, metric, graph)
+    nodes = df.select(F.col(id_col).cast("long").alias("node")).distinct()
+    return cluster_graph(knn, nodes, min_cluster_size, min_samples, selection, allow_single_cluster)
 
 
 # --------------------------------------------------------- E9 – E14 ------
@@ -304,32 +235,38 @@ def noise_ratio(labels: DataFrame, cluster_col: str = "cluster") -> DataFrame:
 
 
 def relative_validity(mst: DataFrame, labels: DataFrame, id_col: str = "id",
-                      cluster_col: str = "cluster") -> DataFrame:
+                      cluster_col: str = "cluster", key: list[str] | None = None) -> DataFrame:
     """DBCV restricted to MST edges. Per cluster C: DSC = max internal
     edge, DSPC = min edge to another cluster (2·max edge when none, or
     2·min noise-link when there is one cluster), V = (DSPC−DSC)/max;
     validity = Σ size(C)/N · V with N counting noise."""
-    a = labels.select(F.col(id_col).alias("src"), F.col(cluster_col).alias("ca"))
-    b = labels.select(F.col(id_col).alias("dst"), F.col(cluster_col).alias("cb"))
-    e = mst.join(a, "src").join(b, "dst")
-    both = e.select(F.col("ca").alias("c"), F.col("cb").alias("o"), "weight") \
-        .unionByName(e.select(F.col("cb").alias("c"), F.col("ca").alias("o"), "weight"))
-    per = both.where(F.col("c") != NOISE).groupBy("c").agg(
+    key = list(key or [])
+    a = labels.select(*key, F.col(id_col).alias("src"), F.col(cluster_col).alias("ca"))
+    b = labels.select(*key, F.col(id_col).alias("dst"), F.col(cluster_col).alias("cb"))
+    e = mst.join(a, [*key, "src"]).join(b, [*key, "dst"])
+    both = e.select(*key, F.col("ca").alias("c"), F.col("cb").alias("o"), "weight") \
+        .unionByName(e.select(*key, F.col("cb").alias("c"), F.col("ca").alias("o"), "weight"))
+    per = both.where(F.col("c") != NOISE).groupBy(*key, "c").agg(
         F.max(F.when(F.col("o") == F.col("c"), F.col("weight"))).alias("dsc"),
         F.min(F.when((F.col("o") != F.col("c")) & (F.col("o") != NOISE), F.col("weight"))).alias("dspc"),
         F.min(F.when(F.col("o") == NOISE, F.col("weight"))).alias("noise_link"))
-    sizes = labels.where(F.col(cluster_col) != NOISE).groupBy(F.col(cluster_col).alias("c")) \
-        .agg(F.count(F.lit(1)).alias("size"))
-    n_all = labels.select(F.count(F.lit(1)).cast("double")).scalar()
-    k = sizes.select(F.count(F.lit(1))).scalar()
-    max_edge = mst.select(F.max("weight")).scalar()
-    j = sizes.join(per, "c", "left")
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("size"))
+    sizes = count(labels.where(F.col(cluster_col) != NOISE).groupBy(*key, F.col(cluster_col).alias("c")))
+    one = F.lit("").alias("_one")  # joins whole-table figures where there is no key
+    whole = labels.groupBy(*key, one).agg(
+        F.count(F.lit(1)).cast("double").alias("n_all"),
+        F.countDistinct(F.when(F.col(cluster_col) != NOISE, F.col(cluster_col))).alias("k"))
+    longest = mst.groupBy(*key, one).agg(F.max("weight").alias("max_edge"))
+    j = sizes.withColumn("_one", F.lit("")).join(per, [*key, "c"], "left")
+    whole = whole.join(longest, [*key, "_one"], "left")
     dsc = F.coalesce(F.col("dsc"), F.lit(0.0))
     dspc = F.coalesce(F.col("dspc"),
-                      F.when((k == 1) & F.col("noise_link").isNotNull(), 2.0 * F.col("noise_link"))
-                      .otherwise(2.0 * max_edge))
+                      F.when((F.col("k") == 1) & F.col("noise_link").isNotNull(), 2.0 * F.col("noise_link"))
+                      .otherwise(2.0 * F.col("max_edge")))
     v = F.when(F.greatest(dspc, dsc) > 0, (dspc - dsc) / F.greatest(dspc, dsc)).otherwise(F.lit(0.0))
-    return j.agg(F.coalesce(F.sum(F.col("size") / n_all * v), F.lit(0.0)).alias("validity"))
+    scored = whole.join(j, [*key, "_one"], "left").groupBy(*key, "_one").agg(
+        F.coalesce(F.sum(F.col("size") / F.col("n_all") * v), F.lit(0.0)).alias("validity"))
+    return scored.drop("_one")
 
 
 def search_score(validity, noise, alpha: float = 0.1):
@@ -349,33 +286,62 @@ def candidate_table(spark, space: dict, max_evals: int, seed: int = 0) -> DataFr
     return df
 
 
-def param_sweep(df: DataFrame, space: dict, max_evals: int = 100, alpha: float = SWEEP_ALPHA,
-                seed: int = 0, id_col: str = "doc_id", vec_col: str = "embedding",
-                levels: int | None = 16) -> DataFrame:
-    """Evaluate seeded candidates (``min_cluster_size``,
-    ``min_samples``; reduction parameters are applied by the caller's
-    reducer) on one cached kNN graph computed at the largest k; returns the
-    trials ``(trial, params…, validity, noise_ratio, score)``."""
+def sweep_with_labels(df: DataFrame, space: dict, max_evals: int, alpha: float = SWEEP_ALPHA, seed: int = 0,
+                      id_col: str = "doc_id", vec_col: str = "embedding", metric: str = "euclidean",
+                      selection: str = "eom", graph: str = "exact") -> tuple[DataFrame, DataFrame]:
+    """E13 with each trial's labels ``(trial, id, cluster)``.
+
+    ``n_components``: the vectors are reduced to that many principal components
+    (one fit at the largest number; fewer are its first ones). ``n_neighbors``:
+    neighbours in the graph. ``min_samples``, ``min_cluster_size``: E1, E5. What
+    the space leaves out has the default of :func:`density_cluster` and no
+    reduction. All trials are solved together, keyed by trial."""
+    from agora.operators import vectors as VO
     spark = df.sparkSession
-    cands = candidate_table(spark, space, max_evals, seed).distinct()
-    rows = cands.collect()  # the candidate table itself: max_evals small rows
-    k = max(int(r["min_samples"]) for r in rows) if "min_samples" in space else 15
-    knn = cut_lineage(knn_exact(df, max(k, 15), id_col, vec_col, "euclidean"))
-    nodes = df.select(F.col(id_col).cast("long").alias("node"))
-    out = []
-    for r in rows:
-        ms = int(r["min_samples"]) if "min_samples" in space else 1
-        mcs = int(r["min_cluster_size"])
-        core = core_distance(knn, ms)
-        mst = cut_lineage(minimum_spanning_forest(mutual_reachability(knn, core), nodes))
-        clusters, members = condensed_tree(mst, nodes, mcs, levels)
-        labels = cluster_labels(members, select_eom(clusters), nodes)
-        val = relative_validity(mst, labels).first()["validity"]
-        nr = noise_ratio(labels).first()["noise_ratio"]
-        out.append((int(r["trial"]), *[int(r[p]) for p in space], float(val), float(nr),
-                    float(-val + alpha * nr)))
-    cols = ["trial", *space.keys(), "validity", "noise_ratio", "score"]
-    return spark.createDataFrame(out, cols)
+    default = {"n_neighbors": 15, "n_components": None, "min_cluster_size": 15, "min_samples": 1}
+    trials = candidate_table(spark, space, max_evals, seed)
+    trials = write_shared(trials.select("trial", *space, *[
+        F.lit(v).cast("int").alias(c) for c, v in default.items() if c not in space]), "trials")
+    most = trials.agg(F.max(F.greatest("n_neighbors", "min_samples"))).first()[0]
+    reduced = [r[0] for r in trials.select("n_components").distinct().orderBy("n_components").collect()]
+    coords = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    if reduced[-1] is not None:
+        coords = write_shared(VO.pca(coords, reduced[-1], "v", "v"), "coords")
+    graphs = None  # one neighbour graph for each number of components in the space
+    for c in reduced:
+        part = coords if c is None else coords.withColumn("v", F.slice("v", 1, c))
+        knn = {"exact": knn_exact, "lsh": knn_lsh}[graph](part, most, "id", "v", metric).withColumn(
+            "n_components", F.lit(c).cast("int"))
+        graphs = knn if graphs is None else graphs.unionByName(knn)
+    graphs = write_shared(graphs, "graphs")
+    t = trials.withColumnRenamed("n_components", "nc")
+    keyed = graphs.join(F.broadcast(t), F.col("nc").eqNullSafe(F.col("n_components"))) \
+        .filter(F.col("rank") <= F.greatest("n_neighbors", "min_samples"))
+    keyed = write_shared(keyed.select("trial", "src", "rank", "dst", "distance", "min_samples"), "keyed")
+    nodes = coords.select(F.col("id").alias("node")).distinct().join(F.broadcast(trials.select("trial")))
+    out = cluster_graph(keyed, nodes, trials.select("trial", F.col("min_cluster_size").alias("mcs")),
+                        F.col("min_samples"), selection, key=["trial"])
+    validity = relative_validity(out["mst"], out["labels"], key=["trial"])
+    noise = out["labels"].groupBy("trial").agg(F.avg((F.col("cluster") == NOISE).cast("double")).alias("noise_ratio"))
+    scored = trials.select("trial", *space).join(validity, "trial").join(noise, "trial").withColumn(
+        "score", search_score(F.col("validity"), F.col("noise_ratio"), alpha))
+    return write_shared(scored, "scored"), out["labels"]
+
+
+def param_sweep(df: DataFrame, space: dict, max_evals: int = 100, alpha: float = SWEEP_ALPHA, seed: int = 0,
+                **settings) -> DataFrame:
+    """``(trial, params…, validity, noise_ratio, score)`` of seeded
+    candidates; lower scores are better."""
+    return sweep_with_labels(df, space, max_evals, alpha, seed, **settings)[0]
+
+
+def fit_best(df: DataFrame, space: dict, max_evals: int = 100, alpha: float = SWEEP_ALPHA, seed: int = 0,
+             **settings) -> tuple[DataFrame, DataFrame]:
+    """The best trial's row, and the labels ``(id, cluster)`` of a clustering
+    with its parameters (each trial's labels are kept, so nothing is fitted twice)."""
+    trials, labels = sweep_with_labels(df, space, max_evals, alpha, seed, **settings)
+    best = best_trial(trials)
+    return best, labels.join(F.broadcast(best.select("trial")), "trial").drop("trial")
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
