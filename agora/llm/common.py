@@ -3,6 +3,7 @@ folds, and small column helpers."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +131,16 @@ def slices(batches, text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBa
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + max_bytes, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    release()
+
+
+def release() -> None:
+    """Give free memory back to the system: a Python worker lives on from task to
+    task, and what its allocators keep would add up over stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, k: int = 5) -> list[np.ndarray]:

@@ -135,7 +135,7 @@ def profiles(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> DataF
 
 
 def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", dim: int = DIM,
-             max_languages: int = 4096) -> DataFrame:
+             max_languages: int = 4096, keep_text: bool = True) -> DataFrame:
     """``documents`` with ``lang_pred`` and ``score`` added.
 
     ``prototypes`` (one row per language; more than ``max_languages`` is an
@@ -145,7 +145,8 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
     null or has no letter gets ``und`` and score 0, as does every text if there
     is no prototype. Two letters and a blank make a trigram; a text too short for
     one has a zero bundle and gets the most frequent training language, score 0.
-    Input columns named like the added ones are replaced.
+    Input columns named like the added ones are replaced; ``keep_text=False``
+    leaves the text out of the result.
     """
     known = prototypes.orderBy("lang").limit(max_languages + 1).collect()
     if len(known) > max_languages:
@@ -154,11 +155,10 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
     common = int(np.argmax([r["n"] for r in known])) if known else 0
     p = np.array([r["prototype"] for r in known], np.float32).reshape(len(known), dim)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-    kept = documents.drop("lang_pred", "score")
-    spare = "__text"
+    rows = documents.drop(*({"lang_pred", "score"} - {text}))
 
     def score(batches):
-        for part, bundles, has in _block_bundles(batches, spare, dim):
+        for part, bundles, has in _block_bundles(batches, text, dim):
             if names:
                 length = np.linalg.norm(bundles, axis=1)
                 cosine = bundles @ p.T / np.maximum(length, 1e-9)[:, None]
@@ -167,10 +167,11 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
                 said = [names[b] if ok else UNKNOWN for b, ok in zip(best, has)]
             else:
                 said, top = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-            rest = part.drop_columns([spare])
+            rest = part if keep_text else part.drop_columns([text])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(said, pa.string()), pa.array(top, pa.float64())],
                 names=[*rest.schema.names, "lang_pred", "score"])
 
-    schema = kept.schema.add("lang_pred", T.StringType()).add("score", T.DoubleType())
-    return kept.withColumn(spare, F.col(text)).mapInArrow(score, schema)
+    fields = [f for f in rows.schema.fields if keep_text or f.name != text]
+    return rows.mapInArrow(score, T.StructType([
+        *fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

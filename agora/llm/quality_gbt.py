@@ -168,7 +168,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 
 def _with_statistics(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` without the text, with ``statistics`` (array of float)."""
-    kept = rows.drop(text, "statistics")
+    kept = rows.drop(text)
 
     def run(batches):
         for part in slices(batches, text):
@@ -178,7 +178,8 @@ def _with_statistics(rows: DataFrame, text: str) -> DataFrame:
                 [*rest.columns, pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))],
                 names=[*rest.schema.names, "statistics"])
 
-    return rows.select(*kept.columns, text).mapInArrow(run, kept.schema.add("statistics", T.ArrayType(T.FloatType())))
+    return rows.select(*kept.columns, text).mapInArrow(run, T.StructType([
+        *kept.schema.fields, T.StructField("statistics", T.ArrayType(T.FloatType()))]))
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -196,20 +197,21 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     return fit(x, np.array([r["__label"] for r in rows], float), **settings)
 
 
-def score(documents: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
+def score(documents: DataFrame, forest: Forest, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``documents`` with ``score`` (0 to 1, higher: label 1 likelier) and
     ``predicted`` (1 if score >= 0.5). Null and empty texts are scored by their
-    (zero) statistics. Input columns named like the added ones are replaced."""
-    kept = documents.drop("score", "predicted")
-    spare = "__text"
+    (zero) statistics. Input columns named like the added ones are replaced;
+    ``keep_text=False`` leaves the text out of the result."""
+    rows = documents.drop(*({"score", "predicted"} - {text}))
 
     def run(batches):
-        for part in slices(batches, spare):
-            s = forest.score(statistics(texts_of(part.column(spare))))
-            rest = part.drop_columns([spare])
+        for part in slices(batches, text):
+            s = forest.score(statistics(texts_of(part.column(text))))
+            rest = part if keep_text else part.drop_columns([text])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
                 names=[*rest.schema.names, "score", "predicted"])
 
-    schema = kept.schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    return kept.withColumn(spare, F.col(text)).mapInArrow(run, schema)
+    fields = [f for f in rows.schema.fields if keep_text or f.name != text]
+    return rows.mapInArrow(run, T.StructType([
+        *fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

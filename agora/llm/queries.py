@@ -118,7 +118,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", (fold("doc_id", 3) == 1).alias("held_out"))
     known = lang_id.profiles(docs.filter("not held_out and lang is not null"), "text", "lang")
-    return lang_id.identify(docs.drop("lang"), known).select("doc_id", "held_out", "lang_pred", "score")
+    return lang_id.identify(docs.drop("lang"), known, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @register("op4_quality_gbt")
@@ -126,7 +126,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
     forest = quality_gbt.train(docs, labels)
-    return quality_gbt.score(docs, forest).select("doc_id", "held_out", "score", "predicted")
+    return quality_gbt.score(docs, forest, keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
 # -------------------------------------------------------------- Jaccard join

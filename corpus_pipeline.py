@@ -20,16 +20,15 @@ from agora.session import write_shared
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, predicts good."""
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
-    scored = quality_gbt.score(docs.select(F.struct("*").alias("row"), "text"), quality_gbt.train(docs, labels))
-    return scored.filter("predicted = 1").select("row.*")
+    return quality_gbt.score(docs, quality_gbt.train(docs, labels)).filter("predicted = 1").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt; those without a letter (``und``)
     or without any likeness to a language (cosine not above 0) go."""
     known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", 3) != 1))
-    said = lang_id.identify(docs.select(F.struct("*").alias("row"), "text"), lang_id.profiles(known, "text", "lang"))
-    return said.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") > 0)).select("row.*")
+    said = lang_id.identify(docs, lang_id.profiles(known, "text", "lang"))
+    return said.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
