@@ -118,9 +118,18 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(buf, bounds - bounds[0])
 
 
-def slices(batches, text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+#: What operators keep in a Python worker from task to task.
+CACHES: list[dict] = []
+
+
+def slices(batches, text: str, max_bytes: int = 1 << 20, cache: dict | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about ``max_bytes`` of text (one
-    row at least), so a task's memory doesn't follow the batch size."""
+    row at least), so a task's memory doesn't follow the batch size. Caches that
+    other operators left in this worker are dropped first, all but ``cache``."""
+    for c in CACHES:
+        if c and c is not cache:
+            c.clear()
+            release()
     for batch in batches:
         n = batch.num_rows
         if not n:

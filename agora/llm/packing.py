@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from agora.llm.common import list_array, slices
+from agora.llm.common import CACHES, list_array, slices
 from agora.session import write_shared
 
 WINDOW = 2048
 #: Parts that the items of one length are dealt into for ranking.
 SALTS = 64
-_MEMO_WORDS, _MEMO_BYTES = 350_000, 64
+_MEMO_WORDS, _MEMO_BYTES = 700_000, 64
 _workers: dict[str, "WordTokenizer"] = {}
+CACHES.append(_workers)
 
 
 class WordTokenizer:
@@ -123,13 +124,20 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _workers[path]
 
 
+def _parts(batches):
+    """Blocks of texts; the tokenizers kept in this worker stay. (A function of
+    the module, so that a task meets the worker's own cache, not a copy.)"""
+    return slices(batches, "text", 1 << 21, _workers)
+
+
 def tokenize(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text",
              end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """``key``, ``n`` (ids with the closing ``end_id``), ``full_crcs`` (one CRC-32
     of each whole window), ``tail`` (16-bit ids after them) and ``tail_crc``."""
     def run(batches):
-        tok = _tokenizer(path)
-        for part in slices(batches, "text"):
+        tok = None
+        for part in _parts(batches):
+            tok = tok or _tokenizer(path)
             n, crcs, tails, tail_crcs = [], [], [], []
             for ids in tok.ids([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]):
                 ids = np.append(ids, np.array([end_id], "<u2"))
