@@ -31,23 +31,20 @@ def remove_stop_words(tokens, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return F.filter(_c(tokens), lambda t: ~t.isin(stop))
 
 
-def _gram(t: Column, n: int):
-    # one-argument lambda: PySpark reads a second parameter as the index
-    return lambda i: F.array_join(F.slice(t, i + 1, n), " ")
-
-
 def ngrams(tokens, min_n: int = 1, max_n: int = 1) -> Column:
     """All n-grams for n in [min_n, max_n], words joined by one space,
-    grouped by n then position."""
+    grouped by n then position. Each n is the one before, with the next word
+    put behind every gram."""
     t = _c(tokens)
-    parts = []
-    for n in range(min_n, max_n + 1):
-        if n == 1:
-            parts.append(t)
-            continue
-        parts.append(F.when(F.size(t) >= n, F.transform(
-            F.sequence(F.lit(0), F.size(t) - n), _gram(t, n)))
-            .otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    parts, grams = [], t
+    for n in range(1, max_n + 1):
+        if n > 1:
+            rest = F.greatest(F.size(t) - (n - 1), F.lit(0))
+            grams = F.when(F.size(t) >= n, F.zip_with(
+                F.slice(grams, 1, rest), F.slice(t, n, rest), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(none)
+        if n >= min_n:
+            parts.append(grams)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

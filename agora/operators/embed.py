@@ -9,62 +9,74 @@ L2-normalised. A user model plugs in as a callable run by ``mapInPandas``
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions.constants import MAX_TOKENS
 from agora.functions.text import tokenize, truncate_tokens
-from agora.functions.vectors import l2_normalize
 
 DEFAULT_DIM = 64
 
 
-def token_bucket(tok, dim: int):
-    h = F.md5(tok)
-    bucket = F.pmod(F.conv(F.substring(h, 1, 6), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-    sign = F.when(F.conv(F.substring(h, 7, 1), 16, 10).cast("int") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
-    return bucket, sign
-
-
 def hashing_embed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                   dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``(id, embedding array<double>)``. Texts without tokens get the zero
-    vector. Both aggregates are keyed by the id, so an input partitioned by
-    the id needs no exchange; otherwise the first ships at most ``dim`` rows
-    per document after the map-side combine."""
+    """``(id, embedding array<double>)``, one row per row of ``df``. Texts without
+    tokens get the zero vector. Each distinct token of an Arrow batch is hashed
+    once; a document is summed inside its row, so nothing is shuffled."""
     toks = df.select(id_col, truncate_tokens(tokenize(F.col(text_col)), max_tokens).alias("tokens"))
-    ex = toks.select(id_col, F.explode_outer("tokens").alias("tok"))
-    bucket, sign = token_bucket(F.col("tok"), dim)
-    per_bucket = (ex.select(id_col, bucket.alias("b"), F.when(F.col("tok").isNull(), F.lit(0))
-                            .otherwise(sign).alias("s"))
-                  .groupBy(id_col, "b").agg(F.sum("s").alias("v")))
-    dense = (per_bucket.groupBy(id_col)
-             .agg(F.map_from_entries(F.collect_list(
-                 F.struct(F.coalesce(F.col("b"), F.lit(-1)), F.col("v").cast("double")))).alias("m"))
-             .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                         lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-                     .alias("raw")))
-    return dense.select(id_col, l2_normalize("raw").alias("embedding"))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("tokens").fill_null([])
+            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
+            bucket = np.array([int(h[:6], 16) % dim for h in digests], np.int64)
+            sign = np.array([1.0 if int(h[6], 16) % 2 == 0 else -1.0 for h in digests])
+            code = words.indices.to_numpy(zero_copy_only=False)
+            m = np.bincount(row * dim + bucket[code], weights=sign[code], minlength=b.num_rows * dim) \
+                if len(code) else np.zeros(b.num_rows * dim)
+            m = m.reshape(b.num_rows, dim)
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(id_col), vectors], names=[id_col, "embedding"])
+
+    return toks.mapInArrow(run, f"`{id_col}` {kind}, embedding array<double>")
+
+
+#: Models that factories made, one per Python worker.
+_models: dict[bytes, Callable] = {}
+
+
+def worker_model(factory: Callable[[], Callable]) -> Callable:
+    """The factory's model, made once in each Python worker."""
+    name = cloudpickle.dumps(factory)
+    if name not in _models:
+        _models[name] = factory()
+    return _models[name]
 
 
 def model_embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray] | Callable[[], Callable],
                 text_col: str = "text", id_col: str = "doc_id", batch_size: int = 8,
-                factory: bool = False) -> DataFrame:
+                factory: bool = False, max_tokens: int | None = None) -> DataFrame:
     """Pluggable model: ``embedder(texts) -> (n, d) array`` run over Arrow
     batches with ``mapInPandas``; rows are keyed by id (never by position
-    within a batch), NULL texts are skipped, output is L2-normalised."""
-    cache: dict = {}
+    within a batch), NULL texts are skipped, output is L2-normalised.
 
+    With ``factory`` the callable makes the model, once per Python worker.
+    ``max_tokens`` cuts texts to that many white-space-separated words (a model
+    with its own tokenizer may cut further). The id keeps its type."""
     def run(batches):
-        fn = embedder
-        if factory:
-            if "m" not in cache:
-                cache["m"] = embedder()
-            fn = cache["m"]
+        fn = worker_model(embedder) if factory else embedder
         for pdf in batches:
             pdf = pdf[pdf[text_col].notna()]
             for start in range(0, len(pdf), batch_size):
@@ -77,7 +89,10 @@ def model_embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray] | Cal
                 yield pd.DataFrame({id_col: part[id_col].to_numpy(),
                                     "embedding": [row.astype(np.float32).tolist() for row in m]})
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, embedding array<float>")
+    text = F.col(text_col) if max_tokens is None else F.array_join(
+        F.slice(F.split(F.col(text_col), r"\s+"), 1, max_tokens), " ")
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text.alias(text_col)).mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
 
 
 def embed_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", embedder=None,
@@ -87,4 +102,4 @@ def embed_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", em
     df = df.where(F.col(text_col).isNotNull())
     if embedder is None:
         return hashing_embed(df, text_col, id_col, dim, max_tokens)
-    return model_embed(df, embedder, text_col, id_col, batch_size, factory)
+    return model_embed(df, embedder, text_col, id_col, batch_size, factory, max_tokens)

@@ -1,7 +1,7 @@
 """Join helpers and the reference's join shapes.
 
 Broadcast is only ever applied to a side whose size has a proven bound:
-either a parameter table checked by :func:`bounded`, or an operator output
+a stated table (queries, keywords, groups) or an operator output
 with a cap (e.g. the max_features vocabulary). Everything else is left to
 the planner, where AQE turns a join into a broadcast at runtime when the
 measured side is small and splits skewed partitions when it is not.
@@ -20,19 +20,6 @@ def _unit(c: str):
     return F.when(n > 0, F.transform(F.col(c), lambda v: v.cast("double") / n))
 
 
-class TooLarge(ValueError):
-    pass
-
-
-def bounded(df: DataFrame, max_rows: int, what: str = "table") -> DataFrame:
-    """Return ``df`` after checking it holds at most ``max_rows`` rows
-    (one small job: ``limit(max_rows + 1).count()``)."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise TooLarge(f"{what}: more than {max_rows} rows; refusing to broadcast")
-    return df
-
-
 def attach_by_key(left: DataFrame, right: DataFrame, key: str = "doc_id",
                   cols: list[str] | None = None) -> DataFrame:
     """Left equi-join on an explicit key (replaces row-index alignment);
@@ -46,21 +33,28 @@ def subset_by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+#: Parts that the left side of a similarity join is dealt into.
+SALTS = 64
+
+
 def similarity_join(left: DataFrame, right: DataFrame, left_vec: str, right_vec: str,
-                    threshold: float | None = None, max_right: int = 100_000,
-                    out_col: str = "similarity") -> DataFrame:
-    """Every left row against a *bounded* right table (keywords,
+                    threshold: float | None = None, out_col: str = "similarity") -> DataFrame:
+    """Every left row against every row of a stated right table (keywords,
     category queries, topic vectors), cosine similarity, optional theta
     predicate ``similarity > threshold``.
 
-    The right side is size-checked and broadcast; the left side streams
-    without a shuffle. The output grows linearly with the left side.
-    """
+    The left rows are dealt into ``SALTS`` parts and every right row goes to each
+    part, so this is an equi join on the part: Spark sends a small right side to
+    all tasks, and shuffles both sides of a large one."""
+    clash = [c for c in right.columns if c in left.columns]
+    if clash:
+        raise ValueError(f"columns on both sides: {clash}")
     # unit vectors are formed once per row on each side, so each pair costs
     # one dot product (a zero or missing vector stays zero → similarity 0)
-    r = bounded(right, max_right, "similarity right side")
-    r = F.broadcast(r.withColumn(right_vec, _unit(right_vec)))
-    j = left.withColumn(left_vec, _unit(left_vec)).join(r, how="inner", on=F.lit(True))
+    part = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    r = right.withColumn(right_vec, _unit(right_vec)).withColumn("_part", every)
+    j = left.withColumn("_part", part).withColumn(left_vec, _unit(left_vec)).join(r, "_part").drop("_part")
     j = j.withColumn(out_col, F.coalesce(dot(F.col(left_vec), F.col(right_vec)), F.lit(0.0)))
     if threshold is not None:
         j = j.where(F.col(out_col) > F.lit(threshold))

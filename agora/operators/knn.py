@@ -54,19 +54,23 @@ def _block_fn(k: int, metric: str):
         out_s, out_d, out_w = [], [], []
 
         def emit(dmat, src_ids, dst_ids):
-            if dmat.shape[1] == 0:
+            """Each row's k nearest, ties by id: columns in id order, a partition
+            finds the k-th distance, and only what reaches it is sorted."""
+            by_id = np.argsort(dst_ids, kind="stable")
+            ids, d = dst_ids[by_id], np.round(dmat[:, by_id], RANK_DIGITS)
+            d[src_ids[:, None] == ids[None, :]] = np.inf
+            if d.shape[1] == 0:
                 return
-            rd = np.round(dmat, RANK_DIGITS)
-            for r in range(dmat.shape[0]):
-                mask = dst_ids != src_ids[r]
-                cand = np.nonzero(mask)[0]
-                if cand.size == 0:
-                    continue
-                order = np.lexsort((dst_ids[cand], rd[r, cand]))[:k]
-                sel = cand[order]
-                out_s.append(np.full(sel.size, src_ids[r]))
-                out_d.append(dst_ids[sel])
-                out_w.append(dmat[r, sel])
+            kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+            row, col = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+            order = np.lexsort((col, d[row, col], row))
+            row, col = row[order], col[order]
+            first = np.searchsorted(row, np.arange(d.shape[0]))
+            top = np.arange(len(row)) - first[row] < k
+            row, col = row[top], col[top]
+            out_s.append(src_ids[row])
+            out_d.append(ids[col])
+            out_w.append(dmat[row, by_id[col]])
         emit(dm, li, ri)
         if not same:
             emit(dm.T, ri, li)

@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from agora.functions import vectors as V
 from agora.functions.constants import CATEGORY_THRESHOLD, OTHER_CATEGORY
-from agora.operators.joins import bounded, similarity_join
+from agora.operators.joins import similarity_join
 from agora.operators.terms import top_n_per_group
 
 
 def search_topics(queries: DataFrame, topic_vecs: DataFrame, top_n: int = 10,
-                  words: DataFrame | None = None, query_key: str = "query_id",
-                  max_queries: int = 10_000) -> DataFrame:
+                  words: DataFrame | None = None, query_key: str = "query_id") -> DataFrame:
     """H1: per query, the ``top_n`` topics by cosine(query, topic vector)
     → ``(query_key, rank, topic, similarity[, words])``. The query table is
     size-checked and broadcast; topics stream."""
     q = queries.select(query_key, F.col("embedding").alias("qv"))
     t = topic_vecs.select("topic", F.col("embedding").alias("tv"))
-    s = similarity_join(t, q, "tv", "qv", max_right=max_queries)
+    s = similarity_join(t, q, "tv", "qv")
     r = top_n_per_group(s.select(query_key, "topic", "similarity"), query_key, "similarity",
                         top_n, tie_cols=("topic",))
     out = r.select(query_key, "rank", "topic", "similarity")
@@ -43,12 +42,12 @@ def search_topics_many(queries: DataFrame, topic_vecs: DataFrame, top_n: int = 1
 
 
 def category_topics(categories: DataFrame, topic_vecs: DataFrame,
-                    threshold: float = CATEGORY_THRESHOLD, max_categories: int = 1_000) -> DataFrame:
+                    threshold: float = CATEGORY_THRESHOLD) -> DataFrame:
     """H3: per category, all topics with similarity strictly above the
     threshold, ranked by similarity → ``(category, rank, topic, similarity)``."""
     q = categories.select("category", F.col("embedding").alias("qv"))
     t = topic_vecs.select("topic", F.col("embedding").alias("tv"))
-    s = similarity_join(t, q, "tv", "qv", threshold=threshold, max_right=max_categories)
+    s = similarity_join(t, q, "tv", "qv", threshold=threshold)
     w = Window.partitionBy("category").orderBy(F.desc(F.round("similarity", 9)), F.asc("topic"))
     return s.select("category", "topic", "similarity").withColumn("rank", F.row_number().over(w)) \
         .select("category", "rank", "topic", "similarity")
@@ -96,13 +95,13 @@ def category_proportions(weights: DataFrame, categories: DataFrame, doc_topics:
 
 
 def keyword_similarity(doc_vecs: DataFrame, keyword_vecs: DataFrame, id_col: str = "doc_id",
-                       as_map: bool = False, max_keywords: int = 100_000) -> DataFrame:
+                       as_map: bool = False) -> DataFrame:
     """H7: every document against every (distinct) keyword; 0 when a vector
     is missing or zero. Long form ``(doc_id, keyword, similarity)`` or one
     map per document."""
     kw = keyword_vecs.select("keyword", F.col("embedding").alias("kv")).dropDuplicates(["keyword"])
     d = doc_vecs.select(id_col, F.col("embedding").alias("dv"))
-    s = similarity_join(d, kw, "dv", "kv", max_right=max_keywords).select(id_col, "keyword", "similarity")
+    s = similarity_join(d, kw, "dv", "kv").select(id_col, "keyword", "similarity")
     if not as_map:
         return s
     return s.groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(
@@ -110,11 +109,11 @@ def keyword_similarity(doc_vecs: DataFrame, keyword_vecs: DataFrame, id_col: str
 
 
 def group_rollup(doc_topics: DataFrame, groups: DataFrame, group_bigrams: DataFrame,
-                 amplification: float = 2.0, max_groups: int = 10_000) -> DataFrame:
+                 amplification: float = 2.0) -> DataFrame:
     """H8: chart table ``(label, parent, value)``: a row per group (value =
     documents in its topics; a topic in several groups counts in each) and
     one per top bigram of the group (value = count × amplification)."""
-    g = F.broadcast(bounded(groups.select("group", "topic"), max_groups, "topic groups"))
+    g = groups.select("group", "topic")
     group_rows = (doc_topics.select("topic").join(g, "topic").groupBy("group")
                   .agg(F.count(F.lit(1)).cast("double").alias("value"))
                   .select(F.col("group").alias("label"), F.lit("").alias("parent"), "value"))
@@ -123,11 +122,10 @@ def group_rollup(doc_topics: DataFrame, groups: DataFrame, group_bigrams: DataFr
     return group_rows.unionByName(child_rows)
 
 
-def group_subthemes(words: DataFrame, groups: DataFrame, amplification: float = 2.0,
-                    max_groups: int = 10_000) -> DataFrame:
+def group_subthemes(words: DataFrame, groups: DataFrame, amplification: float = 2.0) -> DataFrame:
     """H9: per group, each topic word's weights summed over the group's
     topics × amplification, descending → ``(group, rank, term, value)``."""
-    g = F.broadcast(bounded(groups.select("group", "topic"), max_groups, "topic groups"))
+    g = groups.select("group", "topic")
     s = (words.join(g, "topic").groupBy("group", "term")
          .agg((F.sum("score") * amplification).alias("value")))
     w = Window.partitionBy("group").orderBy(F.desc(F.round("value", 9)), F.asc("term"))

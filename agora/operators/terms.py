@@ -1,25 +1,21 @@
 """Term statistics: counts, vocabulary, TF-IDF, per-cluster top terms.
 
-Data stay in long format ``(doc_id, term, n)``; nothing is densified.
-Plan shape of ``cluster_top_terms`` (see ``.explain``):
-
-    scan(documents) → tokenize/ngrams (row-local) → explode
-      → HashAggregate(doc,term) partial → Exchange → final          [pairs]
-      → term totals: HashAggregate(term) partial → Exchange → TakeOrdered(k)
-      → pairs ⋈ broadcast(vocab ≤ k rows)                           [no shuffle of pairs]
-      → doc norms: HashAggregate(doc) partial → join back (AQE skew split)
-      → HashAggregate(cluster,term) partial → Exchange
-      → WindowGroupLimit(partial) → Exchange → Window top-n
+Data stay in long format ``(doc_id, term, n)``; nothing is densified. A
+document's terms are counted, weighted and normalised inside its row (Arrow
+batches of the JVM's tokens), so the first shuffle is the one on (cluster, term)
+or (topic, term), after map-side sums.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.constants import ENGLISH_STOP_WORDS, MAX_FEATURES, NOISE, TOP_BIGRAMS, TOP_TERMS
 from agora.functions.text import ngrams, remove_stop_words, tokenize
-from agora.operators.joins import bounded
 
 # Scores are ranked at this many decimals, ties broken by the term, so the
 # order does not depend on floating-point summation order.
@@ -41,17 +37,43 @@ def doc_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return t.select(id_col, *keep, ngrams(F.col("tokens"), min_n, max_n).alias("terms"))
 
 
+def _in_rows(t: DataFrame, id_col: str, keep: tuple[str, ...], work, out: str) -> DataFrame:
+    """Run ``work(ids, parent, codes, terms)`` on Arrow batches of ``(id, *keep,
+    terms)``: row numbers and dictionary codes of all terms of a batch. It returns
+    row numbers, term codes and a value for the rows to come out. No shuffle: a
+    document's terms are all in its own row."""
+    cols = [id_col, *keep]
+    types = ", ".join(f"`{c}` {t.schema[c].dataType.simpleString()}" for c in cols)
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("terms").fill_null([])
+            parent = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            words = lists.flatten().dictionary_encode()
+            terms = words.dictionary
+            row, code, value = work(parent, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms, b.num_rows)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).take(at) for c in cols], terms.take(pa.array(code)), pa.array(value)],
+                names=[*cols, "term", out])
+
+    kind = "bigint" if out == "n" else "double"
+    return t.select(*cols, "terms").mapInArrow(run, f"{types}, term string, {out} {kind}")
+
+
+def _counted(parent: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, code) pairs and how often each occurs."""
+    both, n = np.unique(parent * max(width, 1) + codes, return_counts=True)
+    return both // max(width, 1), both % max(width, 1), n
+
+
 def count_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 min_n: int = 1, max_n: int = 1, stop_words=ENGLISH_STOP_WORDS,
                 keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, *keep, term, n)`` — one row per distinct term per document.
-    ``keep`` columns must be functionally dependent on ``id``."""
+    """``(id, *keep, term, n)`` — one row per distinct term per document
+    (row of ``docs``), counted inside the row."""
     t = doc_terms(docs, text_col, id_col, min_n, max_n, stop_words, keep)
-    # explode_outer + a NULL filter: a plain explode makes the optimizer infer
-    # ``size(tokens) > 0`` below the input exchange, tokenizing twice.
-    return (t.select(id_col, *keep, F.explode_outer("terms").alias("term"))
-            .where(F.col("term").isNotNull())
-            .groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("n")))
+    return _in_rows(t, id_col, keep, lambda parent, codes, terms, n: _counted(parent, codes, len(terms)), "n")
 
 
 def term_stats(counts: DataFrame, unit_col: str = "doc_id") -> DataFrame:
@@ -99,13 +121,28 @@ def tfidf(counts: DataFrame, n_docs, vocab: DataFrame, id_col: str = "doc_id",
 def corpus_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                  min_n: int = 1, max_n: int = 1, max_features: int = MAX_FEATURES,
                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """F1–F7 in one plan: ``(id, *keep, term, tfidf)`` over the top
-    ``max_features`` terms; N counts every document, including ones with no
-    terms."""
-    counts = count_terms(docs, text_col, id_col, min_n, max_n, keep=keep)
-    vocab = top_vocab(term_stats(counts, id_col), max_features)
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    return tfidf(counts, n_docs, vocab, id_col, keep, vocab_bound=max_features)
+    """``(id, *keep, term, tfidf)`` over the top ``max_features`` terms;
+    N counts every document, including ones with no terms.
+
+    Two passes over the text: one sums term counts (the only shuffle, on terms,
+    after counting inside rows); the other weights, prunes and normalises each
+    document inside its row. The vocabulary between them has at most
+    ``max_features`` rows."""
+    counts = count_terms(docs, text_col, id_col, min_n, max_n)
+    n_docs = docs.count()
+    vocab = top_vocab(term_stats(counts, id_col), max_features).toArrow()
+    known = vocab.column("term").combine_chunks()
+    idf = np.log((1.0 + n_docs) / (vocab.column("df").to_numpy() + 1.0)) + 1.0
+
+    def weigh(parent, codes, terms, rows):
+        row, code, n = _counted(parent, codes, len(terms))
+        place = pc.index_in(terms, known).fill_null(-1).to_numpy(zero_copy_only=False)[code] if len(terms) else code
+        row, code, n, place = (x[place >= 0] for x in (row, code, n, place))
+        w = n * idf[place]
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=rows))
+        return row, code, w / norm[row]
+
+    return _in_rows(doc_terms(docs, text_col, id_col, min_n, max_n, keep=keep), id_col, keep, weigh, "tfidf")
 
 
 def cluster_mean_tfidf(weights: DataFrame, clusters: DataFrame, cluster_col: str = "cluster",
@@ -137,26 +174,34 @@ def cluster_top_terms(docs: DataFrame, clusters: DataFrame, text_col: str = "tex
                       max_features: int = MAX_FEATURES, id_col: str = "doc_id") -> DataFrame:
     """``(cluster, rank, term, score)`` — the ``top_n`` terms with the
     highest mean TF-IDF per cluster; rank 1 is best. TF-IDF is fitted on
-    every document, noise included."""
-    # The cluster is attached to the (doc, term) weights, not to the raw text,
-    # so the text is never shuffled; both joins are keyed by doc_id and share
-    # one partitioning.
-    w = corpus_tfidf(docs, text_col, id_col, min_n, max_n, max_features)
-    w = w.join(clusters.select(id_col, "cluster"), id_col)
+    every document, noise included.
+
+    ``docs`` that hold their ``cluster`` need no join; otherwise the cluster is
+    joined to the weights by id, the text is not shuffled."""
+    if "cluster" in docs.columns:
+        w = corpus_tfidf(docs, text_col, id_col, min_n, max_n, max_features, keep=("cluster",))
+    else:
+        w = corpus_tfidf(docs, text_col, id_col, min_n, max_n, max_features)
+        w = w.join(clusters.select(id_col, "cluster"), id_col)
     means = cluster_mean_tfidf(w, clusters, "cluster", id_col)
     return top_n_per_group(means, "cluster", "score", top_n).select("cluster", "rank", "term", "score")
 
 
 def group_top_bigrams(docs: DataFrame, doc_topics: DataFrame, groups: DataFrame,
                       text_col: str = "text", id_col: str = "doc_id", top_n: int = TOP_BIGRAMS,
-                      n: int = 2, max_groups: int = 10_000) -> DataFrame:
+                      n: int = 2) -> DataFrame:
     """the ``top_n`` most frequent n-grams over all documents of each
     topic group ``(group, topic)``; ties alphabetical. A document whose topic
-    is in several groups counts in each."""
-    g = F.broadcast(bounded(groups.select("group", "topic"), max_groups, "topic groups"))
-    grams = count_terms(docs, text_col, id_col, n, n, keep=())
-    dg = doc_topics.select(id_col, "topic").join(g, "topic").select(id_col, "group")
-    per_group = (grams.join(dg, id_col)
-                 .groupBy("group", "term").agg(F.sum("n").alias("count")))
+    is in several groups counts in each.
+
+    N-grams are counted per topic, map-side first; groups are joined to those
+    counts, so no n-gram is counted twice."""
+    wanted = groups.select("topic").distinct()
+    topics = doc_topics.select(id_col, "topic").join(wanted, "topic", "left_semi")
+    grams = doc_terms(docs.select(id_col, text_col).join(topics, id_col), text_col, id_col, n, n, keep=("topic",))
+    per_topic = (grams.select("topic", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+                 .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")))
+    per_group = per_topic.join(groups.select("group", "topic"), "topic").groupBy("group", "term").agg(
+        F.sum("n").alias("count"))
     return top_n_per_group(per_group, "group", "count", top_n).select(
         "group", "rank", F.col("term").alias("bigram"), "count")

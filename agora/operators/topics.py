@@ -6,14 +6,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import vectors as V
 from agora.functions.constants import ENGLISH_STOP_WORDS, MAX_DF, MIN_DF, MMR_DIVERSITY, NOISE
-from agora.operators.joins import bounded
-from agora.operators.terms import count_terms, prune_vocab, term_stats, top_n_per_group
+from agora.operators.terms import doc_terms, prune_vocab, term_stats, top_n_per_group
+from agora.operators.vectors import weighted_mean
+from agora.session import write_shared
 
 
 def assign_topics(clusters: DataFrame, cluster_col: str = "cluster", id_col: str = "doc_id") -> DataFrame:
@@ -34,17 +34,20 @@ def class_term_counts(docs: DataFrame, doc_topics: DataFrame, text_col: str = "t
                       stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """``(topic, term, n)`` — term counts of all documents of a topic
     (n-grams never span two documents). Noise excluded."""
-    counts = count_terms(docs, text_col, id_col, min_n, max_n, stop_words)
     t = doc_topics.where(F.col("topic") != NOISE).select(id_col, "topic")
-    return (counts.join(t, id_col).groupBy("topic", "term").agg(F.sum("n").alias("n")))
+    terms = doc_terms(docs.select(id_col, text_col).join(t, id_col), text_col, id_col, min_n, max_n, stop_words, ("topic",))
+    # explode_outer + a NULL filter: a plain explode makes the optimizer infer
+    # ``size(tokens) > 0`` below, tokenizing twice
+    return (terms.select("topic", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+            .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")))
 
 
 def prune_class_vocab(class_counts: DataFrame, min_df=MIN_DF, max_df=MAX_DF) -> DataFrame:
     """F5 with topics as units: keep terms present in ≥ min_df and
     ≤ max_df topics."""
-    # read three times (topic count, term stats, the filter): persisted once.
-    # The table is topics × vocabulary, already aggregated.
-    class_counts = class_counts.persist(StorageLevel.MEMORY_AND_DISK)
+    # read three times (topic count, term stats, the filter): written once, the
+    # table is topics × vocabulary, already aggregated
+    class_counts = write_shared(class_counts, "class-counts")
     n_topics = class_counts.select(F.countDistinct("topic")).scalar()
     vocab = prune_vocab(term_stats(class_counts, "topic"), n_topics, min_df, max_df).select("term")
     return class_counts.join(vocab, "term", "left_semi")
@@ -54,7 +57,7 @@ def ctfidf(class_counts: DataFrame) -> DataFrame:
     """``W = (n_tc / Σ_t n_tc) · ln(1 + A / f_t)`` with A = ⌊mean words
     per topic⌋ and f_t the term's count over all topics → ``(topic, term,
     score)``."""
-    class_counts = class_counts.persist(StorageLevel.MEMORY_AND_DISK)
+    class_counts = write_shared(class_counts, "class-counts")
     row = class_counts.groupBy("topic").agg(F.sum("n").alias("row_n"))
     a = row.select(F.floor(F.avg("row_n")).cast("double")).scalar()
     ft = class_counts.groupBy("term").agg(F.sum("n").alias("f_t"))
@@ -100,18 +103,12 @@ def representative_docs(vectors: DataFrame, doc_topics: DataFrame, topic_vecs: D
 
 
 def term_vectors(counts: DataFrame, vectors: DataFrame, terms: DataFrame,
-                 id_col: str = "doc_id", max_terms: int = 1_000_000) -> DataFrame:
-    """Corpus word vectors for a bounded set of terms: the count-weighted
-    mean vector of the documents containing the term (replaces a word
-    encoder). ``(term, embedding)``."""
-    t = F.broadcast(bounded(terms.select("term").distinct(), max_terms, "candidate terms"))
-    c = counts.join(t, "term").join(vectors.select(id_col, "embedding"), id_col)
-    per_dim = (c.select("term", "n", F.posexplode("embedding").alias("dim", "value"))
-               .groupBy("term", "dim")
-               .agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value")))
-    return (per_dim.groupBy("term")
-            .agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_pv"))
-            .select("term", F.transform("_pv", lambda s: s["value"]).alias("embedding")))
+                 id_col: str = "doc_id") -> DataFrame:
+    """Corpus word vectors for a set of terms: the count-weighted mean vector of
+    the documents containing the term (replaces a word encoder), in one buffer
+    per term, map-side first. ``(term, embedding)``."""
+    c = counts.join(terms.select("term").distinct(), "term", "left_semi").join(vectors.select(id_col, "embedding"), id_col)
+    return c.groupBy("term").agg(weighted_mean("embedding", "n").alias("embedding"))
 
 
 def rerank_by_embedding(candidates: DataFrame, term_vecs: DataFrame, topic_vecs: DataFrame,
@@ -163,13 +160,10 @@ def mmr(candidates: DataFrame, term_vecs: DataFrame, topic_vecs: DataFrame,
         _mmr_group(top_n, diversity), "topic int, rank int, term string, score double")
 
 
-def lexicon_filter(candidates: DataFrame, lexicon: DataFrame, allowed, tag_col: str = "tag",
-                   max_lexicon: int | None = None) -> DataFrame:
+def lexicon_filter(candidates: DataFrame, lexicon: DataFrame, allowed, tag_col: str = "tag") -> DataFrame:
     """Keep candidate words whose tag is allowed (tagger replaced by a
     ``(term, tag)`` table); order within each topic is kept."""
     lx = lexicon.where(F.col(tag_col).isin(list(allowed))).select("term")
-    if max_lexicon is not None:
-        lx = F.broadcast(bounded(lx, max_lexicon, "lexicon"))
     return candidates.join(lx, "term", "left_semi")
 
 

@@ -46,24 +46,24 @@ def assemble(long_df: DataFrame, id_cols, pos_col: str = "dim", val_col: str = "
             .select(*id_cols, F.transform("_pv", lambda s: s["v"]).alias(out)))
 
 
+def weighted_mean(vec_col: str, weight_col: str | None = None):
+    """Aggregate: mean of array vectors, in one buffer per group and task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = array_to_vector(F.col(vec_col).cast("array<double>"))
+    w = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
+    return vector_to_array(Summarizer.mean(v, w))
+
+
 def topic_vectors(vectors: DataFrame, topics: DataFrame, id_col: str = "doc_id",
                   vec_col: str = "embedding", topic_col: str = "topic",
                   drop_noise: bool = True) -> DataFrame:
-    """Mean document vector per topic, ``(topic, embedding, n)``.
-
-    Per-(topic, dimension) partial averages are combined map-side, so a
-    topic holding a third of all documents still ships only
-    ``dim`` rows per map partition."""
+    """Mean document vector per topic, ``(topic, embedding, n)``: a topic
+    holding a third of all documents ships one buffer per map partition."""
     j = vectors.select(id_col, vec_col).join(topics.select(id_col, topic_col), id_col)
     if drop_noise:
         j = j.where(F.col(topic_col) != NOISE)
-    means = (j.select(topic_col, F.posexplode(vec_col).alias("dim", "value"))
-             .groupBy(topic_col, "dim")
-             .agg(F.avg(F.col("value").cast("double")).alias("value"), F.count(F.lit(1)).alias("n")))
-    return (means.groupBy(topic_col)
-            .agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_pv"),
-                 F.max("n").alias("n"))
-            .select(topic_col, F.transform("_pv", lambda s: s["value"]).alias("embedding"), "n"))
+    return j.groupBy(topic_col).agg(weighted_mean(vec_col).alias("embedding"), F.count(F.lit(1)).alias("n"))
 
 
 def projection_matrix(d: int, k: int, seed: int = 0) -> list[list[float]]:

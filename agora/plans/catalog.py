@@ -67,9 +67,10 @@ FROM ranked WHERE rank <= {top_n}"""
 
 def _cluster_top_terms(min_n: int, max_n: int):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = terms.cluster_top_terms(fx.docs(spark, sf_dir).withColumn(
-            "text", F.coalesce("clean_text", "text")), fx.source_clusters(spark, sf_dir),
-            min_n=min_n, max_n=max_n)
+        clusters = fx.source_clusters(spark, sf_dir)
+        docs = fx.docs(spark, sf_dir).withColumn("text", F.coalesce("clean_text", "text")).withColumn(
+            "cluster", fx.source_cluster())
+        out = terms.cluster_top_terms(docs, clusters, min_n=min_n, max_n=max_n)
         return out.select(big("cluster").alias("cluster"), big("rank").alias("rank"), "term",
                           r6("score").alias("score"))
     return q

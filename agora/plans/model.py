@@ -126,12 +126,12 @@ sizes AS (SELECT cluster, count(*) AS size FROM clusters WHERE cluster <> -1 GRO
 mapping AS (SELECT cluster, row_number() OVER (ORDER BY size DESC, cluster ASC) - 1 AS topic FROM sizes),
 doc_topics AS (SELECT c.doc_id, coalesce(m.topic, -1) AS topic
                FROM clusters c LEFT JOIN mapping m ON c.cluster = m.cluster),
-counts AS (SELECT doc_id, term, count(*) AS n
+counts AS MATERIALIZED (SELECT doc_id, term, count(*) AS n
            FROM (SELECT doc_id, unnest({toks}) AS term FROM corpus) GROUP BY doc_id, term),
-cc_raw AS (SELECT t.topic, c.term, sum(c.n) AS n FROM counts c JOIN doc_topics t ON c.doc_id = t.doc_id
+cc_raw AS MATERIALIZED (SELECT t.topic, c.term, sum(c.n) AS n FROM counts c JOIN doc_topics t ON c.doc_id = t.doc_id
            WHERE t.topic <> -1 GROUP BY t.topic, c.term),
-tstats AS (SELECT term, count(*) AS df FROM cc_raw GROUP BY term),
-cc AS (SELECT * FROM cc_raw WHERE term IN (
+tstats AS MATERIALIZED (SELECT term, count(*) AS df FROM cc_raw GROUP BY term),
+cc AS MATERIALIZED (SELECT * FROM cc_raw WHERE term IN (
          SELECT term FROM tstats WHERE df >= {MIN_DF}
            AND df <= {MAX_DF} * (SELECT count(DISTINCT topic) FROM cc_raw))),
 rowsum AS (SELECT topic, sum(n) AS row_n FROM cc GROUP BY topic),

@@ -219,7 +219,7 @@ def q_query_topic_similarity(spark, d):
     from agora.operators.joins import similarity_join
     t = M.topic_vecs(spark, d).select("topic", F.col("embedding").alias("tv"))
     q = M.category_vecs(spark).select("category", F.col("embedding").alias("qv"))
-    s = similarity_join(t, q, "tv", "qv", max_right=1000)
+    s = similarity_join(t, q, "tv", "qv")
     return s.select("category", big("topic").alias("topic"), r6("similarity").alias("similarity"))
 
 

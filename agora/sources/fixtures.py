@@ -16,41 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, key: str | None = "doc_id", min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition a scan by its id when it arrived in fewer partitions
-    than the cluster has cores (a single-row-group file reads as one task).
-
-    Partitioning by the document id is what later per-document aggregates
-    (term counts, norms) and doc-keyed joins require, so Spark plans them
-    without another exchange. A large production table should be stored
-    bucketed by the id to get the same plan with no shuffle at all; it has
-    enough splits and passes through here untouched."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key) if key else df.repartition(want)
-    return df
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if parallel else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus; ``clean_text`` is NULL for every 7th id so the
     clean-else-raw coalesce is observable."""
     d = table(spark, sf_dir, "documents")
-    return spread(d.select(
+    return d.select(
         "doc_id", "text",
         F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("clean_text"),
-        "lang", "source"))
+        "lang", "source")
 
 
-def source_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Given document classes: the number in ``source`` (src0 → noise −1)."""
+def source_cluster():
+    """Given document class: the number in ``source`` (src0 → noise −1)."""
     n = F.regexp_extract(F.col("source"), r"(\d+)", 1).cast("int")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.when(n == 0, F.lit(-1)).otherwise(n).alias("cluster"))
+    return F.when(n == 0, F.lit(-1)).otherwise(n)
+
+
+def source_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", source_cluster().alias("cluster"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

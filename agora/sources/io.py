@@ -106,12 +106,8 @@ def save_topic_model(model: dict[str, DataFrame], path: str) -> None:
 
 
 def load_topic_model(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    out = {}
-    for name in MODEL_PARTS:
-        p = os.path.join(path, name)
-        if os.path.exists(p) or "://" in path:
-            out[name] = spark.read.parquet(p)
-    return out
+    """All parts of a saved model; a part that is missing raises."""
+    return {name: spark.read.parquet(os.path.join(path, name)) for name in MODEL_PARTS}
 
 
 def attach_labels(chunks: DataFrame, labels: DataFrame, key: str = "umap_cluster",
@@ -128,7 +124,5 @@ def write_back_labels(chunks: DataFrame, labels: DataFrame, path: str,
                       key: str = "umap_cluster", batch_col: str = "batch") -> None:
     """Rewrite the labelled chunks, one directory per batch, into a new
     version directory (dynamic partition overwrite)."""
-    spark = chunks.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (attach_labels(chunks, labels, key).write.mode("overwrite")
+    (attach_labels(chunks, labels, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(batch_col).parquet(path))
