@@ -3,8 +3,8 @@
 The default embedder is pure Spark: signed feature hashing of the first
 ``max_tokens`` tokens — bucket = first six hex digits of md5(token) mod
 dim, sign from the parity of the seventh — summed per document and
-L2-normalised. A user model plugs in as a callable run by ``mapInPandas``
-(Arrow batches, model loaded once per Python worker).
+L2-normalised. A user model plugs in as a callable run over Arrow
+batches, loaded once per Python worker.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -69,30 +68,28 @@ def model_embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray] | Cal
                 text_col: str = "text", id_col: str = "doc_id", batch_size: int = 8,
                 factory: bool = False, max_tokens: int | None = None) -> DataFrame:
     """Pluggable model: ``embedder(texts) -> (n, d) array`` run over Arrow
-    batches with ``mapInPandas``; rows are keyed by id (never by position
-    within a batch), NULL texts are skipped, output is L2-normalised.
+    batches; the id of any type stays with its row, NULL texts are skipped,
+    output is L2-normalised.
 
     With ``factory`` the callable makes the model, once per Python worker.
     ``max_tokens`` cuts texts to that many white-space-separated words (a model
     with its own tokenizer may cut further). The id keeps its type."""
     def run(batches):
         fn = worker_model(embedder) if factory else embedder
-        for pdf in batches:
-            pdf = pdf[pdf[text_col].notna()]
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                if part.empty:
-                    continue
-                m = np.asarray(fn(part[text_col].tolist()), dtype=np.float64)
-                n = np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                m = m / n
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(),
-                                    "embedding": [row.astype(np.float32).tolist() for row in m]})
+        for b in batches:
+            b = b.filter(b.column("text").is_valid())
+            for start in range(0, b.num_rows, batch_size):
+                part = b.slice(start, batch_size)
+                m = np.asarray(fn(part.column("text").to_pylist()), dtype=np.float64)
+                m = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), vectors], names=[id_col, "embedding"])
 
     text = F.col(text_col) if max_tokens is None else F.array_join(
         F.slice(F.split(F.col(text_col), r"\s+"), 1, max_tokens), " ")
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text.alias(text_col)).mapInPandas(run, f"`{id_col}` {kind}, embedding array<float>")
+    return df.select(F.col(id_col).alias("key"), text.alias("text")).mapInArrow(
+        run, f"`{id_col}` {kind}, embedding array<float>")
 
 
 def embed_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", embedder=None,
@@ -103,3 +100,11 @@ def embed_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", em
     if embedder is None:
         return hashing_embed(df, text_col, id_col, dim, max_tokens)
     return model_embed(df, embedder, text_col, id_col, batch_size, factory, max_tokens)
+
+
+def embed_column(df: DataFrame, text_col: str = "text", embedder=None, out: str = "embedding", **settings) -> DataFrame:
+    """``df``'s rows that have a text, with the embedding as a further column:
+    the text is read once, and rows that repeat stay apart."""
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(text_col).alias("_text"))
+    done = embed_text(rows, "_text", "_row", embedder, **settings)
+    return done.select("_row.*", F.col("embedding").alias(out))

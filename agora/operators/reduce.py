@@ -4,7 +4,7 @@ Linear reductions (PCA, fixed random projection) are row-local after the
 fit. The neighbour-graph layout follows the UMAP recipe as DataFrame
 rounds: per-point bandwidths by bisection inside the row (D9), a fuzzy
 union of the directed kNN graph (D10) and full-batch epochs of edge
-attraction plus repulsion from hashed bucket centroids (D11). The layout is
+attraction plus repulsion from nodes sampled by hash (D11). The layout is
 approximate (no bit parity with any single-machine implementation).
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from agora.operators import knn as K
 from agora.operators import vectors as VO
-from agora.session import cut_lineage
+from agora.session import write_shared
 
 
 def smooth_knn(knn: DataFrame, k: int | None = None, n_iter: int = 64, tol: float = 1e-5) -> DataFrame:
@@ -64,62 +64,96 @@ def fuzzy_graph(knn: DataFrame, smooth: DataFrame) -> DataFrame:
                     (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
 
 
-def layout(graph: DataFrame, init: DataFrame, n_epochs: int = 50, lr: float = 0.1,
-           n_neg_buckets: int = 64, neg_weight: float = 0.05, seed: int = 0) -> DataFrame:
-    """``(id, coords)``. Each epoch: attraction w·(y_j − y_i) summed
-    over a node's edges, repulsion away from the centroid of a hashed
-    bucket of nodes chosen by xxhash64(node, epoch, seed), step size
-    decaying linearly. Positions are checkpointed every epoch."""
-    pos = init.select("id", F.col("coords").cast("array<double>").alias("y"))
+#: The low-dimensional similarity 1 / (1 + A d^(2B)), for a least distance of 0.1.
+CURVE_A, CURVE_B = 1.577, 0.895
+_CLIP = 4.0
+
+
+def layout(graph: DataFrame, init: DataFrame, n_epochs: int = 50, lr: float = 1.0,
+           negatives: int = 5, seed: int = 0) -> DataFrame:
+    """``(id, coords)``. Each epoch every node is pulled along its edges, by
+    the gradient of the similarity curve times the edge's weight, and pushed away
+    from ``negatives`` samples per unit of edge weight: nodes fall into as many
+    hash buckets as there are nodes, and each node draws buckets by hash anew in
+    every epoch. Forces are summed map-side; steps shrink linearly. Positions are
+    written once per epoch."""
+    pos = write_shared(init.select("id", F.col("coords").cast("array<double>").alias("y")), "positions")
+    n = pos.count()
+    # positions start within a box of side 10
+    top = pos.select(F.max(F.array_max(F.transform("y", lambda v: F.abs(v)))).alias("m"))
+    pos = pos.join(F.broadcast(top)).select("id", F.transform(
+        "y", lambda v: v * 10.0 / F.greatest(F.col("m"), F.lit(1e-9))).alias("y"))
     e = graph.select("src", "dst", "weight")
-    e2 = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    for ep in range(n_epochs):
-        alpha = lr * (1.0 - ep / n_epochs)
-        ys = pos.select(F.col("id").alias("src"), F.col("y").alias("ys"))
-        yd = pos.select(F.col("id").alias("dst"), F.col("y").alias("yd"))
-        att = (e2.join(ys, "src").join(yd, "dst")
-               .select("src", F.posexplode(F.zip_with("yd", "ys", lambda a, b: a - b)).alias("k", "diff"), "weight")
-               .groupBy("src", "k").agg(F.sum(F.col("diff") * F.col("weight")).alias("g")))
-        bucket = F.pmod(F.xxhash64(F.col("id"), F.lit(ep), F.lit(seed)), F.lit(n_neg_buckets))
-        cent = (pos.select(F.pmod(F.xxhash64(F.col("id")), F.lit(n_neg_buckets)).alias("b"),
-                           F.posexplode("y").alias("k", "v"))
-                .groupBy("b", "k").agg(F.avg("v").alias("c")))
-        rep = (pos.select("id", bucket.alias("b"), F.posexplode("y").alias("k", "v"))
-               .join(cent, ["b", "k"]).select("id", "k", (F.col("v") - F.col("c")).alias("r")))
-        rn = rep.groupBy("id").agg(F.sum(F.col("r") * F.col("r")).alias("r2"))
-        rep = rep.join(rn, "id").select("id", "k", (F.col("r") / (F.col("r2") + 1e-3)).alias("r"))
-        cur = pos.select("id", F.posexplode("y").alias("k", "v"))
-        nxt = (cur.join(att.select(F.col("src").alias("id"), "k", "g"), ["id", "k"], "left")
-               .join(rep, ["id", "k"], "left")
-               .select("id", "k", (F.col("v") + alpha * (F.coalesce("g", F.lit(0.0))
-                                                         + neg_weight * F.coalesce("r", F.lit(0.0)))).alias("v")))
-        # positions are read four times per epoch: cut the lineage every
-        # epoch so the plan does not grow with the epoch count
-        pos = cut_lineage(VO.assemble(nxt, "id", "k", "v", "y"))
+    e = write_shared(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "edges")
+    degree = write_shared(e.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
+    bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+
+    def forces(rows: DataFrame, coefficient) -> DataFrame:
+        """``rows``: src, a (own position), b (the other's), weight."""
+        d2 = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        rows = rows.withColumn("d2", d2).withColumn("c", coefficient(F.col("d2")) * F.col("weight"))
+        move = F.zip_with("a", "b", lambda x, y: F.least(F.greatest(F.col("c") * (x - y), F.lit(-_CLIP)), F.lit(_CLIP)))
+        return rows.select("src", move.alias("f"))
+
+    def pull(d2):
+        return F.when(d2 > 0, -2 * CURVE_A * CURVE_B * F.pow(d2, CURVE_B - 1) / (1 + CURVE_A * F.pow(d2, CURVE_B))).otherwise(0.0)
+
+    def push(d2):
+        return 2 * CURVE_B / ((0.001 + d2) * (1 + CURVE_A * F.pow(d2, CURVE_B)))
+
+    for epoch in range(n_epochs):
+        alpha = lr * (1.0 - epoch / n_epochs)
+        own = pos.select(F.col("id").alias("src"), F.col("y").alias("a"))
+        other = pos.select(F.col("id").alias("dst"), F.col("y").alias("b"))
+        attraction = forces(e.join(own, "src").join(other, "dst"), pull)
+        draws = F.explode(F.sequence(F.lit(1), F.lit(negatives)))
+        drawn = own.join(degree, "src").withColumn("draw", draws).withColumn(
+            "bucket", F.pmod(F.xxhash64("src", "draw", F.lit(epoch), F.lit(seed + 1)), F.lit(n)))
+        repulsion = forces(
+            drawn.join(pos.select(bucket.alias("bucket"), F.col("id").alias("dst"), F.col("y").alias("b")), "bucket")
+            .filter("src <> dst").withColumn("weight", F.col("degree")), push)
+        total = attraction.unionByName(repulsion).groupBy(F.col("src").alias("id")).agg(
+            VO.vector_sum("f").alias("f"))
+        pos = write_shared(pos.join(total, "id", "left").select("id", F.when(F.col("f").isNull(), F.col("y")).otherwise(
+            F.zip_with("y", "f", lambda v, f: v + alpha * f)).alias("y")), "positions")
     return pos.select("id", F.col("y").alias("coords"))
 
 
+def trustworthiness(near: DataFrame, ranks: DataFrame, n: int, k: int) -> DataFrame:
+    """How far the ``k`` neighbours in a layout (``near``: src, dst) are neighbours
+    in the original space too (``ranks``: src, dst, rank): 1 less the normalised
+    sum of rank - k over those that are not."""
+    late = near.select("src", "dst").join(ranks, ["src", "dst"]).agg(F.sum(F.greatest(F.col("rank") - k, F.lit(0))).alias("late"))
+    return late.select((1 - F.col("late") * 2 / (n * k * (2 * n - 3 * k - 1))).alias("trustworthiness"))
+
+
 def reduce(df: DataFrame, method: str = "pca", n_components: int = 50, n_neighbors: int = 15,
            metric: str = "cosine", id_col: str = "doc_id", vec_col: str = "embedding", seed: int = 0,
-           n_epochs: int = 50, dim: int | None = None) -> DataFrame:
-    """``(id, coords)`` by ``pca`` | ``random`` | ``umap``
-    (kNN graph → D9 → D10 → D11 initialised by PCA). Chain
-    calls to reduce a reduction further (e.g. to 3-D)."""
-    if dim is None:
-        dim = df.select(F.size(vec_col)).first()[0]
+           n_epochs: int = 50, dim: int | None = None, graph: str = "exact",
+           coords: DataFrame | None = None) -> DataFrame:
+    """``(id, coords)`` by ``pca`` | ``random`` | ``umap`` (neighbour graph →
+    D9 → D10 → D11 from a PCA start) | ``given``: the rows of ``coords`` ``(id,
+    coords)``, reduced elsewhere, for the ids of ``df``. ``graph`` is ``exact`` or
+    ``lsh``. Chain calls to reduce a reduction further (e.g. to 3-D)."""
+    ids = df.select(F.col(id_col).alias("id"))
+    if method == "given":
+        if coords is None:
+            raise ValueError("method 'given' needs coords")
+        return coords.join(ids, "id", "left_semi").select("id", "coords")
     if method == "pca":
         out = VO.pca(df.select(id_col, vec_col), n_components, vec_col, "coords")
         return out.select(F.col(id_col).alias("id"), "coords")
     if method == "random":
-        out = VO.random_projection(df.select(id_col, vec_col), dim, n_components, seed, vec_col, "coords")
+        d = dim if dim is not None else df.select(F.size(vec_col)).first()[0]
+        out = VO.random_projection(df.select(id_col, vec_col), d, n_components, seed, vec_col, "coords")
         return out.select(F.col(id_col).alias("id"), "coords")
     if method == "umap":
-        kn = cut_lineage(K.knn_exact(df, n_neighbors, id_col, vec_col, metric))
-        g = fuzzy_graph(kn, smooth_knn(kn, n_neighbors))
-        # initialised from the principal components (the published recipe
-        # uses a spectral start; a ±1 projection to few dimensions can map
-        # separate groups onto the same point)
+        find = {"exact": K.knn_exact, "lsh": K.knn_lsh}[graph]
+        kn = write_shared(find(df, n_neighbors, id_col, vec_col, metric), "knn")
+        # initialised from the principal components (the published recipe uses a
+        # spectral start; a ±1 projection to few dimensions can map separate
+        # groups onto the same point)
         init = VO.pca(df.select(id_col, vec_col), n_components, vec_col, "coords") \
             .select(F.col(id_col).alias("id"), "coords")
-        return layout(g, init, n_epochs, seed=seed)
+        return layout(fuzzy_graph(kn, smooth_knn(kn, n_neighbors)), init, n_epochs, seed=seed)
     raise ValueError(f"unknown method {method}")

@@ -158,10 +158,5 @@ def topic_rollup(doc_topics: DataFrame, words: DataFrame, topics: DataFrame,
 def embed_queries(spark_df: DataFrame, text_col: str = "query", key: str = "category", embedder=None,
                   dim: int = 64) -> DataFrame:
     """Query vectors with the same embedder as the documents."""
-    from agora.operators.embed import embed_text
-    e = embed_text(spark_df.select(key, text_col), text_col, key, embedder, dim)
-    return spark_df.join(e, key)
-
-
-def cosine_col(a: str, b: str):
-    return V.cosine(a, b)
+    from agora.operators.embed import embed_column
+    return embed_column(spark_df, text_col, embedder, dim=dim)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agora.functions.constants import CHUNK_WORDS, NOISE, SENTIMENT_CLASSES
 from agora.functions.text import tokenize, word_chunks
@@ -50,7 +51,7 @@ def model_sentiment(chunks: DataFrame, scorer: Callable[[list[str]], np.ndarray]
                     text_col: str = "chunk", batch_size: int = 32) -> DataFrame:
     """F12 with a model: ``scorer(texts) -> (n, 3) logits`` (Negative,
     Neutral, Positive) over Arrow batches; class = argmax."""
-    schema = chunks.schema.simpleString()[len("struct<"):-1] + ",sentiment string"
+    schema = T.StructType([*chunks.schema.fields, T.StructField("sentiment", T.StringType())])
 
     def run(batches):
         for pdf in batches:

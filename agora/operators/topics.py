@@ -149,11 +149,11 @@ def _mmr_group(top_n: int, diversity: float):
 
 
 def mmr(candidates: DataFrame, term_vecs: DataFrame, topic_vecs: DataFrame,
-        top_n: int = 10, diversity: float = MMR_DIVERSITY) -> DataFrame:
+        top_n: int = 10, diversity: float = MMR_DIVERSITY, pool: int = 200) -> DataFrame:
     """Maximal marginal relevance — greedily pick the word maximising
     (1−δ)·sim(word, topic) − δ·max sim(word, chosen). One pandas group per
-    topic holding only its candidate words (≤ the candidate cap, e.g. 30)."""
-    j = (candidates.select("topic", "term")
+    topic, of its ``pool`` best-ranked candidate words at the most."""
+    j = (candidates.filter(F.col("rank") <= pool).select("topic", "term")
          .join(term_vecs.select("term", F.col("embedding").alias("wv")), "term")
          .join(topic_vecs.select("topic", F.col("embedding").alias("tv")), "topic"))
     return j.groupBy("topic").applyInPandas(

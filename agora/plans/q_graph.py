@@ -274,7 +274,7 @@ def q_param_candidates(spark, d):
 
 
 @register("best_trial", """
-WITH t AS (SELECT CAST(regexp_extract(source, '(\d+)', 1) AS BIGINT) AS trial, avg(n_chars % 100) / 100 AS validity,
+WITH t AS (SELECT CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS trial, avg(n_chars % 100) / 100 AS validity,
              avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END) AS noise FROM documents GROUP BY 1)
 SELECT trial, round(-validity + 0.1 * noise, 6) AS score FROM t ORDER BY -validity + 0.1 * noise, trial LIMIT 1""")
 def q_best_trial(spark, d):

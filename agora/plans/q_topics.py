@@ -311,6 +311,19 @@ def q_keyword_similarity(spark, d):
                     r6("similarity").alias("similarity"))
 
 
+@register("keyword_similarity_map", f"""{W}, {_BENCH_VEC},
+kw AS (SELECT item_id AS keyword_id, dim, value FROM qvec),
+{M.sql_cosine_long('doc_vecs', 'doc_id', 'kw', 'keyword_id', 'ksim')}
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS n, round(max(similarity), 6) AS most,
+       round(min(similarity), 6) AS least FROM ksim GROUP BY doc_id""")
+def q_keyword_similarity_map(spark, d):
+    kw = M.benchmark_vecs(spark, d).select(F.col("query_id").alias("keyword"), "embedding")
+    s = search.keyword_similarity(M.doc_vectors(spark, d), kw, as_map=True)
+    v = F.map_values("similarity_scores")
+    return s.select(big("doc_id").alias("doc_id"), big(F.size(v)).alias("n"), r6(F.array_max(v)).alias("most"),
+                    r6(F.array_min(v)).alias("least"))
+
+
 # F10 / H8 ----------------------------------------------------------------
 def _bigram_sql() -> str:
     from agora.plans.sqlfrag import ngrams_expr

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from agora.functions import maps as MP
 from agora.functions import text as T
 from agora.functions import vectors as V
-from agora.operators import density, joins, knn, terms, vectors
+from agora.operators import density, joins, knn, vectors
 from agora.plans import model as M
-from agora.plans.catalog import big, r6, register
-from agora.plans.sqlfrag import DOCS, SRC_CLUSTERS, VEC_CLUSTERS, VECTORS, tokens_expr
+from agora.plans.catalog import ORACLE, big, r6, register
+from agora.plans.sqlfrag import DOCS, VEC_CLUSTERS, VECTORS, tokens_expr
+from agora.session import write_shared
 from agora.sources import fixtures as fx
 from agora.sources import io
 
@@ -36,13 +37,28 @@ def q_read_batches(spark, d):
                     big(F.col("conv_id") % 4).alias("batch"), big(F.char_length("text")).alias("n_chars"))
 
 
-@register("cluster_report", None)
+@register("cluster_report", f"""SELECT cluster, 'Cluster ' || cluster || ':' || chr(10)
+  || string_agg(term || ': ' || printf('%.6f', score), chr(10) ORDER BY rank) AS report
+FROM ({ORACLE["cluster_top_terms"]}) GROUP BY cluster""")
 def q_cluster_report(spark, d):
     from agora.plans.catalog import QUERIES
     top = QUERIES["cluster_top_terms"](spark, d)
     return io.cluster_report(top).select(big("cluster").alias("cluster"), "report")
 
 
+@register("attach_labels", """
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id,
+  CASE WHEN conv_id % 3 = 0 THEN NULL ELSE CAST(turn % 5 AS VARCHAR) END AS label, role
+FROM conversations""")
+def q_attach_labels(spark, d):
+    chunks = fx.conversation_chunks(spark, d)
+    labels = fx.table(spark, d, "conversations").filter("conv_id % 3 <> 0").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("turn") % 5).cast("int").alias("cluster"))
+    out = io.attach_labels(chunks, labels)
+    return out.select(big("id").alias("id"), MP.metadata_get("metadata", "umap_cluster").alias("label"),
+                      MP.metadata_get("metadata", "role").alias("role"))
+
+
 # B -----------------------------------------------------------------------
 
 @register("parse_embedding", """
@@ -290,7 +306,7 @@ def q_knn_exact(spark, d):
 @register("pairwise_cosine_distance", _knn_sql(5, deq=True))
 def q_pairwise(spark, d):
     v = vectors.dequantize(vectors.quantize(fx.vectors(spark, d)), "quantized", out="embedding")
-    cand = knn.knn_exact(v, 5, block_rows=256)
+    cand = write_shared(knn.knn_exact(v, 5, block_rows=256), "neighbours")
     dist = knn.pairwise_distances(v, cand.select("src", "dst"))
     return _knn_out(cand.select("src", "rank", "dst").join(dist, ["src", "dst"]))
 
@@ -320,5 +336,3 @@ SELECT round(avg(CASE WHEN cluster = -1 THEN 1.0 ELSE 0.0 END), 6) AS noise_rati
 def q_noise_ratio(spark, d):
     return density.noise_ratio(fx.vector_clusters(spark, d)).select(r6("noise_ratio").alias("noise_ratio"))
 
-
-_ = (SRC_CLUSTERS, terms)

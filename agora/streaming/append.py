@@ -13,11 +13,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agora.operators.embed import embed_text
+from agora.operators.embed import embed_column
 
 
 def append_embeddings(spark: SparkSession, src_dir: str, dst_dir: str, checkpoint: str,
-                      schema: T.StructType | str, text_col: str = "text", id_col: str = "doc_id",
+                      schema: T.StructType | str, text_col: str = "text",
                       embedder=None, dim: int = 64, max_files_per_trigger: int | None = None,
                       available_now: bool = True):
     """Run (or, with ``available_now``, drain) the embedding stream; returns
@@ -28,8 +28,7 @@ def append_embeddings(spark: SparkSession, src_dir: str, dst_dir: str, checkpoin
     stream = reader.parquet(src_dir)
 
     def write_batch(batch, batch_id: int):
-        vec = embed_text(batch, text_col, id_col, embedder, dim)
-        out = batch.join(vec, id_col).withColumn("batch_id", F.lit(batch_id))
+        out = embed_column(batch, text_col, embedder, dim=dim).withColumn("batch_id", F.lit(batch_id))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(dst_dir))
 

@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from agora.sources import io
@@ -18,15 +19,20 @@ def test_csv_roundtrip_quotes_commas_newlines(spark):
 
 def test_topic_model_save_load_and_labels(spark):
     d = tempfile.mkdtemp(prefix="agora-model-")
-    m = {"topic_terms": spark.createDataFrame([(0, 1, "x", 0.5)], "topic int, rank int, term string, score double")}
-    io.save_topic_model(m, d)
-    assert io.load_topic_model(spark, d)["topic_terms"].count() == 1
+    part = spark.createDataFrame([(0, 1, "x", 0.5)], "topic int, rank int, term string, score double")
+    io.save_topic_model({name: part for name in io.MODEL_PARTS}, os.path.join(d, "whole"))
+    back = io.load_topic_model(spark, os.path.join(d, "whole"))
+    assert set(back) == set(io.MODEL_PARTS) and back["topic_terms"].count() == 1
+    io.save_topic_model({"topic_terms": part}, os.path.join(d, "part"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        io.load_topic_model(spark, os.path.join(d, "part"))
     chunks = spark.createDataFrame([(1, {"a": "1"}, 0), (2, {}, 1)], "id long, metadata map<string,string>, batch int")
     labels = spark.createDataFrame([(1, 3)], "id long, cluster int")
     out = {r.id: r.metadata for r in io.attach_labels(chunks, labels).collect()}
     assert out[1] == {"a": "1", "umap_cluster": "3"} and out[2] == {}
     io.write_back_labels(chunks, labels, os.path.join(d, "v2"))
     assert spark.read.parquet(os.path.join(d, "v2")).count() == 2
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
 
 
 def test_append_embeddings_restart(spark):
@@ -43,3 +49,24 @@ def test_append_embeddings_restart(spark):
     got = spark.read.parquet(dst)
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
     assert got.select(F.size("embedding")).first()[0] == 64
+
+
+def test_repeated_ids_stay_apart_in_a_stream(spark):
+    d = tempfile.mkdtemp(prefix="agora-stream-")
+    src, dst, ck = (os.path.join(d, x) for x in ("src", "dst", "ck"))
+    schema = "doc_id long, text string"
+    spark.createDataFrame([(1, "alpha"), (1, "beta")], schema).write.parquet(os.path.join(src, "f1"))
+    append_embeddings(spark, src + "/*", dst, ck, schema).awaitTermination()
+    rows = spark.read.parquet(dst).collect()
+    assert sorted(r.text for r in rows) == ["alpha", "beta"] and rows[0].embedding != rows[1].embedding
+
+
+def test_unset_checkpoint_folder_is_refused_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from agora import session
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(
+        getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(cluster)

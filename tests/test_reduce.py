@@ -40,12 +40,24 @@ def test_smooth_knn_residual_and_fuzzy_union(spark):
     assert (fg.src < fg.dst).all() and fg.weight.between(0, 1).all()
 
 
-def test_layout_separates_blobs(spark):
+def test_layout_is_trustworthy(spark):
+    """From a start without order, neighbours end up as neighbours."""
     x, lab, df = _blobs(spark)
-    y = R.reduce(df, "umap", n_components=2, n_neighbors=8, metric="euclidean", n_epochs=10, dim=6)
-    pos = y.orderBy("id").toPandas()
-    p = np.array(pos.coords.tolist())
-    cents = np.array([p[lab == k].mean(0) for k in range(3)])
-    within = np.mean([np.linalg.norm(p[lab == k] - cents[k], axis=1).mean() for k in range(3)])
-    between = np.mean([np.linalg.norm(cents[a] - cents[b]) for a in range(3) for b in range(a + 1, 3)])
-    assert between > within
+    n, k = len(x), 5
+    kn = K.knn_exact(df, 8, metric="euclidean")
+    graph = R.fuzzy_graph(kn, R.smooth_knn(kn, 8))
+    rng = np.random.default_rng(0)
+    init = spark.createDataFrame([(i, rng.normal(size=2).tolist()) for i in range(n)], "id long, coords array<double>")
+    ranks = K.knn_exact(df, n - 1, metric="euclidean").select("src", "dst", "rank")
+
+    def trust(coords):
+        near = K.knn_exact(coords.withColumnsRenamed({"id": "doc_id", "coords": "embedding"}), k, metric="euclidean")
+        return R.trustworthiness(near, ranks, n, k).first()[0]
+    before, after = trust(init), trust(R.layout(graph, init, n_epochs=25))
+    assert before < 0.6 and after > 0.75
+
+
+def test_given_coordinates(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "doc_id long, embedding array<double>")
+    given = spark.createDataFrame([(1, [5.0, 6.0]), (3, [7.0, 8.0])], "id long, coords array<double>")
+    assert [tuple(r) for r in R.reduce(df, "given", coords=given).collect()] == [(1, [5.0, 6.0])]
