@@ -5,6 +5,6 @@ DataFrame/SQL API so Catalyst plans it; Python (Arrow batches) only runs
 where a per-group numeric step or a user model is needed.
 """
 
-from agora.session import get_spark, checkpoint_dir, cut_lineage
+from agora.session import checkpoint_dir, get_spark, write_shared
 
-__all__ = ["get_spark", "checkpoint_dir", "cut_lineage"]
+__all__ = ["get_spark", "checkpoint_dir", "write_shared"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agora.functions import vectors as V
 from agora.functions.constants import CATEGORY_THRESHOLD, OTHER_CATEGORY
 from agora.operators.joins import similarity_join
 from agora.operators.terms import top_n_per_group
