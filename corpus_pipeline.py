@@ -17,18 +17,28 @@ from agora.llm.common import fold, table
 from agora.session import write_shared
 
 
+def _judged(docs: DataFrame, added: list[str], judge, keep) -> DataFrame:
+    """The rows that ``keep`` of the columns that ``judge`` adds; columns of
+    ``docs`` with the same names step aside meanwhile."""
+    aside = {c: f"__own_{c}" for c in added if c in docs.columns}
+    back = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return judge(docs.withColumnsRenamed(aside)).filter(keep).select(*back)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, predicts good."""
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
-    return quality_gbt.score(docs, quality_gbt.train(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    forest = quality_gbt.train(docs, labels)
+    return _judged(docs, ["score", "predicted"], lambda d: quality_gbt.score(d, forest), F.col("predicted") == 1)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt; those without a letter (``und``)
     or without any likeness to a language (cosine not above 0) go."""
     known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", 3) != 1))
-    said = lang_id.identify(docs, lang_id.profiles(known, "text", "lang"))
-    return said.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
+    profiles = lang_id.profiles(known, "text", "lang")
+    return _judged(docs, ["score", "lang_pred"], lambda d: lang_id.identify(d, profiles),
+                   (F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") > 0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -257,7 +257,11 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_pipeline_takes_awkward_rows(spark):
-    docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = awkward(spark).withColumn("predicted", F.lit("own")).withColumn("lang_pred", F.lit("own"))
     for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, SF).collect()
+        out = stage(spark, docs, SF)
+        if name != "pack":
+            assert out.columns == docs.columns
+            assert all(r["predicted"] == "own" and r["lang_pred"] == "own" for r in out.collect())
+        out.collect()
         stage(spark, docs.limit(0), SF).collect()
