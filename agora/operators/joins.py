@@ -45,16 +45,18 @@ def similarity_join(left: DataFrame, right: DataFrame, left_vec: str, right_vec:
 
     The left rows are dealt into ``SALTS`` parts and every right row goes to each
     part, so this is an equi join on the part: Spark sends a small right side to
-    all tasks, and shuffles both sides of a large one."""
+    all tasks, and shuffles the right side of a large one. Dealing the left rows
+    out costs little beside the pairs that each of them makes."""
     clash = [c for c in right.columns if c in left.columns]
     if clash:
         raise ValueError(f"columns on both sides: {clash}")
     # unit vectors are formed once per row on each side, so each pair costs
     # one dot product (a zero or missing vector stays zero → similarity 0)
-    part = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    part = F.pmod(F.xxhash64(*[c for c in left.columns if c != left_vec] or [left_vec]), F.lit(SALTS)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     r = right.withColumn(right_vec, _unit(right_vec)).withColumn("_part", every)
-    j = left.withColumn("_part", part).withColumn(left_vec, _unit(left_vec)).join(r, "_part").drop("_part")
+    dealt = left.withColumn(left_vec, _unit(left_vec)).withColumn("_part", part).repartition(SALTS, "_part")
+    j = dealt.join(r, "_part").drop("_part")
     j = j.withColumn(out_col, F.coalesce(dot(F.col(left_vec), F.col(right_vec)), F.lit(0.0)))
     if threshold is not None:
         j = j.where(F.col(out_col) > F.lit(threshold))

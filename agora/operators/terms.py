@@ -15,55 +15,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.constants import ENGLISH_STOP_WORDS, MAX_FEATURES, NOISE, TOP_BIGRAMS, TOP_TERMS
-from agora.functions.text import ngrams, remove_stop_words, tokenize
+from agora.functions.text import remove_stop_words, tokenize
 
 # Scores are ranked at this many decimals, ties broken by the term, so the
 # order does not depend on floating-point summation order.
 RANK_DIGITS = 9
 
 
-def doc_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-              min_n: int = 1, max_n: int = 1, stop_words=ENGLISH_STOP_WORDS,
-              keep: tuple[str, ...] = ()) -> DataFrame:
-    """F1–F3 per document: ``(id, *keep, terms array<string>)``."""
+#: Documents whose terms are held at once.
+_ROWS = 2048
+
+
+def _tokens(docs: DataFrame, text_col: str, stop_words, keep: list[str]) -> DataFrame:
     toks = tokenize(F.col(text_col))
-    if stop_words:
-        toks = remove_stop_words(toks, stop_words)
-    t = docs.select(id_col, *keep, toks.alias("tokens"))
-    if min_n == max_n == 1:
-        return t.withColumnRenamed("tokens", "terms")
-    # n-grams read the materialised token column; the optimizer keeps the
-    # two projections apart because the column is referenced repeatedly.
-    return t.select(id_col, *keep, ngrams(F.col("tokens"), min_n, max_n).alias("terms"))
-
-
-def _in_rows(t: DataFrame, id_col: str, keep: tuple[str, ...], work, out: str) -> DataFrame:
-    """Run ``work(ids, parent, codes, terms)`` on Arrow batches of ``(id, *keep,
-    terms)``: row numbers and dictionary codes of all terms of a batch. It returns
-    row numbers, term codes and a value for the rows to come out. No shuffle: a
-    document's terms are all in its own row."""
-    cols = [id_col, *keep]
-    types = ", ".join(f"`{c}` {t.schema[c].dataType.simpleString()}" for c in cols)
+    return docs.select(*keep, (remove_stop_words(toks, stop_words) if stop_words else toks).alias("terms"))
+
+
+def _grams(lists: pa.Array, min_n: int, max_n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row numbers and codes of all n-grams of a batch of token lists, and the
+    distinct n-grams by code. Strings are made for distinct n-grams only."""
+    row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    token = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    k = max(1, len(words.dictionary))
+    rows, codes, names, first = [], [], [], 0
+    at, code, name = np.arange(len(token)), token, words.dictionary
+    for n in range(1, max_n + 1):
+        if n > 1:  # those that have a next word in their row
+            go = at + n - 1 < len(token)
+            at, code = at[go], code[go]
+            go = row[at] == row[at + n - 1]
+            at, code = at[go], code[go]
+            both, code = np.unique(code * k + token[at + n - 1], return_inverse=True)
+            name = pc.binary_join_element_wise(
+                name.take(pa.array(both // k)), words.dictionary.take(pa.array(both % k)), " ")
+        if n >= min_n:
+            rows.append(row[at])
+            codes.append(code + first)
+            names.append(name)
+            first += len(name)
+    return np.concatenate(rows), np.concatenate(codes), pa.concat_arrays(names)
+
+
+def _in_rows(t: DataFrame, keep: list[str], min_n: int, max_n: int, work, out: str) -> DataFrame:
+    """Run ``work(batch, rows, codes, terms)`` on Arrow batches of ``(*keep, terms)``.
+    It returns places in the batch, term codes and values: the rows to come out.
+    No shuffle: a document's terms are all in its own row."""
+    types = ", ".join(f"`{c}` {t.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        for b in batches:
-            lists = b.column("terms").fill_null([])
-            parent = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-            words = lists.flatten().dictionary_encode()
-            terms = words.dictionary
-            row, code, value = work(parent, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms, b.num_rows)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(c).take(at) for c in cols], terms.take(pa.array(code)), pa.array(value)],
-                names=[*cols, "term", out])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(lo, _ROWS)
+                rows, codes, terms = _grams(b.column("terms").fill_null([]), min_n, max_n)
+                row, code, value = work(b, rows, codes, terms)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(c).take(at) for c in keep], terms.take(pa.array(code)), pa.array(value)],
+                    names=[*keep, "term", out])
 
     kind = "bigint" if out == "n" else "double"
-    return t.select(*cols, "terms").mapInArrow(run, f"{types}, term string, {out} {kind}")
+    return t.select(*keep, "terms").mapInArrow(run, f"{types}, term string, {out} {kind}")
 
 
-def _counted(parent: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, code) pairs and how often each occurs."""
-    both, n = np.unique(parent * max(width, 1) + codes, return_counts=True)
+def _counted(group: np.ndarray, codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (group, code) pairs and how often each occurs."""
+    both, n = np.unique(group * max(width, 1) + codes, return_counts=True)
     return both // max(width, 1), both % max(width, 1), n
 
 
@@ -72,8 +89,24 @@ def count_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, *keep, term, n)`` — one row per distinct term per document
     (row of ``docs``), counted inside the row."""
-    t = doc_terms(docs, text_col, id_col, min_n, max_n, stop_words, keep)
-    return _in_rows(t, id_col, keep, lambda parent, codes, terms, n: _counted(parent, codes, len(terms)), "n")
+    cols = [id_col, *keep]
+    return _in_rows(_tokens(docs, text_col, stop_words, cols), cols, min_n, max_n,
+                    lambda b, rows, codes, terms: _counted(rows, codes, len(terms)), "n")
+
+
+def count_group_terms(docs: DataFrame, group_col: str, text_col: str = "text", min_n: int = 1, max_n: int = 1,
+                      stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """``(group, term, n)``: terms of all documents of a group. Batches count for
+    their groups first, so a hot group sends one row per term and batch."""
+    def count(b, rows, codes, terms):
+        of = b.column(group_col).dictionary_encode()
+        number = of.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        group, code, n = _counted(number[rows], codes, len(terms))
+        _, example = np.unique(number, return_index=True)  # a row of each group
+        return example[group], code, n
+
+    t = _tokens(docs.filter(F.col(group_col).isNotNull()), text_col, stop_words, [group_col])
+    return _in_rows(t, [group_col], min_n, max_n, count, "n").groupBy(group_col, "term").agg(F.sum("n").alias("n"))
 
 
 def term_stats(counts: DataFrame, unit_col: str = "doc_id") -> DataFrame:
@@ -134,15 +167,16 @@ def corpus_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     known = vocab.column("term").combine_chunks()
     idf = np.log((1.0 + n_docs) / (vocab.column("df").to_numpy() + 1.0)) + 1.0
 
-    def weigh(parent, codes, terms, rows):
-        row, code, n = _counted(parent, codes, len(terms))
+    def weigh(b, rows, codes, terms):
+        row, code, n = _counted(rows, codes, len(terms))
         place = pc.index_in(terms, known).fill_null(-1).to_numpy(zero_copy_only=False)[code] if len(terms) else code
         row, code, n, place = (x[place >= 0] for x in (row, code, n, place))
         w = n * idf[place]
-        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=rows))
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=b.num_rows))
         return row, code, w / norm[row]
 
-    return _in_rows(doc_terms(docs, text_col, id_col, min_n, max_n, keep=keep), id_col, keep, weigh, "tfidf")
+    cols = [id_col, *keep]
+    return _in_rows(_tokens(docs, text_col, ENGLISH_STOP_WORDS, cols), cols, min_n, max_n, weigh, "tfidf")
 
 
 def cluster_mean_tfidf(weights: DataFrame, clusters: DataFrame, cluster_col: str = "cluster",
@@ -198,9 +232,7 @@ def group_top_bigrams(docs: DataFrame, doc_topics: DataFrame, groups: DataFrame,
     counts, so no n-gram is counted twice."""
     wanted = groups.select("topic").distinct()
     topics = doc_topics.select(id_col, "topic").join(wanted, "topic", "left_semi")
-    grams = doc_terms(docs.select(id_col, text_col).join(topics, id_col), text_col, id_col, n, n, keep=("topic",))
-    per_topic = (grams.select("topic", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-                 .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")))
+    per_topic = count_group_terms(docs.select(id_col, text_col).join(topics, id_col), "topic", text_col, n, n)
     per_group = per_topic.join(groups.select("group", "topic"), "topic").groupBy("group", "term").agg(
         F.sum("n").alias("count"))
     return top_n_per_group(per_group, "group", "count", top_n).select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from agora.functions import vectors as V
 from agora.functions.constants import ENGLISH_STOP_WORDS, MAX_DF, MIN_DF, MMR_DIVERSITY, NOISE
-from agora.operators.terms import doc_terms, prune_vocab, term_stats, top_n_per_group
+from agora.operators.terms import count_group_terms, prune_vocab, term_stats, top_n_per_group
 from agora.operators.vectors import weighted_mean
 from agora.session import write_shared
 
@@ -35,11 +35,7 @@ def class_term_counts(docs: DataFrame, doc_topics: DataFrame, text_col: str = "t
     """``(topic, term, n)`` — term counts of all documents of a topic
     (n-grams never span two documents). Noise excluded."""
     t = doc_topics.where(F.col("topic") != NOISE).select(id_col, "topic")
-    terms = doc_terms(docs.select(id_col, text_col).join(t, id_col), text_col, id_col, min_n, max_n, stop_words, ("topic",))
-    # explode_outer + a NULL filter: a plain explode makes the optimizer infer
-    # ``size(tokens) > 0`` below, tokenizing twice
-    return (terms.select("topic", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
-            .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")))
+    return count_group_terms(docs.select(id_col, text_col).join(t, id_col), "topic", text_col, min_n, max_n, stop_words)
 
 
 def prune_class_vocab(class_counts: DataFrame, min_df=MIN_DF, max_df=MAX_DF) -> DataFrame:
@@ -152,11 +148,12 @@ def mmr(candidates: DataFrame, term_vecs: DataFrame, topic_vecs: DataFrame,
         top_n: int = 10, diversity: float = MMR_DIVERSITY, pool: int = 200) -> DataFrame:
     """Maximal marginal relevance — greedily pick the word maximising
     (1−δ)·sim(word, topic) − δ·max sim(word, chosen). One pandas group per
-    topic, of its ``pool`` best-ranked candidate words at the most."""
-    j = (candidates.filter(F.col("rank") <= pool).select("topic", "term")
+    topic, of the ``pool`` candidate words nearest to it at the most."""
+    j = (candidates.select("topic", "term")
          .join(term_vecs.select("term", F.col("embedding").alias("wv")), "term")
          .join(topic_vecs.select("topic", F.col("embedding").alias("tv")), "topic"))
-    return j.groupBy("topic").applyInPandas(
+    j = top_n_per_group(j.withColumn("near", V.cosine("wv", "tv")), "topic", "near", pool)
+    return j.select("topic", "term", "wv", "tv").groupBy("topic").applyInPandas(
         _mmr_group(top_n, diversity), "topic int, rank int, term string, score double")
 
 

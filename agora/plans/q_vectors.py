@@ -48,7 +48,7 @@ def q_cluster_report(spark, d):
 
 @register("attach_labels", """
 SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id,
-  CASE WHEN conv_id % 3 = 0 THEN NULL ELSE CAST(turn % 5 AS VARCHAR) END AS label, role
+  CASE WHEN conv_id % 3 = 0 THEN 'Unknown' ELSE CAST(turn % 5 AS VARCHAR) END AS label, role
 FROM conversations""")
 def q_attach_labels(spark, d):
     chunks = fx.conversation_chunks(spark, d)
