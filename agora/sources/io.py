@@ -21,7 +21,9 @@ DOC_CSV_SCHEMA = T.StructType([
 def read_docs(spark: SparkSession, path: str, fmt: str = "parquet",
               schema: T.StructType | str | None = None) -> DataFrame:
     """A1: header CSV (free text with quotes, commas, newlines) or parquet.
-    CSV is read with an explicit schema — no inference pass."""
+    CSV is read with an explicit schema — no inference pass. Cells may hold
+    newlines, so a CSV file is read by one task: keep large corpora as Parquet,
+    or as many CSV files."""
     if fmt == "csv":
         return (spark.read.schema(schema or DOC_CSV_SCHEMA)
                 .option("header", True).option("multiLine", True)
