@@ -132,25 +132,6 @@ def top_vocab(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     return stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
 
 
-def tfidf(counts: DataFrame, n_docs, vocab: DataFrame, id_col: str = "doc_id",
-          keep: tuple[str, ...] = (), vocab_bound: int | None = MAX_FEATURES) -> DataFrame:
-    """smooth idf ``ln((1+N)/(1+df)) + 1``, tf = raw count, then each
-    document's row L2-normalised over the kept vocabulary.
-
-    ``vocab`` is broadcast when its size is bounded (``vocab_bound`` rows,
-    the max_features cap); otherwise the join is left to AQE.
-    """
-    n = n_docs if hasattr(n_docs, "cast") else F.lit(n_docs)
-    v = vocab.select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    v = F.broadcast(v) if vocab_bound is not None else v
-    w = counts.join(v, "term").select(id_col, *keep, "term", (F.col("n") * F.col("idf")).alias("w"))
-    # The document norm is a window over the document's own rows: counts are
-    # already partitioned by the document id, so this adds a local sort but
-    # no exchange and no second pass over the pairs.
-    nrm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, *keep, "term", (F.col("w") / nrm).alias("tfidf"))
-
-
 def corpus_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                  min_n: int = 1, max_n: int = 1, max_features: int = MAX_FEATURES,
                  keep: tuple[str, ...] = ()) -> DataFrame:
