@@ -173,6 +173,49 @@ def test_likeness_follows_order():
     assert syncmers.likeness(a, (np.arange(10, 20, dtype=np.uint64), np.arange(10))) == 0
 
 
+def _long_pair(n, seed=3):
+    """Two long texts that share nothing but a passage of 350 characters."""
+    rng = np.random.default_rng(seed)
+    chars = lambda k: "".join(chr(97 + c) for c in rng.integers(0, 26, k))
+    shared = chars(350)
+    return [chars(n) + shared + chars(n), chars(n // 2) + shared + chars(n)]
+
+
+@pytest.mark.parametrize("n", [3_000, 20_000])
+def test_long_texts_keep_their_shared_passage(spark, n):
+    texts = _long_pair(n)
+    f, g = syncmers.anchors(texts)
+    for t, (hashes, places) in zip(texts, (f, g)):
+        assert len(hashes) > 0.25 * len(t)
+        read = syncmers.read(syncmers.written(hashes, places))
+        assert len(read[0]) > 0.025 * len(t)
+        assert np.array_equal(read[0], hashes[: len(read[0])]) and np.array_equal(read[1], places[: len(read[0])])
+    common = len(np.intersect1d(f[0], g[0]))
+    assert common > 60
+    assert len(np.intersect1d(*(syncmers.read(syncmers.written(*x))[0] for x in (f, g)))) >= 3
+    rows = {r["doc_id"]: r for r in syncmers.fingerprints(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # a few hashes may also meet by chance, out of order
+    assert common - 5 <= round(rows[0]["near_next"] * len(np.union1d(f[0], g[0]))) <= common
+    assert rows[0]["near_next"] == rows[1]["near_next"] > 0
+    e = list(syncmers.anchors([syncmers.edited(*texts)]))[0]
+    assert rows[0]["near_edited"] == syncmers.likeness(f, e) > 0.5
+
+
+def test_longest_rise_by_definition():
+    rng = np.random.default_rng(4)
+    for n in range(40):
+        p = rng.permutation(n)
+        swaps = np.arange(n)
+        for i in rng.integers(0, max(1, n - 1), 3 if n > 1 else 0):
+            swaps[[i, i + 1]] = swaps[[i + 1, i]]
+        for seq in (p, swaps):
+            best = [1] * n
+            for i in range(n):
+                best[i] = 1 + max((best[j] for j in range(i) if seq[j] < seq[i]), default=0)
+            assert syncmers._longest_rise(seq) == max(best, default=0)
+
+
 def _check_neighbours(df):
     got = syncmers.fingerprints(df)
     assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
