@@ -4,7 +4,8 @@ Every letter has a random bipolar vector, drawn from a hash of its code point.
 An n-gram binds its letters' vectors, each permuted (rotated) by its place:
 rot^2(a) * rot(b) * c. A document bundles (sums) the vectors of its letter
 trigrams, a language bundles its training documents, and a document is given the
-language whose prototype has the largest cosine with it.
+language whose prototype has the largest cosine with it, or none (``und``) if that
+is within the noise of unrelated texts.
 
 Letters are Unicode letters, lower-cased; every run of other characters is one
 blank, and blanks count as a letter, so word beginnings and ends are learnt too.
@@ -29,6 +30,9 @@ DIM = 1024
 #: Distinct n-grams whose vectors are held at once.
 _COLUMNS = 4096
 UNKNOWN = "und"
+#: The cosine of unrelated bundles scatters by 1 / sqrt(dim) around 0; a language
+#: is named from this many times that on (0.125 at 1,024 components).
+NOISE = 4.0
 
 _letters: np.ndarray | None = None
 
@@ -141,10 +145,12 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
     ``prototypes`` (one row per language; more than ``max_languages`` is an
     error, so what goes to each task is at most ``max_languages * dim`` numbers)
     as made by :func:`profiles`. The score is the cosine with the best prototype
-    (0 if negative); ties go to the first language by code point. A text that is
-    null or has no letter gets ``und`` and score 0, as does every text if there
-    is no prototype. Two letters and a blank make a trigram; a text too short for
-    one has a zero bundle and gets the most frequent training language, score 0.
+    (0 if negative); ties go to the first language by code point. A text whose
+    score is below ``NOISE / sqrt(dim)`` is in none of the languages, as far as
+    can be told, and gets ``und`` with its score. A text that is null or has no
+    letter gets ``und`` and score 0, as does every text if there is no prototype.
+    Two letters and a blank make a trigram; a text too short for one has a zero
+    bundle, so ``und`` and score 0.
     Input columns named like the added ones are replaced; ``keep_text=False``
     leaves the text out of the result.
     """
@@ -152,9 +158,9 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
     if len(known) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     names = [r["lang"] for r in known]
-    common = int(np.argmax([r["n"] for r in known])) if known else 0
     p = np.array([r["prototype"] for r in known], np.float32).reshape(len(known), dim)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
+    least = NOISE / dim ** 0.5
     rows = documents.drop(*({"lang_pred", "score"} - {text}))
 
     def score(batches):
@@ -162,9 +168,8 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
             if names:
                 length = np.linalg.norm(bundles, axis=1)
                 cosine = bundles @ p.T / np.maximum(length, 1e-9)[:, None]
-                best = np.where(length > 0, cosine.argmax(axis=1), common)
                 top = np.where(has & (length > 0), np.clip(cosine.max(axis=1), 0, 1), 0.0)
-                said = [names[b] if ok else UNKNOWN for b, ok in zip(best, has)]
+                said = [names[b] if ok else UNKNOWN for b, ok in zip(cosine.argmax(axis=1), top >= least)]
             else:
                 said, top = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             rest = part if keep_text else part.drop_columns([text])

@@ -64,6 +64,29 @@ def test_language_edge_cases(spark):
     assert lang_id.identify(empty(spark), known).count() == 0
 
 
+def test_unseen_languages_are_rejected(spark):
+    """Texts of unseen scripts and random letters go, short clean ones stay."""
+    import corpus_pipeline
+    rng = np.random.default_rng(7)
+    made = lambda letters: " ".join(
+        "".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(40))
+    alphabets = ["αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыьэюя", "אבגדהוזחטיכלמנסעפצקרשת",
+                 "abcdefghijklmnopqrstuvwxyz"]
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    clean = [r["text"][:100] for r in docs.filter(
+        (fold("doc_id", 3) == 1) & F.col("lang").isNotNull() & (F.length("text") > 100)).collect()]
+    rows = ([(10**6 + i, made(a), None) for i, a in enumerate(alphabets * 50)]
+            + [(2 * 10**6 + i, t, None) for i, t in enumerate(clean)])
+    stage = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF)
+    kept = {r["doc_id"] for r in stage.filter("doc_id >= 1000000").collect()}
+    foreign = [i for i, _, _ in rows if i < 2 * 10**6 and i in kept]
+    assert len(foreign) <= 0.02 * 200
+    assert len(kept) - len(foreign) >= 0.95 * len(clean) > 20
+    known = lang_id.profiles(docs.filter("lang is not null"), "text", "lang")
+    said = lang_id.identify(spark.createDataFrame(rows[:200], docs.schema), known).collect()
+    assert sum(r["lang_pred"] == "und" for r in said) >= 0.98 * 200 and any(r["score"] > 0 for r in said)
+
+
 def test_language_held_out_accuracy(spark):
     from agora.llm.queries import QUERIES
     out = QUERIES["op1_language_id"](spark, SF).join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id")
