@@ -4,8 +4,15 @@ P(word | history) = P(class | history) * P(word | class). Words of about equal
 total frequency that are neighbours in byte order form a class; the end of a text
 has a class of its own. The class factor is a softmax over weights of hashed
 history features: the last word, the last two words, and two skips (the word
-before the last, and the one before that). The word factor is the add-half
-relative frequency inside its class, with one place for all unseen words.
+before the last, and the one before that). The word factor starts from P0, the
+add-half relative frequency inside the class, with one place for all unseen words,
+and adds what followed the same last word in the training texts:
+
+    P(word | class, last) = (n(last, word) + prior * P0(word)) / (n(last, class) + prior)
+
+The counts are rows of a table that grows with the input, without a least count;
+``prior`` is the one of the highest likelihood on every eighth training text when
+that is left out, or P0 alone if none is better.
 
 Training is distributed: a pass over all training texts gives each (feature,
 class) count that was observed and each that the model expects, summed over tasks
@@ -15,7 +22,8 @@ iterative scaling). Scoring is a pass of sparse numpy batches.
 
 Word counts are taken over all texts. The ``HEAD`` most frequent words (a
 bounded table) are known to every task; a document's other words are looked up by
-a join with the whole vocabulary.
+a join with the whole vocabulary, its pairs of words by a join with the whole table
+of pairs.
 """
 
 from __future__ import annotations
@@ -32,10 +40,14 @@ from agora.session import write_shared
 
 CLASSES, BUCKETS, ROUNDS, HEAD = 32, 1 << 13, 2, 1 << 17
 FEATURES = 4
+#: Priors of the word factor that are tried.
+PRIORS = [4.0**i for i in range(-1, 11)]
+DEV = 8
 _BLOCK = 512  # buckets that travel together
 _CHUNK = 1 << 15
 _BEGIN, _END = hashed(np.arange(2), 41)
 _MIX = hashed(np.arange(FEATURES), 43) | np.uint64(1)
+_PAIR = hashed(np.arange(3), 47) | np.uint64(1)
 _LN10 = float(np.log(10))
 
 
@@ -244,6 +256,75 @@ def head_of(vocab: DataFrame, most: int = HEAD) -> pa.Table:
     return vocab.filter(level >= least).toArrow()
 
 
+# ------------------------------------------------- words after the last word
+
+def _follow(t: Tokens, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each token's context (last word, class) and of the token in it."""
+    context = mix64(t.line[t.place - 1] * _PAIR[0] + (classes.astype(np.uint64) + np.uint64(1)) * _PAIR[1])
+    return context, mix64(context * _PAIR[2] + t.hash)
+
+
+def pairs(training: DataFrame, model: ClassModel) -> DataFrame:
+    """``(pair, context, word, class, n, n_dev)`` of all training texts (``text``,
+    ``dev``). Tasks count their own pairs first."""
+    names = ["pair", "context", "word", "class", "n", "n_dev"]
+
+    def merged(held):
+        pair, context, word, of, n, d = (np.concatenate([x[i] for x in held]) for i in range(6))
+        u, at, back = np.unique(pair, return_index=True, return_inverse=True)
+        return (u, context[at], word[at], of[at], np.bincount(back, weights=n, minlength=len(u)),
+                np.bincount(back, weights=d, minlength=len(u)))
+
+    def batch(x):
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(signed(v)) for v in x[:3]), pa.array(x[3].astype(np.int32)),
+             *(pa.array(v.astype(np.int64)) for v in x[4:])], names=names)
+
+    def run(batches):
+        held: list[tuple] = []
+        size = 0
+        for part in slices(batches, "text"):
+            t = Tokens(texts_of(part.column("text")))
+            of = model.classes(t)
+            context, pair = _follow(t, of)
+            dev = part.column("dev").to_numpy(zero_copy_only=False).astype(float)[t.row]
+            held.append(merged([(pair, context, t.hash, of, np.ones(len(pair)), dev)]))
+            size += len(held[-1][0])
+            if size > 1_000_000:
+                yield batch(merged(held))
+                held, size = [], 0
+        if held:
+            yield batch(merged(held))
+
+    parts = training.mapInArrow(run, "pair bigint, context bigint, word bigint, class int, n bigint, n_dev bigint")
+    return parts.groupBy("pair").agg(*(F.min(c).alias(c) for c in names[1:4]), *(F.sum(c).alias(c) for c in names[4:]))
+
+
+def follow_weights(training: DataFrame, model: ClassModel, vocab: DataFrame, room: np.ndarray,
+                   priors: list[float] = PRIORS) -> DataFrame | None:
+    """``(key, weight)``: what a token's pair and its context add to the log10 of P0
+    (a key that is not there adds 0). None if P0 alone is likelier on left-out texts."""
+    counted = write_shared(pairs(training, model), "pairs")
+    contexts = counted.groupBy("context").agg(F.sum("n").alias("total"), F.sum("n_dev").alias("total_dev"))
+    rooms = F.array(*(F.lit(float(r)) for r in room))
+    # log10 of P0
+    whole = write_shared(
+        counted.join(vocab.select(F.col("hash").alias("word"), "n_train"), "word")
+        .select("pair", "context", "n", "n_dev",
+                (F.log10(F.col("n_train") + 0.5) - rooms[F.col("class")]).alias("p0")), "known_pairs")
+    left = whole.filter("n_dev > 0").join(contexts, "context")
+    own = F.pow(F.lit(10.0), "p0")
+    gains = left.agg(*(F.sum(F.col("n_dev") * (
+        F.log10((F.col("n") - F.col("n_dev") + m * own) / (F.col("total") - F.col("total_dev") + m)) - F.col("p0"))).alias(str(i))
+        for i, m in enumerate(priors))).first()
+    best = max(range(len(priors)), key=lambda i: gains[i] or 0.0)
+    if (gains[best] or 0.0) <= 0:
+        return None
+    prior = priors[best]
+    return whole.select(F.col("pair").alias("key"), F.log10(1 + F.col("n") / (prior * own)).alias("weight")).unionByName(
+        contexts.select(F.col("context").alias("key"), F.log10(prior / (F.col("total") + prior)).alias("weight")))
+
+
 # --------------------------------------------------------------------- scoring
 
 def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_flag: str = "train",
@@ -273,6 +354,9 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
     model = train(docs.filter("train").select("text"), edges, totals[:, 0], rounds)
     room = np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1))
     half = np.log10(c + 0.5)
+    weights = follow_weights(docs.filter("train").select("text", (F.crc32(
+        F.coalesce("text", F.lit("")).cast("binary")) % DEV == 0).alias("dev")), model, vocab, room)
+    follows = weights is not None
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -289,23 +373,23 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
             there = h[at] == t.hash if len(h) else np.zeros(len(t.hash), bool)
             known = np.where(there, c[at], 0) if len(h) else np.zeros(len(t.hash))
             logs = np.where(there, half[at], 0.0) if len(h) else np.zeros(len(t.hash))
-            far_row, far = t.row[~there], t.hash[~there]
-            lists, numbers = [], []
-            cuts = np.searchsorted(far_row, np.arange(m + 1))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                u, k = np.unique(far[a:b], return_counts=True)
-                lists.append(signed(u))
-                numbers.append(k)
+            lists, numbers = _distinct(t.row[~there], t.hash[~there], m)
+            if follows:
+                both = np.stack(_follow(t, of), axis=1).ravel()
+                keys, times = _distinct(np.repeat(t.row, 2), both, m)
+            else:
+                keys, times = [np.empty(0, np.int64)] * m, [np.empty(0, np.int64)] * m
             yield pa.RecordBatch.from_arrays(
                 [part.column("key"), pa.array(np.bincount(t.row, minlength=m)),
                  pa.array(sums(log_class - room[of])), pa.array(sums(logs)),
                  pa.array(sums(known > 0).astype(np.int64)),
-                 list_array(lists, pa.int64()), list_array(numbers, pa.int64())],
-                names=["key", "n_tokens", "outer", "logs", "known", "rare", "times"])
+                 list_array(lists, pa.int64()), list_array(numbers, pa.int64()),
+                 list_array(keys, pa.int64()), list_array(times, pa.int64())],
+                names=["key", "n_tokens", "outer", "logs", "known", "rare", "times", "follow", "follow_times"])
 
     scored = write_shared(docs.select("key", "text").mapInArrow(
         run, f"key {kind}, n_tokens bigint, outer double, logs double, known bigint, "
-             "rare array<bigint>, times array<bigint>").withColumn("row", F.monotonically_increasing_id()), "scored")
+             "rare array<bigint>, times array<bigint>, follow array<bigint>, follow_times array<bigint>").withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
             .select("row", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"))
             .join(vocab.select("hash", "n_train"), "hash")
@@ -314,12 +398,30 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
                 F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("rare_known")))
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     base_room = float(np.log10(n_train + 0.5 * (v_train + 1)))
-    return scored.drop("rare", "times").join(rare, "row", "left").select(
+    rows = scored.drop("rare", "times", "follow", "follow_times").join(rare, "row", "left")
+    gain = F.lit(0.0)
+    if follows:
+        gains = (scored.select("row", F.explode(F.arrays_zip("follow", "follow_times")).alias("w"))
+                 .select("row", F.col("w.follow").alias("key"), F.col("w.follow_times").alias("follow_times"))
+                 .join(weights, "key").groupBy("row").agg(F.sum(F.col("follow_times") * F.col("weight")).alias("gain")))
+        rows, gain = rows.join(gains, "row", "left"), F.coalesce("gain", F.lit(0.0))
+    return rows.select(
         F.col("key").alias(key), "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * base_room).alias("base_score"),
-        (logs + F.col("outer")).alias("score"))
+        (logs + F.col("outer") + gain).alias("score"))
+
+
+def _distinct(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each row's distinct values, and how often each comes; ``rows`` ascend."""
+    lists, numbers = [], []
+    cuts = np.searchsorted(rows, np.arange(n + 1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        u, k = np.unique(values[a:b], return_counts=True)
+        lists.append(signed(u))
+        numbers.append(k)
+    return lists, numbers
 
 
 def _edges(prefix: np.ndarray, mass: np.ndarray, classes: int) -> np.ndarray:

@@ -213,6 +213,62 @@ def test_class_probabilities_sum_to_one_and_learn(spark):
     assert np.allclose(np.exp(model.log_p(f)).sum(axis=1), 1, atol=1e-5)
 
 
+def _followers(spark, n, related=True):
+    """Texts in which, if related, every word has one of two words of its own after it."""
+    rng = np.random.default_rng(5)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(400)]
+    after = rng.integers(0, 400, (400, 2))
+    texts = []
+    for _ in range(n):
+        w = [int(rng.integers(0, 400))]
+        for _ in range(60):
+            w.append(int(after[w[-1], rng.integers(0, 2)]) if related else int(rng.integers(0, 400)))
+        texts.append(" ".join(names[i] for i in w))
+    return spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+
+
+def _parts(docs):
+    """The class model, vocabulary, rooms and training texts that score makes."""
+    vocab = maxent_lm.vocabulary(docs).localCheckpoint()
+    rows = vocab.toPandas()
+    words_ = rows[rows.prefix >= 0]
+    edges = maxent_lm._edges(words_.prefix.to_numpy(), words_.n_train.to_numpy(), 4)
+    totals = maxent_lm._class_totals(vocab, edges)
+    model = maxent_lm.ClassModel(edges, np.zeros((maxent_lm.FEATURES, maxent_lm.BUCKETS, len(totals)), np.float32),
+                                 np.zeros(len(totals), np.float32))
+    training = docs.filter("train").select("text", (F.col("doc_id") % 8 == 1).alias("dev"))
+    return vocab, model, np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1)), training
+
+
+def test_word_factor_follows_history(spark):
+    """Words that the last word tells are likelier by their own pair counts than
+    by their class alone, and each context's probabilities sum to one."""
+    docs = _followers(spark, 150)
+    out = maxent_lm.score(docs).join(docs.select("doc_id", "train"), "doc_id").filter("not train")
+    held = out.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    assert held > -0.7  # two followers: log10(1/2) = -0.3; with the class factor alone about -1.4
+    vocab, model, room, training = _parts(docs)
+    counted = maxent_lm.pairs(training, model).toPandas()
+    weight = {r["key"]: r["weight"] for r in maxent_lm.follow_weights(training, model, vocab, room).collect()}
+    assert len(weight) == len(counted) + counted.context.nunique()
+    assert counted.n.sum() == docs.filter("train").count() * 62
+    v = vocab.toPandas()
+    of = np.where(v.prefix < 0, len(room) - 1, np.searchsorted(model.edges, v.prefix, "right"))
+    p0 = dict(zip(v.hash, (v.n_train + 0.5) / 10 ** room[of]))
+    for context, rows in list(counted.groupby("context"))[:40]:
+        c = rows["class"].iloc[0]
+        seen = dict(zip(rows.word, rows.pair))
+        inside = v.hash[(of == c) & (v.n_train > 0)]
+        total = 0.5 / 10 ** room[c] * 10 ** weight[context]  # the place of unseen words
+        total += sum(p0[w] * 10 ** (weight[context] + weight.get(seen.get(w), 0.0)) for w in inside)
+        assert total == pytest.approx(1, abs=1e-6)
+
+
+def test_unrelated_words_keep_their_class_frequency(spark):
+    vocab, model, room, training = _parts(_followers(spark, 150, related=False))
+    assert maxent_lm.follow_weights(training, model, vocab, room, [0.25, 1.0]) is None
+
+
 def test_scores_without_training_or_rows(spark):
     docs = awkward(spark).withColumn("train", F.lit(False))
     out = maxent_lm.score(docs).collect()
