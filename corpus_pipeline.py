@@ -42,12 +42,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id. An id that
-    comes several times names one document; rows without an id come last."""
-    rows = docs.withColumn("__id", F.coalesce(
-        F.col("doc_id"), F.lit(1 << 62) + F.monotonically_increasing_id()))
-    kept = jaccard_join.join(rows, "__id", "text").filter("__id = component_id").select("__id").distinct()
-    return rows.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """Of each group of near copies the row with the smallest ``doc_id``, then text
+    hash; a row without an id comes last. Rows are told apart by a number of their
+    own, written once, so different texts under one id all stay."""
+    rows = write_shared(docs.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "__id")
+    kept = (jaccard_join.join(rows, "__id", "text").select("__id", "component_id")
+            .join(rows.select("__id", order.alias("order")), "__id")
+            .groupBy("component_id").agg(F.min("order").alias("order")).select("order.__id"))
+    return rows.join(kept, "__id", "left_semi").drop("__id")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

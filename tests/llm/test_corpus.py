@@ -256,6 +256,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(map(str, ran.collect())) == sorted(map(str, kept["pack"].collect()))
 
 
+def test_near_duplicates_keeps_texts_under_one_id(spark):
+    """Different texts under a repeated or missing id stay; of near copies the row
+    with the smallest id does, whatever the order of rows."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[0]),
+            (3, texts[1]), (9, texts[4]), (9, texts[4])]
+    want = sorted([(7, texts[0]), (3, texts[1]), (None, texts[2]), (None, texts[3]), (9, texts[4])], key=str)
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_pipeline_takes_awkward_rows(spark):
     docs = awkward(spark).withColumn("predicted", F.lit("own")).withColumn("lang_pred", F.lit("own"))
     for name, stage in corpus_pipeline.STAGES:
