@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from agora.llm import jaccard_join, lang_id, license_scan, maxent_lm, mixing, packing, quality_gbt, reply_trees, syncmers, topk_search
+from agora.llm import (capture_index, hard_negatives, jaccard_join, lang_id, license_scan, maxent_lm, mixing, packing, phrases,
+                       quality_gbt, reply_trees, syncmers, topk_search)
 from agora.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +194,93 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.get("found", F.lit(0))["place"], F.lit(-1)).cast("long").alias("first_line"),
         F.coalesce(F.array_max(F.col("found.probability")), F.lit(0.0)).alias("probability"),
         F.coalesce(F.array_max(F.col("found.share")), F.lit(0.0)).alias("template_share"))
+
+
+# ---------------------------------------------------------------- collocations
+
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)),
+c1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM pieces) GROUP BY ALL),
+c2 AS (SELECT lang, x[1] AS x, x[2] AS y, count(*) AS f
+  FROM (SELECT lang, unnest([w[i:i+1] FOR i IN range(1, len(w))]) AS x FROM pieces) GROUP BY ALL HAVING count(*) >= 10),
+c3 AS (SELECT lang, x[1] AS x, x[2] AS y, x[3] AS z, count(*) AS f
+  FROM (SELECT lang, unnest([w[i:i+2] FOR i IN range(1, len(w) - 1)]) AS x FROM pieces) GROUP BY ALL HAVING count(*) >= 10),
+s2 AS (SELECT c.*, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM c2 c JOIN c1 l ON l.lang = c.lang AND l.x = c.x JOIN c1 r ON r.lang = c.lang AND r.x = c.y),
+t3 AS (SELECT c.*, l.f AS f1, xy.f AS f12, yz.f AS f23, r.f AS f3,
+    CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(l.f AS HUGEINT) * yz.f) AS s1,
+    CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(xy.f AS HUGEINT) * r.f) AS s2
+  FROM c3 c JOIN c1 l ON l.lang = c.lang AND l.x = c.x JOIN c1 r ON r.lang = c.lang AND r.x = c.z
+  JOIN c2 xy ON xy.lang = c.lang AND xy.x = c.x AND xy.y = c.y JOIN c2 yz ON yz.lang = c.lang AND yz.x = c.y AND yz.y = c.z),
+longer AS (SELECT lang, x, y, max(f) AS f FROM (
+    SELECT lang, x, y, f FROM c3 UNION ALL SELECT lang, y, z, f FROM c3) GROUP BY ALL),
+kept AS (
+  SELECT s.lang, s.x || ' ' || s.y AS phrase, s.f AS a, s.l, s.r, s.score FROM s2 s
+  LEFT JOIN longer o ON o.lang = s.lang AND o.x = s.x AND o.y = s.y WHERE o.f IS NULL OR 100 * o.f < 50 * s.f
+  UNION ALL
+  SELECT lang, x || ' ' || y || ' ' || z, f, CASE WHEN s2 < s1 THEN f12 ELSE f1 END,
+    CASE WHEN s2 < s1 THEN f3 ELSE f23 END, least(s1, s2) FROM t3),
+n AS (SELECT lang, sum(f) AS n FROM c1 GROUP BY lang)
+SELECT k.lang, row_number() OVER w AS rank, k.phrase, k.a, k.l, k.r, CAST(n.n AS BIGINT) AS n, CAST(k.score AS BIGINT) AS score
+FROM kept k JOIN n ON n.lang = k.lang
+WINDOW w AS (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.phrase)
+QUALIFY row_number() OVER w <= 2000"""
+
+
+@register("op12_phrases", _PHRASE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+# -------------------------------------------------------------- hard negatives
+
+_NEGATIVE_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.id <> b.id AND len(a.e) = len(b.e) WHERE a.id % 100 = 0),
+p AS (SELECT anchor_id, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5"""
+
+
+@register("op13_hard_negatives", _NEGATIVE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(
+        F.col("label").isNotNull() & topk_search.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select(
+        F.col("vec_id").alias("id"), label.alias("label"), topk_search.quantized(F.col("embedding")).alias("vector"),
+        (F.col("vec_id") % 100 == 0).alias("anchor")))
+
+
+# ------------------------------------------------------------------------ WARC
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN CAST(first AS BIGINT) END AS refers_to
+FROM f"""
+
+
+@register("op11_capture_index", _WARC_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = capture_index.write_archive(pages)
+    captures = capture_index.lookup(archive, capture_index.url_keys(pages))
+    return capture_index.fetch(archive, captures, keep_payload=False).select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), "refers_to")
