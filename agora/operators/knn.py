@@ -6,17 +6,20 @@ every block pair of a group meets in one pandas task that computes the
 distance block with one matrix product and emits only each row's ``k``
 best candidates. The final top-k per point is a window whose partial
 WindowGroupLimit runs before the exchange. No step emits all pairs, and no
-task holds more than two blocks.
+task holds more than two blocks. Approximate search starts from hash buckets
+and improves the neighbour graph by joining neighbours of neighbours.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions import vectors as V
+from agora.session import write_shared
 
 RANK_DIGITS = 9
 
@@ -130,24 +133,118 @@ def hyperplanes(d: int, n_tables: int, n_bits: int, seed: int = 0) -> list[list[
     return rng.standard_normal((n_tables, n_bits, d)).tolist()
 
 
+#: Points that a bucket should have: the number of bits follows the row count.
+BUCKET = 256
+
+
+def bits_for(n: int, bucket: int = BUCKET) -> int:
+    """Bits that leave about ``bucket`` of ``n`` rows in a bucket."""
+    return max(0, int(np.floor(np.log2(max(1, n) / bucket)))) if n > bucket else 0
+
+
 def knn_lsh(df: DataFrame, k: int, id_col: str = "doc_id", vec_col: str = "embedding",
-            metric: str = "cosine", n_tables: int = 8, n_bits: int = 6, seed: int = 0,
-            block_rows: int = 2048, dim: int | None = None) -> DataFrame:
-    """Approximate kNN by random-hyperplane LSH. Each point lands in one
-    bucket per table (sign pattern of ``n_bits`` projections, computed
-    inside the JVM); exact blocked search runs within buckets — a large
-    bucket is split into blocks like any group — and the union over tables
-    keeps each point's k best."""
+            metric: str = "cosine", n_tables: int = 4, n_bits: int | None = None, seed: int = 0,
+            block_rows: int = 2048, dim: int | None = None, least_change: float = 0.002,
+            bucket: int = BUCKET, width: int | None = None) -> DataFrame:
+    """Approximate kNN: hyperplane buckets, then neighbour-graph descent.
+
+    Each point lands in one bucket per table (sign pattern of ``n_bits``
+    projections, computed inside the JVM; by default as many as leave about
+    ``bucket`` rows in a bucket, whatever the row count). Exact blocked search
+    within buckets gives a first graph of ``width`` neighbours each (four times
+    ``k``, 20 at least), which :func:`descend` improves until few edges change; the
+    ``k`` best are returned."""
     if dim is None:
-        dim = df.select(F.size(vec_col)).first()[0]
+        first = df.select(F.size(vec_col)).first()
+        dim = first[0] if first else 1
+    pts = write_shared(df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v")),
+                       "points")
+    if n_bits is None:
+        n_bits = bits_for(pts.count(), bucket)
+    width = width or max(4 * k, 20)
+    if n_bits == 0:
+        return top_k_edges(blocked_topk(pts, k, None, metric, block_rows), k)
     planes = hyperplanes(dim, n_tables, n_bits, seed)
     tables = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in h]) for h in t]) for t in planes])
     sig = F.transform(tables, lambda t: F.aggregate(
-        F.transform(t, lambda h, j: F.when(V.dot(F.col(vec_col), h) > 0, F.pow(F.lit(2), j).cast("int"))
-                    .otherwise(F.lit(0))), F.lit(0), lambda a, b: a + b))
-    pts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v"),
-                    F.posexplode(sig).alias("_table", "_sig"))
-    return top_k_edges(blocked_topk(pts, k, ["_table", "_sig"], metric, block_rows), k)
+        F.transform(t, lambda h, j: F.when(V.dot(F.col("_v"), h) > 0, F.pow(F.lit(2), j).cast("long"))
+                    .otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b))
+    dealt = pts.select("_id", "_v", F.posexplode(sig).alias("_table", "_sig"))
+    graph = top_k_edges(blocked_topk(dealt, width, ["_table", "_sig"], metric, block_rows), width)
+    return descend(pts, graph, width, metric, least_change, seed).filter(F.col("rank") <= k)
+
+
+#: Neighbours of a point that meet in one row; longer lists are cut into pieces.
+MEET = 64
+
+
+def descend(points: DataFrame, graph: DataFrame, k: int, metric: str = "cosine",
+            least_change: float = 0.002, seed: int = 0) -> DataFrame:
+    """Neighbour-graph descent: a neighbour of a neighbour is likely a neighbour.
+
+    Each round joins every point's neighbours, in both directions, with each
+    other through the point; a pair whose distance is below the farthest one that
+    either end has comes into its list. Lists keep their ``k`` best, so distances
+    only fall, and rounds go on until at most ``least_change`` of all edges
+    change. Points that very many others name (hubs) have their callers dealt into
+    pieces of ``MEET``, so no row grows with a hub. Only pairs with an edge that is
+    new since the last round are formed.
+
+    ``points``: ``(_id, _v)``; ``graph``: ``(src, rank, dst, distance)``. The ends'
+    vectors are joined on, one row per new pair."""
+    graph = write_shared(graph.withColumn("new", F.lit(True)), "graph")
+    total = graph.count()
+    while total:
+        both = graph.select(F.col("src").alias("mid"), F.col("dst").alias("end"), "new").union(
+            graph.select(F.col("dst").alias("mid"), F.col("src").alias("end"), "new"))
+        both = both.groupBy("mid", "end").agg(F.max("new").alias("new"))
+        # a hub's callers fall into pieces; a fresh deal in each round brings others together
+        seed += 1
+        size = both.groupBy("mid").agg(F.ceil(F.count("*") / F.lit(MEET)).alias("pieces"))
+        piece = F.pmod(F.xxhash64("end", F.lit(seed)), F.col("pieces"))
+        lists = (both.join(size, "mid").groupBy("mid", piece.alias("piece"))
+                 .agg(F.collect_list(F.struct("end", "new")).alias("ends")))
+        pairs = (lists.select(F.explode("ends").alias("x"), "ends").select("x", F.explode("ends").alias("y"))
+                 .filter((F.col("x.end") < F.col("y.end")) & (F.col("x.new") | F.col("y.new")))
+                 .select(F.col("x.end").alias("src"), F.col("y.end").alias("dst")).distinct())
+        met = _distances(points, pairs, metric)
+        worst = graph.groupBy("src").agg(F.max(F.struct("distance", "dst")).alias("w"), F.count("*").alias("n"))
+        bound = lambda end: worst.select(F.col("src").alias(end), F.when(F.col("n") >= k, F.col("w.distance")).alias(f"w_{end}"))
+        near = met.join(bound("src"), "src", "left").join(bound("dst"), "dst", "left")
+        closer = lambda end: F.col(f"w_{end}").isNull() | (F.col("distance") <= F.col(f"w_{end}"))
+        found = near.filter(closer("src")).select("src", "dst", "distance").unionByName(
+            near.filter(closer("dst")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
+        old = graph.select("src", "dst", "distance", F.lit(False).alias("new"))
+        # an edge that is there already stays the old one
+        merged = old.unionByName(found.withColumn("new", F.lit(True))).groupBy("src", "dst").agg(
+            F.min("distance").alias("distance"), F.min("new").alias("new"))
+        w = Window.partitionBy("src").orderBy(F.round("distance", RANK_DIGITS), F.col("dst"))
+        graph = write_shared(merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "graph")
+        n, changed = graph.agg(F.count("*"), F.count(F.when(F.col("new"), 1))).first()
+        if changed <= least_change * n:
+            break
+    return graph.select("src", "rank", "dst", "distance")
+
+
+def _distances(points: DataFrame, pairs: DataFrame, metric: str) -> DataFrame:
+    """``(src, dst, distance)`` of pairs, a batch of rows at a time."""
+    side = lambda c: points.select(F.col("_id").alias(c), F.col("_v").alias(f"_{c}"))
+    rows = pairs.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "_src", "_dst")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("_src", "_dst"))
+            if metric == "cosine":
+                size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+                dot = np.einsum("ij,ij->i", x, y)
+                d = 1.0 - np.divide(dot, size, out=np.zeros(len(dot)), where=size > 0)
+            else:
+                d = np.sqrt(((x - y) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(d)], names=["src", "dst", "distance"])
+
+    return rows.mapInArrow(run, "src long, dst long, distance double")
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -313,7 +313,7 @@ def q_pairwise(spark, d):
 
 @register("knn_lsh")
 def q_knn_lsh(spark, d):
-    return _knn_out(knn.knn_lsh(fx.vectors(spark, d), 5, n_tables=8, n_bits=4, dim=64))
+    return _knn_out(knn.knn_lsh(fx.vectors(spark, d), 5, dim=64))
 
 
 # E9 / E10 ----------------------------------------------------------------

@@ -1,8 +1,13 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from agora.operators import knn as K
 from agora.operators import topics as TP
+from agora.sources import fixtures as fx
+from tests.conftest import SF
 
 
 def _pts(spark, n=300, d=8, seed=1):
@@ -24,11 +29,29 @@ def test_knn_exact_matches_brute_force(spark):
         assert list(g.sort_values("rank").dst) == list(want)
 
 
-def test_knn_lsh_recall(spark):
-    x, df = _pts(spark)
-    exact = K.knn_exact(df, 5, block_rows=64)
-    approx = K.knn_lsh(df, 5, n_tables=10, n_bits=3, dim=8, block_rows=64)
-    assert K.recall(approx, exact).first().recall >= 0.9
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_knn_lsh_recall(spark, sf):
+    """The registered query's parameters on the given vectors."""
+    v = fx.vectors(spark, SF[sf])
+    assert K.recall(E.queries()["knn_lsh"](spark, SF[sf]), K.knn_exact(v, 5)).first().recall >= 0.9
+
+
+def test_descent_finds_what_buckets_lose(spark):
+    x, df = _pts(spark, n=900)
+    exact = K.knn_exact(df, 5)
+    points = df.select(F.col("doc_id").alias("_id"), F.col("embedding").alias("_v"))
+    rng = np.random.default_rng(3)
+    start = [(i, int(j)) for i in range(900) for j in rng.choice(900, 12, replace=False) if i != j]
+    pairs = spark.createDataFrame(start, "src long, dst long")
+    graph = K.top_k_edges(K._distances(points, pairs, "cosine"), 12)
+    assert K.recall(graph, exact).first().recall < 0.1
+    got = K.descend(points, graph, 12)
+    assert K.recall(got.filter("rank <= 5"), exact).first().recall >= 0.9
+    assert got.groupBy("src").count().filter("count > 12").count() == 0
+
+
+def test_bits_follow_the_rows():
+    assert [K.bits_for(n) for n in (0, 1, 256, 1000, 10**6, 10**9)] == [0, 0, 0, 1, 11, 21]
 
 
 def test_mmr_small_case(spark):
