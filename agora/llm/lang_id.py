@@ -30,8 +30,8 @@ DIM = 1024
 #: Distinct n-grams whose vectors are held at once.
 _COLUMNS = 4096
 UNKNOWN = "und"
-#: The cosine of unrelated bundles scatters by 1 / sqrt(dim) around 0; a language
-#: is named from this many times that on (0.125 at 1,024 components).
+#: The cosine of unrelated bundles scatters by 1 / sqrt(dim) around 0; a text
+#: counts as known from this many times that on (0.125 at 1,024 components).
 NOISE = 4.0
 
 _letters: np.ndarray | None = None
@@ -70,7 +70,8 @@ class Trigrams:
     """Trigram counts of a block of texts, and their bundles."""
 
     def __init__(self, texts: list[str]):
-        codes = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        # a blank on both sides: the shortest text with a letter has a trigram
+        codes = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         rows = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])
         flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
         is_letter = _letter_table()[flat]
@@ -140,17 +141,16 @@ def profiles(labelled: DataFrame, text: str, lang: str, dim: int = DIM) -> DataF
 
 def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", dim: int = DIM,
              max_languages: int = 4096, keep_text: bool = True) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score`` added.
+    """``documents`` with ``lang_pred``, ``score`` and ``lang_known`` added.
 
     ``prototypes`` (one row per language; more than ``max_languages`` is an
     error, so what goes to each task is at most ``max_languages * dim`` numbers)
-    as made by :func:`profiles`. The score is the cosine with the best prototype
-    (0 if negative); ties go to the first language by code point. A text whose
-    score is below ``NOISE / sqrt(dim)`` is in none of the languages, as far as
-    can be told, and gets ``und`` with its score. A text that is null or has no
-    letter gets ``und`` and score 0, as does every text if there is no prototype.
-    Two letters and a blank make a trigram; a text too short for one has a zero
-    bundle, so ``und`` and score 0.
+    as made by :func:`profiles`. Every text with a letter gets the language of the
+    best prototype; the score is the cosine with it (0 if negative), and ties go to
+    the first language by code point. ``lang_known`` is false where the score is
+    below ``NOISE / sqrt(dim)``, as texts in none of the languages have it. A text
+    that is null or has no letter gets ``und``, score 0 and false, as does every
+    text if there is no prototype.
     Input columns named like the added ones are replaced; ``keep_text=False``
     leaves the text out of the result.
     """
@@ -161,7 +161,7 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
     p = np.array([r["prototype"] for r in known], np.float32).reshape(len(known), dim)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
     least = NOISE / dim ** 0.5
-    rows = documents.drop(*({"lang_pred", "score"} - {text}))
+    rows = documents.drop(*({"lang_pred", "score", "lang_known"} - {text}))
 
     def score(batches):
         for part, bundles, has in _block_bundles(batches, text, dim):
@@ -169,14 +169,15 @@ def identify(documents: DataFrame, prototypes: DataFrame, text: str = "text", di
                 length = np.linalg.norm(bundles, axis=1)
                 cosine = bundles @ p.T / np.maximum(length, 1e-9)[:, None]
                 top = np.where(has & (length > 0), np.clip(cosine.max(axis=1), 0, 1), 0.0)
-                said = [names[b] if ok else UNKNOWN for b, ok in zip(cosine.argmax(axis=1), top >= least)]
+                said = [names[b] if ok else UNKNOWN for b, ok in zip(cosine.argmax(axis=1), has)]
             else:
                 said, top = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
             rest = part if keep_text else part.drop_columns([text])
             yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(said, pa.string()), pa.array(top, pa.float64())],
-                names=[*rest.schema.names, "lang_pred", "score"])
+                [*rest.columns, pa.array(said, pa.string()), pa.array(top, pa.float64()), pa.array(top >= least)],
+                names=[*rest.schema.names, "lang_pred", "score", "lang_known"])
 
     fields = [f for f in rows.schema.fields if keep_text or f.name != text]
     return rows.mapInArrow(score, T.StructType([
-        *fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+        *fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("lang_known", T.BooleanType())]))

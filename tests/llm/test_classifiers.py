@@ -38,7 +38,7 @@ def test_bundle_is_sum_of_bound_trigrams():
     text = "Ab, ba é"
     t = lang_id.Trigrams([text])
     line = []
-    for ch in text.lower():
+    for ch in f" {text.lower()} ":
         c = ord(ch) if ch.isalpha() else 0
         if c or not line or line[-1]:
             line.append(c)
@@ -84,7 +84,33 @@ def test_unseen_languages_are_rejected(spark):
     assert len(kept) - len(foreign) >= 0.95 * len(clean) > 20
     known = lang_id.profiles(docs.filter("lang is not null"), "text", "lang")
     said = lang_id.identify(spark.createDataFrame(rows[:200], docs.schema), known).collect()
-    assert sum(r["lang_pred"] == "und" for r in said) >= 0.98 * 200 and any(r["score"] > 0 for r in said)
+    assert sum(not r["lang_known"] for r in said) >= 0.98 * 200 and any(r["score"] > 0 for r in said)
+    assert all(r["lang_pred"] != "und" for r in said)
+
+
+def test_every_text_with_a_letter_has_a_language(spark):
+    """The whole query against one bundle per text, built letter by letter."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").collect()
+    short = [(10**6 + i, t, None) for i, t in enumerate(["a", "Yes.", "é", "1 x", "?!", "", None, "ab", "日"])]
+    rows = [tuple(r) for r in docs[:60]] + short
+    known = lang_id.profiles(spark.createDataFrame(docs).filter("lang is not null"), "text", "lang")
+    proto = {r["lang"]: np.array(r["prototype"]) for r in known.collect()}
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in lang_id.identify(made, known).collect():
+        text = r["text"] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        line = []
+        for ch in f" {text.lower()} ":
+            c = ord(ch) if ch.isalpha() else 0
+            if c or not line or line[-1]:
+                line.append(c)
+        v = {c: lang_id.letter_vectors(np.array([c]))[0].astype(float) for c in set(line)}
+        bundle = sum(np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for a, b, c in zip(line, line[1:], line[2:]))
+        cosine = {name: bundle @ p / np.linalg.norm(bundle) / np.linalg.norm(p) for name, p in proto.items()}
+        best = max(cosine, key=cosine.get)
+        assert r["lang_pred"] == best and abs(r["score"] - max(0.0, cosine[best])) < 1e-4
 
 
 def test_language_held_out_accuracy(spark):
