@@ -34,11 +34,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learnt; those without a letter or with no
-    more likeness to a language than unrelated texts have (``und``) go."""
+    more likeness to a language than unrelated texts have go."""
     known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", 3) != 1))
     profiles = lang_id.profiles(known, "text", "lang")
-    return _judged(docs, ["score", "lang_pred"], lambda d: lang_id.identify(d, profiles),
-                   F.col("lang_pred") != lang_id.UNKNOWN)
+    return _judged(docs, ["score", "lang_pred", "lang_known"], lambda d: lang_id.identify(d, profiles), F.col("lang_known"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
