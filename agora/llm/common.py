@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +144,19 @@ def slices(batches, text: str, max_bytes: int = 1 << 20, cache: dict | None = No
     release()
 
 
+@contextmanager
+def wide_rows(spark: SparkSession, rows: int = 64) -> Iterator[None]:
+    """Plans run inside give Python ``rows`` rows at a time: for rows that may hold
+    whole sets of very long texts, of which ten thousand don't fit into memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give free memory back to the system: a Python worker lives on from task to
     task, and what its allocators keep would add up over stages."""

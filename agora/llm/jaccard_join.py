@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from agora.llm.common import mix64, list_array, shingles, signed, slices, texts_of
+from agora.llm.common import mix64, list_array, shingles, signed, slices, texts_of, wide_rows
 from agora.session import write_shared
 
 SHINGLE, PERCENT = 5, 80
@@ -111,7 +111,7 @@ def signatures(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, np
             if held_size > _WINDOW:
                 yield counts(*common())
                 held, held_size = [], 0
-                if len(seen) > 1 << 20:
+                if len(seen) > 1 << 18:
                     seen.clear()
         if held:
             yield counts(*common())
@@ -161,7 +161,7 @@ def _prefixes(documents: DataFrame, key: str, text: str, common: np.ndarray) ->
                 keys.append(first[:p])
                 ds.append(np.full(p, d, np.int64))
                 ns.append(np.full(p, len(s), np.int64))
-            if len(seen) > 1 << 21:
+            if len(seen) > 1 << 18:
                 seen.clear()
             if keys:
                 yield pa.RecordBatch.from_arrays(
@@ -242,9 +242,10 @@ def _near(pairs: DataFrame, sig: DataFrame) -> DataFrame:
                 yield x.select(["a", "b"]).filter(pa.array(ok))
 
     side = lambda c: sig.select(F.col("d").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"map_{c}"))
-    return write_shared(pairs.join(side("a"), "a").join(side("b"), "b")
-                        .select("a", "b", "n_a", "n_b", "map_a", "map_b")
-                        .mapInArrow(bound, "a bigint, b bigint"), "near")
+    with wide_rows(pairs.sparkSession, 1024):
+        return write_shared(pairs.join(side("a"), "a").join(side("b"), "b")
+                            .select("a", "b", "n_a", "n_b", "map_a", "map_b")
+                            .mapInArrow(bound, "a bigint, b bigint"), "near")
 
 
 def _sets_of(wanted: DataFrame, sig: DataFrame, documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -261,8 +262,9 @@ def _sets_of(wanted: DataFrame, sig: DataFrame, documents: DataFrame, key: str,
                  pa.array([sets[i].tobytes() for i in mine], pa.binary())], names=["d", "shingles"])
 
     rows = wanted.select("d").distinct().join(sig.select("d", "jk"), "d")
-    return write_shared(_keyed(documents, key, text).select("jk", "text").join(rows, "jk").select("d", "text")
-                        .mapInArrow(arrays, "d bigint, shingles binary"), "sets").dropDuplicates(["d"])
+    with wide_rows(documents.sparkSession):
+        return write_shared(_keyed(documents, key, text).select("jk", "text").join(rows, "jk").select("d", "text")
+                            .mapInArrow(arrays, "d bigint, shingles binary"), "sets").dropDuplicates(["d"])
 
 
 def _links(near: DataFrame, sets: DataFrame) -> DataFrame:
@@ -279,8 +281,9 @@ def _links(near: DataFrame, sets: DataFrame) -> DataFrame:
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     with_set = lambda c: sets.select(F.col("d").alias(c), F.col("shingles").alias(f"set_{c}"))
-    return write_shared(near.join(with_set("a"), "a").join(with_set("b"), "b").select("a", "b", "set_a", "set_b")
-                        .mapInArrow(exact, "a bigint, b bigint"), "links")
+    with wide_rows(near.sparkSession):
+        return write_shared(near.join(with_set("a"), "a").join(with_set("b"), "b").select("a", "b", "set_a", "set_b")
+                            .mapInArrow(exact, "a bigint, b bigint"), "links")
 
 
 def _rooted(tiles: DataFrame, roots: DataFrame) -> DataFrame:
@@ -332,11 +335,11 @@ def _open(tiles: DataFrame, roots: DataFrame, sig: DataFrame, every: bool) -> Da
                 alone = g["i"][lo] == g["j"][lo]
                 bits = maps.rows(np.arange(lo, hi), int(maps.words[lo:hi].min()))
                 order = np.argsort(n, kind="stable")
+                ends = np.searchsorted(n[order], n[order] * 100 // PERCENT, "right")
                 nearest, partner = np.zeros(hi - lo), np.full(hi - lo, -1)
                 for at, x in enumerate(order.tolist()):
                     # partners are larger, up to 1/t times, and not both in the upper band
-                    upto = np.searchsorted(n[order], n[x] * 100 // PERCENT, "right")
-                    y = order[at + 1: upto]
+                    y = order[at + 1: ends[at]]
                     y = y[(root[y] != root[x]) & (low[x] | low[y]) & (alone | (blk[y] != blk[x]))]
                     if not len(y):
                         continue
@@ -375,7 +378,8 @@ def _open(tiles: DataFrame, roots: DataFrame, sig: DataFrame, every: bool) -> Da
         if held is not None and held.num_rows:
             yield work(held)
 
-    return write_shared(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "open")
+    with wide_rows(tiles.sparkSession, 1024):
+        return write_shared(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "open")
 
 
 def components(edges: DataFrame) -> DataFrame:
