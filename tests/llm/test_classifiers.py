@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from agora.llm import lang_id, license_scan, maxent_lm, quality_gbt
 from agora.llm.common import fold, table, texts_of
+from agora.session import write_shared
 from tests.llm.helpers import DE, EN, FR, awkward, empty, lower, words
 
 SF = "/root/testdata/sf0.01"
@@ -255,7 +256,7 @@ def _followers(spark, n, related=True):
 
 def _parts(docs):
     """The class model, vocabulary, rooms and training texts that score makes."""
-    vocab = maxent_lm.vocabulary(docs).localCheckpoint()
+    vocab = write_shared(maxent_lm.vocabulary(docs), "vocabulary")
     rows = vocab.toPandas()
     words_ = rows[rows.prefix >= 0]
     edges = maxent_lm._edges(words_.prefix.to_numpy(), words_.n_train.to_numpy(), 4)
