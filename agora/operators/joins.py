@@ -9,10 +9,15 @@ measured side is small and splits skewed partitions when it is not.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from agora.functions.vectors import dot, norm
+from agora.functions.vectors import norm
 
 
 def _unit(c: str):
@@ -33,31 +38,83 @@ def subset_by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
-#: Parts that the left side of a similarity join is dealt into.
-SALTS = 64
+#: Rows of a stated table that go to the left rows at once.
+RIGHT_BLOCK, LEFT_BLOCK = 4096, 1 << 16
+#: Pairs whose products are held at once in a task.
+_AT_ONCE = 1 << 20
 
 
 def similarity_join(left: DataFrame, right: DataFrame, left_vec: str, right_vec: str,
                     threshold: float | None = None, out_col: str = "similarity") -> DataFrame:
     """Every left row against every row of a stated right table (keywords,
     category queries, topic vectors), cosine similarity, optional theta
-    predicate ``similarity > threshold``.
+    predicate ``similarity > threshold``. Vectors come out at length 1; a missing
+    or zero vector, or one of another dimension, is similar by 0.
 
-    The left rows are dealt into ``SALTS`` parts and every right row goes to each
-    part, so this is an equi join on the part: Spark sends a small right side to
-    all tasks, and shuffles the right side of a large one. Dealing the left rows
-    out costs little beside the pairs that each of them makes."""
+    A right table of up to ``RIGHT_BLOCK`` rows goes to the left rows where they
+    are: one matrix product per batch, and no shuffle. A larger one is dealt into
+    blocks of that size, the left rows into parts of ``LEFT_BLOCK``, and every part
+    meets every block in a task of its own: tasks follow the data."""
     clash = [c for c in right.columns if c in left.columns]
     if clash:
         raise ValueError(f"columns on both sides: {clash}")
-    # unit vectors are formed once per row on each side, so each pair costs
-    # one dot product (a zero or missing vector stays zero → similarity 0)
-    part = F.pmod(F.xxhash64(*[c for c in left.columns if c != left_vec] or [left_vec]), F.lit(SALTS)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    r = right.withColumn(right_vec, _unit(right_vec)).withColumn("_part", every)
-    dealt = left.withColumn(left_vec, _unit(left_vec)).withColumn("_part", part).repartition(SALTS, "_part")
-    j = dealt.join(r, "_part").drop("_part")
-    j = j.withColumn(out_col, F.coalesce(dot(F.col(left_vec), F.col(right_vec)), F.lit(0.0)))
-    if threshold is not None:
-        j = j.where(F.col(out_col) > F.lit(threshold))
-    return j
+    unit_l = left.withColumn(left_vec, _unit(left_vec))
+    unit_r = right.withColumn(right_vec, _unit(right_vec))
+    first = unit_r.limit(RIGHT_BLOCK + 1).toArrow()
+    schema = T.StructType([*unit_l.schema.fields, *unit_r.schema.fields, T.StructField(out_col, T.DoubleType())])
+    if first.num_rows <= RIGHT_BLOCK:
+        def run(batches):
+            for b in batches:
+                yield from _paired(b, first, left_vec, right_vec, threshold, out_col)
+
+        return unit_l.mapInArrow(run, schema)
+
+    blocks = -(-unit_r.count() // RIGHT_BLOCK)
+    parts = max(1, -(-unit_l.count() // LEFT_BLOCK))
+    deal = lambda n, cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    keys = ["__part", "__block"]
+    dealt_l = unit_l.withColumn("__part", deal(parts, [c for c in left.columns if c != left_vec] or [left_vec])).withColumn("__block", every(blocks))
+    dealt_r = unit_r.withColumn("__block", deal(blocks, [c for c in right.columns if c != right_vec] or [right_vec])).withColumn("__part", every(parts))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = [x for batch in a.drop_columns(keys).to_batches(max_chunksize=4096)
+                 for x in _paired(batch, b.drop_columns(keys), left_vec, right_vec, threshold, out_col)]
+        return pa.Table.from_batches(found) if found else pa.table(
+            {f.name: pa.nulls(0, t) for f, t in zip(schema.fields, [*a.drop_columns(keys).schema.types, *b.drop_columns(keys).schema.types, pa.float64()])})
+
+    return dealt_l.groupBy(*keys).cogroup(dealt_r.groupBy(*keys)).applyInArrow(meet, schema)
+
+
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each vector (0: none), and the values end to end."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return size, a.flatten().to_numpy(zero_copy_only=False)
+
+
+def _paired(batch: pa.RecordBatch, right: pa.Table, left_vec: str, right_vec: str, threshold: float | None,
+            out_col: str) -> Iterator[pa.RecordBatch]:
+    """All pairs of the rows that pass the threshold, a bounded number at a time."""
+    m = right.num_rows
+    if not m:
+        return
+    size_r, flat_r = _rows(right.column(right_vec))
+    at_r = np.cumsum(size_r) - size_r
+    step = max(1, _AT_ONCE // m)
+    for lo in range(0, batch.num_rows, step):
+        part = batch.slice(lo, step)
+        size_l, flat_l = _rows(part.column(left_vec))
+        at_l = np.cumsum(size_l) - size_l
+        likeness = np.zeros((part.num_rows, m))
+        for d in np.intersect1d(size_l[size_l > 0], size_r):
+            mine, other = np.flatnonzero(size_l == d), np.flatnonzero(size_r == d)
+            x = flat_l[at_l[mine, None] + np.arange(d)]
+            y = flat_r[at_r[other, None] + np.arange(d)]
+            likeness[np.ix_(mine, other)] = x @ y.T
+        i, j = np.nonzero(likeness > threshold) if threshold is not None else np.indices(likeness.shape).reshape(2, -1)
+        for a in range(0, len(i), _AT_ONCE // 16):
+            ii, jj = i[a: a + _AT_ONCE // 16], j[a: a + _AT_ONCE // 16]
+            l, r = part.take(pa.array(ii)), right.take(pa.array(jj)).combine_chunks()  # noqa: E741
+            columns = [*l.columns, *(c.combine_chunks() for c in r.columns), pa.array(likeness[ii, jj])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*l.schema.names, *r.schema.names, out_col])

@@ -60,3 +60,32 @@ def test_knn_ties_go_to_smaller_ids(spark):
         got.setdefault(r["src"], []).append(r["dst"])
     assert got[0] == [1, 2, 3] and got[5] == [0, 1, 2] and got[12][:2] == [13, 14]
     assert all(len(v) == 3 for v in got.values()) and not any(k in v for k, v in got.items())
+
+
+def test_similarity_join_shuffles_nothing_for_a_stated_table(spark):
+    left = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "a long, x array<double>")
+    right = spark.createDataFrame([(1, [1.0, 0.0])], "b long, y array<double>")
+    assert exchanges(joins.similarity_join(left, right, "x", "y", 0.5)) == []
+
+
+def test_similarity_join_with_many_right_rows_and_odd_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    odd = [None, [], [0.0, 0.0], [1.0], [1.0, 2.0, 3.0]]
+    side = lambda n: [(i, rng.normal(size=2).tolist()) for i in range(n)] + [(n + i, v) for i, v in enumerate(odd)]
+    left, right = side(40), side(30)
+    x = spark.createDataFrame(left, "a long, x array<double>")
+    y = spark.createDataFrame(right, "b long, y array<double>")
+
+    def cosine(u, v):
+        if not u or not v or len(u) != len(v) or not any(u) or not any(v):
+            return 0.0
+        return float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))
+
+    want = {(i, j): cosine(u, v) for i, u in left for j, v in right}
+    for block in (4096, 7):
+        monkeypatch.setattr(joins, "RIGHT_BLOCK", block)
+        monkeypatch.setattr(joins, "LEFT_BLOCK", 9)
+        for bound in (None, 0.3):
+            got = {(r["a"], r["b"]): r["similarity"] for r in joins.similarity_join(x, y, "x", "y", bound).collect()}
+            kept = {k: v for k, v in want.items() if bound is None or v > bound}
+            assert got.keys() == kept.keys() and all(abs(got[k] - kept[k]) < 1e-9 for k in kept)
