@@ -189,10 +189,13 @@ def cluster_labels(clusters: DataFrame, members: DataFrame, selected: DataFrame,
 
 
 def cluster_graph(knn: DataFrame, nodes: DataFrame, min_cluster_size, min_samples, selection: str = "eom",
-                  allow_single_cluster: bool = False, key: list[str] | None = None) -> dict[str, DataFrame]:
-    """E1–E8 from a neighbour graph ``(*key, src, rank, dst, distance)``."""
-    mr = mutual_reachability(knn, core_distance(knn, min_samples, key), key)
-    mst = minimum_spanning_forest(mr, key)
+                  allow_single_cluster: bool = False, key: list[str] | None = None,
+                  mst: DataFrame | None = None) -> dict[str, DataFrame]:
+    """E1–E8 from a neighbour graph ``(*key, src, rank, dst, distance)``, over its
+    spanning forest or a given ``mst``."""
+    if mst is None:
+        mr = mutual_reachability(knn, core_distance(knn, min_samples, key), key)
+        mst = minimum_spanning_forest(mr, key)
     clusters, members = condensed_tree(mst, nodes, min_cluster_size, key)
     sel = select_eom(clusters, allow_single_cluster, key) if selection == "eom" else select_leaf(clusters, key)
     labels = write_shared(cluster_labels(clusters, members, sel, nodes, key), "labels")
@@ -208,14 +211,22 @@ def neighbour_graph(df: DataFrame, k: int, id_col: str, vec_col: str, metric: st
 def density_cluster(df: DataFrame, min_cluster_size: int = 15, min_samples: int = 1,
                     selection: str = "eom", allow_single_cluster: bool = False,
                     id_col: str = "doc_id", vec_col: str = "embedding", metric: str = "euclidean",
-                    k_graph: int = 15, graph: str = "exact") -> dict[str, DataFrame]:
+                    k_graph: int = 15, graph: str = "exact", span: str = "graph") -> dict[str, DataFrame]:
     """E1–E8 composed; returns labels (id, cluster), mst, clusters, members, knn.
-    The graph has the ``k_graph`` nearest neighbours, at least ``min_samples``."""
+    The graph has the ``k_graph`` nearest neighbours, at least ``min_samples``.
+    ``span``: ``graph`` for the forest of the neighbour graph, ``all`` for the one
+    tree over all pairs (needs exact neighbours)."""
     if k_graph < min_samples:
         raise ValueError("k_graph must be at least min_samples")
+    if span == "all" and graph != "exact":
+        raise ValueError("the tree over all pairs needs exact neighbours")
     knn = neighbour_graph(df, k_graph, id_col, vec_col, metric, graph)
     nodes = df.select(F.col(id_col).cast("long").alias("node")).distinct()
-    return cluster_graph(knn, nodes, min_cluster_size, min_samples, selection, allow_single_cluster)
+    mst = None
+    if span == "all":
+        from agora.operators.span import spanning_tree
+        mst = spanning_tree(df, knn, core_distance(knn, min_samples), id_col, vec_col, metric)
+    return cluster_graph(knn, nodes, min_cluster_size, min_samples, selection, allow_single_cluster, mst=mst)
 
 
 # --------------------------------------------------------- E9 – E14 ------

@@ -55,6 +55,15 @@ def q_mst(spark, d):
     return f.select(big("src").alias("src"), big("dst").alias("dst"), r6("weight").alias("weight"))
 
 
+@register("spanning_tree")
+def q_spanning_tree(spark, d):
+    from agora.operators.span import spanning_tree
+    v = fx.vectors(spark, d)
+    kn = write_shared(_knn(spark, d), "knn")
+    t = spanning_tree(v, kn, density.core_distance(kn, MIN_SAMPLES), metric="cosine")
+    return t.select(big("src").alias("src"), big("dst").alias("dst"), r6("weight").alias("weight"))
+
+
 @register("topic_distance", f"""WITH {M.sql_model()},
 nrm AS (SELECT topic, sqrt(sum(score * score)) AS n FROM ctfidf GROUP BY topic),
 dots AS (SELECT x.topic AS a, y.topic AS b, sum(x.score * y.score) AS dot
