@@ -38,13 +38,14 @@ def lexicon_sentiment(chunks: DataFrame, positive=POSITIVE_WORDS, negative=NEGAT
                       text_col: str = "chunk") -> DataFrame:
     """F12 default scorer: score = positive − negative hits among the chunk's
     tokens (hash-set lookups inside the row); class by the sign."""
-    toks = tokenize(F.col(text_col))
-    pos = F.size(F.filter(toks, lambda t: t.isin(list(positive))))
-    neg = F.size(F.filter(toks, lambda t: t.isin(list(negative))))
-    score = (pos - neg).cast("bigint")
-    cls = F.when(score < 0, F.lit(SENTIMENT_CLASSES[0])).when(score > 0, F.lit(SENTIMENT_CLASSES[2])) \
+    sign = F.create_map(*[F.lit(v) for w in positive for v in (w, 1)], *[F.lit(v) for w in negative for v in (w, -1)])
+    # a token's hit is looked up once; as a column of its own the score isn't worked out again for the class
+    scored = chunks.withColumn("score", F.aggregate(
+        F.filter(tokenize(F.col(text_col)), lambda t: t.isin([*positive, *negative])), F.lit(0).cast("bigint"),
+        lambda total, t: total + F.element_at(sign, t)))
+    cls = F.when(F.col("score") < 0, F.lit(SENTIMENT_CLASSES[0])).when(F.col("score") > 0, F.lit(SENTIMENT_CLASSES[2])) \
         .otherwise(F.lit(SENTIMENT_CLASSES[1]))
-    return chunks.withColumn("score", score).withColumn("sentiment", cls)
+    return scored.withColumn("sentiment", cls)
 
 
 def model_sentiment(chunks: DataFrame, scorer: Callable[[list[str]], np.ndarray],

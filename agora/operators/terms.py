@@ -109,6 +109,22 @@ def count_group_terms(docs: DataFrame, group_col: str, text_col: str = "text", m
     return _in_rows(t, [group_col], min_n, max_n, count, "n").groupBy(group_col, "term").agg(F.sum("n").alias("n"))
 
 
+def count_topic_terms(docs: DataFrame, topics: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+                      min_n: int = 1, max_n: int = 1, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """``(topic, term, n)``: terms of all documents of a topic, noise excluded.
+
+    ``topics`` is ``(cluster, topic)`` for documents that hold their ``cluster``:
+    terms are counted per cluster, and the mapping, a row per cluster, is joined to
+    the counts. Or it is ``(id, topic)``: a document's counts are joined by id.
+    Texts are not shuffled in either case."""
+    known = topics.where(F.col("topic") != NOISE)
+    if id_col in topics.columns:
+        counts = count_terms(docs, text_col, id_col, min_n, max_n, stop_words)
+        return counts.join(known.select(id_col, "topic"), id_col).groupBy("topic", "term").agg(F.sum("n").alias("n"))
+    counts = count_group_terms(docs.where(F.col("cluster") != NOISE), "cluster", text_col, min_n, max_n, stop_words)
+    return counts.join(known.select("cluster", "topic"), "cluster").groupBy("topic", "term").agg(F.sum("n").alias("n"))
+
+
 def term_stats(counts: DataFrame, unit_col: str = "doc_id") -> DataFrame:
     """Per term: corpus count ``total`` and unit frequency ``df`` (``counts``
     holds one row per unit and term)."""
@@ -202,18 +218,17 @@ def cluster_top_terms(docs: DataFrame, clusters: DataFrame, text_col: str = "tex
     return top_n_per_group(means, "cluster", "score", top_n).select("cluster", "rank", "term", "score")
 
 
-def group_top_bigrams(docs: DataFrame, doc_topics: DataFrame, groups: DataFrame,
+def group_top_bigrams(docs: DataFrame, topics: DataFrame, groups: DataFrame,
                       text_col: str = "text", id_col: str = "doc_id", top_n: int = TOP_BIGRAMS,
                       n: int = 2) -> DataFrame:
     """the ``top_n`` most frequent n-grams over all documents of each
     topic group ``(group, topic)``; ties alphabetical. A document whose topic
-    is in several groups counts in each.
+    is in several groups counts in each. ``topics`` as in :func:`count_topic_terms`.
 
     N-grams are counted per topic, map-side first; groups are joined to those
     counts, so no n-gram is counted twice."""
     wanted = groups.select("topic").distinct()
-    topics = doc_topics.select(id_col, "topic").join(wanted, "topic", "left_semi")
-    per_topic = count_group_terms(docs.select(id_col, text_col).join(topics, id_col), "topic", text_col, n, n)
+    per_topic = count_topic_terms(docs, topics.join(wanted, "topic", "left_semi"), text_col, id_col, n, n)
     per_group = per_topic.join(groups.select("group", "topic"), "topic").groupBy("group", "term").agg(
         F.sum("n").alias("count"))
     return top_n_per_group(per_group, "group", "count", top_n).select(

@@ -11,31 +11,35 @@ from pyspark.sql import functions as F
 
 from agora.functions import vectors as V
 from agora.functions.constants import ENGLISH_STOP_WORDS, MAX_DF, MIN_DF, MMR_DIVERSITY, NOISE
-from agora.operators.terms import count_group_terms, prune_vocab, term_stats, top_n_per_group
+from agora.operators.terms import count_topic_terms, prune_vocab, term_stats, top_n_per_group
 from agora.operators.vectors import weighted_mean
 from agora.session import write_shared
 
 
-def assign_topics(clusters: DataFrame, cluster_col: str = "cluster", id_col: str = "doc_id") -> DataFrame:
-    """G1: renumber clusters 0.. by descending size (ties by cluster id);
-    noise stays −1. The ranking window runs over one row per cluster; the
-    mapping join back is broadcast by AQE when the measured mapping is small
-    and skew-split otherwise."""
+def topic_mapping(clusters: DataFrame, cluster_col: str = "cluster") -> DataFrame:
+    """``(cluster, topic)``: clusters renumbered 0.. by descending size (ties by
+    cluster id), noise left out. The ranking window runs over one row per cluster."""
     sizes = (clusters.where(F.col(cluster_col) != NOISE)
              .groupBy(cluster_col).agg(F.count(F.lit(1)).alias("size")))
-    mapping = sizes.select(cluster_col, (F.row_number().over(
+    return sizes.select(cluster_col, (F.row_number().over(
         Window.orderBy(F.desc("size"), F.asc(cluster_col))) - 1).alias("topic"))
-    return (clusters.select(id_col, cluster_col).join(mapping, cluster_col, "left")
+
+
+def assign_topics(clusters: DataFrame, cluster_col: str = "cluster", id_col: str = "doc_id") -> DataFrame:
+    """G1: renumber clusters 0.. by descending size (ties by cluster id);
+    noise stays −1. The mapping join back is broadcast by AQE when the measured
+    mapping is small and skew-split otherwise."""
+    return (clusters.select(id_col, cluster_col).join(topic_mapping(clusters, cluster_col), cluster_col, "left")
             .select(id_col, F.coalesce(F.col("topic"), F.lit(NOISE)).alias("topic")))
 
 
-def class_term_counts(docs: DataFrame, doc_topics: DataFrame, text_col: str = "text",
+def class_term_counts(docs: DataFrame, topics: DataFrame, text_col: str = "text",
                       id_col: str = "doc_id", min_n: int = 1, max_n: int = 1,
                       stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """``(topic, term, n)`` — term counts of all documents of a topic
-    (n-grams never span two documents). Noise excluded."""
-    t = doc_topics.where(F.col("topic") != NOISE).select(id_col, "topic")
-    return count_group_terms(docs.select(id_col, text_col).join(t, id_col), "topic", text_col, min_n, max_n, stop_words)
+    (n-grams never span two documents). Noise excluded. ``topics`` as in
+    :func:`agora.operators.terms.count_topic_terms`."""
+    return count_topic_terms(docs, topics, text_col, id_col, min_n, max_n, stop_words)
 
 
 def prune_class_vocab(class_counts: DataFrame, min_df=MIN_DF, max_df=MAX_DF) -> DataFrame:

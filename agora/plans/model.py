@@ -45,8 +45,17 @@ def doc_topics(spark: SparkSession, d: str) -> DataFrame:
     return topics.assign_topics(fx.source_clusters(spark, d))
 
 
+def topic_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return topics.topic_mapping(fx.source_clusters(spark, d))
+
+
+def clustered_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus, every document with its given cluster."""
+    return corpus(spark, d).withColumn("cluster", fx.source_cluster())
+
+
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
-    return topics.class_term_counts(corpus(spark, d), doc_topics(spark, d))
+    return topics.class_term_counts(clustered_corpus(spark, d), topic_mapping(spark, d))
 
 
 def pruned_counts(spark: SparkSession, d: str) -> DataFrame:

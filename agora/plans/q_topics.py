@@ -38,8 +38,14 @@ def q_class_term_counts(spark, d):
 
 
 # F5 on topics ------------------------------------------------------------
-@register("prune_vocab", f"""{W}
-SELECT term, CAST(df AS BIGINT) AS df FROM tstats WHERE term IN (SELECT term FROM cc)""")
+# its SQL is flat: tokens, their clusters (as many as topics), counts of clusters
+@register("prune_vocab", f"""
+WITH toks AS MATERIALIZED (SELECT CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS cluster,
+    unnest({tokens_expr("text")}) AS term FROM documents),
+per AS MATERIALIZED (SELECT DISTINCT cluster, term FROM toks WHERE cluster <> 0),
+n AS (SELECT count(DISTINCT cluster) AS topics FROM per),
+df AS (SELECT term, count(*) AS df FROM per GROUP BY term)
+SELECT term, CAST(df AS BIGINT) AS df FROM df, n WHERE df >= {M.MIN_DF} AND df <= {M.MAX_DF} * topics""")
 def q_prune_vocab(spark, d):
     pc = M.pruned_counts(spark, d)
     return terms.term_stats(pc, "topic").select("term", big("df").alias("df"))
@@ -340,7 +346,7 @@ gtop AS (SELECT * FROM (SELECT grp, term, cnt,
 
 
 def _group_bigrams(spark, d):
-    return terms.group_top_bigrams(M.corpus(spark, d), M.doc_topics(spark, d), M.groups(spark), top_n=30)
+    return terms.group_top_bigrams(M.clustered_corpus(spark, d), M.topic_mapping(spark, d), M.groups(spark), top_n=30)
 
 
 @register("group_top_bigrams", f"""{W}, {_bigram_sql()}

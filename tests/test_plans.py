@@ -89,3 +89,36 @@ def test_similarity_join_with_many_right_rows_and_odd_vectors(spark, monkeypatch
             got = {(r["a"], r["b"]): r["similarity"] for r in joins.similarity_join(x, y, "x", "y", bound).collect()}
             kept = {k: v for k, v in want.items() if bound is None or v > bound}
             assert got.keys() == kept.keys() and all(abs(got[k] - kept[k]) < 1e-9 for k in kept)
+
+
+def test_topic_counts_shuffle_no_text(spark):
+    from agora.operators import topics
+    from agora.plans import model as M
+    mapping = M.topic_mapping(spark, SF)
+    groups = M.groups(spark)
+    labels = topics.assign_topics(fx.source_clusters(spark, SF))
+    for docs, table in [(M.clustered_corpus(spark, SF), mapping), (M.corpus(spark, SF), labels)]:
+        for df in (topics.class_term_counts(docs, table), terms.group_top_bigrams(docs, table, groups)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            above = plan[:plan.index("MapInArrow")]  # what comes after the counting inside rows
+            assert "text#" not in above and "Exchange" in above
+            below = plan[plan.index("MapInArrow"):]
+            assert not re.search(r"Exchange hashpartitioning\((doc_id|cluster)[^\n]*\n[^\n]*text#", below)
+
+
+def test_topics_by_cluster_or_by_id(spark):
+    from agora.operators import topics
+    docs = spark.createDataFrame([(1, "wind wind sun", 5), (2, "sun coal", 7), (3, "sun", 5), (4, "coal", -1), (5, None, 7)],
+                                 "doc_id long, text string, cluster int")
+    mapping = topics.topic_mapping(docs)
+    want = {(0, "wind"): 2, (0, "sun"): 2, (1, "sun"): 1, (1, "coal"): 1}
+    for table in (mapping, topics.assign_topics(docs)):
+        got = {(r["topic"], r["term"]): r["n"] for r in topics.class_term_counts(docs, table).collect()}
+        assert got == want
+
+
+def test_sentiment_by_hand(spark):
+    from agora.operators import sentiment
+    chunks = spark.createDataFrame([(1, "good GOOD bad"), (2, "the fear"), (3, ""), (4, None)], "doc_id long, chunk string")
+    got = {r["doc_id"]: (r["score"], r["sentiment"]) for r in sentiment.lexicon_sentiment(chunks).collect()}
+    assert got == {1: (1, "Positive"), 2: (-1, "Negative"), 3: (0, "Neutral"), 4: (None, "Neutral")}
