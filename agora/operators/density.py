@@ -298,51 +298,17 @@ def candidate_table(spark, space: dict, max_evals: int, seed: int = 0) -> DataFr
 
 
 def sweep_with_labels(df: DataFrame, space: dict, max_evals: int, alpha: float = SWEEP_ALPHA, seed: int = 0,
-                      id_col: str = "doc_id", vec_col: str = "embedding", metric: str = "euclidean",
-                      selection: str = "eom", graph: str = "exact") -> tuple[DataFrame, DataFrame]:
-    """E13 with each trial's labels ``(trial, id, cluster)``.
-
-    ``n_components``: the vectors are reduced to that many principal components
-    (one fit at the largest number; fewer are its first ones). ``n_neighbors``:
-    neighbours in the graph. ``min_samples``, ``min_cluster_size``: E1, E5. What
-    the space leaves out has the default of :func:`density_cluster` and no
-    reduction. All trials are solved together, keyed by trial."""
-    from agora.operators import vectors as VO
-    spark = df.sparkSession
-    default = {"n_neighbors": 15, "n_components": None, "min_cluster_size": 15, "min_samples": 1}
-    trials = candidate_table(spark, space, max_evals, seed)
-    trials = write_shared(trials.select("trial", *space, *[
-        F.lit(v).cast("int").alias(c) for c, v in default.items() if c not in space]), "trials")
-    most = trials.agg(F.max(F.greatest("n_neighbors", "min_samples"))).first()[0]
-    reduced = [r[0] for r in trials.select("n_components").distinct().orderBy("n_components").collect()]
-    coords = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    if reduced[-1] is not None:
-        coords = write_shared(VO.pca(coords, reduced[-1], "v", "v"), "coords")
-    graphs = None  # one neighbour graph for each number of components in the space
-    for c in reduced:
-        part = coords if c is None else coords.withColumn("v", F.slice("v", 1, c))
-        knn = {"exact": knn_exact, "lsh": knn_lsh}[graph](part, most, "id", "v", metric).withColumn(
-            "n_components", F.lit(c).cast("int"))
-        graphs = knn if graphs is None else graphs.unionByName(knn)
-    graphs = write_shared(graphs, "graphs")
-    t = trials.withColumnRenamed("n_components", "nc")
-    keyed = graphs.join(F.broadcast(t), F.col("nc").eqNullSafe(F.col("n_components"))) \
-        .filter(F.col("rank") <= F.greatest("n_neighbors", "min_samples"))
-    keyed = write_shared(keyed.select("trial", "src", "rank", "dst", "distance", "min_samples"), "keyed")
-    nodes = coords.select(F.col("id").alias("node")).distinct().join(F.broadcast(trials.select("trial")))
-    out = cluster_graph(keyed, nodes, trials.select("trial", F.col("min_cluster_size").alias("mcs")),
-                        F.col("min_samples"), selection, key=["trial"])
-    validity = relative_validity(out["mst"], out["labels"], key=["trial"])
-    noise = out["labels"].groupBy("trial").agg(F.avg((F.col("cluster") == NOISE).cast("double")).alias("noise_ratio"))
-    scored = trials.select("trial", *space).join(validity, "trial").join(noise, "trial").withColumn(
-        "score", search_score(F.col("validity"), F.col("noise_ratio"), alpha))
-    return write_shared(scored, "scored"), out["labels"]
+                      **settings) -> tuple[DataFrame, DataFrame]:
+    """E13 with each trial's labels ``(trial, id, cluster)``: see
+    :func:`agora.operators.tuning.adaptive_search`."""
+    from agora.operators.tuning import adaptive_search
+    return adaptive_search(df, space, max_evals, alpha, seed, **settings)
 
 
 def param_sweep(df: DataFrame, space: dict, max_evals: int = 100, alpha: float = SWEEP_ALPHA, seed: int = 0,
                 **settings) -> DataFrame:
-    """``(trial, params…, validity, noise_ratio, score)`` of seeded
-    candidates; lower scores are better."""
+    """``(trial, params…, validity, noise_ratio, score)`` of adaptively
+    chosen trials; lower scores are better."""
     return sweep_with_labels(df, space, max_evals, alpha, seed, **settings)[0]
 
 

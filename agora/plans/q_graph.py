@@ -295,19 +295,17 @@ def q_best_trial(spark, d):
     return density.best_trial(scored).select("trial", r6("score").alias("score"))
 
 
-_SMALL = {"n_neighbors": (5, 15, 5), "n_components": (8, 24, 8), "min_cluster_size": (4, 12, 4), "min_samples": (1, 5, 2)}
-
-
+# the whole space, clipped to the vectors' 64 dimensions: 100 evaluations in rounds
 @register("param_sweep")
 def q_param_sweep(spark, d):
-    t = density.param_sweep(fx.vectors(spark, d), _SMALL, 4)
-    return t.select(big("trial").alias("trial"), *[big(c).alias(c) for c in _SMALL], r6("validity").alias("validity"),
+    t = density.param_sweep(fx.vectors(spark, d), _SPACE, 100)
+    return t.select(big("trial").alias("trial"), *[big(c).alias(c) for c in _SPACE], r6("validity").alias("validity"),
                     r6("noise_ratio").alias("noise_ratio"), r6("score").alias("score"))
 
 
 @register("fit_best")
 def q_fit_best(spark, d):
-    _, labels = density.fit_best(fx.vectors(spark, d), _SMALL, 4)
+    _, labels = density.fit_best(fx.vectors(spark, d), _SPACE, 100)
     return labels.select(big("id").alias("id"), big("cluster").alias("cluster"))
 
 
