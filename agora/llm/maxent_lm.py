@@ -4,15 +4,24 @@ P(word | history) = P(class | history) * P(word | class). Words of about equal
 total frequency that are neighbours in byte order form a class; the end of a text
 has a class of its own. The class factor is a softmax over weights of hashed
 history features: the last word, the last two words, and two skips (the word
-before the last, and the one before that). The word factor starts from P0, the
-add-half relative frequency inside the class, with one place for all unseen words,
-and adds what followed the same last word in the training texts:
+before the last, and the one before that). The word factor is a softmax over the
+words of the class as well, with a weight for the hashed feature (class, last word,
+word) on top of log P0(word), the add-half relative frequency inside the class with
+one place for all unseen words. The penalised weights have a closed form:
 
+    weight = log(1 + n(last, word) / (prior * P0(word))), and the sum over the class is
+    1 + n(last, class) / prior, so
     P(word | class, last) = (n(last, word) + prior * P0(word)) / (n(last, class) + prior)
 
-The counts are rows of a table that grows with the input, without a least count;
-``prior`` is the one of the highest likelihood on every eighth training text when
-that is left out, or P0 alone if none is better.
+All features that training texts have get a count, without a least one; ``prior``
+is the one of the highest likelihood on every eighth training text when that is left
+out, or P0 alone if none is better. Feature keys are hashes of 48 bits: of the 5e9
+features of 30 GB about 2 in 100,000 share a key with another.
+
+The table of counts grows with the input. It is kept as sorted, packed blocks of
+keys, about ``BLOCK_KEYS`` in a block. Texts are scored in parts of about
+``PART_BYTES``; a part gathers its distinct keys once, sends them to their blocks,
+gets the counts back and is scored in numpy.
 
 Training is distributed: a pass over all training texts gives each (feature,
 class) count that was observed and each that the model expects, summed over tasks
@@ -22,8 +31,7 @@ iterative scaling). Scoring is a pass of sparse numpy batches.
 
 Word counts are taken over all texts. The ``HEAD`` most frequent words (a
 bounded table) are known to every task; a document's other words are looked up by
-a join with the whole vocabulary, its pairs of words by a join with the whole table
-of pairs.
+a join with the whole vocabulary.
 """
 
 from __future__ import annotations
@@ -32,10 +40,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import Texts, hashed, list_array, mix64, signed, slices, texts_of
+from agora.llm.common import Texts, hashed, list_array, mix64, signed, slices, texts_of, wide_rows
 from agora.session import write_shared
 
 CLASSES, BUCKETS, ROUNDS, HEAD = 32, 1 << 13, 2, 1 << 17
@@ -43,6 +52,8 @@ FEATURES = 4
 #: Priors of the word factor that are tried.
 PRIORS = [4.0**i for i in range(-1, 11)]
 DEV = 8
+#: Bits of a feature's key, entries of a block of counts, bytes of text of a part.
+KEY_BITS, BLOCK_KEYS, PART_BYTES = 48, 1 << 21, 1 << 22
 _BLOCK = 512  # buckets that travel together
 _CHUNK = 1 << 15
 _BEGIN, _END = hashed(np.arange(2), 41)
@@ -258,77 +269,169 @@ def head_of(vocab: DataFrame, most: int = HEAD) -> pa.Table:
 
 # ------------------------------------------------- words after the last word
 
+def _pack(a: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers, byte by byte of all numbers, compressed."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view("<u8").ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes, size: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, size), dtype=np.uint64)
+
+
+def _blocks(keys: np.ndarray, bits: int):
+    """``(block, from, to)`` of the runs of ascending keys with the same top bits."""
+    of = keys >> np.uint64(KEY_BITS - bits)
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+        if hi > lo:
+            yield int(of[lo]), lo, hi
+
+
+def _keys(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - KEY_BITS)
+
+
 def _follow(t: Tokens, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each token's context (last word, class) and of the token in it."""
     context = mix64(t.line[t.place - 1] * _PAIR[0] + (classes.astype(np.uint64) + np.uint64(1)) * _PAIR[1])
-    return context, mix64(context * _PAIR[2] + t.hash)
+    return _keys(context), _keys(mix64(context * _PAIR[2] + t.hash))
 
 
-def pairs(training: DataFrame, model: ClassModel) -> DataFrame:
-    """``(pair, context, word, class, n, n_dev)`` of all training texts (``text``,
-    ``dev``). Tasks count their own pairs first."""
-    names = ["pair", "context", "word", "class", "n", "n_dev"]
+def _rare(h: np.ndarray) -> np.ndarray:
+    """Keys of words outside the head."""
+    return _keys(hashed(h, 53))
 
-    def merged(held):
-        pair, context, word, of, n, d = (np.concatenate([x[i] for x in held]) for i in range(6))
-        u, at, back = np.unique(pair, return_index=True, return_inverse=True)
-        return (u, context[at], word[at], of[at], np.bincount(back, weights=n, minlength=len(u)),
-                np.bincount(back, weights=d, minlength=len(u)))
 
-    def batch(x):
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(signed(v)) for v in x[:3]), pa.array(x[3].astype(np.int32)),
-             *(pa.array(v.astype(np.int64)) for v in x[4:])], names=names)
+class Head:
+    """The frequent words, known to every task: hashes (ascending) and counts."""
 
-    def run(batches):
-        held: list[tuple] = []
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.hashes, self.counts = hashes, counts
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are there, and their training counts (else 0)."""
+        if not len(self.hashes):
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        there = self.hashes[at] == h
+        return there, np.where(there, self.counts[at], 0)
+
+
+_COUNTS = "block int, size int, keys binary, n binary, n_dev binary"
+
+
+def feature_counts(training: DataFrame, model: ClassModel, head: Head, bits: int) -> DataFrame:
+    """``(block, size, keys, n, n_dev)``: counts of all pairs, contexts and words
+    outside the head in the training texts (``text``, ``dev``), and those in the
+    left-out ones. Tasks count their own first; ``bits`` name the blocks."""
+    names = ["block", "size", "keys", "n", "n_dev"]
+
+    def rows(keys, n, d):
+        return [(b, hi - lo, pack_keys(keys[lo:hi]), _pack(n[lo:hi]), _pack(d[lo:hi])) for b, lo, hi in _blocks(keys, bits)]
+
+    def batch(found):
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=names)
+
+    def summed(held):
+        # the key above one bit that says left out: one sort counts both
+        x = np.concatenate(held)
+        x.sort()
+        starts = np.flatnonzero(np.diff(x, prepend=~x[:1]))
+        times = np.diff(starts, append=len(x))
+        key, left = x[starts] >> np.uint64(1), (x[starts] & np.uint64(1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        return key[first], np.add.reduceat(times, first), np.add.reduceat(times * left, first)
+
+    def local(batches):
+        held: list[np.ndarray] = []
         size = 0
         for part in slices(batches, "text"):
             t = Tokens(texts_of(part.column("text")))
-            of = model.classes(t)
-            context, pair = _follow(t, of)
-            dev = part.column("dev").to_numpy(zero_copy_only=False).astype(float)[t.row]
-            held.append(merged([(pair, context, t.hash, of, np.ones(len(pair)), dev)]))
-            size += len(held[-1][0])
-            if size > 1_000_000:
-                yield batch(merged(held))
+            there, _ = head.find(t.hash)
+            dev = part.column("dev").to_numpy(zero_copy_only=False).astype(np.uint64)[t.row]
+            for keys, left in [*((k, dev) for k in _follow(t, model.classes(t))), (_rare(t.hash[~there]), dev[~there])]:
+                held.append((keys << np.uint64(1)) | left)
+                size += len(keys)
+            if size > 4_000_000:
+                yield batch(rows(*summed(held)))
                 held, size = [], 0
-        if held:
-            yield batch(merged(held))
-
-    parts = training.mapInArrow(run, "pair bigint, context bigint, word bigint, class int, n bigint, n_dev bigint")
-    return parts.groupBy("pair").agg(*(F.min(c).alias(c) for c in names[1:4]), *(F.sum(c).alias(c) for c in names[4:]))
-
-
-def follow_weights(training: DataFrame, model: ClassModel, vocab: DataFrame, room: np.ndarray,
-                   priors: list[float] = PRIORS) -> DataFrame | None:
-    """``(key, weight)``: what a token's pair and its context add to the log10 of P0
-    (a key that is not there adds 0). None if P0 alone is likelier on left-out texts."""
-    counted = write_shared(pairs(training, model), "pairs")
-    contexts = counted.groupBy("context").agg(F.sum("n").alias("total"), F.sum("n_dev").alias("total_dev"))
-    rooms = F.array(*(F.lit(float(r)) for r in room))
-    # log10 of P0
-    whole = write_shared(
-        counted.join(vocab.select(F.col("hash").alias("word"), "n_train"), "word")
-        .select("pair", "context", "n", "n_dev",
-                (F.log10(F.col("n_train") + 0.5) - rooms[F.col("class")]).alias("p0")), "known_pairs")
-    left = whole.filter("n_dev > 0").join(contexts, "context")
-    own = F.pow(F.lit(10.0), "p0")
-    gains = left.agg(*(F.sum(F.col("n_dev") * (
-        F.log10((F.col("n") - F.col("n_dev") + m * own) / (F.col("total") - F.col("total_dev") + m)) - F.col("p0"))).alias(str(i))
-        for i, m in enumerate(priors))).first()
-    best = max(range(len(priors)), key=lambda i: gains[i] or 0.0)
-    if (gains[best] or 0.0) <= 0:
-        return None
-    prior = priors[best]
-    return whole.select(F.col("pair").alias("key"), F.log10(1 + F.col("n") / (prior * own)).alias("weight")).unionByName(
-        contexts.select(F.col("context").alias("key"), F.log10(prior / (F.col("total") + prior)).alias("weight")))
+        if size:
+            yield batch(rows(*summed(held)))
+
+    def add(table: pa.Table) -> pa.Table:
+        found = list(zip(*(table.column(c).to_pylist() for c in names)))
+        if len(found) > 1:
+            keys = np.concatenate([unpack_keys(r[2], r[1]) for r in found])
+            n, d = (np.concatenate([_unpack(r[i], r[1]) for r in found]).astype(np.int64) for i in (3, 4))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+            found = rows(keys[first], np.add.reduceat(n[order], first), np.add.reduceat(d[order], first))
+        return pa.Table.from_batches([batch(found)])
+
+    return training.mapInArrow(local, _COUNTS).groupBy("block").applyInArrow(add, _COUNTS)
+
+
+def _parts(documents: DataFrame, part_bytes: int) -> DataFrame:
+    """``(part, docs)``: runs of rows with about ``part_bytes`` of text, as
+    compressed Arrow; a longer text is a part of its own."""
+    def run(batches):
+        own = TaskContext.get().partitionId() << 32
+        for at, part in enumerate(slices(batches, "text", part_bytes)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([own + at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                names=["part", "docs"])
+
+    return documents.mapInArrow(run, "part bigint, docs binary")
+
+
+class Part:
+    """The tokens of a part with the keys of their features."""
+
+    def __init__(self, docs: bytes, model: ClassModel, head: Head, score: bool):
+        self.rows = pa.ipc.open_stream(docs).read_all().combine_chunks()
+        held, done = [], 0
+        self.log_class = []
+        for piece in slices(self.rows.to_batches(), "text"):
+            t = Tokens(texts_of(piece.column("text")))
+            of = model.classes(t)
+            there, known = head.find(t.hash)
+            held.append((*_follow(t, of), _rare(t.hash[~there]), there, known, of, t.row + done, t.hash[~there]))
+            done += piece.num_rows
+            if score:
+                self.log_class += [model.log_p(t.features(lo, lo + _CHUNK))[np.arange(len(of[lo: lo + _CHUNK])), of[lo: lo + _CHUNK]]
+                                   for lo in range(0, len(of), _CHUNK)]
+        (self.context, self.pair, self.rare, self.there, self.known, self.of, self.row,
+         self.rare_hash) = (np.concatenate(x) for x in zip(*held))
+        self.keys = np.concatenate([self.context, self.pair, self.rare])
+
+
+def follow_log10(n, total, p0, prior):
+    """What the last word adds to the log10 of P0."""
+    return np.log10(1 + n / (prior * p0)) + np.log10(prior / (total + prior))
 
 
 # --------------------------------------------------------------------- scoring
 
 def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_flag: str = "train",
-          classes: int = CLASSES, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
+          classes: int = CLASSES, rounds: int = ROUNDS, head: int = HEAD, priors: list[float] = PRIORS,
+          block_keys: int = BLOCK_KEYS, part_bytes: int = PART_BYTES) -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` of every text,
     learnt from the rows whose boolean ``train_flag`` is true.
 
@@ -336,13 +439,15 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
     probabilities of the whole text; ``base_score`` is the add-half unigram score
     that ``score`` should beat. Repeated rows are scored alike; without training
     rows every word is unknown; an empty table gives an empty table. Other
-    columns are ignored.
+    columns are ignored. ``block_keys`` and ``part_bytes`` change no result.
     """
+    spark = documents.sparkSession
     docs = documents.select(F.col(key).alias("key"), F.col(text).alias("text"),
                             F.coalesce(F.col(train_flag), F.lit(False)).alias("train"))
     vocab = write_shared(vocabulary(docs), "vocabulary")
-    n_train, v_train = vocab.agg(F.coalesce(F.sum("n_train"), F.lit(0)),
-                                 F.count(F.when(F.col("n_train") > 0, 1))).first()
+    n_all, n_train, v_train = vocab.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0)),
+        F.count(F.when(F.col("n_train") > 0, 1))).first()
     top = head_of(vocab, head)
     h = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -350,46 +455,92 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
     prefix = top.column("prefix").to_numpy()[order]
     edges = _edges(prefix[prefix >= 0], c[prefix >= 0], classes)
     totals = _class_totals(vocab, edges)  # class -> training tokens, distinct words
+    frequent = Head(h, c)
 
     model = train(docs.filter("train").select("text"), edges, totals[:, 0], rounds)
     room = np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1))
-    half = np.log10(c + 0.5)
-    weights = follow_weights(docs.filter("train").select("text", (F.crc32(
-        F.coalesce("text", F.lit("")).cast("binary")) % DEV == 0).alias("dev")), model, vocab, room)
-    follows = weights is not None
+    dev = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % DEV == 0
+    bits = max(0, int(np.ceil(np.log2(max(1, 2 * n_all) / block_keys))))
     kind = documents.schema[key].dataType.simpleString()
 
-    def run(batches):
-        for part in slices(batches, "text"):
-            t = Tokens(texts_of(part.column("text")))
-            m = part.num_rows
-            sums = lambda v: np.bincount(t.row, weights=v, minlength=m)
-            of = model.classes(t)
-            log_class = np.concatenate([
-                model.log_p(t.features(lo, lo + _CHUNK))[np.arange(len(of[lo: lo + _CHUNK])), of[lo: lo + _CHUNK]]
-                for lo in range(0, len(of), _CHUNK)]).astype(float) / _LN10
-            at = np.searchsorted(h, t.hash)
-            at[at == len(h)] = 0
-            there = h[at] == t.hash if len(h) else np.zeros(len(t.hash), bool)
-            known = np.where(there, c[at], 0) if len(h) else np.zeros(len(t.hash))
-            logs = np.where(there, half[at], 0.0) if len(h) else np.zeros(len(t.hash))
-            lists, numbers = _distinct(t.row[~there], t.hash[~there], m)
-            if follows:
-                both = np.stack(_follow(t, of), axis=1).ravel()
-                keys, times = _distinct(np.repeat(t.row, 2), both, m)
+    def ask(batches):
+        for b in batches:
+            for part, data in zip(b.column("part").to_pylist(), b.column("docs").to_pylist()):
+                keys = np.unique(Part(data, model, frequent, False).keys)
+                found = [(block, hi - lo, pack_keys(keys[lo:hi])) for block, lo, hi in _blocks(keys, bits)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(found), pa.int64()), *(pa.array([r[i] for r in found], k) for i, k in enumerate(
+                        [pa.int32(), pa.int32(), pa.binary()]))], names=["part", "block", "size", "keys"])
+
+    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        known = np.empty(0, np.uint64)
+        n = d = np.zeros(1, np.uint64)
+        if counts.num_rows:
+            r = counts.to_pylist()[0]
+            known = unpack_keys(r["keys"], r["size"])
+            n, d = _unpack(r["n"], r["size"]), _unpack(r["n_dev"], r["size"])
+        out = []
+        for r in asked.to_pylist():
+            keys = unpack_keys(r["keys"], r["size"])
+            there = np.zeros(len(keys), bool)
+            at = np.searchsorted(known, keys)
+            if len(known):
+                at[at == len(known)] = 0
+                there = known[at] == keys
             else:
-                keys, times = [np.empty(0, np.int64)] * m, [np.empty(0, np.int64)] * m
-            yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array(np.bincount(t.row, minlength=m)),
-                 pa.array(sums(log_class - room[of])), pa.array(sums(logs)),
-                 pa.array(sums(known > 0).astype(np.int64)),
-                 list_array(lists, pa.int64()), list_array(numbers, pa.int64()),
-                 list_array(keys, pa.int64()), list_array(times, pa.int64())],
-                names=["key", "n_tokens", "outer", "logs", "known", "rare", "times", "follow", "follow_times"])
-
-    scored = write_shared(docs.select("key", "text").mapInArrow(
-        run, f"key {kind}, n_tokens bigint, outer double, logs double, known bigint, "
-             "rare array<bigint>, times array<bigint>, follow array<bigint>, follow_times array<bigint>").withColumn("row", F.monotonically_increasing_id()), "scored")
+                at[:] = 0
+            out.append((r["part"], r["block"], r["size"], _pack(n[at] * there), _pack(d[at] * there)))
+        return pa.Table.from_arrays(
+            [pa.array([r[i] for r in out], k) for i, k in enumerate(
+                [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["part", "block", "size", "n", "n_dev"])
+
+    def finish(part: pa.Table, answers: pa.Table) -> pa.Table:
+        p = Part(part.column("docs").to_pylist()[0], model, frequent, True)
+        m = p.rows.num_rows
+        found = sorted(answers.to_pylist(), key=lambda r: r["block"])  # blocks ascend as keys do
+        n, d = (np.concatenate([_unpack(r[c], r["size"]) for r in found]).astype(np.float32) for c in ("n", "n_dev"))
+        _, back = np.unique(p.keys, return_inverse=True)
+        k = len(p.context)
+        in_context, in_pair, in_word = back[:k], back[k: 2 * k], back[2 * k:]
+        count = p.known.astype(np.float32)
+        count[~p.there] = n[in_word]
+        p0 = (count + 0.5) / (10.0 ** room[p.of]).astype(np.float32)
+        sums = lambda v, rows=p.row: np.bincount(rows, weights=v, minlength=m)
+        flat = lambda a: pa.ListArray.from_arrays(
+            pa.array(np.arange(m + 1, dtype=np.int32) * len(priors)), pa.array(a.T.ravel().astype(float)))
+        pairs, totals_ = n[in_pair], n[in_context]
+        gains = np.array([sums(follow_log10(pairs, totals_, p0, np.float32(x))) for x in priors]).reshape(len(priors), m)
+        # the likelihood of left-out texts by the counts of the others
+        own = p.rows.column("left").to_numpy()[p.row]
+        rest, rest_total = (pairs - d[in_pair])[own], (totals_ - d[in_context])[own]
+        left = np.array([sums(follow_log10(rest, rest_total, p0[own], np.float32(x)), p.row[own])
+                         for x in priors]).reshape(len(priors), m)
+        log_class = np.concatenate(p.log_class).astype(float) / _LN10
+        lists, numbers = _distinct(p.row[~p.there], p.rare_hash, m)
+        return pa.Table.from_arrays(
+            [p.rows.column("key").combine_chunks(), pa.array(np.bincount(p.row, minlength=m)),
+             pa.array(sums(log_class - room[p.of])),
+             pa.array(sums(np.where(p.there, np.log10(p.known + 0.5), 0.0))),
+             pa.array(sums(p.known > 0).astype(np.int64)),
+             list_array(lists, pa.int64()), list_array(numbers, pa.int64()), flat(gains), flat(left)],
+            names=["key", "n_tokens", "outer", "logs", "known", "rare", "times", "gains", "left"])
+
+    with wide_rows(spark, 4):  # rows that hold blocks or parts
+        counts = write_shared(feature_counts(
+            docs.filter("train").select("text", dev.alias("dev")), model, frequent, bits), "counts")
+        parts = write_shared(_parts(docs.select("key", "text", (F.col("train") & dev).alias("left")), part_bytes), "parts")
+        asked = parts.mapInArrow(ask, "part bigint, block int, size int, keys binary")
+        answers = asked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+            answer, "part bigint, block int, size int, n binary, n_dev binary")
+        scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+            finish, f"key {kind}, n_tokens bigint, outer double, logs double, known bigint, rare array<bigint>, "
+                    "times array<bigint>, gains array<double>, left array<double>")
+        scored = write_shared(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    gain = F.lit(0.0)
+    if priors:
+        likelihood = [x or 0.0 for x in scored.agg(*(F.sum(F.col("left")[i]).alias(str(i)) for i in range(len(priors)))).first()]
+        if max(likelihood) > 0:
+            gain = F.col("gains")[int(np.argmax(likelihood))]
     rare = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
             .select("row", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"))
             .join(vocab.select("hash", "n_train"), "hash")
@@ -398,14 +549,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
                 F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("rare_known")))
     logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     base_room = float(np.log10(n_train + 0.5 * (v_train + 1)))
-    rows = scored.drop("rare", "times", "follow", "follow_times").join(rare, "row", "left")
-    gain = F.lit(0.0)
-    if follows:
-        gains = (scored.select("row", F.explode(F.arrays_zip("follow", "follow_times")).alias("w"))
-                 .select("row", F.col("w.follow").alias("key"), F.col("w.follow_times").alias("follow_times"))
-                 .join(weights, "key").groupBy("row").agg(F.sum(F.col("follow_times") * F.col("weight")).alias("gain")))
-        rows, gain = rows.join(gains, "row", "left"), F.coalesce("gain", F.lit(0.0))
-    return rows.select(
+    return scored.drop("rare", "times", "left").join(rare, "row", "left").select(
         F.col("key").alias(key), "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(n_train)).cast("long").alias("train_tokens"),

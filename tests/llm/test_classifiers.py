@@ -254,8 +254,8 @@ def _followers(spark, n, related=True):
     return spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
 
 
-def _parts(docs):
-    """The class model, vocabulary, rooms and training texts that score makes."""
+def _pieces(docs, rounds=0):
+    """The class model, vocabulary, rooms, head and training texts that score makes."""
     vocab = write_shared(maxent_lm.vocabulary(docs), "vocabulary")
     rows = vocab.toPandas()
     words_ = rows[rows.prefix >= 0]
@@ -263,8 +263,53 @@ def _parts(docs):
     totals = maxent_lm._class_totals(vocab, edges)
     model = maxent_lm.ClassModel(edges, np.zeros((maxent_lm.FEATURES, maxent_lm.BUCKETS, len(totals)), np.float32),
                                  np.zeros(len(totals), np.float32))
+    if rounds:
+        model = maxent_lm.train(docs.filter("train").select("text"), edges, totals[:, 0], rounds)
     training = docs.filter("train").select("text", (F.col("doc_id") % 8 == 1).alias("dev"))
-    return vocab, model, np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1)), training
+    h = np.sort(rows.hash.to_numpy().view(np.uint64))[::2].copy()  # every second word is outside the head
+    n = dict(zip(rows.hash.to_numpy().view(np.uint64).tolist(), rows.n_train))
+    head = maxent_lm.Head(h, np.array([n[x] for x in h.tolist()], np.int64))
+    return vocab, model, np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1)), head, training
+
+
+def _table(counts):
+    """key -> (n, n_dev) of all blocks."""
+    out = {}
+    for r in counts.collect():
+        keys = maxent_lm.unpack_keys(r["keys"], r["size"])
+        assert (np.diff(keys.astype(np.int64)) > 0).all()
+        assert not set(out) & set(keys.tolist())
+        out |= dict(zip(keys.tolist(), zip(*(maxent_lm._unpack(r[c], r["size"]).tolist() for c in ("n", "n_dev")))))
+    return out
+
+
+def _tokens(rows, model):
+    """Tokens of training texts, their classes, and the texts' left-out flags."""
+    import pyarrow as pa
+    t = maxent_lm.Tokens(maxent_lm.texts_of(pa.array([r["text"] for r in rows], pa.large_string())))
+    return t, model.classes(t), np.array([r["dev"] for r in rows])[t.row]
+
+
+def test_packed_keys_round_trip():
+    for keys in (np.array([0, 1, 5, 2**48 - 1], np.uint64), np.array([7], np.uint64), np.empty(0, np.uint64)):
+        assert (maxent_lm.unpack_keys(maxent_lm.pack_keys(keys), len(keys)) == keys).all()
+    keys = np.array([0, 3, 2**47, 2**47 + 1, 2**48 - 1], np.uint64)
+    assert list(maxent_lm._blocks(keys, 1)) == [(0, 0, 2), (1, 2, 5)] and list(maxent_lm._blocks(keys, 0)) == [(0, 0, 5)]
+
+
+@pytest.mark.parametrize("bits", [0, 5])
+def test_feature_counts_are_whole(spark, bits):
+    docs = _followers(spark, 60)
+    vocab, model, room, head, training = _pieces(docs)
+    got = _table(maxent_lm.feature_counts(training.repartition(3), model, head, bits))
+    t, of, dev = _tokens(training.collect(), model)
+    want = Counter(), Counter()
+    outside = ~head.find(t.hash)[0]
+    for keys, flags in [*((k, dev) for k in maxent_lm._follow(t, of)), (maxent_lm._rare(t.hash[outside]), dev[outside])]:
+        for k, f in zip(keys.tolist(), flags.tolist()):
+            want[0][k] += 1
+            want[1][k] += f
+    assert got == {k: (n, want[1][k]) for k, n in want[0].items()}
 
 
 def test_word_factor_follows_history(spark):
@@ -274,26 +319,63 @@ def test_word_factor_follows_history(spark):
     out = maxent_lm.score(docs).join(docs.select("doc_id", "train"), "doc_id").filter("not train")
     held = out.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
     assert held > -0.7  # two followers: log10(1/2) = -0.3; with the class factor alone about -1.4
-    vocab, model, room, training = _parts(docs)
-    counted = maxent_lm.pairs(training, model).toPandas()
-    weight = {r["key"]: r["weight"] for r in maxent_lm.follow_weights(training, model, vocab, room).collect()}
-    assert len(weight) == len(counted) + counted.context.nunique()
-    assert counted.n.sum() == docs.filter("train").count() * 62
+    vocab, model, room, head, training = _pieces(docs)
+    counted = _table(maxent_lm.feature_counts(training, model, head, 2))
+    t, of, _ = _tokens(training.collect(), model)
+    context, _ = maxent_lm._follow(t, of)
+    assert sum(counted[c][0] for c in set(context.tolist())) == docs.filter("train").count() * 62
     v = vocab.toPandas()
-    of = np.where(v.prefix < 0, len(room) - 1, np.searchsorted(model.edges, v.prefix, "right"))
-    p0 = dict(zip(v.hash, (v.n_train + 0.5) / 10 ** room[of]))
-    for context, rows in list(counted.groupby("context"))[:40]:
-        c = rows["class"].iloc[0]
-        seen = dict(zip(rows.word, rows.pair))
-        inside = v.hash[(of == c) & (v.n_train > 0)]
-        total = 0.5 / 10 ** room[c] * 10 ** weight[context]  # the place of unseen words
-        total += sum(p0[w] * 10 ** (weight[context] + weight.get(seen.get(w), 0.0)) for w in inside)
+    of_word = np.where(v.prefix < 0, len(room) - 1, np.searchsorted(model.edges, v.prefix, "right"))
+    p0 = dict(zip(v.hash.to_numpy().view(np.uint64).tolist(), (v.n_train + 0.5) / 10 ** room[of_word]))
+    for last, c in list(set(zip(t.line[t.place - 1].tolist(), of.tolist())))[:40]:
+        inside = v.hash.to_numpy()[(of_word == c) & (v.n_train > 0)].view(np.uint64)
+        probe = maxent_lm.Tokens.__new__(maxent_lm.Tokens)
+        probe.line = np.stack([np.full(len(inside), last, np.uint64), inside], axis=1).ravel()
+        probe.place, probe.hash = np.arange(1, 2 * len(inside), 2), inside
+        contexts, pairs = maxent_lm._follow(probe, np.full(len(inside), c))
+        whole = counted[int(contexts[0])][0]
+        total = 10 ** (np.log10(0.5) - room[c] + maxent_lm.follow_log10(0, whole, 1.0, 2.0))  # the place of unseen words
+        total += sum(p0[w] * 10 ** maxent_lm.follow_log10(counted.get(k, (0,))[0], whole, p0[w], 2.0)
+                     for w, k in zip(inside.tolist(), pairs.tolist()))
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_scores_by_definition(spark):
+    """Word factors from plain counts of words, and class factors of the model."""
+    docs = _followers(spark, 120)
+    rows = docs.withColumn("dev", F.crc32(F.col("text").cast("binary")) % 8 == 0).orderBy("doc_id").collect()
+    vocab, model, room, _, _ = _pieces(docs, rounds=maxent_lm.ROUNDS)
+    kinds = {r["hash"]: r["n_train"] for r in vocab.collect()}
+    t, of, _ = _tokens(rows, model)
+    lines = [["^", *lower(r["text"]).split(), "$"] for r in rows]
+    flat = [(i, a, b) for i, line in enumerate(lines) for a, b in zip(line, line[1:])]
+    assert len(flat) == len(of)
+    pair, context, left_pair, left_context = Counter(), Counter(), Counter(), Counter()
+    for (i, a, b), c in zip(flat, of.tolist()):
+        if rows[i]["train"]:
+            pair[a, b] += 1
+            context[a, c] += 1
+            if rows[i]["dev"]:
+                left_pair[a, b] += 1
+                left_context[a, c] += 1
+    p0 = [(kinds[h] + 0.5) / 10 ** room[c] for h, c in zip(maxent_lm.signed(t.hash.copy()).tolist(), of.tolist())]
+    def gain(prior, left):
+        return sum(np.log10(((pair[a, b] - left_pair[a, b]) + prior * p) / ((context[a, c] - left_context[a, c]) + prior) / p)
+                   for (i, a, b), c, p in zip(flat, of.tolist(), p0) if rows[i]["train"] and rows[i]["dev"])
+    prior = max(maxent_lm.PRIORS, key=lambda x: gain(x, True))
+    log_class = model.log_p(t.features(0, len(of)))[np.arange(len(of)), of] / np.log(10)
+    want = np.zeros(len(rows))
+    for (i, a, b), c, p, lc in zip(flat, of.tolist(), p0, log_class):
+        want[i] += lc + np.log10((pair[a, b] + prior * p) / (context[a, c] + prior))
+    for settings in ({}, {"block_keys": 1 << 8, "part_bytes": 1 << 10}):
+        got = {r["doc_id"]: r["score"] for r in maxent_lm.score(docs, classes=4, **settings).collect()}
+        assert [got[r["doc_id"]] for r in rows] == pytest.approx(want, abs=0.02)
+
+
 def test_unrelated_words_keep_their_class_frequency(spark):
-    vocab, model, room, training = _parts(_followers(spark, 150, related=False))
-    assert maxent_lm.follow_weights(training, model, vocab, room, [0.25, 1.0]) is None
+    docs = _followers(spark, 150, related=False)
+    ends = [maxent_lm.score(docs, classes=4, priors=p).orderBy("doc_id").collect() for p in ([0.25, 1.0], [])]
+    assert [r["score"] for r in ends[0]] == pytest.approx([r["score"] for r in ends[1]], abs=1e-3)
 
 
 def test_scores_without_training_or_rows(spark):
