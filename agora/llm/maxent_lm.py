@@ -525,10 +525,10 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
              list_array(lists, pa.int64()), list_array(numbers, pa.int64()), flat(gains), flat(left)],
             names=["key", "n_tokens", "outer", "logs", "known", "rare", "times", "gains", "left"])
 
-    with wide_rows(spark, 4):  # rows that hold blocks or parts
-        counts = write_shared(feature_counts(
-            docs.filter("train").select("text", dev.alias("dev")), model, frequent, bits), "counts")
-        parts = write_shared(_parts(docs.select("key", "text", (F.col("train") & dev).alias("left")), part_bytes), "parts")
+    counts = write_shared(feature_counts(
+        docs.filter("train").select("text", dev.alias("dev")), model, frequent, bits), "counts")
+    parts = write_shared(_parts(docs.select("key", "text", (F.col("train") & dev).alias("left")), part_bytes), "parts")
+    with wide_rows(spark, 4):  # each row holds a part
         asked = parts.mapInArrow(ask, "part bigint, block int, size int, keys binary")
         answers = asked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
             answer, "part bigint, block int, size int, n binary, n_dev binary")
