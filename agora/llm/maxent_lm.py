@@ -15,13 +15,13 @@ one place for all unseen words. The penalised weights have a closed form:
 
 All features that training texts have get a count, without a least one; ``prior``
 is the one of the highest likelihood on every eighth training text when that is left
-out, or P0 alone if none is better. Feature keys are hashes of 48 bits: of the 5e9
-features of 30 GB about 2 in 100,000 share a key with another.
+out, or P0 alone if none is better. Feature keys are hashes whose bits follow the number
+of tokens, so that there are at least 256 places for every feature that may come.
 
-The table of counts grows with the input. It is kept as sorted, packed blocks of
-keys, about ``BLOCK_KEYS`` in a block. Texts are scored in parts of about
-``PART_BYTES``; a part gathers its distinct keys once, sends them to their blocks,
-gets the counts back and is scored in numpy.
+The counts grow with the input. They travel as sorted, packed blocks of keys, about
+``BLOCK_KEYS`` in a block. Texts are scored in parts of about ``PART_BYTES``; a part
+gathers its distinct keys once, sends them to their blocks, gets the counts back and
+is scored in numpy.
 
 Training is distributed: a pass over all training texts gives each (feature,
 class) count that was observed and each that the model expects, summed over tasks
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import Texts, hashed, list_array, mix64, signed, slices, texts_of, wide_rows
+from agora.llm.common import Texts, hashed, list_array, mix64, signed, slices, texts_of
 from agora.session import write_shared
 
 CLASSES, BUCKETS, ROUNDS, HEAD = 32, 1 << 13, 2, 1 << 17
@@ -52,8 +52,8 @@ FEATURES = 4
 #: Priors of the word factor that are tried.
 PRIORS = [4.0**i for i in range(-1, 11)]
 DEV = 8
-#: Bits of a feature's key, entries of a block of counts, bytes of text of a part.
-KEY_BITS, BLOCK_KEYS, PART_BYTES = 48, 1 << 21, 1 << 22
+#: Least bits of a feature's key, entries of a block of counts, bytes of text of a part.
+KEY_BITS, BLOCK_KEYS, PART_BYTES = 40, 1 << 21, 1 << 22
 _BLOCK = 512  # buckets that travel together
 _CHUNK = 1 << 15
 _BEGIN, _END = hashed(np.arange(2), 41)
@@ -149,7 +149,7 @@ def _counts(model: ClassModel, t: Tokens, expected: bool, into: np.ndarray) -> f
             continue
         log_p = model.log_p(f)
         total += float(log_p[np.arange(len(c)), c].sum())
-        p = np.ascontiguousarray(np.exp(log_p).T)
+        p = np.ascontiguousarray(np.exp(log_p).T).astype(float)
         for i in range(FEATURES):
             for j in range(k):
                 into[i, :, j] += np.bincount(f[i], weights=p[j], minlength=BUCKETS)
@@ -170,14 +170,15 @@ def _summed(training: DataFrame, model: ClassModel, expected: bool) -> np.ndarra
         flat = sums.astype(np.float32).reshape(-1, size)
         some = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([flat[i].tobytes() for i in some], pa.binary())],
+            [pa.array(some.astype(np.int32)), pa.array(
+                [pa.compress(flat[i].tobytes(), codec="zstd", asbytes=True) for i in some], pa.binary())],
             names=["block", "sums"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, sums in zip(b.column("block").to_pylist(), b.column("sums").to_pylist()):
-                v = np.frombuffer(sums, np.float32)
+                v = np.frombuffer(pa.decompress(sums, 4 * size, codec="zstd", asbytes=True), np.float32)
                 total[block] = total[block] + v if block in total else v.astype(float)
         if total:
             yield pa.RecordBatch.from_arrays(
@@ -289,57 +290,69 @@ def unpack_keys(data: bytes, size: int) -> np.ndarray:
     return np.cumsum(_unpack(data, size), dtype=np.uint64)
 
 
-def _blocks(keys: np.ndarray, bits: int):
+def _blocks(keys: np.ndarray, bits: int, key_bits: int):
     """``(block, from, to)`` of the runs of ascending keys with the same top bits."""
-    of = keys >> np.uint64(KEY_BITS - bits)
+    of = keys >> np.uint64(key_bits - bits)
     cuts = np.flatnonzero(np.diff(of)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
         if hi > lo:
             yield int(of[lo]), lo, hi
 
 
-def _keys(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - KEY_BITS)
+def key_size(tokens: int) -> int:
+    """Bits of keys for two features a token, each with 256 places."""
+    return min(62, max(KEY_BITS, (2 * max(1, tokens) - 1).bit_length() + 8))
 
 
 def _follow(t: Tokens, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each token's context (last word, class) and of the token in it."""
     context = mix64(t.line[t.place - 1] * _PAIR[0] + (classes.astype(np.uint64) + np.uint64(1)) * _PAIR[1])
-    return _keys(context), _keys(mix64(context * _PAIR[2] + t.hash))
+    return context, mix64(context * _PAIR[2] + t.hash)
 
 
 def _rare(h: np.ndarray) -> np.ndarray:
     """Keys of words outside the head."""
-    return _keys(hashed(h, 53))
+    return hashed(h, 53)
 
 
 class Head:
-    """The frequent words, known to every task: hashes (ascending) and counts."""
+    """The frequent words, known to every task: hashes (ascending) and counts. The
+    top bits of a hash name a shelf; a shelf's words are looked through in turn."""
+
+    BITS = 20
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
+        self.hashes, self.counts = np.append(hashes, ~np.uint64(0)), np.append(counts, 0)
+        self.shelf = np.searchsorted(hashes >> np.uint64(64 - self.BITS), np.arange(1 << self.BITS)).astype(np.int32)
+        self.longest = int(np.diff(self.shelf, append=len(hashes)).max())
+        self.size = len(hashes)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words are there, and their training counts (else 0)."""
-        if not len(self.hashes):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        there = self.hashes[at] == h
+        at = self.shelf[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        there = (self.hashes[at] == h) & (at < self.size)
+        for _ in range(1, self.longest):
+            on = np.flatnonzero(~there & (self.hashes[at] < h))
+            if not len(on):
+                break
+            at[on] += 1
+            there[on] = (self.hashes[at[on]] == h[on]) & (at[on] < self.size)
         return there, np.where(there, self.counts[at], 0)
 
 
 _COUNTS = "block int, size int, keys binary, n binary, n_dev binary"
 
 
-def feature_counts(training: DataFrame, model: ClassModel, head: Head, bits: int) -> DataFrame:
-    """``(block, size, keys, n, n_dev)``: counts of all pairs, contexts and words
-    outside the head in the training texts (``text``, ``dev``), and those in the
-    left-out ones. Tasks count their own first; ``bits`` name the blocks."""
+def feature_counts(training: DataFrame, model: ClassModel, head: Head, bits: int, key_bits: int) -> DataFrame:
+    """``(block, size, keys, n, n_dev)``: each task's counts of all pairs, contexts
+    and words outside the head in its training texts (``text``, ``dev``), and those
+    in the left-out ones. ``bits`` of the keys name the block."""
     names = ["block", "size", "keys", "n", "n_dev"]
+    shift = np.uint64(64 - key_bits)
 
     def rows(keys, n, d):
-        return [(b, hi - lo, pack_keys(keys[lo:hi]), _pack(n[lo:hi]), _pack(d[lo:hi])) for b, lo, hi in _blocks(keys, bits)]
+        return [(b, hi - lo, pack_keys(keys[lo:hi]), _pack(n[lo:hi]), _pack(d[lo:hi]))
+                for b, lo, hi in _blocks(keys, bits, key_bits)]
 
     def batch(found):
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -363,7 +376,7 @@ def feature_counts(training: DataFrame, model: ClassModel, head: Head, bits: int
             there, _ = head.find(t.hash)
             dev = part.column("dev").to_numpy(zero_copy_only=False).astype(np.uint64)[t.row]
             for keys, left in [*((k, dev) for k in _follow(t, model.classes(t))), (_rare(t.hash[~there]), dev[~there])]:
-                held.append((keys << np.uint64(1)) | left)
+                held.append((keys >> shift << np.uint64(1)) | left)
                 size += len(keys)
             if size > 4_000_000:
                 yield batch(rows(*summed(held)))
@@ -371,18 +384,20 @@ def feature_counts(training: DataFrame, model: ClassModel, head: Head, bits: int
         if size:
             yield batch(rows(*summed(held)))
 
-    def add(table: pa.Table) -> pa.Table:
-        found = list(zip(*(table.column(c).to_pylist() for c in names)))
-        if len(found) > 1:
-            keys = np.concatenate([unpack_keys(r[2], r[1]) for r in found])
-            n, d = (np.concatenate([_unpack(r[i], r[1]) for r in found]).astype(np.int64) for i in (3, 4))
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-            found = rows(keys[first], np.add.reduceat(n[order], first), np.add.reduceat(d[order], first))
-        return pa.Table.from_batches([batch(found)])
+    return training.mapInArrow(local, _COUNTS)
+
 
-    return training.mapInArrow(local, _COUNTS).groupBy("block").applyInArrow(add, _COUNTS)
+def sum_counts(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, their counts, and those in left-out texts, of the
+    rows of one block."""
+    if not rows:
+        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    keys = np.concatenate([unpack_keys(r["keys"], r["size"]) for r in rows])
+    n, d = (np.concatenate([_unpack(r[c], r["size"]) for r in rows]).astype(np.int64) for c in ("n", "n_dev"))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[first], np.add.reduceat(n[order], first), np.add.reduceat(d[order], first)
 
 
 def _parts(documents: DataFrame, part_bytes: int) -> DataFrame:
@@ -404,7 +419,7 @@ def _parts(documents: DataFrame, part_bytes: int) -> DataFrame:
 class Part:
     """The tokens of a part with the keys of their features."""
 
-    def __init__(self, docs: bytes, model: ClassModel, head: Head, score: bool):
+    def __init__(self, docs: bytes, model: ClassModel, head: Head, key_bits: int, score: bool):
         self.rows = pa.ipc.open_stream(docs).read_all().combine_chunks()
         held, done = [], 0
         self.log_class = []
@@ -419,12 +434,12 @@ class Part:
                                    for lo in range(0, len(of), _CHUNK)]
         (self.context, self.pair, self.rare, self.there, self.known, self.of, self.row,
          self.rare_hash) = (np.concatenate(x) for x in zip(*held))
-        self.keys = np.concatenate([self.context, self.pair, self.rare])
+        self.keys = np.concatenate([self.context, self.pair, self.rare]) >> np.uint64(64 - key_bits)
 
 
 def follow_log10(n, total, p0, prior):
     """What the last word adds to the log10 of P0."""
-    return np.log10(1 + n / (prior * p0)) + np.log10(prior / (total + prior))
+    return (np.log(1 + n / (prior * p0)) + np.log(prior / (total + prior))) / type(prior)(_LN10)
 
 
 # --------------------------------------------------------------------- scoring
@@ -460,25 +475,21 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
     model = train(docs.filter("train").select("text"), edges, totals[:, 0], rounds)
     room = np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1))
     dev = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % DEV == 0
-    bits = max(0, int(np.ceil(np.log2(max(1, 2 * n_all) / block_keys))))
+    bits, key_bits = max(0, int(np.ceil(np.log2(max(1, 2 * n_all) / block_keys)))), key_size(n_all)
     kind = documents.schema[key].dataType.simpleString()
 
     def ask(batches):
         for b in batches:
             for part, data in zip(b.column("part").to_pylist(), b.column("docs").to_pylist()):
-                keys = np.unique(Part(data, model, frequent, False).keys)
-                found = [(block, hi - lo, pack_keys(keys[lo:hi])) for block, lo, hi in _blocks(keys, bits)]
+                keys = np.sort(Part(data, model, frequent, key_bits, False).keys)
+                keys = keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))]
+                found = [(block, hi - lo, pack_keys(keys[lo:hi])) for block, lo, hi in _blocks(keys, bits, key_bits)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(found), pa.int64()), *(pa.array([r[i] for r in found], k) for i, k in enumerate(
                         [pa.int32(), pa.int32(), pa.binary()]))], names=["part", "block", "size", "keys"])
 
     def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        known = np.empty(0, np.uint64)
-        n = d = np.zeros(1, np.uint64)
-        if counts.num_rows:
-            r = counts.to_pylist()[0]
-            known = unpack_keys(r["keys"], r["size"])
-            n, d = _unpack(r["n"], r["size"]), _unpack(r["n_dev"], r["size"])
+        known, n, d = sum_counts(counts.to_pylist())
         out = []
         for r in asked.to_pylist():
             keys = unpack_keys(r["keys"], r["size"])
@@ -495,7 +506,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
                 [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["part", "block", "size", "n", "n_dev"])
 
     def finish(part: pa.Table, answers: pa.Table) -> pa.Table:
-        p = Part(part.column("docs").to_pylist()[0], model, frequent, True)
+        p = Part(part.column("docs").to_pylist()[0], model, frequent, key_bits, True)
         m = p.rows.num_rows
         found = sorted(answers.to_pylist(), key=lambda r: r["block"])  # blocks ascend as keys do
         n, d = (np.concatenate([_unpack(r[c], r["size"]) for r in found]).astype(np.float32) for c in ("n", "n_dev"))
@@ -504,7 +515,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
         in_context, in_pair, in_word = back[:k], back[k: 2 * k], back[2 * k:]
         count = p.known.astype(np.float32)
         count[~p.there] = n[in_word]
-        p0 = (count + 0.5) / (10.0 ** room[p.of]).astype(np.float32)
+        p0 = (count + 0.5) / (10.0 ** room).astype(np.float32)[p.of]
         sums = lambda v, rows=p.row: np.bincount(rows, weights=v, minlength=m)
         flat = lambda a: pa.ListArray.from_arrays(
             pa.array(np.arange(m + 1, dtype=np.int32) * len(priors)), pa.array(a.T.ravel().astype(float)))
@@ -525,17 +536,15 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
              list_array(lists, pa.int64()), list_array(numbers, pa.int64()), flat(gains), flat(left)],
             names=["key", "n_tokens", "outer", "logs", "known", "rare", "times", "gains", "left"])
 
-    counts = write_shared(feature_counts(
-        docs.filter("train").select("text", dev.alias("dev")), model, frequent, bits), "counts")
+    counts = feature_counts(docs.filter("train").select("text", dev.alias("dev")), model, frequent, bits, key_bits)
     parts = write_shared(_parts(docs.select("key", "text", (F.col("train") & dev).alias("left")), part_bytes), "parts")
-    with wide_rows(spark, 4):  # each row holds a part
-        asked = parts.mapInArrow(ask, "part bigint, block int, size int, keys binary")
-        answers = asked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-            answer, "part bigint, block int, size int, n binary, n_dev binary")
-        scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
-            finish, f"key {kind}, n_tokens bigint, outer double, logs double, known bigint, rare array<bigint>, "
-                    "times array<bigint>, gains array<double>, left array<double>")
-        scored = write_shared(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    asked = parts.mapInArrow(ask, "part bigint, block int, size int, keys binary")
+    answers = asked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+        answer, "part bigint, block int, size int, n binary, n_dev binary")
+    scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+        finish, f"key {kind}, n_tokens bigint, outer double, logs double, known bigint, rare array<bigint>, "
+                "times array<bigint>, gains array<double>, left array<double>")
+    scored = write_shared(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     gain = F.lit(0.0)
     if priors:
         likelihood = [x or 0.0 for x in scored.agg(*(F.sum(F.col("left")[i]).alias(str(i)) for i in range(len(priors)))).first()]

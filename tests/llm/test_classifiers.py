@@ -272,14 +272,20 @@ def _pieces(docs, rounds=0):
     return vocab, model, np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1)), head, training
 
 
+KEY = 48
+SHIFT = np.uint64(64 - KEY)
+
+
 def _table(counts):
     """key -> (n, n_dev) of all blocks."""
-    out = {}
+    out, blocks = {}, {}
     for r in counts.collect():
-        keys = maxent_lm.unpack_keys(r["keys"], r["size"])
+        blocks.setdefault(r["block"], []).append(r.asDict())
+    for rows in blocks.values():
+        keys, n, d = maxent_lm.sum_counts(rows)
         assert (np.diff(keys.astype(np.int64)) > 0).all()
         assert not set(out) & set(keys.tolist())
-        out |= dict(zip(keys.tolist(), zip(*(maxent_lm._unpack(r[c], r["size"]).tolist() for c in ("n", "n_dev")))))
+        out |= dict(zip(keys.tolist(), zip(n.tolist(), d.tolist())))
     return out
 
 
@@ -294,19 +300,34 @@ def test_packed_keys_round_trip():
     for keys in (np.array([0, 1, 5, 2**48 - 1], np.uint64), np.array([7], np.uint64), np.empty(0, np.uint64)):
         assert (maxent_lm.unpack_keys(maxent_lm.pack_keys(keys), len(keys)) == keys).all()
     keys = np.array([0, 3, 2**47, 2**47 + 1, 2**48 - 1], np.uint64)
-    assert list(maxent_lm._blocks(keys, 1)) == [(0, 0, 2), (1, 2, 5)] and list(maxent_lm._blocks(keys, 0)) == [(0, 0, 5)]
+    assert list(maxent_lm._blocks(keys, 1, 48)) == [(0, 0, 2), (1, 2, 5)] and list(maxent_lm._blocks(keys, 0, 48)) == [(0, 0, 5)]
+    assert [maxent_lm.key_size(n) for n in (0, 10**6, 5 * 10**9, 10**19)] == [40, 40, 42, 62]
+
+
+def test_head_finds_exactly_its_words():
+    rng = np.random.default_rng(8)
+    h = np.unique(np.concatenate([rng.integers(0, 2**63, 500).astype(np.uint64), np.arange(2**44, 2**44 + 40).astype(np.uint64),
+                                  np.array([0, 2**64 - 1], np.uint64)]))
+    head = maxent_lm.Head(h, np.arange(len(h)))
+    there, n = head.find(np.concatenate([h, h + np.uint64(1), h - np.uint64(1)]))
+    known = set(h.tolist())
+    probes = np.concatenate([h, h + np.uint64(1), h - np.uint64(1)]).tolist()
+    place = {x: i for i, x in enumerate(h.tolist())}
+    assert there.tolist() == [x in known for x in probes]
+    assert n[there].tolist() == [place[x] for x in probes if x in known] and not n[~there].any()
+    assert not maxent_lm.Head(np.empty(0, np.uint64), np.empty(0, np.int64)).find(h)[0].any()
 
 
 @pytest.mark.parametrize("bits", [0, 5])
 def test_feature_counts_are_whole(spark, bits):
     docs = _followers(spark, 60)
     vocab, model, room, head, training = _pieces(docs)
-    got = _table(maxent_lm.feature_counts(training.repartition(3), model, head, bits))
+    got = _table(maxent_lm.feature_counts(training.repartition(3), model, head, bits, KEY))
     t, of, dev = _tokens(training.collect(), model)
     want = Counter(), Counter()
     outside = ~head.find(t.hash)[0]
     for keys, flags in [*((k, dev) for k in maxent_lm._follow(t, of)), (maxent_lm._rare(t.hash[outside]), dev[outside])]:
-        for k, f in zip(keys.tolist(), flags.tolist()):
+        for k, f in zip((keys >> SHIFT).tolist(), flags.tolist()):
             want[0][k] += 1
             want[1][k] += f
     assert got == {k: (n, want[1][k]) for k, n in want[0].items()}
@@ -320,10 +341,10 @@ def test_word_factor_follows_history(spark):
     held = out.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
     assert held > -0.7  # two followers: log10(1/2) = -0.3; with the class factor alone about -1.4
     vocab, model, room, head, training = _pieces(docs)
-    counted = _table(maxent_lm.feature_counts(training, model, head, 2))
+    counted = _table(maxent_lm.feature_counts(training, model, head, 2, KEY))
     t, of, _ = _tokens(training.collect(), model)
     context, _ = maxent_lm._follow(t, of)
-    assert sum(counted[c][0] for c in set(context.tolist())) == docs.filter("train").count() * 62
+    assert sum(counted[c][0] for c in set((context >> SHIFT).tolist())) == docs.filter("train").count() * 62
     v = vocab.toPandas()
     of_word = np.where(v.prefix < 0, len(room) - 1, np.searchsorted(model.edges, v.prefix, "right"))
     p0 = dict(zip(v.hash.to_numpy().view(np.uint64).tolist(), (v.n_train + 0.5) / 10 ** room[of_word]))
@@ -333,6 +354,7 @@ def test_word_factor_follows_history(spark):
         probe.line = np.stack([np.full(len(inside), last, np.uint64), inside], axis=1).ravel()
         probe.place, probe.hash = np.arange(1, 2 * len(inside), 2), inside
         contexts, pairs = maxent_lm._follow(probe, np.full(len(inside), c))
+        contexts, pairs = contexts >> SHIFT, pairs >> SHIFT
         whole = counted[int(contexts[0])][0]
         total = 10 ** (np.log10(0.5) - room[c] + maxent_lm.follow_log10(0, whole, 1.0, 2.0))  # the place of unseen words
         total += sum(p0[w] * 10 ** maxent_lm.follow_log10(counted.get(k, (0,))[0], whole, p0[w], 2.0)
