@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,9 +99,84 @@ def random_projection(df: DataFrame, d: int, k: int, seed: int = 0, col: str = "
     return df.withColumn(out, F.transform(lit_cols, lambda rc: V.dot(F.col(col), rc)))
 
 
+#: Dimensions up to which the covariance is formed on the driver.
+EXACT_DIMS = 1024
+
+
+def _gram_times(rows: DataFrame, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sums over all vectors ``v`` of v (v . q) and of v, and their number. A task
+    sends a row of each sum per dimension; equal dimensions are added by Spark."""
+    width = q.shape[1]
+
+    def run(batches):
+        total, n = None, 0
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else None
+            if x is None:
+                continue
+            part = np.hstack([x.T @ (x @ q), x.sum(axis=0)[:, None]])
+            total, n = part if total is None else total + part, n + len(x)
+        if total is not None:
+            flat = total.ravel()
+            ends = np.arange(len(total) + 1, dtype=np.int32) * (width + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(total), dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                 pa.array(np.full(len(total), n, np.int64))], names=["dim", "sums", "n"])
+
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    parts = rows.mapInArrow(run, "dim int, sums array<double>, n bigint")
+    got = parts.groupBy("dim").agg(Summarizer.sum(array_to_vector(F.col("sums"))).alias("sums"), F.sum("n").alias("n")).collect()
+    out, n = np.zeros((len(q), width + 1)), 0
+    for r in got:
+        out[r["dim"]], n = r["sums"].toArray(), r["n"]
+    return out[:, :-1], out[:, -1], n
+
+
+def principal_axes(df: DataFrame, k: int, col: str = "embedding", more: int = 10, tolerance: float = 1e-7,
+                   seed: int = 0) -> np.ndarray:
+    """The ``k`` leading axes of the vectors' covariance, a row each, by a randomised
+    range finder: ``k + more`` random directions are multiplied by the covariance and
+    made orthogonal again, until the share of the variance that they hold grows by
+    less than ``tolerance``. A pass reads all vectors; what reaches the driver is
+    dimensions x (k + more), never dimensions squared. Signs: an axis' largest
+    component is positive. Null vectors take no part; without vectors an error."""
+    rows = df.where(F.col(col).isNotNull()).select(F.col(col).cast("array<double>").alias("v"))
+    dims = rows.agg(F.max(F.size("v"))).first()[0]
+    if not dims:
+        raise ValueError("no vectors")
+    k, width = min(k, dims), min(dims, k + more)
+    q, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, width)))
+    held = 0.0
+    while True:
+        sums, total, n = _gram_times(rows, q)
+        y = sums / n - np.outer(total / n, (total / n) @ q)
+        inner = q.T @ y
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        now = float(values[-k:].sum())
+        if now <= held * (1 + tolerance) or width == dims:
+            axes = (q @ turn[:, ::-1][:, :k]).T
+            break
+        held = now
+        q, _ = np.linalg.qr(y)
+    return axes * np.where(axes[np.arange(k), np.abs(axes).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+
+
+def project(df: DataFrame, axes: np.ndarray, col: str = "embedding", out: str = "projected") -> DataFrame:
+    """Each vector's coordinates on ``axes`` (a row each); null for a null vector."""
+    @F.pandas_udf("array<double>")
+    def along(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else axes @ np.asarray(x, float))
+    return df.withColumn(out, along(F.col(col)))
+
+
 def pca(df: DataFrame, k: int, col: str = "embedding", out: str = "projected") -> DataFrame:
-    """Principal components with ``pyspark.ml.feature.PCA`` (the d × d
-    covariance is formed on the driver: requires modest d)."""
+    """Principal components with ``pyspark.ml.feature.PCA``, which forms the
+    d × d covariance on the driver; above ``EXACT_DIMS`` dimensions by
+    :func:`principal_axes`, which needs d × k (axes up to their sign)."""
+    dims = df.where(F.col(col).isNotNull()).select(F.size(col)).head()
+    if dims and dims[0] > EXACT_DIMS:
+        return project(df, principal_axes(df, k, col), col, out)
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
     tmp = df.withColumn("_v", array_to_vector(F.col(col).cast("array<double>")))

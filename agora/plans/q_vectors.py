@@ -3,6 +3,8 @@ operators, neighbours and density statistics (A, B, C, D, E)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from agora.functions import maps as MP
@@ -12,7 +14,7 @@ from agora.operators import density, joins, knn, vectors
 from agora.plans import model as M
 from agora.plans.catalog import ORACLE, big, r6, register
 from agora.plans.sqlfrag import DOCS, VEC_CLUSTERS, VECTORS, tokens_expr
-from agora.session import write_shared
+from agora.session import scratch_path, write_shared
 from agora.sources import fixtures as fx
 from agora.sources import io
 
@@ -37,6 +39,23 @@ def q_read_batches(spark, d):
                     big(F.col("conv_id") % 4).alias("batch"), big(F.char_length("text")).alias("n_chars"))
 
 
+# batches as they were written, listed in another order, the first of them twice
+_MANIFEST = (2, 0, 3, 1, 2)
+
+
+@register("read_manifest", f"""
+WITH listed(b, place) AS (VALUES {", ".join(f"({b}, {i})" for i, b in enumerate(_MANIFEST))})
+SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS id, CAST(place AS BIGINT) AS batch,
+       CAST(length(text) AS BIGINT) AS n_chars FROM conversations JOIN listed ON conv_id % 4 = b""")
+def q_read_manifest(spark, d):
+    rows = fx.table(spark, d, "conversations")
+    path = scratch_path(spark, f"agora-{uuid.uuid4().hex}/batches")
+    rows.withColumn("part", F.col("conv_id") % 4).write.partitionBy("part").parquet(path)
+    b = io.read_manifest(spark, [f"{path}/part={i}" for i in _MANIFEST])
+    return b.select(big(F.col("conv_id") * 1000 + F.col("turn")).alias("id"), big("batch").alias("batch"),
+                    big(F.char_length("text")).alias("n_chars"))
+
+
 @register("cluster_report", f"""SELECT cluster, 'Cluster ' || cluster || ':' || chr(10)
   || string_agg(term || ': ' || printf('%.6f', score), chr(10) ORDER BY rank) AS report
 FROM ({ORACLE["cluster_top_terms"]}) GROUP BY cluster""")

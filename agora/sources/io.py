@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,34 @@ def read_batches(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return spark.read.parquet(*paths).withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def read_manifest(spark: SparkSession, entries: list[str], schema: T.StructType | str | None = None) -> DataFrame:
+    """A2 in the manifest's order: Parquet batches (files, or folders of files) with
+    ``batch`` (the entry's place in ``entries``), ``file`` (the file's place in its
+    entry, by name) and ``row`` (the row's place in its file). Ordered by these
+    three, the rows stand as the batches read one after another; nothing is sorted
+    unless a caller asks for it.
+
+    An entry that is listed twice gives its rows twice; a missing one raises.
+    Without entries (then ``schema`` is needed) the table is empty. The files are
+    scanned in parallel, with filters and columns pushed down; their places, a row
+    per file, join by path, as a broadcast only while the table is below Spark's
+    threshold. Columns of the batches with those three names are replaced."""
+    own = ["batch", "file", "row"]
+    if not entries:
+        return spark.createDataFrame([], schema).drop(*own).select(
+            "*", *(F.lit(0).cast("bigint").alias(c) for c in own))
+    listed = {e: sorted(spark.read.parquet(e).inputFiles()) for e in dict.fromkeys(entries)}
+    plain = lambda path: re.sub("^file:/+", "file:/", path)  # noqa: E731  (local paths are spelt in two ways)
+    places = [(plain(path), batch, file) for batch, e in enumerate(entries) for file, path in enumerate(listed[e])]
+    table = spark.createDataFrame(places, "__path string, batch bigint, file bigint")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.parquet(*listed)  # each entry once
+    rows = rows.select(*(c for c in rows.columns if c not in own), F.col("_metadata.row_index").alias("row"),
+                       F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("__path"))
+    return rows.join(table, "__path").drop("__path").select(
+        *(c for c in rows.columns if c not in ("row", "__path")), *own)
+
+
 def read_vectors(spark: SparkSession, path: str, id_col: str = "doc_id",
                  vec_col: str = "embedding") -> DataFrame:
     """A3: one parallel scan of a vector table (no offset paging)."""

@@ -70,3 +70,35 @@ def test_unset_checkpoint_folder_is_refused_on_a_cluster(spark, monkeypatch):
         getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(cluster)
+
+
+def test_manifest_order(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="agora-manifest-"), "with space")
+    want = {}
+    for name, rows in {"b1": [(5, "x"), (3, "y")], "b0": [(9, None)], "b2": [(1, "z"), (1, "z"), (0, "w")]}.items():
+        spark.createDataFrame(rows, "id long, text string").coalesce(1).write.parquet(f"{d}/{name}")
+        want[name] = [r[0] for r in rows]
+    spark.createDataFrame([(7, "q")], "id long, text string").coalesce(1).write.mode("append").parquet(f"{d}/b2")
+    order = ["b2", "b0", "b1", "b0"]
+    got = io.read_manifest(spark, [f"{d}/{n}" for n in order]).orderBy("batch", "file", "row").collect()
+    assert [r["batch"] for r in got] == [0, 0, 0, 0, 1, 2, 2, 3]
+    assert [r["id"] for r in got if r["batch"] in (1, 2, 3)] == want["b0"] + want["b1"] + want["b0"]
+    first = [(r["file"], r["row"], r["id"]) for r in got if r["batch"] == 0]
+    by_file = {f: [i for g, _, i in first if g == f] for f in (0, 1)}
+    assert sorted(by_file.values()) == sorted([want["b2"], [7]])
+    # one file, and columns with clashing names
+    one = spark.read.parquet(f"{d}/b1").withColumn("batch", F.lit("own"))
+    one.coalesce(1).write.parquet(f"{d}/c")
+    got = io.read_manifest(spark, [f"{d}/c"])
+    assert len([c for c in got.columns if c == "batch"]) == 1 and {r["batch"] for r in got.collect()} == {0}
+    assert io.read_manifest(spark, [], "id long, row string").count() == 0
+    with pytest.raises(Exception):
+        io.read_manifest(spark, [f"{d}/nowhere"])
+
+
+def test_manifest_pushes_filters_down(spark):
+    d = tempfile.mkdtemp(prefix="agora-manifest-")
+    spark.range(10).withColumn("text", F.lit("t")).write.parquet(f"{d}/b")
+    got = io.read_manifest(spark, [f"{d}/b"]).filter("id > 7").select("id", "batch")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,7)" in plan and "text" not in plan and got.count() == 2

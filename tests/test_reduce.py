@@ -61,3 +61,35 @@ def test_given_coordinates(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "doc_id long, embedding array<double>")
     given = spark.createDataFrame([(1, [5.0, 6.0]), (3, [7.0, 8.0])], "id long, coords array<double>")
     assert [tuple(r) for r in R.reduce(df, "given", coords=given).collect()] == [(1, [5.0, 6.0])]
+
+
+def test_principal_axes_span_numpys_space(spark):
+    rng = np.random.default_rng(11)
+    d, k = 120, 5
+    scale = np.concatenate([np.linspace(9, 5, k), np.full(d - k, 0.5)])
+    x = rng.normal(size=(400, d)) * scale @ np.linalg.qr(rng.normal(size=(d, d)))[0] + 3.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None)]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(3)
+    axes = VO.principal_axes(df, k)
+    _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(axes @ axes.T, np.eye(k), atol=1e-9)
+    assert np.abs(np.abs(axes @ vt[:k].T) - np.eye(k)).max() < 1e-2
+    out = {r["doc_id"]: r["p"] for r in VO.project(df, axes, "embedding", "p").collect()}
+    assert out[400] is None and np.allclose(np.array([out[i] for i in range(400)]), x @ axes.T)
+
+
+def test_wide_vectors_take_the_range_finder(spark, monkeypatch):
+    x, _, df = _blobs(spark)
+    exact = np.array(VO.pca(df, 2).orderBy("doc_id").toPandas()["projected"].tolist())
+    monkeypatch.setattr(VO, "EXACT_DIMS", 4)
+    wide = np.array(VO.pca(df, 2).orderBy("doc_id").toPandas()["projected"].tolist())
+    assert np.allclose(np.abs(exact), np.abs(wide), atol=1e-3)
+
+
+def test_axes_of_few_or_equal_vectors(spark):
+    import pytest
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(4)], "doc_id long, embedding array<double>")
+    assert VO.principal_axes(same, 2).shape == (2, 3)
+    assert VO.principal_axes(same.limit(1), 9).shape == (3, 3)
+    with pytest.raises(ValueError):
+        VO.principal_axes(same.filter("doc_id > 9"), 2)
