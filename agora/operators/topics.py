@@ -4,6 +4,9 @@ reranking, MMR and lexicon filtering."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -71,19 +74,33 @@ def topic_words(scores: DataFrame, top_n: int = 10) -> DataFrame:
     return top_n_per_group(scores, "topic", "score", top_n).select("topic", "rank", "term", "score")
 
 
-def topic_info(doc_topics: DataFrame, words: DataFrame, name_words: int = 4) -> DataFrame:
-    """Topic, Count, Name ``{id}_{w1}_{w2}_{w3}_{w4}``, Representation
-    (words joined by ', ', best first)."""
-    counts = doc_topics.groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
-    reps = (words.groupBy("topic")
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_rt"))
-            .select("topic", F.transform("_rt", lambda s: s["term"]).alias("_w")))
-    return (counts.join(reps, "topic", "left")
-            .select("topic", "count",
-                    F.concat_ws("_", F.col("topic").cast("string"),
-                                F.array_join(F.slice(F.coalesce("_w", F.array().cast("array<string>")),
-                                                     1, name_words), "_")).alias("name"),
-                    F.array_join(F.coalesce("_w", F.array().cast("array<string>")), ", ").alias("representation")))
+def _ranked(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``(topic, out)``: each topic's values by rank, an array of a report's length."""
+    return rows.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", value))).alias("_rows")).select(
+        "topic", F.transform("_rows", lambda s: s[value]).alias(out))
+
+
+def topic_info(doc_topics: DataFrame, words: DataFrame, name_words: int = 4,
+               aspects: dict[str, DataFrame] | None = None, representatives: DataFrame | None = None,
+               id_col: str = "doc_id") -> DataFrame:
+    """Topic, count, name ``{id}_{w1}_{w2}_{w3}_{w4}``, representation (words
+    joined by ', ', best first); then ``aspect_<name>`` for each further word table
+    ``(topic, rank, term)``, written alike, and ``representative_docs`` (ids by rank)
+    where ``(topic, rank, id)`` is given. A topic without words has empty strings,
+    one without representatives an empty array."""
+    none = F.array().cast("array<string>")
+    out = doc_topics.groupBy("topic").agg(F.count(F.lit(1)).alias("count")).join(_ranked(words, "term", "_w"), "topic", "left")
+    out = out.select("topic", "count", F.concat_ws("_", F.col("topic").cast("string"), F.array_join(
+        F.slice(F.coalesce("_w", none), 1, name_words), "_")).alias("name"),
+        F.array_join(F.coalesce("_w", none), ", ").alias("representation"))
+    for name, table in (aspects or {}).items():
+        out = out.join(_ranked(table, "term", "_w"), "topic", "left").withColumn(
+            f"aspect_{name}", F.array_join(F.coalesce("_w", none), ", ")).drop("_w")
+    if representatives is not None:
+        kind = f"array<{representatives.schema[id_col].dataType.simpleString()}>"
+        out = out.join(_ranked(representatives, id_col, "_d"), "topic", "left").withColumn(
+            "representative_docs", F.coalesce("_d", F.array().cast(kind))).drop("_d")
+    return out
 
 
 def document_info(doc_topics: DataFrame, info: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -180,12 +197,30 @@ def majority_tag_lexicon(docs: DataFrame, counts: DataFrame, tag_col: str = "lan
 
 def fit_topic_model(docs: DataFrame, clusters: DataFrame, vectors: DataFrame, text_col: str = "text",
                     id_col: str = "doc_id", min_df=MIN_DF, max_df=MAX_DF, top_n: int = 10,
-                    min_n: int = 1, max_n: int = 1) -> dict[str, DataFrame]:
-    """G1–G6 + D13 composed: the four tables of a saved topic model."""
+                    min_n: int = 1, max_n: int = 1, n_docs: int = 3,
+                    aspects: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """G1–G7 + D13 composed: the tables of a saved topic model — the whole c-TF-IDF
+    (from which a loaded model makes its hierarchy), words, vectors, documents, the
+    topic table with ``n_docs`` representative documents, and the settings.
+    ``aspects`` names functions from the other tables to further words per topic
+    ``(topic, rank, term)``, such as a rerank or MMR."""
     from agora.operators.vectors import topic_vectors
     dt = assign_topics(clusters, "cluster", id_col)
+    known = dt.where(F.col("topic") != NOISE)
     cc = prune_class_vocab(class_term_counts(docs, dt, text_col, id_col, min_n, max_n), min_df, max_df)
-    words = topic_words(ctfidf(cc), top_n)
-    info = topic_info(dt.where(F.col("topic") != NOISE), words)
-    tv = topic_vectors(vectors, dt, id_col)
-    return {"topic_terms": words, "topic_vectors": tv, "doc_topics": dt, "topic_info": info}
+    scores = write_shared(ctfidf(cc), "ctfidf")  # read by the words and by the model
+    model = {"ctfidf": scores, "topic_terms": topic_words(scores, top_n), "doc_topics": dt,
+             "topic_vectors": topic_vectors(vectors, dt, id_col)}
+    model["topic_info"] = topic_info(
+        known, model["topic_terms"], aspects={n: f(model) for n, f in (aspects or {}).items()},
+        representatives=representative_docs(vectors, known, model["topic_vectors"], n_docs, id_col), id_col=id_col)
+    settings = {"min_df": min_df, "max_df": max_df, "top_n": top_n, "min_n": min_n, "max_n": max_n, "n_docs": n_docs,
+                "aspects": list(aspects or {})}
+    model["settings"] = docs.sparkSession.createDataFrame(
+        [(k, json.dumps(v)) for k, v in settings.items()], "name string, value string")
+    return model
+
+
+def model_settings(model: dict[str, DataFrame]) -> dict:
+    """The settings that a model was fitted with."""
+    return {r["name"]: json.loads(r["value"]) for r in model["settings"].collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agora.functions.constants import OTHER_CATEGORY
 from agora.operators import search, sentiment, terms, topics, vectors
 from agora.plans import model as M
-from agora.plans.catalog import big, r6, register
+from agora.plans.catalog import ORACLE, big, r6, register
 from agora.plans.sqlfrag import tokens_expr
 
 W = f"WITH {M.sql_model()}"
@@ -160,6 +160,21 @@ def q_rerank(spark, d):
     return r.select(big("topic").alias("topic"), big("rank").alias("rank"), "term", r6("score").alias("score"))
 
 
+@register("topic_table", f"""
+WITH near AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS words FROM ({ORACLE["rerank_by_embedding"]}) GROUP BY topic),
+docs AS (SELECT topic, string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY rank) AS ids FROM ({ORACLE["representative_docs"]}) GROUP BY topic)
+SELECT topic, count, name, coalesce(words, '') AS aspect_reranked, coalesce(ids, '') AS representative_docs
+FROM ({ORACLE["topic_info"]}) LEFT JOIN near USING (topic) LEFT JOIN docs USING (topic)""")
+def q_topic_table(spark, d):
+    dt = M.doc_topics(spark, d).where(F.col("topic") != -1)
+    cand, tv, tvec = _rerank_inputs(spark, d)
+    info = topics.topic_info(
+        dt, M.words(spark, d), aspects={"reranked": topics.rerank_by_embedding(cand, tv, tvec, 10)},
+        representatives=topics.representative_docs(M.doc_vectors(spark, d), dt, M.topic_vecs(spark, d), 3))
+    return info.select(big("topic").alias("topic"), big("count").alias("count"), "name", "aspect_reranked",
+                       F.array_join(F.col("representative_docs").cast("array<string>"), " ").alias("representative_docs"))
+
+
 # G9 (Python per topic over ≤ 30 candidates; pytest checks the greedy) ------
 @register("mmr")
 def q_mmr(spark, d):

@@ -126,11 +126,12 @@ def write_cluster_report(top_terms: DataFrame, path: str) -> None:
     cluster_report(top_terms).orderBy("cluster").select("report").write.mode("overwrite").text(path)
 
 
-MODEL_PARTS = ("topic_terms", "topic_vectors", "doc_topics", "topic_info")
+MODEL_PARTS = ("ctfidf", "topic_terms", "topic_vectors", "doc_topics", "topic_info", "settings")
 
 
 def save_topic_model(model: dict[str, DataFrame], path: str) -> None:
-    """A topic model is a directory of parquet tables."""
+    """A topic model is a directory of parquet tables: the whole c-TF-IDF, words,
+    vectors, documents, the topic table and the settings."""
     for name in MODEL_PARTS:
         if name in model and model[name] is not None:
             model[name].write.mode("overwrite").parquet(os.path.join(path, name))

@@ -65,3 +65,39 @@ def test_fit_topic_model(spark):
     model = topics.fit_topic_model(docs, clusters, vectors, min_df=1, max_df=1.0)
     words = {(r["topic"], r["term"]) for r in model["topic_terms"].collect()}
     assert {t for _, t in words} == {"apple", "pear", "train", "bus", "rail"} and model["topic_vectors"].count() == 2
+
+
+def test_saved_model_is_whole(spark):
+    """Settings, aspects, representative documents, and a hierarchy from the loaded
+    model that equals the fresh one's."""
+    import tempfile
+    from agora.operators import hierarchy
+    from agora.sources import io
+    texts = ["apple pear fruit", "train rail fruit", "coal gas apple"]
+    docs = spark.createDataFrame([(i, texts[i % 3]) for i in range(13)] + [(13, None)], "doc_id long, text string")
+    clusters = spark.createDataFrame([(i, i % 3 if i < 12 else -1) for i in range(14)], "doc_id long, cluster int")
+    vectors = embed.embed_text(docs)
+    model = topics.fit_topic_model(docs, clusters, vectors, min_df=1, max_df=1.0, top_n=2, n_docs=2, aspects={
+        "last": lambda m: m["topic_terms"].withColumn("rank", -m["topic_terms"]["rank"])})
+    path = tempfile.mkdtemp(prefix="agora-model-")
+    io.save_topic_model(model, path)
+    back = io.load_topic_model(spark, path)
+    assert topics.model_settings(back) == {"min_df": 1, "max_df": 1.0, "top_n": 2, "min_n": 1, "max_n": 1, "n_docs": 2,
+                                           "aspects": ["last"]}
+    info = {r["topic"]: r for r in back["topic_info"].collect()}
+    assert set(info) == {0, 1, 2}
+    for r in info.values():
+        words = r["representation"].split(", ")
+        assert r["aspect_last"].split(", ") == words[::-1] and len(words) == 2
+        assert r["count"] == 4 and len(r["representative_docs"]) == 2
+        assert len({i % 3 for i in r["representative_docs"]}) == 1
+    tree = [hierarchy.ward_hierarchy(hierarchy.topic_distance(m["ctfidf"])).orderBy("step").collect() for m in (model, back)]
+    assert len(tree[0]) == 2 and [r["topics"] for r in tree[0]] == [r["topics"] for r in tree[1]]
+
+
+def test_topic_info_without_words_or_documents(spark):
+    dt = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, topic int")
+    words = spark.createDataFrame([(0, 1, "a")], "topic int, rank int, term string")
+    near = spark.createDataFrame([(0, 1, 1)], "topic int, rank int, doc_id long")
+    got = {r["topic"]: tuple(r) for r in topics.topic_info(dt, words, aspects={"x": words}, representatives=near).collect()}
+    assert got == {0: (0, 1, "0_a", "a", "a", [1]), 1: (1, 1, "1_", "", "", [])}
