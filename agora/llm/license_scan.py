@@ -1,12 +1,13 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a non-blank line. Sparse word n-grams (1 and 2, of the templates'
+A paragraph is a non-blank line; its sentences, and their parts between "and" and
+"or", are looked at as well, so that a line may name several licences. Sparse word n-grams (1 and 2, of the templates'
 vocabulary without stop words) feed a multinomial logistic regression over
 licence families and an unknown class. It is trained on varied copies of the
 templates, on sentences that use licence words without granting one, and on a
 bounded sample of corpus paragraphs; its probabilities are calibrated by a
 temperature on a fold that training doesn't see. A predicted family must then be
-confirmed by comparison with that family's templates.
+confirmed by comparison with that family's templates, stop words left out.
 
 A paragraph without a single n-gram of the vocabulary has the intercept's score,
 which is the unknown class; such paragraphs are passed over without scoring.
@@ -26,13 +27,16 @@ from agora.session import write_shared
 UNKNOWN = "unknown"
 #: Corpus paragraphs in training, and varied copies of each fixed paragraph.
 SAMPLE, COPIES = 2_000, 24
-#: Least calibrated probability, and least share of shared bigrams.
-LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.6
+#: Least calibrated probability, and least share of shared bigrams: of a template's,
+#: and of a piece's that is compared as a part of a template.
+LEAST_PROBABILITY, LEAST_SHARE, LEAST_OWN = 0.5, 0.6, 0.8
 
 # Licence notices as their publishers word them.
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
+        "MIT License",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
         "associated documentation files (the \"Software\"), to deal in the Software without restriction.",
@@ -124,7 +128,13 @@ OTHER = [
     "The GNU is a large antelope of the public parks.",
     "The source code of the library was written in 1984.",
     "They redistribute food to the public without restriction.",
+    "You should have received a copy of the programme along with this ticket.",
+    "Permission is hereby granted to any person to park in the yard free of charge.",
+    "You may obtain a copy of the license at the town hall.",
+    "The license number of the car was noted along with its version.",
 ]
+#: Lines that name a family by its identifier.
+NAMED = ["SPDX-License-Identifier: {}", "License: {}"]
 
 
 def words_of(paragraph: Column) -> Column:
@@ -151,8 +161,20 @@ def terms_of(words: Column) -> Column:
     return F.array_union(kept, _bigrams(several))
 
 
+def _telling(words: Column) -> Column:
+    """Bigrams of the words that aren't stop words."""
+    return _bigrams(F.filter(words, lambda w: ~w.isin(_stop_words())))
+
+
+def _units(paragraph: Column) -> Column:
+    """The paragraph, its sentences, and their parts between "and" and "or"."""
+    sentences = F.split(paragraph, r"(?<=[.;!?])\s+")
+    parts = F.flatten(F.transform(sentences, lambda s: F.split(s, r"(?i),?\s+(?:and/or|and|or)\s+")))
+    return F.array_distinct(F.concat(F.array(paragraph), sentences, parts))
+
+
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(f, i, p) for f, ps in TEMPLATES.items() for i, p in enumerate(ps)]
+    rows = [(f, i, p) for f, ps in TEMPLATES.items() for i, p in enumerate([*ps, *(n.format(f) for n in NAMED)])]
     return spark.createDataFrame(rows, "family string, template int, paragraph string").coalesce(1)
 
 
@@ -249,11 +271,14 @@ def scan(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     """``row, key, n_paragraphs`` of every document, and ``found``: an array of
     (place, family, probability, share) of its confirmed licence paragraphs.
 
-    A family is predicted at a calibrated probability of ``LEAST_PROBABILITY`` or
-    more, and confirmed if paragraph and one of its templates have in common
-    ``LEAST_SHARE`` of the template's bigrams, or of the paragraph's if that is
-    the shorter one (at least four bigrams). Null and empty texts have no
-    paragraph; repeated rows each come out; other columns are ignored.
+    A family is predicted for a paragraph, a sentence or a part of one at a
+    calibrated probability of ``LEAST_PROBABILITY`` or more, and confirmed if that
+    and one of the family's templates have in common ``LEAST_SHARE`` of the
+    template's bigrams, or ``LEAST_OWN`` of its own (at least four bigrams); a
+    template of one bigram must be ``LEAST_SHARE`` of it. A place has
+    each of its families once, with the highest probability and share. Null and
+    empty texts have no paragraph; repeated rows each come out; other columns are
+    ignored.
     """
     spark = documents.sparkSession
     vocabulary = F.array(*[F.lit(w) for w in model.words])
@@ -263,22 +288,24 @@ def scan(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "t
         documents.select(F.col(key).alias("key"), paragraphs.alias("paragraphs"))
         .select("key", F.size("paragraphs").cast("long").alias("n_paragraphs"), touched.alias("touched"))
         .withColumn("row", F.monotonically_increasing_id()), "paragraphs")
-    rows = docs.select("row", F.explode("touched").alias("t")).select(
-        "row", "t.place", words_of(F.col("t.paragraph")).alias("words"))
+    units = docs.select("row", F.explode("touched").alias("t")).select(
+        "row", "t.place", F.explode(_units(F.col("t.paragraph"))).alias("unit"))
+    rows = units.select("row", "place", words_of(F.col("unit")).alias("words")).filter(
+        F.arrays_overlap("words", vocabulary))
     best = F.array_max(F.zip_with(
         probabilities(F.col("raw"), model.temperature), F.array(*[F.lit(x) for x in model.labels]),
         lambda p, f: F.struct(p.alias("probability"), f.alias("family"))))
     predicted = (model.scored(rows).withColumn("best", best)
                  .filter((F.col("best.family") != UNKNOWN) & (F.col("best.probability") >= LEAST_PROBABILITY))
-                 .select("row", "place", "best.family", "best.probability", _bigrams(F.col("words")).alias("bigrams")))
+                 .select("row", "place", "best.family", "best.probability", _telling(F.col("words")).alias("bigrams")))
     # the templates are fixed values of this module: bounded
-    patterns = F.broadcast(_templates(spark).select("family", _bigrams(words_of(F.col("paragraph"))).alias("template")))
+    patterns = F.broadcast(_templates(spark).select("family", _telling(words_of(F.col("paragraph"))).alias("template")))
     common = F.size(F.array_intersect("bigrams", "template"))
-    share = F.greatest(common / F.size("template"),
-                       F.when(F.size("bigrams") >= 4, common / F.size("bigrams")).otherwise(0.0))
-    confirmed = (predicted.join(patterns, "family").withColumn("share", share)
-                 .groupBy("row", "place", "family", "probability").agg(F.max("share").alias("share"))
-                 .filter(F.col("share") >= LEAST_SHARE))
+    of_own = common / F.greatest(F.size("bigrams"), F.lit(1))
+    share = F.when(F.size("template") < 2, of_own).otherwise(F.greatest(
+        common / F.size("template"), F.when((F.size("bigrams") >= 4) & (of_own >= LEAST_OWN), of_own).otherwise(0.0)))
+    confirmed = (predicted.join(patterns, "family").withColumn("share", share).filter(F.col("share") >= LEAST_SHARE)
+                 .groupBy("row", "place", "family").agg(F.max("probability").alias("probability"), F.max("share").alias("share")))
     found = confirmed.groupBy("row").agg(F.array_sort(F.collect_list(
         F.struct("place", "family", "probability", "share"))).alias("found"))
     return (docs.select("row", "key", "n_paragraphs").join(found, "row", "left")

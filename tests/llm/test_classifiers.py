@@ -189,6 +189,25 @@ def test_license_lines(spark, scanner):
     assert out[1]["found"][0]["place"] == 1
 
 
+def test_license_lines_with_several_and_with_names(spark, scanner):
+    texts = {
+        1: ("MIT License or Apache License, Version 2.0", {"MIT", "Apache-2.0"}),
+        2: ("This project is dual-licensed under the MIT License or the Apache License, Version 2.0.", {"MIT", "Apache-2.0"}),
+        3: ("Licensed under the Apache License, Version 2.0. This work is licensed under the GNU General Public License, "
+            "version 3.", {"Apache-2.0", "GPL-3.0"}),
+        4: ("SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}),
+        5: ("License: MIT", {"MIT"}),
+        6: ("You should have received a copy of the license along with the program of the concert.", set()),
+        7: ("SPDX-License-Identifier: Zlib", set()),
+        8: ("He and she got the license at the office or at the station. The library is public.", set()),
+        9: ("Some words first. " * 50 + "Released under the BSD 3-Clause License. " + "Some words after. " * 50, {"BSD"}),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    out = {r["doc_id"]: [f["family"] for f in r["found"]] for r in license_scan.scan(docs, scanner).collect()}
+    assert {i: set(f) for i, f in out.items()} == {i: w for i, (_, w) in texts.items()}
+    assert all(len(f) == len(set(f)) for f in out.values())
+
+
 def test_license_edges(spark, scanner):
     docs = awkward(spark)
     assert license_scan.scan(docs, scanner).count() == docs.count()
