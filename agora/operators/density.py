@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.functions.constants import NOISE, SWEEP_ALPHA
-from agora.operators import forest
+from agora.operators import dendrogram, forest
 from agora.operators.knn import knn_exact, knn_lsh
 from agora.session import write_shared
 
@@ -63,7 +63,13 @@ def components_at(mst: DataFrame, eps, nodes: DataFrame, key: list[str] | None =
         *key, "node", F.coalesce("root", "node").alias("comp"))
 
 
-condensed_tree = forest.condensed_tree  # E5
+def condensed_tree(mst: DataFrame, nodes: DataFrame, min_cluster_size, key: list[str] | None = None
+                   ) -> tuple[DataFrame, DataFrame]:
+    """E5: ``clusters`` and ``members``. One forest goes by parallel contraction; with
+    ``key``, many small forests (the trials of a search) are solved key by key."""
+    if key:
+        return forest.condensed_tree(mst, nodes, min_cluster_size, key)
+    return dendrogram.condensed_tree(mst, nodes, min_cluster_size)
 
 
 def _eom(key: list[str], allow_single_cluster: bool):

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from agora.operators import density as D
-from agora.operators import forest
+from agora.operators import dendrogram, forest
 
 
 def blobs(seed=7, per=40, centers=((0, 0), (8, 0), (0, 8)), noise=12, spread=12):
@@ -117,7 +117,10 @@ def test_forest_and_tree_by_definition(spark, ties, piece):
     mst = D.minimum_spanning_forest(df, piece=piece)
     rows = [tuple(r) for r in mst.collect()]
     assert abs(sum(r[2] for r in rows) - prim_weight(n, edges)) < 1e-9
-    clusters, members = D.condensed_tree(mst, nodes, mcs, piece=piece)
+    check_tree(n, mcs, rows, *forest.condensed_tree(mst, nodes, mcs, piece=piece))
+
+
+def check_tree(n, mcs, rows, clusters, members):
     want, fell = plain_condensed(n, rows, mcs)
     got = clusters.toPandas()
     sizes = sorted((round(b, 9), s) for b, s in zip(got["birth"], got["size"]) if np.isfinite(b))
@@ -131,6 +134,73 @@ def test_forest_and_tree_by_definition(spark, ties, piece):
     assert finite == plain
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_contracted_tree_by_definition(spark, ties):
+    n, mcs = 110, 5
+    edges = graph(np.random.default_rng(1 + ties), n, 6, ties)
+    mst = D.minimum_spanning_forest(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    check_tree(n, mcs, [tuple(r) for r in mst.collect()], *D.condensed_tree(mst, nodes, mcs))
+
+
+def plain_merges(edges):
+    """(weight, size, smallest point) of each merge, edges of equal weight at once."""
+    comp, out = {}, []
+    for w in sorted({e[2] for e in edges}):
+        grown = {}
+        for s, d, _ in (e for e in edges if e[2] == w):
+            a, b = comp.setdefault(s, frozenset([s])), comp.setdefault(d, frozenset([d]))
+            for p in a | b:
+                comp[p] = a | b
+            grown.pop(a, None), grown.pop(b, None)
+            grown[a | b] = True
+        out += [(w, len(c), min(c)) for c in grown]
+    return sorted(out)
+
+
+SHAPES = {
+    "path": [(i, i + 1, float(i % 7 + 1)) for i in range(40)],
+    "rising path": [(i, i + 1, float(i)) for i in range(40)],
+    "star": [(0, i, float(i)) for i in range(1, 40)],
+    "equal star": [(0, i, 2.0) for i in range(1, 40)],
+    "two trees": [(0, 1, 0.0), (1, 2, 3.0), (10, 11, 1.0)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_merge_tree_by_definition(spark, shape):
+    edges = SHAPES[shape]
+    tree, points = dendrogram.merge_tree(spark.createDataFrame(edges, "src long, dst long, weight double"))
+    rows = {r.node: r for r in tree.collect()}
+    weight = {n: r.weight for n, r in rows.items()}
+    tops = [r for r in rows.values() if weight.get(r.parent) != r.weight]
+    assert sorted((r.weight, r.size, r.least) for r in tops) == plain_merges(edges)
+    # a point joins at its lightest edge, and weights rise on the way up
+    lightest = {}
+    for s, d, w in edges:
+        lightest[s], lightest[d] = min(w, lightest.get(s, w)), min(w, lightest.get(d, w))
+    assert {r.point: weight[r.node] for r in points.collect()} == lightest
+    assert all(r.parent is None or weight[r.parent] >= r.weight for r in rows.values())
+
+
+def test_condensed_tree_of_few_points(spark):
+    schema = "src long, dst long, weight double"
+    nodes = spark.range(4).withColumnRenamed("id", "node")
+    for edges in ([], [(0, 1, 1.0)]):
+        clusters, members = D.condensed_tree(spark.createDataFrame(edges, schema), nodes, 3)
+        assert [tuple(r) for r in clusters.collect()] == [("root", None, 0.0, 0.0, 4)]
+        assert sorted(map(tuple, members.collect())) == [(i, "root", 0.0) for i in range(4)]
+
+
+def test_contraction_has_no_group_of_all(spark):
+    mst = spark.createDataFrame(SHAPES["path"], "src long, dst long, weight double")
+    tree, _ = dendrogram.merge_tree(mst)
+    clusters, members = D.condensed_tree(mst, spark.range(41).withColumnRenamed("id", "node"), 3)
+    for df in (tree, clusters, members):
+        plan = df._jdf.queryExecution().toString()
+        assert "SinglePartition" not in plan and "FlatMapGroupsInPandas" not in plan
+
+
 @pytest.mark.parametrize("piece", [10**6, 7])
 def test_components_of_long_paths(spark, piece):
     edges = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 9, 9), (1, 5, 4)] + [(1, i, i + 1) for i in range(30, 60)],
