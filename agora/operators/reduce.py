@@ -10,6 +10,7 @@ approximate (no bit parity with any single-machine implementation).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,73 @@ def fuzzy_graph(knn: DataFrame, smooth: DataFrame) -> DataFrame:
                     (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
 
 
+def spectral_start(graph: DataFrame, k: int, more: int = 8, degree: int = 12, tolerance: float = 1e-6,
+                   seed: int = 0) -> DataFrame:
+    """``(id, coords)``: for each node of a graph ``(src, dst, weight)`` (an edge once) its
+    entries in the eigenvectors 2 … k + 1 of the symmetric normalised Laplacian, by
+    ascending eigenvalue. The first eigenvector holds no more than the degrees.
+
+    ``k + 1 + more`` random vectors, a short array per node, pass Chebyshev filters of
+    ``degree`` sparse products (a join with the edges and a sum per node), which damp
+    what lies below the block's smallest Ritz value; then the block is made orthonormal
+    and turned to its Ritz vectors. Only products of block columns reach the driver. It
+    ends when ‖Mx − θx‖ is at most ``tolerance`` for all wanted vectors, or has not
+    fallen in three rounds. Vectors are unique up to sign; in a graph of several
+    components those of eigenvalue 0 are some basis. A graph of too few nodes has zeros
+    in the places that are left; one without edges has no row."""
+    both = graph.select("src", "dst", "weight").filter("src <> dst and weight > 0")
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    deg = write_shared(both.groupBy("src").agg(F.sum("weight").alias("degree")), "degrees")
+    n = deg.count()
+    if n == 0:
+        return deg.select(F.col("src").alias("id"), F.array().cast("array<double>").alias("coords"))
+    near = write_shared(both.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("degree").alias("other")), "dst")
+                        .select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other"))).alias("m")), "near")
+
+    def times(x: DataFrame, col: str) -> DataFrame:
+        """``(id, my)``: the normalised adjacency times a block."""
+        v = x.select(F.col("id").alias("dst"), F.col(col).alias("v"))
+        return near.join(v, "dst").select("src", F.transform("v", lambda t: t * F.col("m")).alias("v")).groupBy(
+            F.col("src").alias("id")).agg(VO.vector_sum("v").alias("my"))
+
+    width = min(n, k + 1 + more)
+    start = [F.xxhash64("src", F.lit(j), F.lit(seed)) / 2.0**63 for j in range(width)]
+    y = write_shared(deg.select(F.col("src").alias("id"), F.array(*start).alias("y")), "block")
+    best, stalled = np.inf, 0
+    while True:
+        y = write_shared(y.join(times(y, "y"), "id"), "block")
+        gram, _, _ = VO._gram_times(y.select(F.concat("y", "my").alias("v")), np.eye(2 * width))
+        yy, ym, mm = gram[:width, :width], gram[:width, width:], gram[width:, width:]
+        scale = 1 / np.sqrt(np.maximum(np.diag(yy), np.finfo(float).tiny))
+        values, turn = np.linalg.eigh(yy * np.outer(scale, scale))
+        whole = values > values[-1] * 1e-10
+        white = scale[:, None] * turn[:, whole] / np.sqrt(values[whole])
+        theta, u = np.linalg.eigh(white.T @ (ym + ym.T) / 2 @ white)
+        theta, c = theta[::-1], (white @ u)[:, ::-1]
+        rest = np.einsum("ij,ik,kj->j", c, mm, c) - theta**2  # ‖Mx − θx‖² of orthonormal x
+        worst = float(np.sqrt(np.maximum(rest[: k + 1], 0).max()))
+        stalled = 0 if worst < 0.9 * best else stalled + 1
+        best = min(best, worst)
+        x = VO.project(y.select("id", "y", "my"), c.T, "y", "now")
+        if worst <= tolerance or stalled == 3 or width == n:
+            break
+        # filter: what has eigenvalues from −1 to the smallest Ritz value is damped
+        width = len(theta)
+        low = float(np.clip(theta[-1], -0.5, 0.99))
+        mid, half = (low - 1) / 2, (low + 1) / 2
+        x = VO.project(x, c.T, "my", "m_now")
+        state = write_shared(x.select("id", F.col("now").alias("before"), F.zip_with(
+            "m_now", "now", lambda m, v: (m - mid * v) / half).alias("now")), "filtered")
+        for _ in range(degree - 1):
+            state = write_shared(state.join(times(state, "now"), "id").select("id", F.col("now").alias("before"), F.zip_with(
+                F.zip_with("my", "now", lambda m, v: 2 * (m - mid * v) / half), "before", lambda a, b: a - b).alias("now")),
+                "filtered")
+        y = state.select("id", F.col("now").alias("y"))
+    missing = F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), k - F.size("c")))
+    return write_shared(x.select("id", F.slice("now", 2, k).alias("c")).select(
+        "id", F.concat("c", missing).alias("coords")), "spectral")
+
+
 #: The low-dimensional similarity 1 / (1 + A d^(2B)), for a least distance of 0.1.
 CURVE_A, CURVE_B = 1.577, 0.895
 _CLIP = 4.0
@@ -130,9 +198,9 @@ def trustworthiness(near: DataFrame, ranks: DataFrame, n: int, k: int) -> DataFr
 def reduce(df: DataFrame, method: str = "pca", n_components: int = 50, n_neighbors: int = 15,
            metric: str = "cosine", id_col: str = "doc_id", vec_col: str = "embedding", seed: int = 0,
            n_epochs: int = 50, dim: int | None = None, graph: str = "exact",
-           coords: DataFrame | None = None) -> DataFrame:
+           coords: DataFrame | None = None, start: str = "spectral") -> DataFrame:
     """``(id, coords)`` by ``pca`` | ``random`` | ``umap`` (neighbour graph →
-    D9 → D10 → D11 from a PCA start) | ``given``: the rows of ``coords`` ``(id,
+    D9 → D10 → D11 from a ``spectral`` or ``pca`` start) | ``given``: the rows of ``coords`` ``(id,
     coords)``, reduced elsewhere, for the ids of ``df``. ``graph`` is ``exact`` or
     ``lsh``. Chain calls to reduce a reduction further (e.g. to 3-D)."""
     ids = df.select(F.col(id_col).alias("id"))
@@ -150,10 +218,20 @@ def reduce(df: DataFrame, method: str = "pca", n_components: int = 50, n_neighbo
     if method == "umap":
         find = {"exact": K.knn_exact, "lsh": K.knn_lsh}[graph]
         kn = write_shared(find(df, n_neighbors, id_col, vec_col, metric), "knn")
-        # initialised from the principal components (the published recipe uses a
-        # spectral start; a ±1 projection to few dimensions can map separate
-        # groups onto the same point)
-        init = VO.pca(df.select(id_col, vec_col), n_components, vec_col, "coords") \
-            .select(F.col(id_col).alias("id"), "coords")
-        return layout(fuzzy_graph(kn, smooth_knn(kn, n_neighbors)), init, n_epochs, seed=seed)
+        fuzzy = write_shared(fuzzy_graph(kn, smooth_knn(kn, n_neighbors)), "fuzzy")
+        if start == "spectral":
+            place = spectral_start(fuzzy, n_components, seed=seed)
+            top = place.agg(F.max(F.array_max(F.transform("coords", lambda v: F.abs(v)))).alias("top"))
+            # nodes of one component may share a place: a ten-thousandth of noise
+            noise = [F.xxhash64("id", F.lit(j), F.lit(seed + 2)) / 2.0**63 * 1e-4 for j in range(n_components)]
+            zeros = F.array_repeat(F.lit(0.0), n_components)
+            init = ids.join(place, "id", "left").join(F.broadcast(top)).select("id", F.zip_with(
+                F.coalesce("coords", zeros), F.array(*noise),
+                lambda v, e: v / F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(1e-12)) + e).alias("coords"))
+        elif start == "pca":
+            init = VO.pca(df.select(id_col, vec_col), n_components, vec_col, "coords") \
+                .select(F.col(id_col).alias("id"), "coords")
+        else:
+            raise ValueError(f"unknown start {start}")
+        return layout(fuzzy, init, n_epochs, seed=seed)
     raise ValueError(f"unknown method {method}")

@@ -143,6 +143,13 @@ def q_reduce_pca(spark, d):
         .select("id", big("dim").alias("dim"), r6(F.abs("value")).alias("abs_value"))
 
 
+@register("reduce_umap")
+def q_reduce_umap(spark, d):
+    from agora.operators import reduce as R
+    r = R.reduce(fx.vectors(spark, d), "umap", n_components=3, n_neighbors=10, n_epochs=15)
+    return r.select(big("id").alias("id"), F.transform("coords", lambda v: F.round(v, 6)).alias("coords"))
+
+
 EPS = 0.62  # splits the reachability graph of the test vectors into many parts
 
 _MR_CTE = """mr AS (

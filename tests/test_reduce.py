@@ -40,6 +40,45 @@ def test_smooth_knn_residual_and_fuzzy_union(spark):
     assert (fg.src < fg.dst).all() and fg.weight.between(0, 1).all()
 
 
+def _ring_of_cliques(cliques=6, size=8, seed=3):
+    rng = np.random.default_rng(seed)
+    edges = {}
+    for c in range(cliques):
+        for a in range(size):
+            for b in range(a + 1, size):
+                edges[c * size + a, c * size + b] = 0.2 + 0.8 * rng.random()
+    for c in range(cliques - 1):
+        edges[c * size, (c + 1) * size] = 0.1 + 0.05 * c
+    return cliques * size, edges
+
+
+def test_spectral_start_matches_numpy_up_to_sign(spark):
+    n, edges = _ring_of_cliques()
+    w = np.zeros((n, n))
+    for (a, b), x in edges.items():
+        w[a, b] = w[b, a] = x
+    s = 1 / np.sqrt(w.sum(0))
+    _, vec = np.linalg.eigh(np.eye(n) - s[:, None] * w * s)
+    df = spark.createDataFrame([(a, b, float(x)) for (a, b), x in edges.items()], "src long, dst long, weight double")
+    got = np.array([r.coords for r in R.spectral_start(df, 3, more=4).orderBy("id").collect()])
+    assert got.shape == (n, 3)
+    for j in range(3):
+        want = vec[:, j + 1]
+        assert min(np.abs(got[:, j] - want).max(), np.abs(got[:, j] + want).max()) < 1e-4
+
+
+def test_spectral_start_of_small_and_split_graphs(spark):
+    schema = "src long, dst long, weight double"
+    assert R.spectral_start(spark.createDataFrame([], schema), 2).collect() == []
+    two = {r.id: r.coords for r in R.spectral_start(spark.createDataFrame([(1, 2, 0.5)], schema), 2).collect()}
+    assert set(two) == {1, 2} and all(len(c) == 2 and c[1] == 0.0 for c in two.values())
+    assert abs(two[1][0] + two[2][0]) < 1e-9  # eigenvector (1, -1) / sqrt(2)
+    # two triangles: the vectors of eigenvalue 0 are constant within each
+    tri = [(0, 1, 1.0), (0, 2, 1.0), (1, 2, 1.0), (5, 6, 1.0), (5, 7, 1.0), (6, 7, 1.0)]
+    got = {r.id: r.coords[0] for r in R.spectral_start(spark.createDataFrame(tri, schema), 1).collect()}
+    assert np.ptp([got[i] for i in (0, 1, 2)]) < 1e-6 and np.ptp([got[i] for i in (5, 6, 7)]) < 1e-6
+
+
 def test_layout_is_trustworthy(spark):
     """From a start without order, neighbours end up as neighbours."""
     x, lab, df = _blobs(spark)
