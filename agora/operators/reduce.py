@@ -220,7 +220,8 @@ def reduce(df: DataFrame, method: str = "pca", n_components: int = 50, n_neighbo
         kn = write_shared(find(df, n_neighbors, id_col, vec_col, metric), "knn")
         fuzzy = write_shared(fuzzy_graph(kn, smooth_knn(kn, n_neighbors)), "fuzzy")
         if start == "spectral":
-            place = spectral_start(fuzzy, n_components, seed=seed)
+            # epochs move every node further than this error of a start
+            place = spectral_start(fuzzy, n_components, tolerance=1e-2, seed=seed)
             top = place.agg(F.max(F.array_max(F.transform("coords", lambda v: F.abs(v)))).alias("top"))
             # nodes of one component may share a place: a ten-thousandth of noise
             noise = [F.xxhash64("id", F.lit(j), F.lit(seed + 2)) / 2.0**63 * 1e-4 for j in range(n_components)]
