@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.functions.constants import OTHER_CATEGORY
-from agora.operators import search, sentiment, terms, topics, vectors
+from agora.operators import search, sentiment, terms, topics, vectors, words
 from agora.plans import model as M
 from agora.plans.catalog import ORACLE, big, r6, register
 from agora.plans.sqlfrag import tokens_expr
@@ -183,6 +183,43 @@ def q_mmr(spark, d):
     return r.select(big("topic").alias("topic"), big("rank").alias("rank"), "term", r6("score").alias("score"))
 
 
+# word vectors from co-occurrence: the 300 most frequent terms, windows of 5 --
+VOCAB, WINDOW = 300, 5
+
+
+def _word_pairs(spark, d):
+    docs = M.corpus(spark, d).select("doc_id", "text")
+    vocab = terms.top_vocab(terms.term_stats(terms.count_terms(docs)), VOCAB)
+    return words.word_pairs(docs, vocab, "text", WINDOW)
+
+
+@register("word_pairs", f"""
+WITH t AS MATERIALIZED (SELECT doc_id, {tokens_expr("text")} AS toks FROM documents),
+u AS MATERIALIZED (SELECT doc_id, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM t),
+vocab AS (SELECT term FROM u GROUP BY term ORDER BY count(*) DESC, term LIMIT {VOCAB}),
+v AS MATERIALIZED (SELECT * FROM u WHERE term IN (SELECT term FROM vocab)),
+pairs AS MATERIALIZED (SELECT least(x.term, y.term) AS a, greatest(x.term, y.term) AS b, count(*) AS n
+  FROM (SELECT *, unnest(range(1, {WINDOW + 1})) AS lag FROM v) x JOIN v y ON y.doc_id = x.doc_id AND y.pos = x.pos + x.lag
+  GROUP BY ALL),
+ways AS (SELECT a, b, CASE WHEN a = b THEN 2 * n ELSE n END AS n FROM pairs UNION ALL SELECT b, a, n FROM pairs WHERE a <> b),
+w AS MATERIALIZED (SELECT a AS term, CAST(sum(n) AS DOUBLE) AS n FROM ways GROUP BY a)
+SELECT p.a, p.b, CAST(p.n AS BIGINT) AS n, round(greatest(0.0, ln(CASE WHEN p.a = p.b THEN 2 ELSE 1 END * p.n *
+  (SELECT sum(n) FROM w) / (wa.n * wb.n))), 6) AS information
+FROM pairs p JOIN w wa ON wa.term = p.a JOIN w wb ON wb.term = p.b""")
+def q_word_pairs(spark, d):
+    return words.positive_information(_word_pairs(spark, d)).select("a", "b", big("n").alias("n"),
+                                                                   r6("information").alias("information"))
+
+
+@register("rerank_by_words")
+def q_rerank_by_words(spark, d):
+    cand = M.words(spark, d, M.CANDIDATES)
+    docs = M.corpus(spark, d).select("doc_id", "text")
+    vecs = words.word_vectors(words.word_pairs(docs, cand, "text", WINDOW), 16)
+    r = topics.rerank_by_embedding(cand, vecs, words.word_topic_vectors(M.words(spark, d), vecs), 10)
+    return r.select(big("topic").alias("topic"), big("rank").alias("rank"), "term", r6("score").alias("score"))
+
+
 # G10 ---------------------------------------------------------------------
 @register("lexicon_filter", f"""{W},
 bylang AS (SELECT c.term, d.lang, sum(c.n) AS n FROM counts c JOIN corpus d ON c.doc_id = d.doc_id
