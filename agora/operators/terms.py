@@ -94,10 +94,10 @@ def count_terms(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     lambda b, rows, codes, terms: _counted(rows, codes, len(terms)), "n")
 
 
-def count_group_terms(docs: DataFrame, group_col: str, text_col: str = "text", min_n: int = 1, max_n: int = 1,
+def batch_group_terms(docs: DataFrame, group_col: str, text_col: str = "text", min_n: int = 1, max_n: int = 1,
                       stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """``(group, term, n)``: terms of all documents of a group. Batches count for
-    their groups first, so a hot group sends one row per term and batch."""
+    """``(group, term, n)`` of each batch of documents: what its groups hold of each
+    term. No shuffle; a hot group has one row per term and batch."""
     def count(b, rows, codes, terms):
         of = b.column(group_col).dictionary_encode()
         number = of.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -106,7 +106,14 @@ def count_group_terms(docs: DataFrame, group_col: str, text_col: str = "text", m
         return example[group], code, n
 
     t = _tokens(docs.filter(F.col(group_col).isNotNull()), text_col, stop_words, [group_col])
-    return _in_rows(t, [group_col], min_n, max_n, count, "n").groupBy(group_col, "term").agg(F.sum("n").alias("n"))
+    return _in_rows(t, [group_col], min_n, max_n, count, "n")
+
+
+def count_group_terms(docs: DataFrame, group_col: str, text_col: str = "text", min_n: int = 1, max_n: int = 1,
+                      stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """``(group, term, n)``: terms of all documents of a group, counted per batch first."""
+    return batch_group_terms(docs, group_col, text_col, min_n, max_n, stop_words).groupBy(group_col, "term").agg(
+        F.sum("n").alias("n"))
 
 
 def count_topic_terms(docs: DataFrame, topics: DataFrame, text_col: str = "text", id_col: str = "doc_id",

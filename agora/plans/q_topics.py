@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agora.functions.constants import OTHER_CATEGORY
-from agora.operators import search, sentiment, terms, topics, vectors, words
+from agora.operators import heavy, search, sentiment, terms, topics, vectors, words
 from agora.plans import model as M
 from agora.plans.catalog import ORACLE, big, r6, register
 from agora.plans.sqlfrag import tokens_expr
@@ -407,6 +407,18 @@ def q_group_bigrams(spark, d):
     return _group_bigrams(spark, d).select("group", big("rank").alias("rank"), "bigram", big("count").alias("count"))
 
 
+# two passes: bounded summaries name the candidates, which are counted exactly
+@register("source_top_bigrams", f"""
+WITH t AS MATERIALIZED (SELECT source, {tokens_expr("text")} AS toks FROM documents WHERE source IS NOT NULL),
+g AS (SELECT source, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) AS term FROM t),
+c AS (SELECT source, term, count(*) AS n FROM g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM c)
+SELECT source, CAST(rank AS BIGINT) AS rank, term, CAST(n AS BIGINT) AS n FROM r WHERE rank <= 30""")
+def q_source_top_bigrams(spark, d):
+    top = heavy.frequent_terms(M.fx.docs(spark, d).select("source", "text"), "source", 30, min_n=2, max_n=2)
+    return top.select("source", big("rank").alias("rank"), "term", big("n").alias("n"))
+
+
 @register("group_rollup", f"""{W}, {_bigram_sql()}
 SELECT g.grp AS label, '' AS parent, CAST(count(*) AS DOUBLE) AS value
 FROM doc_topics dt JOIN groups g ON g.topic = dt.topic GROUP BY g.grp
