@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,46 @@ def test_assign_topics_and_ctfidf(spark):
     assert abs(got[(0, "x")] - 0.75 * np.log(1 + a / 4)) < 1e-12
     assert abs(got[(1, "x")] - 1.0 * np.log(1 + a / 4)) < 1e-12
     assert abs(got[(0, "y")] - 0.25 * np.log(1 + a / 1)) < 1e-12
+
+
+def test_points_go_to_a_bounded_number_of_tasks(spark, monkeypatch):
+    """Rows that meet in tasks grow with the points, however small the blocks are."""
+    def counted(k, metric):
+        return lambda t: pa.table({"src": [t.num_rows], "dst": [0], "distance": [0.0]})
+    monkeypatch.setattr(K, "_block_fn", counted)
+    for n in (1000, 4000):
+        _, df = _pts(spark, n=n)
+        met = K.blocked_topk(df.select(F.col("doc_id").alias("_id"), F.col("embedding").alias("_v")), 3, block_rows=16)
+        assert met.agg(F.sum("src")).first()[0] == n * K.MOST_BLOCKS
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_tiles_give_the_nearest_of_two_blocks(monkeypatch, metric):
+    monkeypatch.setattr(K, "_TILE", (8, 16))
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (150, 3)).astype(float)  # many ties, copies and zero vectors
+    ids = rng.permutation(400)[:150]
+    of = (np.arange(150) % 3 == 0).astype(int)
+    for sides in (of, of * 0):
+        t = pa.table({"_side": sides, "_id": ids, "_v": x.tolist()})
+        got = K._block_fn(4, metric)(t).to_pandas()
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        d = 1 - unit @ unit.T if metric == "cosine" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        for i in range(150):
+            others = [j for j in range(150) if j != i and (sides[j] != sides[i] or not sides.any())]
+            want = sorted((round(d[i, j], 9) + 0.0, ids[j]) for j in others)[:4]
+            mine = got[got.src == ids[i]]
+            assert sorted(zip(mine.distance.round(9) + 0.0, mine.dst)) == want
+
+
+def test_pairs_that_meet_at_a_point(spark):
+    """Every pair of a piece with a new end whose distance the list's worst allows."""
+    rng = np.random.default_rng(6)
+    rows = [(int(m), int(p), int(e), bool(rng.random() < 0.4), float(rng.random()) if e % 3 else None, rng.normal(size=2).tolist())
+            for m in range(40) for p in range(2) for e in rng.choice(50, int(rng.integers(1, 9)), replace=False)]
+    dealt = spark.createDataFrame(rows, "mid long, piece long, end long, new boolean, worst double, v array<double>")
+    got = {(r[0], r[1], round(r[2], 9)) for r in K._met(dealt, "euclidean").collect()}
+    far = lambda a, b: float(np.linalg.norm(np.array(a[5]) - np.array(b[5])))
+    want = {(a[2], b[2], round(far(a, b), 9)) for a in rows for b in rows
+            if a[:2] == b[:2] and a[2] != b[2] and (a[3] or b[3]) and (a[4] is None or far(a, b) <= a[4])}
+    assert got == want
