@@ -5,8 +5,8 @@ either edge. Whether a k-mer is kept depends on nothing outside it, so an edit
 moves or destroys only the anchors that it touches. Two texts are compared on all
 their distinct anchors, each at the place of its first occurrence: those count
 that both have and that stand in the same order in both texts. The fingerprint
-that is written grows with the text: it holds the anchors whose hash is in the
-lowest ``1 / SHARE`` of all hashes, and the ``ANCHORS`` smallest in any case.
+that is written is whole: it holds every distinct anchor and its place, so likeness
+can be read from two written fingerprints alone.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from agora.llm.common import mix64, slices
 from agora.session import write_shared
 
 K, S = 12, 6
-#: A written fingerprint has one in SHARE anchors, and all of up to ANCHORS.
-ANCHORS, SHARE = 64, 8
+#: Anchors that a short text has at most; nothing is cut at this number.
+ANCHORS = 64
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -70,9 +70,8 @@ def anchors(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def written(hashes: np.ndarray, places: np.ndarray) -> str:
-    """Eight hex digits of hash and eight of place for each anchor that is kept."""
-    n = max(ANCHORS, int(np.searchsorted(hashes, np.uint64((1 << 32) // SHARE))))
-    both = np.stack([hashes[:n], places[:n].astype(np.uint64)], axis=1).astype(">u4")
+    """Eight hex digits of hash and eight of place for each anchor."""
+    both = np.stack([hashes, places.astype(np.uint64)], axis=1).astype(">u4")
     return both.tobytes().hex()
 
 
@@ -181,8 +180,8 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
     Null texts count as empty; null keys come first; after the last document
     comes the first; a single document is its own successor. Rows with equal key
     and text follow one another, rows with equal key are ordered by their text's
-    hash. ``near_*`` compare all anchors of the texts, not the written ones. Empty
-    tables give an empty table; other columns are ignored.
+    hash. ``near_*`` are the likeness of the written fingerprints, which hold all
+    anchors. Empty tables give an empty table; other columns are ignored.
     """
     def run(batches):
         carried = None  # the row that waits for its successor

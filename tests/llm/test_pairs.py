@@ -241,3 +241,15 @@ def test_fingerprint_edges(spark):
     _check_neighbours(awkward(spark))
     _check_neighbours(awkward(spark, only=[1]))
     assert syncmers.fingerprints(empty(spark)).count() == 0
+
+
+def test_written_fingerprints_hold_every_anchor(spark):
+    """Likeness can be read from the two written fingerprints: nothing is left out."""
+    texts = _long_pair(2_000, seed=7)
+    for one in syncmers.anchors(texts):
+        assert all(np.array_equal(a, b) for a, b in zip(syncmers.read(syncmers.written(*one)), one))
+    rows = syncmers.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    of = [syncmers.read(r["fingerprint"]) for r in rows]
+    assert rows[0]["near_next"] == syncmers.likeness(of[0], of[1]) > 0
+    for r, f in zip(rows, of):
+        assert r["near_edited"] == syncmers.likeness(f, syncmers.read(r["edited_fingerprint"]))
