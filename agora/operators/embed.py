@@ -25,31 +25,40 @@ from agora.functions.text import tokenize, truncate_tokens
 DEFAULT_DIM = 64
 
 
+#: Documents whose tokens are summed at once; each has at most ``max_tokens``.
+_ROWS = 512
+
+
+def _hashed(id_col: str, dim: int):
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(lo, _ROWS)
+                lists = b.column("tokens").fill_null([])
+                row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
+                bucket = np.array([int(h[:6], 16) % dim for h in digests], np.int64)
+                sign = np.array([1.0 if int(h[6], 16) % 2 == 0 else -1.0 for h in digests])
+                code = words.indices.to_numpy(zero_copy_only=False)
+                m = np.bincount(row * dim + bucket[code], weights=sign[code], minlength=b.num_rows * dim) \
+                    if len(code) else np.zeros(b.num_rows * dim)
+                m = m.reshape(b.num_rows, dim)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                vectors = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), dim).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(id_col), vectors], names=[id_col, "embedding"])
+    return run
+
+
 def hashing_embed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                   dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``(id, embedding array<double>)``, one row per row of ``df``. Texts without
-    tokens get the zero vector. Each distinct token of an Arrow batch is hashed
-    once; a document is summed inside its row, so nothing is shuffled."""
+    tokens get the zero vector. A task holds the tokens of ``_ROWS`` documents at a
+    time and hashes each distinct one once; a document is summed inside its row, so nothing is shuffled."""
     toks = df.select(id_col, truncate_tokens(tokenize(F.col(text_col)), max_tokens).alias("tokens"))
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            lists = b.column("tokens").fill_null([])
-            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-            words = lists.flatten().dictionary_encode()
-            digests = [hashlib.md5(w.encode()).hexdigest() for w in words.dictionary.to_pylist()]
-            bucket = np.array([int(h[:6], 16) % dim for h in digests], np.int64)
-            sign = np.array([1.0 if int(h[6], 16) % 2 == 0 else -1.0 for h in digests])
-            code = words.indices.to_numpy(zero_copy_only=False)
-            m = np.bincount(row * dim + bucket[code], weights=sign[code], minlength=b.num_rows * dim) \
-                if len(code) else np.zeros(b.num_rows * dim)
-            m = m.reshape(b.num_rows, dim)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            vectors = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), dim).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), vectors], names=[id_col, "embedding"])
-
-    return toks.mapInArrow(run, f"`{id_col}` {kind}, embedding array<double>")
+    return toks.mapInArrow(_hashed(id_col, dim), f"`{id_col}` {kind}, embedding array<double>")
 
 
 #: Models that factories made, one per Python worker.

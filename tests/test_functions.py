@@ -52,3 +52,19 @@ def test_metadata_get_set(spark):
     assert r[0].g == "1" and r[1].g == "Unknown"
     assert r[0].s == {"a": "1", "c": "5"} and r[1].s == {"c": "5"}
     assert math.isclose(1.0, 1.0)
+
+
+def test_embedding_holds_some_documents_at_a_time():
+    import numpy as np
+    import pyarrow as pa
+
+    from agora.operators import embed
+    tokens = [[f"w{i}", f"w{i % 7}", "x"] if i % 5 else None for i in range(3 * embed._ROWS + 1)]
+    batch = pa.record_batch({"doc_id": list(range(len(tokens))), "tokens": pa.array(tokens, pa.list_(pa.string()))})
+    out = list(embed._hashed("doc_id", 16)([batch]))
+    assert [b.num_rows for b in out] == [embed._ROWS] * 3 + [1]
+    alone = [next(iter(embed._hashed("doc_id", 16)([batch.slice(i, 1)]))) for i in range(0, len(tokens), 97)]
+    whole = pa.Table.from_batches(out).to_pylist()
+    for one in alone:
+        r = one.to_pylist()[0]
+        assert whole[r["doc_id"]]["doc_id"] == r["doc_id"] and np.allclose(whole[r["doc_id"]]["embedding"], r["embedding"])
