@@ -130,7 +130,7 @@ def slices(batches, text: str, max_bytes: int = 1 << 20, cache: dict | None = No
     for c in CACHES:
         if c and c is not cache:
             c.clear()
-            release()
+    release()  # what an earlier stage's task left free in this worker
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -29,7 +29,7 @@ from agora.session import write_shared
 WINDOW = 2048
 #: Parts that the items of one length are dealt into for ranking.
 SALTS = 64
-_MEMO_WORDS, _MEMO_BYTES = 700_000, 64
+_MEMO_WORDS, _MEMO_BYTES = 400_000, 64
 _workers: dict[str, "WordTokenizer"] = {}
 CACHES.append(_workers)
 
@@ -102,7 +102,10 @@ class WordTokenizer:
             self.old, self.memo = self.memo, {}
         got = list(map(self.memo.get, words))
         missing = [i for i, g in enumerate(got) if g is None]
-        new: dict[bytes, bytes | None] = {words[i]: self.old.get(words[i]) for i in missing}
+        new: dict[bytes, bytes | None] = {}
+        for i in missing:  # a word that is met again moves on, it isn't held twice
+            if words[i] not in new:
+                new[words[i]] = self.old.pop(words[i], None)
         unknown = [w for w, g in new.items() if g is None]
         new.update(zip(unknown, self._encode(unknown)))
         for i in missing:
@@ -127,7 +130,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 def _parts(batches):
     """Blocks of texts; the tokenizers kept in this worker stay. (A function of
     the module, so that a task meets the worker's own cache, not a copy.)"""
-    return slices(batches, "text", 1 << 21, _workers)
+    return slices(batches, "text", 1 << 20, _workers)
 
 
 def tokenize(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text",

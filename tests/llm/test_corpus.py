@@ -278,3 +278,13 @@ def test_pipeline_takes_awkward_rows(spark):
             assert all(r["predicted"] == "own" and r["lang_pred"] == "own" for r in out.collect())
         out.collect()
         stage(spark, docs.limit(0), SF).collect()
+
+
+def test_words_met_again_are_held_once(monkeypatch):
+    monkeypatch.setattr(packing, "_MEMO_WORDS", 3)
+    tok = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [b"one two three four five", b"two six", b"six five one", b"seven two one"]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for t in texts * 3:
+        assert tok.ids([t])[0].tolist() == plain.encode(t.decode(), add_special_tokens=False).ids
+        assert not tok.memo.keys() & tok.old.keys()
