@@ -52,7 +52,11 @@ class _Nearest:
         if fresh.any() and dist.shape[1] > self.k:  # its own k-th, ties included
             own = np.partition(dist[fresh], self.k - 1, axis=1)[:, self.k - 1]
             bound[fresh] = own + 10.0 ** -RANK_DIGITS
-        row, col = np.nonzero(dist < bound[:, None])
+        near = dist < bound[:, None]
+        if near.flags.c_contiguous:
+            row, col = np.divmod(np.flatnonzero(near), near.shape[1])
+        else:
+            col, row = np.divmod(np.flatnonzero(near.T), near.shape[0])
         if not len(row):
             return
         raw = dist[row, col]
