@@ -24,6 +24,8 @@ RANK_DIGITS = 9
 
 #: Documents whose terms are held at once.
 _ROWS = 2048
+#: Rows of a table of clusters and groups that is sent to all tasks.
+SENT_TOPICS = 4096
 
 
 def _tokens(docs: DataFrame, text_col: str, stop_words, keep: list[str]) -> DataFrame:
@@ -232,9 +234,20 @@ def group_top_bigrams(docs: DataFrame, topics: DataFrame, groups: DataFrame,
     topic group ``(group, topic)``; ties alphabetical. A document whose topic
     is in several groups counts in each. ``topics`` as in :func:`count_topic_terms`.
 
-    N-grams are counted per topic, map-side first; groups are joined to those
-    counts, so no n-gram is counted twice."""
+    Where at most ``SENT_TOPICS`` rows tell which clusters belong to which groups,
+    documents are given their groups where they are and only frequent n-grams are
+    counted (:func:`agora.operators.tally.frequent`). Otherwise n-grams are counted
+    per topic, map-side first, and groups are joined to those counts."""
     wanted = groups.select("topic").distinct()
+    if id_col not in topics.columns:
+        of = topics.where(F.col("topic") != NOISE).join(groups.select("group", "topic"), "topic").select("cluster", "group")
+        rows, named = of.agg(F.count(F.lit(1)), F.count("group")).first()
+        if rows == named <= SENT_TOPICS:
+            from agora.operators import tally
+            tokens = _tokens(docs.where(F.col("cluster") != NOISE), text_col, ENGLISH_STOP_WORDS, ["cluster"])
+            counts = tally.frequent(tokens.join(F.broadcast(of), "cluster"), "group", top_n, n, n)
+            return top_n_per_group(counts, "group", "n", top_n).select(
+                "group", "rank", F.col("term").alias("bigram"), F.col("n").alias("count"))
     per_topic = count_topic_terms(docs, topics.join(wanted, "topic", "left_semi"), text_col, id_col, n, n)
     per_group = per_topic.join(groups.select("group", "topic"), "topic").groupBy("group", "term").agg(
         F.sum("n").alias("count"))
