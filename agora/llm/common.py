@@ -88,12 +88,13 @@ class Texts:
         starts = np.flatnonzero(begins)
         return starts, np.searchsorted(starts, self.bounds)
 
-    def word_hashes(self, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hash of each word with A-Z lower-cased; rows' first words.
+    def word_hashes(self, step: int = 1 << 22, words: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hash of each word with A-Z lower-cased; rows' first words. ``words``:
+        what :meth:`words` gave, if it is known.
 
         Works through the buffer in runs of whole words of about ``step``
         bytes, so one very long text needs no more memory than many short."""
-        starts, rows = self.words()
+        starts, rows = words or self.words()
         out = np.empty(len(starts), np.uint64)
         ends = np.append(starts, len(self.buf))
         i = 0

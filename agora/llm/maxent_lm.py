@@ -20,8 +20,8 @@ of tokens, so that there are at least 256 places for every feature that may come
 
 The counts grow with the input. They travel as sorted, packed blocks of keys, about
 ``BLOCK_KEYS`` in a block. Texts are scored in parts of about ``PART_BYTES``; a part
-gathers its distinct keys once, sends them to their blocks, gets the counts back and
-is scored in numpy.
+gathers its distinct keys once and sends them to their blocks with the counts of its own
+training texts, gets the sums over all parts back and is scored in numpy.
 
 Training is distributed: a pass over all training texts gives each (feature,
 class) count that was observed and each that the model expects, summed over tasks
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import Texts, hashed, list_array, mix64, signed, slices, texts_of
+from agora.llm.common import Texts, hashed, mix64, signed, slices, texts_of
 from agora.session import write_shared
 
 CLASSES, BUCKETS, ROUNDS, HEAD = 32, 1 << 13, 2, 1 << 17
@@ -54,8 +54,11 @@ PRIORS = [4.0**i for i in range(-1, 11)]
 DEV = 8
 #: Least bits of a feature's key, entries of a block of counts, bytes of text of a part.
 KEY_BITS, BLOCK_KEYS, PART_BYTES = 40, 1 << 21, 1 << 22
+#: Bits of the keys of words outside the head, which are their hashes: base counts are exact.
+WORD_BITS = 62
 _BLOCK = 512  # buckets that travel together
-_CHUNK = 1 << 15
+_CHUNK, _TOKENS = 1 << 16, 1 << 11  # tokens whose counts are added at once, whose classes are weighed at once
+_STEP = 1 << 18  # bytes that are hashed at once
 _BEGIN, _END = hashed(np.arange(2), 41)
 _MIX = hashed(np.arange(FEATURES), 43) | np.uint64(1)
 _PAIR = hashed(np.arange(3), 47) | np.uint64(1)
@@ -82,8 +85,8 @@ class Tokens:
     the hashed features of each token's history."""
 
     def __init__(self, t: Texts):
-        words, first = t.word_hashes()
-        starts, _ = t.words()
+        starts, first = t.words()
+        words, _ = t.word_hashes(_STEP, (starts, first))
         n = np.diff(first)
         rows = np.arange(len(n))
         # three beginnings, the words, the end
@@ -136,10 +139,57 @@ class ClassModel:
         return s
 
 
-def _counts(model: ClassModel, t: Tokens, expected: bool, into: np.ndarray) -> float:
-    """Add a block's observed or expected (feature bucket, class) counts; returns
-    its log likelihood under the model (0 for observed counts)."""
-    classes, k, total = model.classes(t), len(model.bias), 0.0
+class Odds:
+    """A class model with its weights as factors, so that a token's classes take
+    products and no powers; each feature's largest factor in a bucket is 1. Products
+    too small for single precision are left to the model."""
+
+    def __init__(self, model: ClassModel):
+        self.model = model
+        self.factors = np.exp(model.weights - model.weights.max(axis=2, keepdims=True))
+        self.factors[0] *= np.exp(model.bias)  # shares of classes
+        self.ones = np.ones(len(model.bias), np.float32)
+
+    def _products(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens x classes: multiples of P(class | history), their sums, and the
+        tokens whose sums are too small for single precision."""
+        s = np.take(self.factors[0], features[0], axis=0)
+        for w, f in zip(self.factors[1:], features[1:]):
+            s *= np.take(w, f, axis=0)
+        total = s @ self.ones
+        return s, total, np.flatnonzero(~(total > 1e-25))
+
+    def p(self, features: np.ndarray) -> np.ndarray:
+        """Classes x tokens: P(class | history)."""
+        out = np.empty((len(self.ones), features.shape[1]), np.float32)
+        for lo in range(0, features.shape[1], _TOKENS):
+            f = features[:, lo: lo + _TOKENS]
+            s, total, low = self._products(f)
+            if len(low):
+                s[low], total[low] = np.exp(self.model.log_p(f[:, low])), 1
+            s /= total[:, None]
+            out[:, lo: lo + _TOKENS] = s.T
+        return out
+
+    def log_of(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Natural log of P(class | history) of each token's own class."""
+        out = np.empty(len(classes), np.float32)
+        for lo in range(0, len(classes), _TOKENS):
+            f, c = features[:, lo: lo + _TOKENS], classes[lo: lo + _TOKENS]
+            s, total, _ = self._products(f)
+            own = s.ravel()[np.arange(len(c)) * len(self.ones) + c]
+            low = np.flatnonzero(~(own > 1e-25))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                own = np.log(own / total)
+            if len(low):
+                own[low] = self.model.log_p(f[:, low])[np.arange(len(low)), c[low]]
+            out[lo: lo + _TOKENS] = own
+        return out
+
+
+def _counts(odds: Odds, t: Tokens, expected: bool, into: np.ndarray) -> None:
+    """Add a block's observed or expected (feature bucket, class) counts."""
+    classes, k = odds.model.classes(t), len(odds.ones)
     for lo in range(0, len(classes), _CHUNK):
         f = t.features(lo, lo + _CHUNK)
         c = classes[lo: lo + _CHUNK]
@@ -147,13 +197,10 @@ def _counts(model: ClassModel, t: Tokens, expected: bool, into: np.ndarray) -> f
             for i in range(FEATURES):
                 into[i] += np.bincount(f[i] * k + c, minlength=BUCKETS * k).reshape(BUCKETS, k)
             continue
-        log_p = model.log_p(f)
-        total += float(log_p[np.arange(len(c)), c].sum())
-        p = np.ascontiguousarray(np.exp(log_p).T).astype(float)
+        p = odds.p(f)
         for i in range(FEATURES):
             for j in range(k):
                 into[i, :, j] += np.bincount(f[i], weights=p[j], minlength=BUCKETS)
-    return total
 
 
 def _summed(training: DataFrame, model: ClassModel, expected: bool) -> np.ndarray:
@@ -164,10 +211,12 @@ def _summed(training: DataFrame, model: ClassModel, expected: bool) -> np.ndarra
     size = _BLOCK * shape[2]
 
     def local(batches):
-        sums = np.zeros(shape)
+        # expected counts come class by class, so a class's buckets are neighbours
+        sums = np.zeros((shape[0], shape[2], shape[1])).transpose(0, 2, 1) if expected else np.zeros(shape)
+        odds = Odds(model)
         for part in slices(batches, "text"):
-            _counts(model, Tokens(texts_of(part.column("text"))), expected, sums)
-        flat = sums.astype(np.float32).reshape(-1, size)
+            _counts(odds, Tokens(texts_of(part.column("text"))), expected, sums)
+        flat = sums.astype(np.float32, order="C").reshape(-1, size)
         some = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), pa.array(
@@ -390,14 +439,31 @@ def feature_counts(training: DataFrame, model: ClassModel, head: Head, bits: int
 def sum_counts(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, ascending, their counts, and those in left-out texts, of the
     rows of one block."""
-    if not rows:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    return _merged(rows)[:3] if rows else (np.empty(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+
+def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`sum_counts`, and the number of each row's each key among the distinct ones."""
     keys = np.concatenate([unpack_keys(r["keys"], r["size"]) for r in rows])
-    n, d = (np.concatenate([_unpack(r[c], r["size"]) for r in rows]).astype(np.int64) for c in ("n", "n_dev"))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    keys, back = np.unique(keys, return_inverse=True)
+    n, d = (np.bincount(back, weights=np.concatenate([_unpack(r[c], r["size"]) for r in rows]),
+                        minlength=len(keys)).astype(np.int64) for c in ("n", "n_dev"))
+    return keys, n, d, back
+
+
+#: What a text's tokens count for: nothing, training, training and the choice of the prior.
+UNSEEN, SEEN, LEFT = 0, 1, 2
+
+
+def _own_counts(keys: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (of 62 bits), ascending, how often each comes in training texts, and
+    in left-out ones: one sort of the keys with two bits of state below."""
+    x = (keys << np.uint64(2)) | state
+    x.sort()
+    state, keys = x & np.uint64(3), x >> np.uint64(2)
     first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-    return keys[first], np.add.reduceat(n[order], first), np.add.reduceat(d[order], first)
+    n, d = (np.add.reduceat(state >= s, first, dtype=np.int64) if len(first) else np.empty(0, np.int64) for s in (SEEN, LEFT))
+    return keys[first], n, d
 
 
 def _parts(documents: DataFrame, part_bytes: int) -> DataFrame:
@@ -421,20 +487,33 @@ class Part:
 
     def __init__(self, docs: bytes, model: ClassModel, head: Head, key_bits: int, score: bool):
         self.rows = pa.ipc.open_stream(docs).read_all().combine_chunks()
-        held, done = [], 0
+        held, done, odds = [], 0, Odds(model) if score else None
         self.log_class = []
         for piece in slices(self.rows.to_batches(), "text"):
             t = Tokens(texts_of(piece.column("text")))
             of = model.classes(t)
             there, known = head.find(t.hash)
-            held.append((*_follow(t, of), _rare(t.hash[~there]), there, known, of, t.row + done, t.hash[~there]))
+            context, pair = _follow(t, of)
+            held.append((context, pair, t.hash[~there], there, known, of, t.row + done))
             done += piece.num_rows
             if score:
-                self.log_class += [model.log_p(t.features(lo, lo + _CHUNK))[np.arange(len(of[lo: lo + _CHUNK])), of[lo: lo + _CHUNK]]
+                self.log_class += [odds.log_of(t.features(lo, lo + _CHUNK), of[lo: lo + _CHUNK])
                                    for lo in range(0, len(of), _CHUNK)]
-        (self.context, self.pair, self.rare, self.there, self.known, self.of, self.row,
-         self.rare_hash) = (np.concatenate(x) for x in zip(*held))
-        self.keys = np.concatenate([self.context, self.pair, self.rare]) >> np.uint64(64 - key_bits)
+        context, pair, words, self.there, self.known, self.of, self.row = (np.concatenate(x) for x in zip(*held))
+        self.keys = np.concatenate([context, pair]) >> np.uint64(64 - key_bits)
+        self.words = words >> np.uint64(64 - WORD_BITS)
+        self.state = self.rows.column("state").to_numpy().astype(np.uint64)[self.row]
+
+    def asked(self, bits: int, key_bits: int, word_bits: int) -> list[tuple]:
+        """``(block, size, keys, n, n_dev)`` of the part's distinct keys with their counts in
+        the part itself. The blocks of words outside the head follow those of features."""
+        out = []
+        for keys, state, top, width, above in [(self.keys, np.tile(self.state, 2), bits, key_bits, 0),
+                                               (self.words, self.state[~self.there], word_bits, WORD_BITS, 1 << bits)]:
+            keys, n, d = _own_counts(keys, state)
+            out += [(above + block, hi - lo, pack_keys(keys[lo:hi]), _pack(n[lo:hi]), _pack(d[lo:hi]))
+                    for block, lo, hi in _blocks(keys, top, width)]
+        return out
 
 
 def follow_log10(n, total, p0, prior):
@@ -475,32 +554,25 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
     model = train(docs.filter("train").select("text"), edges, totals[:, 0], rounds)
     room = np.log10(totals[:, 0] + 0.5 * (totals[:, 1] + 1))
     dev = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % DEV == 0
-    bits, key_bits = max(0, int(np.ceil(np.log2(max(1, 2 * n_all) / block_keys)))), key_size(n_all)
+    blocks_of = lambda keys: max(0, int(np.ceil(np.log2(max(1, keys) / block_keys))))
+    bits, key_bits, word_bits = blocks_of(2 * n_all), key_size(n_all), blocks_of(n_all - sum(top.column("n").to_pylist()))
     kind = documents.schema[key].dataType.simpleString()
 
     def ask(batches):
         for b in batches:
             for part, data in zip(b.column("part").to_pylist(), b.column("docs").to_pylist()):
-                keys = np.sort(Part(data, model, frequent, key_bits, False).keys)
-                keys = keys[np.flatnonzero(np.diff(keys, prepend=~keys[:1]))]
-                found = [(block, hi - lo, pack_keys(keys[lo:hi])) for block, lo, hi in _blocks(keys, bits, key_bits)]
+                found = Part(data, model, frequent, key_bits, False).asked(bits, key_bits, word_bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(found), pa.int64()), *(pa.array([r[i] for r in found], k) for i, k in enumerate(
-                        [pa.int32(), pa.int32(), pa.binary()]))], names=["part", "block", "size", "keys"])
-
-    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        known, n, d = sum_counts(counts.to_pylist())
-        out = []
-        for r in asked.to_pylist():
-            keys = unpack_keys(r["keys"], r["size"])
-            there = np.zeros(len(keys), bool)
-            at = np.searchsorted(known, keys)
-            if len(known):
-                at[at == len(known)] = 0
-                there = known[at] == keys
-            else:
-                at[:] = 0
-            out.append((r["part"], r["block"], r["size"], _pack(n[at] * there), _pack(d[at] * there)))
+                        [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]))],
+                    names=["part", "block", "size", "keys", "n", "n_dev"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        rows = asked.to_pylist()
+        _, n, d, back = _merged(rows)
+        ends = np.cumsum([r["size"] for r in rows]).tolist()
+        out = [(r["part"], r["block"], r["size"], _pack(n[back[e - r["size"]: e]]), _pack(d[back[e - r["size"]: e]]))
+               for r, e in zip(rows, ends)]
         return pa.Table.from_arrays(
             [pa.array([r[i] for r in out], k) for i, k in enumerate(
                 [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["part", "block", "size", "n", "n_dev"])
@@ -509,72 +581,50 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", train_f
         p = Part(part.column("docs").to_pylist()[0], model, frequent, key_bits, True)
         m = p.rows.num_rows
         found = sorted(answers.to_pylist(), key=lambda r: r["block"])  # blocks ascend as keys do
-        n, d = (np.concatenate([_unpack(r[c], r["size"]) for r in found]).astype(np.float32) for c in ("n", "n_dev"))
+        of_features = [r for r in found if r["block"] < 1 << bits]
+        n, d = (np.concatenate([_unpack(r[c], r["size"]) for r in of_features]).astype(np.float32) for c in ("n", "n_dev"))
         _, back = np.unique(p.keys, return_inverse=True)
-        k = len(p.context)
-        in_context, in_pair, in_word = back[:k], back[k: 2 * k], back[2 * k:]
-        count = p.known.astype(np.float32)
-        count[~p.there] = n[in_word]
-        p0 = (count + 0.5) / (10.0 ** room).astype(np.float32)[p.of]
+        in_context, in_pair = np.split(back, 2)
+        count = p.known.astype(np.int64)
+        if len(p.words):
+            of_words = np.concatenate([_unpack(r["n"], r["size"]) for r in found[len(of_features):]]).astype(np.int64)
+            count[~p.there] = of_words[np.unique(p.words, return_inverse=True)[1]]
+        p0 = ((count + 0.5) / (10.0 ** room)[p.of]).astype(np.float32)
         sums = lambda v, rows=p.row: np.bincount(rows, weights=v, minlength=m)
         flat = lambda a: pa.ListArray.from_arrays(
             pa.array(np.arange(m + 1, dtype=np.int32) * len(priors)), pa.array(a.T.ravel().astype(float)))
         pairs, totals_ = n[in_pair], n[in_context]
         gains = np.array([sums(follow_log10(pairs, totals_, p0, np.float32(x))) for x in priors]).reshape(len(priors), m)
         # the likelihood of left-out texts by the counts of the others
-        own = p.rows.column("left").to_numpy()[p.row]
+        own = p.state == LEFT
         rest, rest_total = (pairs - d[in_pair])[own], (totals_ - d[in_context])[own]
         left = np.array([sums(follow_log10(rest, rest_total, p0[own], np.float32(x)), p.row[own])
                          for x in priors]).reshape(len(priors), m)
         log_class = np.concatenate(p.log_class).astype(float) / _LN10
-        lists, numbers = _distinct(p.row[~p.there], p.rare_hash, m)
         return pa.Table.from_arrays(
             [p.rows.column("key").combine_chunks(), pa.array(np.bincount(p.row, minlength=m)),
-             pa.array(sums(log_class - room[p.of])),
-             pa.array(sums(np.where(p.there, np.log10(p.known + 0.5), 0.0))),
-             pa.array(sums(p.known > 0).astype(np.int64)),
-             list_array(lists, pa.int64()), list_array(numbers, pa.int64()), flat(gains), flat(left)],
-            names=["key", "n_tokens", "outer", "logs", "known", "rare", "times", "gains", "left"])
-
-    counts = feature_counts(docs.filter("train").select("text", dev.alias("dev")), model, frequent, bits, key_bits)
-    parts = write_shared(_parts(docs.select("key", "text", (F.col("train") & dev).alias("left")), part_bytes), "parts")
-    asked = parts.mapInArrow(ask, "part bigint, block int, size int, keys binary")
-    answers = asked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-        answer, "part bigint, block int, size int, n binary, n_dev binary")
-    scored = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
-        finish, f"key {kind}, n_tokens bigint, outer double, logs double, known bigint, rare array<bigint>, "
-                "times array<bigint>, gains array<double>, left array<double>")
-    scored = write_shared(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+             pa.array(sums(log_class - room[p.of])), pa.array(sums(np.log10(count + 0.5))),
+             pa.array(sums(count > 0).astype(np.int64)), flat(gains), flat(left)],
+            names=["key", "n_tokens", "outer", "logs", "known", "gains", "left"])
+
+    state = F.when(~F.col("train"), UNSEEN).when(dev, LEFT).otherwise(SEEN).cast("byte")
+    parts = write_shared(_parts(docs.select("key", "text", state.alias("state")), part_bytes), "parts")
+    asked = parts.mapInArrow(ask, "part bigint, block int, size int, keys binary, n binary, n_dev binary")
+    answers = asked.groupBy("block").applyInArrow(answer, "part bigint, block int, size int, n binary, n_dev binary")
+    scored = write_shared(parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+        finish, f"key {kind}, n_tokens bigint, outer double, logs double, known bigint, gains array<double>, "
+                "left array<double>"), "scored")
     gain = F.lit(0.0)
     if priors:
         likelihood = [x or 0.0 for x in scored.agg(*(F.sum(F.col("left")[i]).alias(str(i)) for i in range(len(priors)))).first()]
         if max(likelihood) > 0:
             gain = F.col("gains")[int(np.argmax(likelihood))]
-    rare = (scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
-            .select("row", F.col("w.rare").alias("hash"), F.col("w.times").alias("times"))
-            .join(vocab.select("hash", "n_train"), "hash")
-            .groupBy("row").agg(
-                F.sum(F.col("times") * F.log10(F.col("n_train") + 0.5)).alias("rare_logs"),
-                F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("rare_known")))
-    logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0))
     base_room = float(np.log10(n_train + 0.5 * (v_train + 1)))
-    return scored.drop("rare", "times", "left").join(rare, "row", "left").select(
-        F.col("key").alias(key), "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+    return scored.select(
+        F.col("key").alias(key), "n_tokens", F.col("known").alias("n_known"),
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * base_room).alias("base_score"),
-        (logs + F.col("outer") + gain).alias("score"))
-
-
-def _distinct(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each row's distinct values, and how often each comes; ``rows`` ascend."""
-    lists, numbers = [], []
-    cuts = np.searchsorted(rows, np.arange(n + 1))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        u, k = np.unique(values[a:b], return_counts=True)
-        lists.append(signed(u))
-        numbers.append(k)
-    return lists, numbers
+        (F.col("logs") - F.col("n_tokens") * base_room).alias("base_score"),
+        (F.col("logs") + F.col("outer") + gain).alias("score"))
 
 
 def _edges(prefix: np.ndarray, mass: np.ndarray, classes: int) -> np.ndarray:

@@ -424,3 +424,54 @@ def test_scores_without_training_or_rows(spark):
     out = maxent_lm.score(docs).collect()
     assert len(out) == docs.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in out)
     assert maxent_lm.score(empty(spark).withColumn("train", F.lit(True))).count() == 0
+
+
+def test_class_odds_are_the_models():
+    """Products of factors give what the sums of weights give, also where single precision ends."""
+    rng = np.random.default_rng(3)
+    for spread in (1, 60):
+        model = maxent_lm.ClassModel(np.array([5, 9]), (spread * rng.normal(
+            size=(maxent_lm.FEATURES, maxent_lm.BUCKETS, 4))).astype(np.float32), np.log([0.1, 0.2, 0.3, 0.4]).astype(np.float32))
+        f, c = rng.integers(0, maxent_lm.BUCKETS, (maxent_lm.FEATURES, 5000)), rng.integers(0, 4, 5000)
+        odds, log_p = maxent_lm.Odds(model), model.log_p(f)
+        assert odds.log_of(f, c) == pytest.approx(log_p[np.arange(5000), c], rel=1e-5, abs=1e-5)
+        assert odds.p(f) == pytest.approx(np.exp(log_p).T, abs=1e-5)
+
+
+def test_a_part_asks_with_its_own_counts(spark):
+    """What parts ask for holds their training counts, so that these add up to all counts
+    and no further table of counts is shuffled; words outside the head keep whole hashes."""
+    import pyarrow as pa
+    docs = _followers(spark, 60)
+    _, model, _, head, _ = _pieces(docs)
+    rows = [r.asDict() for r in docs.collect()]
+    for r in rows:
+        r["state"] = 0 if not r["train"] else 2 if r["doc_id"] % 8 == 1 else 1
+    got = {}
+    for lo in range(0, 60, 25):
+        t = pa.table({"key": [r["doc_id"] for r in rows[lo: lo + 25]], "text": [r["text"] for r in rows[lo: lo + 25]],
+                      "state": pa.array([r["state"] for r in rows[lo: lo + 25]], pa.int8())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        part = maxent_lm.Part(sink.getvalue().to_pybytes(), model, head, KEY, False)
+        for block, size, keys, n, d in part.asked(3, KEY, 2):
+            got.setdefault(block, []).append({"size": size, "keys": keys, "n": n, "n_dev": d})
+    counted = {False: {}, True: {}}
+    for block, asked in got.items():
+        counted[block >= 8] |= {k: (n, d) for k, n, d in zip(*(a.tolist() for a in maxent_lm.sum_counts(asked)))}
+    t = maxent_lm.Tokens(maxent_lm.texts_of(pa.array([r["text"] for r in rows], pa.large_string())))
+    state, outside = np.array([r["state"] for r in rows])[t.row], ~head.find(t.hash)[0]
+    for words, lists in ((False, [(k >> SHIFT, state) for k in maxent_lm._follow(t, model.classes(t))]),
+                         (True, [(t.hash[outside] >> np.uint64(2), state[outside])])):
+        want = {}
+        for k, s in ((k, s) for keys, states in lists for k, s in zip(keys.tolist(), states.tolist())):
+            n, d = want.get(k, (0, 0))
+            want[k] = n + (s > 0), d + (s == 2)
+        assert counted[words] == want
+
+
+def test_scores_need_no_join_after_the_parts(spark):
+    """Words outside the head are scored in their part: no list of them is written and joined."""
+    plan = maxent_lm.score(_followers(spark, 20), head=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Generate" not in plan
