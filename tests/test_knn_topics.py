@@ -118,3 +118,30 @@ def test_pairs_that_meet_at_a_point(spark):
     want = {(a[2], b[2], round(far(a, b), 9)) for a in rows for b in rows
             if a[:2] == b[:2] and a[2] != b[2] and (a[3] or b[3]) and (a[4] is None or far(a, b) <= a[4])}
     assert got == want
+
+
+def test_pairwise_distances_are_of_all_pairs(spark, monkeypatch, tmp_path):
+    """The registered query against its SQL: every pair, with an id twice, a null vector and one without length."""
+    import duckdb
+    monkeypatch.setattr(K, "_STRIP_ROWS", 7)
+    monkeypatch.setattr(K, "_SENT", 10)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(40, 6)) / 3).tolist()
+    x[4], x[8] = x[3], [0.0] * 6
+    rows = [(i, v) for i, v in enumerate(x)] + [(3, x[3]), (7, x[11]), (50, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in E.queries()["pairwise_cosine_distance"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet') "
+                "WHERE embedding IS NOT NULL")
+    want = con.execute(E.oracle_sql()["pairwise_cosine_distance"]).fetchall()
+    assert len(got) == 42 * 42 - 42 - 2 * 2  # but a row with itself, or with the other row of its id
+    assert sorted(got) == sorted(want)
+
+
+def test_pairwise_distances_by_euclid_and_with_a_missing_component(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 1.0]), (4, [None, 1.0])],
+                               "doc_id long, embedding array<double>")
+    got = {(r.src, r.rank): (r.dst, r.distance) for r in K.pairwise_distances(df, metric="euclidean").collect()}
+    assert len(got) == 12 and got[1, 1] == (3, 1.0) and got[1, 2] == (2, 5.0) and got[1, 3] == (4, None)
+    assert {r.distance for r in K.pairwise_distances(df).filter("src = 4 or dst = 4").collect()} == {None}
