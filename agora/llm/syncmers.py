@@ -69,15 +69,51 @@ def anchors(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
+_LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!#$%&()*+-;<=>?@^_`{|}~", np.uint8)
+_DIGIT = np.zeros(256, np.uint32)
+_DIGIT[_LETTERS] = np.arange(85)
+_PLACES = np.uint32(85) ** np.arange(4, -1, -1, dtype=np.uint32)
+#: Steps from one anchor to the next that have a code of their own; two codes are a digit of base 85.
+_STEPS = 8
+
+
+def _five(numbers: np.ndarray) -> np.ndarray:
+    """Five digits of base 85 for each number below 2^32."""
+    return (numbers.astype(np.uint32)[:, None] // _PLACES % np.uint32(85)).ravel()
+
+
+def _number(digits: np.ndarray) -> np.ndarray:
+    return (digits.reshape(-1, 5) * _PLACES).sum(axis=1, dtype=np.uint32)
+
+
 def written(hashes: np.ndarray, places: np.ndarray) -> str:
-    """Eight hex digits of hash and eight of place for each anchor."""
-    both = np.stack([hashes, places.astype(np.uint64)], axis=1).astype(">u4")
-    return both.tobytes().hex()
+    """All anchors in order of their places, in digits of base 85: their number, five
+    digits of hash for each, a digit for the steps to two of them from those before
+    (each of 1 to ``_STEPS``, or 0), and five for each step that is 0 there."""
+    n = len(hashes)
+    if not n:
+        return ""
+    order = np.argsort(places, kind="stable")
+    steps = np.diff(places[order], prepend=-1)
+    code = np.where((steps >= 1) & (steps <= _STEPS), steps, 0)
+    two = np.append(code, 0)[: n + n % 2].reshape(-1, 2)
+    digits = np.concatenate([_five(np.array([n])), _five(hashes[order]),
+                             two[:, 0] * (_STEPS + 1) + two[:, 1], _five(steps[code == 0])])
+    return _LETTERS[digits.astype(np.uint8)].tobytes().decode("ascii")
 
 
 def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(bytes.fromhex(fingerprint), ">u4").reshape(-1, 2)
-    return both[:, 0].astype(np.uint64), both[:, 1].astype(np.int64)
+    """The hashes (ascending) and places that were written."""
+    digits = _DIGIT[np.frombuffer(fingerprint.encode("ascii"), np.uint8)]
+    if not len(digits):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    n = int(_number(digits[:5])[0])
+    ends = np.cumsum([5, 5 * n, (n + 1) // 2])
+    hashes = _number(digits[ends[0]: ends[1]]).astype(np.uint64)
+    steps = np.stack(np.divmod(digits[ends[1]: ends[2]].astype(np.int64), _STEPS + 1), axis=1).ravel()[:n]
+    steps[steps == 0] = _number(digits[ends[2]:])
+    order = np.argsort(hashes)
+    return hashes[order], (np.cumsum(steps) - 1)[order]
 
 
 def _longest_rise(p: np.ndarray) -> int:

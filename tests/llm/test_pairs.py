@@ -202,6 +202,21 @@ def test_long_texts_keep_their_shared_passage(spark, n):
     assert rows[0]["near_edited"] == syncmers.likeness(f, e) > 0.5
 
 
+def test_written_fingerprints_are_whole_and_short():
+    """Every anchor and place in at most six characters, far steps and odd numbers included."""
+    rng = np.random.default_rng(8)
+    chars = lambda k: "".join(chr(97 + c) for c in rng.integers(0, 26, k))
+    plain, again = chars(5_000), chars(400) * 9 + chars(301)
+    for t in (plain, plain[:33], again, chars(40), "abc", ""):
+        one = list(syncmers.anchors([t]))[0]
+        text = syncmers.written(*one)
+        assert all(np.array_equal(a, b) for a, b in zip(syncmers.read(text), one))
+        assert text.isascii() and text.isprintable() and len(text) <= 6 * len(one[0]) + 10
+    far = np.array([5, 2**32 - 1, 0], np.uint64), np.array([2**31, 9, 0])
+    got = syncmers.read(syncmers.written(*far))
+    assert got[0].tolist() == [0, 5, 2**32 - 1] and got[1].tolist() == [0, 2**31, 9]
+
+
 def test_longest_rise_by_definition():
     rng = np.random.default_rng(4)
     for n in range(40):
