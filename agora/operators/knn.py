@@ -323,14 +323,28 @@ def _merge(k: int):
         src = np.repeat(t.column("src").to_numpy(), dst.value_lengths().to_numpy())
         dst, distance = dst.flatten().to_numpy(), distance.flatten().to_numpy()
         rounded = np.round(distance, RANK_DIGITS)
-        pair = np.lexsort((rounded, dst, src))
-        a, b = src[pair], dst[pair]
-        pair = pair[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(pair)]]  # an id may come twice
-        order = pair[np.lexsort((dst[pair], rounded[pair], src[pair]))]
+
+        def first(some: np.ndarray) -> np.ndarray:
+            pair = some[np.lexsort((rounded[some], dst[some], src[some]))]
+            a, b = src[pair], dst[pair]
+            pair = pair[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(pair)]]  # an id may come twice
+            order = pair[np.lexsort((dst[pair], rounded[pair], src[pair]))]
+            return order[np.arange(len(order)) - np.searchsorted(src[order], src[order]) < k]
+
+        # what is beyond a point's k-th candidate is not sorted
+        row = np.cumsum(np.append(False, src[1:] != src[:-1]))[: len(src)]
+        count = np.bincount(row)
+        most, near = int(count.max(initial=0)), np.arange(len(src))
+        if k < most and most * len(count) <= 4 * len(src):
+            table = np.full((len(count), most), np.inf)
+            table[row, near - np.repeat(np.cumsum(count) - count, count)] = rounded
+            near = np.flatnonzero(rounded <= np.partition(table, k - 1, axis=1)[row, k - 1])
+        order = first(near)
+        if len(near) < len(src) and (np.bincount(row[order], minlength=len(count)) < np.minimum(count, k)).any():
+            order = first(np.arange(len(src)))  # ids that come twice took places among the k
         src = src[order]
-        rank = np.arange(len(src)) - np.searchsorted(src, src)
-        order, src, rank = (c[rank < k] for c in (order, src, rank))
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array((rank + 1).astype(np.int32)), pa.array(dst[order]),
+        rank = np.arange(len(src)) - np.searchsorted(src, src) + 1
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(rank.astype(np.int32)), pa.array(dst[order]),
                                            pa.array(distance[order])], names=["src", "rank", "dst", "distance"])
 
     def run(batches):

@@ -65,6 +65,13 @@ def fuzzy_graph(knn: DataFrame, smooth: DataFrame) -> DataFrame:
                     (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
 
 
+def _summed(rows: DataFrame, entries: list, out: str) -> DataFrame:
+    """``(id, out)``: arrays of the sums of ``entries`` per id, a plain sum for each, which
+    is compiled, where an aggregate of arrays makes objects of every row."""
+    sums = rows.groupBy("id").agg(*[F.sum(x).alias(f"_{j}") for j, x in enumerate(entries)])
+    return sums.select("id", F.array(*[F.col(f"_{j}") for j in range(len(entries))]).alias(out))
+
+
 def spectral_start(graph: DataFrame, k: int, more: int = 8, degree: int = 12, tolerance: float = 1e-6,
                    seed: int = 0) -> DataFrame:
     """``(id, coords)``: for each node of a graph ``(src, dst, weight)`` (an edge once) its
@@ -89,10 +96,10 @@ def spectral_start(graph: DataFrame, k: int, more: int = 8, degree: int = 12, to
                         .select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other"))).alias("m")), "near")
 
     def times(x: DataFrame, col: str) -> DataFrame:
-        """``(id, my)``: the normalised adjacency times a block."""
+        """``(id, my)``: the normalised adjacency times a block of ``width`` columns."""
         v = x.select(F.col("id").alias("dst"), F.col(col).alias("v"))
-        return near.join(v, "dst").select("src", F.transform("v", lambda t: t * F.col("m")).alias("v")).groupBy(
-            F.col("src").alias("id")).agg(VO.vector_sum("v").alias("my"))
+        return _summed(near.join(v, "dst").select(F.col("src").alias("id"), "m", "v"),
+                       [F.get("v", F.lit(j)) * F.col("m") for j in range(width)], "my")
 
     width = min(n, k + 1 + more)
     start = [F.xxhash64("src", F.lit(j), F.lit(seed)) / 2.0**63 for j in range(width)]
@@ -146,7 +153,10 @@ def layout(graph: DataFrame, init: DataFrame, n_epochs: int = 50, lr: float = 1.
     every epoch. Forces are summed map-side; steps shrink linearly. Positions are
     written once per epoch."""
     pos = write_shared(init.select("id", F.col("coords").cast("array<double>").alias("y")), "positions")
-    n = pos.count()
+    n, dims = pos.agg(F.count(F.lit(1)), F.max(F.size("y"))).first()
+    if not n:
+        return pos.select("id", F.col("y").alias("coords"))
+    axes = range(dims)
     # positions start within a box of side 10
     top = pos.select(F.max(F.array_max(F.transform("y", lambda v: F.abs(v)))).alias("m"))
     pos = pos.join(F.broadcast(top)).select("id", F.transform(
@@ -157,11 +167,11 @@ def layout(graph: DataFrame, init: DataFrame, n_epochs: int = 50, lr: float = 1.
     bucket = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
 
     def forces(rows: DataFrame, coefficient) -> DataFrame:
-        """``rows``: src, a (own position), b (the other's), weight."""
-        d2 = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        rows = rows.withColumn("d2", d2).withColumn("c", coefficient(F.col("d2")) * F.col("weight"))
-        move = F.zip_with("a", "b", lambda x, y: F.least(F.greatest(F.col("c") * (x - y), F.lit(-_CLIP)), F.lit(_CLIP)))
-        return rows.select("src", move.alias("f"))
+        """``rows``: src, a (own position), b (the other's), weight. A column per dimension."""
+        apart = rows.select(F.col("src").alias("id"), "weight", *[(F.get("a", F.lit(j)) - F.get("b", F.lit(j))).alias(f"x{j}") for j in axes])
+        d2 = sum((F.col(f"x{j}") * F.col(f"x{j}") for j in axes), F.lit(0.0))
+        c = apart.withColumn("d2", d2).withColumn("c", coefficient(F.col("d2")) * F.col("weight"))
+        return c.select("id", *[F.least(F.greatest(F.col("c") * F.col(f"x{j}"), F.lit(-_CLIP)), F.lit(_CLIP)).alias(f"f{j}") for j in axes])
 
     def pull(d2):
         return F.when(d2 > 0, -2 * CURVE_A * CURVE_B * F.pow(d2, CURVE_B - 1) / (1 + CURVE_A * F.pow(d2, CURVE_B))).otherwise(0.0)
@@ -180,8 +190,7 @@ def layout(graph: DataFrame, init: DataFrame, n_epochs: int = 50, lr: float = 1.
         repulsion = forces(
             drawn.join(pos.select(bucket.alias("bucket"), F.col("id").alias("dst"), F.col("y").alias("b")), "bucket")
             .filter("src <> dst").withColumn("weight", F.col("degree")), push)
-        total = attraction.unionByName(repulsion).groupBy(F.col("src").alias("id")).agg(
-            VO.vector_sum("f").alias("f"))
+        total = _summed(attraction.unionByName(repulsion), [F.col(f"f{j}") for j in axes], "f")
         pos = write_shared(pos.join(total, "id", "left").select("id", F.when(F.col("f").isNull(), F.col("y")).otherwise(
             F.zip_with("y", "f", lambda v, f: v + alpha * f)).alias("y")), "positions")
     return pos.select("id", F.col("y").alias("coords"))

@@ -58,13 +58,6 @@ def weighted_mean(vec_col: str, weight_col: str | None = None):
     return vector_to_array(Summarizer.mean(v, w))
 
 
-def vector_sum(vec_col: str):
-    """Aggregate: sum of array vectors, in one buffer per group and task."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    return vector_to_array(Summarizer.sum(array_to_vector(F.col(vec_col))))
-
-
 def topic_vectors(vectors: DataFrame, topics: DataFrame, id_col: str = "doc_id",
                   vec_col: str = "embedding", topic_col: str = "topic",
                   drop_noise: bool = True) -> DataFrame:

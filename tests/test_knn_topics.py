@@ -145,3 +145,33 @@ def test_pairwise_distances_by_euclid_and_with_a_missing_component(spark):
     got = {(r.src, r.rank): (r.dst, r.distance) for r in K.pairwise_distances(df, metric="euclidean").collect()}
     assert len(got) == 12 and got[1, 1] == (3, 1.0) and got[1, 2] == (2, 5.0) and got[1, 3] == (4, None)
     assert {r.distance for r in K.pairwise_distances(df).filter("src = 4 or dst = 4").collect()} == {None}
+
+
+def test_candidates_come_as_lists(spark, monkeypatch):
+    """A row per point and block, and after the merge the same edges as from single candidates, ids twice included."""
+    monkeypatch.setattr(K, "_MERGED", 300)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (400, 3)).astype(float)
+    ids = [*range(396), 7, 7, 11, 20]
+    x[396:] = x[[7, 7, 11, 20]]
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "_id long, _v array<double>")
+    for metric in ("cosine", "euclidean"):
+        lists = K.blocked_topk(df, 5, None, metric, 50, lists=True)
+        assert lists.count() <= 400 * 8  # 400 rows in 8 blocks of 50
+        got = {(r.src, r.rank): (r.dst, round(r.distance, 9)) for r in K.nearest(df, 5, None, metric, 50).collect()}
+        want = {(r.src, r.rank): (r.dst, round(r.distance, 9))
+                for r in K.top_k_edges(K.blocked_topk(df, 5, None, metric, 50), 5).collect()}
+        assert got == want and len(got) > 396 * 4
+    assert K.nearest(df.filter("_id < 0"), 5).count() == 0 and K.nearest(df.filter("_id = 3"), 5).count() == 0
+
+
+def test_nearest_of_copies_and_small_distances():
+    """Points that are alike to within rounding, in tiles that are smaller than what passes."""
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(7, 4)), 300, axis=0) + np.arange(2100)[:, None] % 3 * 1e-5
+    ids = np.arange(2100)
+    for metric in ("euclidean", "cosine"):
+        y = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+        got = pa.concat_tables(K._nearest_of(ids, y, ids, y, 6, metric)).to_pandas()
+        assert (got.groupby("src").size() == 6).all() and (got.src != got.dst).all()
+        assert (got.src // 300 == got.dst // 300).all() and got.distance.max() < 1e-6

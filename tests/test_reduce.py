@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from agora.operators import knn as K
 from agora.operators import reduce as R
@@ -132,3 +133,24 @@ def test_axes_of_few_or_equal_vectors(spark):
     assert VO.principal_axes(same.limit(1), 9).shape == (3, 3)
     with pytest.raises(ValueError):
         VO.principal_axes(same.filter("doc_id > 9"), 2)
+
+
+def test_sums_of_arrays_are_compiled(spark):
+    rows = spark.createDataFrame([(1, 2.0, [1.0, 5.0]), (1, 1.0, [3.0, -1.0]), (2, 1.0, [0.5, 0.0])], "id long, m double, v array<double>")
+    got = R._summed(rows, [F.get("v", F.lit(j)) * F.col("m") for j in range(2)], "my")
+    assert {r.id: r.my for r in got.collect()} == {1: [5.0, 9.0], 2: [0.5, 0.0]}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
+
+
+def test_forces_are_summed_without_objects(spark, monkeypatch):
+    """No epoch of the layout or product of the spectral start makes an object of an edge."""
+    plans = []
+    share = R.write_shared
+    monkeypatch.setattr(R, "write_shared", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), share(df, name))[1])
+    edges = spark.createDataFrame([(i, (i + 1) % 9, 1.0) for i in range(9)], "src long, dst long, weight double")
+    start = R.spectral_start(edges, 2, tolerance=1e-2)
+    out = R.layout(edges, start, n_epochs=2).collect()
+    assert len(out) == 9 and all(np.isfinite(r.coords).all() for r in out)
+    assert plans and not any("ObjectHashAggregate" in p for p in plans)
+    assert R.layout(edges, start.filter("id < 0"), n_epochs=2).count() == 0
